@@ -1,0 +1,8 @@
+"""Unit-cost analytics and evidence retrieval as Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
