@@ -79,3 +79,29 @@ def drop_listed(docs: DataFrame, listed: DataFrame, keys: dict[str, Column], wid
         c = F.col(f"key_{k}").eqNullSafe(F.col(f"other_{k}"))
         cond = c if cond is None else cond & c
     return spark_row.join(right, cond, "left_anti").select("row_.*")
+
+
+def emit(schema, limit: int = 8 << 20):
+    """Collects dict rows for mapInArrow and gives them back as record batches of about limit bytes."""
+    import pyarrow as pa
+
+    class Rows:
+        def __init__(self):
+            self.rows, self.held = [], 0
+
+        def add(self, row: dict, weight: int = 64):
+            self.rows.append(row)
+            self.held += weight
+            if self.held >= limit or len(self.rows) >= 50_000:
+                yield self.take()
+
+        def take(self):
+            batch = pa.RecordBatch.from_pylist(self.rows, schema=schema)
+            self.rows, self.held = [], 0
+            return batch
+
+        def rest(self):
+            if self.rows:
+                yield self.take()
+
+    return Rows()

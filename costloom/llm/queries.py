@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from costloom.llm import exact_dedup, mixing
+from costloom.llm import exact_dedup, mixing, quality, tiff
 
 QUERIES = {
+    "op1_tiff": tiff.op1_tiff,
     "op4_mixing": mixing.op4_mixing,
+    "op5_quality": quality.op5_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
