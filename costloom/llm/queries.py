@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from costloom.llm import exact_dedup, mixing, quality, tiff
+from costloom.llm import exact_dedup, jaccard, mixing, quality, tiff
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op2_jaccard": jaccard.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
