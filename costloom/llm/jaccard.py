@@ -2,9 +2,9 @@
 
 1. Equal sets. One scan gives each document its set's size and 128-bit fingerprint; equal sets are one
    class, represented by its smallest id.
-2. Who can have a partner at all. Partners share one of the n - ceil(0.75 n) + 1 smallest hashes of a set,
-   so only sets with such a hash seen twice go on. Of those, a shingle seen in one set only can't be shared:
-   a set with fewer than ceil(0.75 n) others is out. Both tests are counts and semi joins.
+2. Who can have a partner at all. A set shares ceil(0.75 n) shingles with any partner, so it can spare only
+   n - ceil(0.75 n) that no other set has. Shingles are looked at in runs of that number + 1, smallest hashes
+   first, each run only of sets that passed the one before; each is a count and a semi join.
 3. Contraction. Sets that agree on a minimum hash are checked against the smallest id that has it: pairs in
    proportion to the sets, whatever the group's size. What links becomes one component.
 4. Heavy-light join of what is left between different components, shingles ordered from rare to common.
@@ -47,32 +47,33 @@ def _long_rows(schema, columns):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + _MOST]) for c in whole], schema=schema)
 
 
-def _exploded(docs: DataFrame, prefix: bool) -> DataFrame:
-    """doc_id, n, shingle: the sets of at least 3 shingles, or only their smallest hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("shingle", pa.int64())])
+def _exploded(docs: DataFrame, part: int | None) -> DataFrame:
+    """doc_id, shingle: the sets of at least 3 shingles, or of each the part-th run of prefix length by hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("shingle", pa.int64())])
 
     def run(batches):
+        columns: list[list] = [[], []]
+        held = 0
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
-            columns: list[list] = [[], [], []]
-            held = 0
             for i, values in shingle_sets(batch["text"].to_pylist()):
                 n = len(values)
                 if n < 3:  # such sets link with equal ones only
                     continue
-                if prefix:
-                    values = values[: n - least_shared(n) + 1]
-                for c, x in zip(columns, (np.full(len(values), ids[i]), np.full(len(values), n, np.int32), values.view(np.int64)), strict=True):
-                    c.append(x)
+                if part is not None:
+                    prefix = n - least_shared(n) + 1
+                    values = values[part * prefix : (part + 1) * prefix]
+                columns[0].append(np.full(len(values), ids[i]))
+                columns[1].append(values.view(np.int64))
                 held += len(values)
                 if held >= _MOST:
                     yield from _long_rows(schema, columns)
-                    columns, held = [[], [], []], 0
-            if held:
-                yield from _long_rows(schema, columns)
+                    columns, held = [[], []], 0
+        if held:
+            yield from _long_rows(schema, columns)
 
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n int, shingle long")
+    return rows.mapInArrow(run, "doc_id long, shingle long")
 
 
 def set_sizes(docs: DataFrame) -> DataFrame:
@@ -92,14 +93,22 @@ def set_sizes(docs: DataFrame) -> DataFrame:
 
 def linkable_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id, n, shingles, counts: sets that may have a partner, with their shared shingles from rare to common."""
-    first = _exploded(docs, prefix=True).select("doc_id", "shingle")
-    twice = first.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
-    near = cut(first.join(twice, "shingle", "left_semi").select("doc_id").distinct().join(classes.select("doc_id"), "doc_id", "left_semi"))
-    whole = _exploded(docs.join(checked_broadcast(near, 16), "doc_id", "left_semi").select("doc_id", "text"), prefix=False)
+    prefix, spare = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + k for k in (1, 0))
+    near, seen, asked = classes.select("doc_id", F.col("n_shingles").alias("n")), F.lit(0), docs
+    for part in (0, 1):
+        rows = _exploded(asked, part)
+        twice = rows.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
+        shared = rows.join(twice, "shingle", "left_semi").groupBy("doc_id").agg(F.count("*").alias("more"))
+        near = near.join(shared, "doc_id", "left").select("doc_id", "n", (seen + F.coalesce("more", F.lit(0))).alias("seen"))
+        # Shingles of one set only so far, of those looked at, may be as many as the set can spare.
+        near = cut(near.filter(F.least("n", (part + 1) * prefix) - F.col("seen") <= spare))
+        seen = F.col("seen")
+        asked = docs.join(checked_broadcast(near.select("doc_id"), 16), "doc_id", "left_semi").select("doc_id", "text")
+    whole = _exploded(asked, None)
     counts = whole.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
-    kept = whole.join(counts, "shingle").groupBy("doc_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("e"))
+    kept = whole.join(counts, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("e"))
     enough = F.size("e") >= F.ceil(F.col("n") * PERCENT / 100)
-    return cut(kept.filter(enough).select("doc_id", "n", F.col("e.shingle").alias("shingles"), F.col("e.c").alias("counts")))
+    return cut(kept.join(near, "doc_id").filter(enough).select("doc_id", F.col("n").cast("int").alias("n"), F.col("e.shingle").alias("shingles"), F.col("e.c").alias("counts")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 WORDS = 5
 _BASE, _MIX, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_CHUNK = 2 << 20
+_CHUNK = 1 << 17  # bytes of text hashed at once, so that the arrays stay in a core's cache
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -18,10 +18,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    table = _tables.get(int(base))
+    if table is None or len(table) < n:
+        table = np.full(max(n, 2 * _CHUNK), base, np.uint64)
+        table[:1] = 1
+        table = _tables[int(base)] = np.cumprod(table, dtype=np.uint64)
+    return table[:n]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +66,6 @@ def shingle_sets(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
             value = mixed(value + words[k : n + k])
         inside = owner[:n] == owner[len(owner) - n :]
         value, of = value[inside], owner[:n][inside]
-        order = np.lexsort((value, of))
-        value, of = value[order], of[order]
-        fresh = np.ones(len(value), bool)
-        fresh[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
-        value, of = value[fresh], of[fresh]
         at = np.searchsorted(of, np.arange(len(chunk) + 1))
         word_at = np.concatenate([[0], np.cumsum(count)])
         for i in range(len(chunk)):
@@ -74,7 +75,9 @@ def shingle_sets(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
                     short = mixed(short + w)
                 yield first + i, short
             else:
-                yield first + i, value[at[i] : at[i + 1]]
+                own = value[at[i] : at[i + 1]]
+                own.sort()
+                yield first + i, own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
 def fingerprint(values: np.ndarray) -> bytes:
