@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from costloom.llm import exact_dedup, jaccard, mixing, quality, tiff
+from costloom.llm import exact_dedup, jaccard, mixing, packing, quality, tiff
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
     "op2_jaccard": jaccard.op2_jaccard,
+    "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
