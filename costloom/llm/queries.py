@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from costloom.llm import exact_dedup, jaccard, mixing, packing, quality, tiff
+from costloom.llm import exact_dedup, jaccard, mixing, packing, quality, secrets, tiff
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
+    "op7_secrets": secrets.op7_secrets,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
