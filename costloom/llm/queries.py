@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from costloom.llm import exact_dedup, jaccard, mixing, packing, quality, secrets, tiff
+from costloom.llm import exact_dedup, html, jaccard, mixing, packing, quality, secrets, tiff
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
     "op7_secrets": secrets.op7_secrets,
+    "op8_html": html.op8_html,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
