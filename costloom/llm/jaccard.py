@@ -5,8 +5,8 @@
 2. Who can have a partner at all. A set shares ceil(0.75 n) shingles with any partner, so it can spare only
    n - ceil(0.75 n) that no other set has. Shingles are looked at in runs of that number + 1, smallest hashes
    first, each run only of sets that passed the one before; each is a count and a semi join.
-3. Contraction. Sets that agree on a minimum hash are checked against the smallest id that has it: pairs in
-   proportion to the sets, whatever the group's size. What links becomes one component.
+3. Contraction. Sets that agree on a minimum hash are checked against two of them, the most typical and the
+   smallest id: pairs in proportion to the sets, whatever the group's size. What links is one component.
 4. Heavy-light join of what is left between different components, shingles ordered from rare to common.
    Light sets (size <= boundary) enumerate the 2-subsets of their prefix as keys; heavy sets are found by
    scanning the inverted lists of single prefix shingles. The boundary has the least cost by the counts
@@ -120,23 +120,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def anchored(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each set and the smallest id among those with one of its minimum hashes."""
+    """Pairs (a, b) of each set and two of those with one of its minimum hashes: the most typical and the first.
+
+    A set is typical of a group if its shingles are in many sets on average: the text that near copies
+    derive from, or the passage without additions. Both are found before rows meet.
+    """
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("typical", pa.float64())])
 
     def run(batches):
-        schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
         for batch in batches:
-            keys, ids = [], []
-            for i, values in zip(batch["doc_id"].to_pylist(), batch["shingles"], strict=True):
+            keys, ids, ranks = [], [], []
+            for i, n, values, counts in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["shingles"], batch["counts"], strict=True):
                 v = np.asarray(values.values).view(np.uint64)
+                rank = float(np.asarray(counts.values).sum() + n - len(v)) / n
                 for k in range(ANCHORS):
                     salt = np.uint64(0x1000193 * (k + 1))
                     keys.append(int(mixed(np.array([mixed(v ^ salt).min() + salt]))[0].view(np.int64)))
                     ids.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], schema=schema)
+                    ranks.append(rank)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(ranks, pa.float64())], schema=schema)
 
-    keys = cut(sets.select("doc_id", "shingles").mapInArrow(run, "key long, doc_id long"))
-    pivots = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).filter("c > 1").select("key", "b")
-    return keys.join(pivots, "key").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    keys = cut(sets.select("doc_id", "n", "shingles", "counts").mapInArrow(run, "key long, doc_id long, typical double"))
+    pivots = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max(F.struct("typical", (-F.col("doc_id")).alias("id"))).alias("top"), F.count("*").alias("c")).filter("c > 1")
+    pivots = pivots.select("key", F.array_distinct(F.array("first", -F.col("top.id"))).alias("b"))
+    return keys.join(pivots, "key").select(F.col("doc_id").alias("a"), F.explode("b").alias("b")).filter("a <> b").distinct()
 
 
 def boundary(sets: DataFrame) -> int:
