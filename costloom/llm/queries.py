@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from costloom.llm import exact_dedup, html, jaccard, mixing, packing, quality, secrets, tiff
+from costloom.llm import exact_dedup, html, jaccard, mixing, packing, quality, secrets, tiff, warc
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
@@ -12,9 +12,11 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op7_secrets": secrets.op7_secrets,
     "op8_html": html.op8_html,
+    "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op9_warc": warc.ORACLE,
     "op2_jaccard": jaccard.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
