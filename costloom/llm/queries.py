@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from costloom.llm import exact_dedup, html, jaccard, mixing, packing, quality, secrets, tiff, warc
+from costloom.llm import exact_dedup, html, jaccard, mixing, packing, pii, quality, secrets, tiff, warc
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
+    "op6_pii": pii.op6_pii,
     "op7_secrets": secrets.op7_secrets,
     "op8_html": html.op8_html,
     "op9_warc": warc.op9_warc,
