@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from costloom.plans import cost_queries
+
+QUERIES: dict = {**cost_queries.QUERIES}
+ORACLES: dict[str, str] = {**cost_queries.ORACLES}
