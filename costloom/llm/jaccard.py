@@ -32,6 +32,8 @@ from costloom.llm.shingles import fingerprint, mixed, shingle_sets
 #: Two sets link when 100 x intersection >= 75 x union.
 PERCENT = 75
 ANCHORS = 4
+#: What a key costs to emit, shuffle and count, in entries of a list that are looked at.
+KEY_COST = 20
 _MOST = 1 << 18
 
 
@@ -149,13 +151,14 @@ def anchored(sets: DataFrame) -> DataFrame:
 def boundary(sets: DataFrame) -> int:
     """The largest size of light sets, of least total cost; sums over all sets by size, some hundred rows.
 
-    A set pays the subsets it enumerates if it or a smaller partner is light, and the lists it scans if heavy.
+    A set pays the subsets it enumerates if it or a smaller partner is light, and if heavy its keys and the
+    lists it scans.
     """
     prefix = F.greatest(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("counts")), F.lit(0)).cast("int")
     by = sets.select(
         F.when(F.col("n") <= 64, F.col("n")).otherwise(F.ceil(F.pow(F.lit(2.0), F.ceil(F.log2("n") * 4) / 4))).cast("long").alias("size"),
-        ((prefix + 1) * prefix / 2).alias("subsets"),
-        F.aggregate(F.slice("counts", 1, prefix), F.lit(0).cast("long"), lambda a, x: a + x).alias("lists"),
+        (KEY_COST * (prefix + 1) * prefix / 2).alias("subsets"),
+        (KEY_COST * prefix + F.aggregate(F.slice("counts", 1, prefix), F.lit(0).cast("long"), lambda a, x: a + x)).alias("lists"),
     )
     rows = sorted(by.groupBy("size").agg(F.sum("subsets"), F.sum("lists")).collect())
     best, at = None, 0
@@ -170,43 +173,45 @@ def candidates(sets: DataFrame, light: int) -> DataFrame:
     """Pairs (a, b) of sets with different labels that a 2-subset key or an inverted list brings together.
 
     A true pair passes the position test at its first common key: what follows both places in the order
-    bounds the overlap.
+    bounds the overlap. A set of n with s shared shingles has partners of at most 7 s / 3 - n (its cap);
+    a key's entries that no size and cap among its others allow are dropped before rows meet.
     """
     most = math.ceil(light * 100 / PERCENT)
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("left", pa.int32()), ("label", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("left", pa.int32()), ("cap", pa.int32()), ("label", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[] for _ in schema]
             held = 0
 
-            def add(keys, left, i, n, label):
-                for c, x in zip(columns, (keys.view(np.int64), np.full(len(keys), i), np.full(len(keys), n, np.int32), left.astype(np.int32), np.full(len(keys), label)), strict=True):
+            def add(keys, left, i, n, cap, label):
+                for c, x in zip(columns, (keys.view(np.int64), np.full(len(keys), i), np.full(len(keys), n, np.int32), left.astype(np.int32), np.full(len(keys), cap, np.int32), np.full(len(keys), label)), strict=True):
                     c.append(x)
 
             for i, n, label, values in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["label"].to_pylist(), batch["shingles"], strict=True):
                 v = np.asarray(values.values).view(np.uint64)
                 prefix = n - least_shared(n) + 1 - (n - len(v))  # shingles in one set only come first
+                cap = (100 + PERCENT) * len(v) // PERCENT - n
                 if n > light:
-                    add(mixed(v[:prefix]), len(v) - np.arange(prefix), i, n, label)
+                    add(mixed(v[:prefix]), len(v) - np.arange(prefix), i, n, cap, label)
                     held += prefix
                 if n <= most:
                     x, y = np.triu_indices(min(prefix + 1, len(v)), 1)
-                    add(mixed(mixed(v[x]) + v[y]), len(v) - x, i, n, label)
+                    add(mixed(mixed(v[x]) + v[y]), len(v) - x, i, n, cap, label)
                     held += len(x)
                 if held >= _MOST:
                     yield from _long_rows(schema, columns)
-                    columns, held = [[], [], [], [], []], 0
+                    columns, held = [[] for _ in schema], 0
             if held:
                 yield from _long_rows(schema, columns)
 
-    keys = cut(sets.select("doc_id", "n", "label", "shingles").mapInArrow(run, "key long, doc_id long, n int, left int, label long"))
-    several = keys.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    left = cut(keys.join(several, "key", "left_semi"))
-    right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "left", "label")])
+    keys = cut(sets.select("doc_id", "n", "label", "shingles").mapInArrow(run, "key long, doc_id long, n int, left int, cap int, label long"))
+    several = keys.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least"), F.max("cap").alias("most")).filter("x <> y").select("key", "least", "most")
+    left = cut(keys.join(several, "key").filter("least <= cap AND n <= most").drop("least", "most"))
+    right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "left", "cap", "label")])
     union = 100 + PERCENT
     need = F.ceil(F.lit(PERCENT) * (F.col("n") + F.col("n_b")) / F.lit(union))
-    ok = (F.col("doc_id") < F.col("doc_id_b")) & (F.col("label") != F.col("label_b")) & (F.least("left", "left_b") >= need)
+    ok = (F.col("doc_id") < F.col("doc_id_b")) & (F.col("label") != F.col("label_b")) & (F.least("left", "left_b") >= need) & (F.col("n") <= F.col("cap_b")) & (F.col("n_b") <= F.col("cap"))
     light_pair = F.least("n", "n_b") <= light
     heavy_pair = F.least("n", "n_b") > light
     return left.join(right, "key").filter(ok & (light_pair | heavy_pair)).select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
