@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from costloom.plans import cost_queries
+from costloom.plans import cost_queries, text_queries
 
-QUERIES: dict = {**cost_queries.QUERIES}
-ORACLES: dict[str, str] = {**cost_queries.ORACLES}
+_MODULES = (cost_queries, text_queries)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
