@@ -33,7 +33,7 @@ from costloom.llm.shingles import fingerprint, mixed, shingle_sets
 PERCENT = 75
 ANCHORS = 4
 #: What a key costs to emit, shuffle and count, in entries of a list that are looked at.
-KEY_COST = 20
+KEY_COST = 100
 _MOST = 1 << 18
 
 
