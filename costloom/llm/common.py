@@ -105,3 +105,20 @@ def emit(schema, limit: int = 8 << 20):
                 yield self.take()
 
     return Rows()
+
+
+def sliced(batches, rows: int = 256):
+    """Record batches in slices of few rows, so that a worker's Python objects stay small; then memory goes back."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+    try:  # an idle worker would keep what its allocator holds
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

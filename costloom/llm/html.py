@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import checked_broadcast, cut, emit
+from costloom.llm.common import checked_broadcast, cut, emit, sliced
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -317,7 +317,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         rows = emit(schema, 4 << 20)
-        for batch in batches:
+        for batch in sliced(batches):
             for r in batch.to_pylist():
                 symbols, texts = page_stream(r["html"])
                 items = folded(symbols)
@@ -356,7 +356,7 @@ def wrappers(shapes: DataFrame) -> DataFrame:
 
     def first(batches):
         schema = pa.schema([("host", pa.string()), ("spot", pa.int64()), ("wrapper", pa.string())])
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for r in batch.to_pylist():
                 slots = [[s["mark"], s["pages"], s["size"]] for s in r["slots"]]
@@ -398,7 +398,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def choose(batches):
         schema = pa.schema([("host", pa.string()), ("shape", pa.string()), ("keep", pa.list_(pa.bool_()))])
         last = (None, None, None)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for r in batch.to_pylist():
                 if last[0] != r["wrapper"]:
@@ -417,7 +417,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def assemble(batches):
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("host", pa.string())])
         out = emit(schema)
-        for batch in batches:
+        for batch in sliced(batches):
             for r in batch.to_pylist():
                 blocks: list[list] = []
                 for p in r["parts"]:

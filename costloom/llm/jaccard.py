@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import checked_broadcast, cut, drop_listed, whole_text
+from costloom.llm.common import checked_broadcast, cut, drop_listed, sliced, whole_text
 from costloom.llm.graphs import components
 from costloom.llm.shingles import fingerprint, mixed, shingle_sets
 
@@ -56,7 +56,7 @@ def _exploded(docs: DataFrame, part: int | None) -> DataFrame:
     def run(batches):
         columns: list[list] = [[], []]
         held = 0
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch["doc_id"].to_numpy()
             for i, values in shingle_sets(batch["text"].to_pylist()):
                 n = len(values)
@@ -83,7 +83,7 @@ def set_sizes(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, marks = [], []
             for _, values in shingle_sets(batch["text"].to_pylist()):
                 sizes.append(len(values))
@@ -130,7 +130,7 @@ def anchored(sets: DataFrame) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("typical", pa.float64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keys, ids, ranks = [], [], []
             for i, n, values, counts in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["shingles"], batch["counts"], strict=True):
                 v = np.asarray(values.values).view(np.uint64)
@@ -180,7 +180,7 @@ def candidates(sets: DataFrame, light: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("left", pa.int32()), ("cap", pa.int32()), ("label", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             columns: list[list] = [[] for _ in schema]
             held = 0
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costloom.llm.common import cut, emit, whole_text
+from costloom.llm.common import cut, emit, sliced, whole_text
 
 SEQUENCE, END_ID = 1024, 2
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 12, 4
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = SEQUENCE) -> DataF
 
     def run(batches):
         encode, rows = load_tokenizer(tokenizer), emit(schema)
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = np.array([*encode(text), END_ID], "<u4")
                 at, end = 0, (len(ids) - 1) % most + 1
@@ -204,7 +204,7 @@ def _pack(pool: DataFrame, blocks: int, most: int) -> DataFrame:
         both = state.join(guest, ["block", "island"]).select(*state.columns, "guest").repartition(parts, "block", "island")
 
         def run(batches, epoch=epoch):
-            for batch in batches:
+            for batch in sliced(batches):
                 out = []
                 for r in batch.to_pylist():
                     guests = [_bins_of(x) for x in (r["best"], r.pop("guest")) if x]
@@ -224,7 +224,7 @@ def _pack(pool: DataFrame, blocks: int, most: int) -> DataFrame:
     def place(batches):
         schema = pa.schema([("rid", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64())])
         rows = emit(schema)
-        for batch in batches:
+        for batch in sliced(batches):
             for r in batch.to_pylist():
                 for pieces in _bins_of(r["best"]):
                     at, fill, first = 0, sum(r["length"][p] for p in pieces), min(r["rid"][p] for p in pieces)

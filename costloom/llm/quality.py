@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import drop_listed, cut, emit, whole_text
+from costloom.llm.common import cut, drop_listed, emit, sliced, whole_text
 
 #: The fit reads at most this many labelled rows for each label and fold, none of over SAMPLE_CHARS characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 60_000
@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         scorer = Scorer(model)
         rows = emit(pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())]))
-        for batch in batches:
+        for batch in sliced(batches):
             for r in batch.to_pylist():
                 s = scorer.score(r["text"])
                 yield from rows.add({"doc_id": r["doc_id"], "held_out": r["held_out"], "score": s, "predicted": int(s >= 0.5)})

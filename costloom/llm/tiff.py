@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import emit, whole_text
+from costloom.llm.common import emit, sliced, whole_text
 
 # Fixed values of the TIFF 6.0 format: field types to (size, struct letter); tags; compression schemes.
 FIELD = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i")}
@@ -312,7 +312,7 @@ def tiff_pages(df: DataFrame, id_col: str = "doc_id", media: str = "media", keep
 
     def pages(batches):
         schema = None
-        for batch in batches:
+        for batch in sliced(batches):
             if schema is None:
                 schema = pa.schema([*list(batch.schema)[:-1], ("media_bytes", pa.int64()), ("media_sha256", pa.string()), *_PAGE])
                 rows = emit(schema)
@@ -346,7 +346,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
 
     def store(batches):
         rows = emit(pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())]))
-        for batch in batches:
+        for batch in sliced(batches):
             for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 data = text_as_tiff(text)
                 yield from rows.add({"doc_id": key, "n_bytes": len(text.encode()), "media": data}, 64 + len(data))
@@ -372,7 +372,7 @@ def payload_features(docs: DataFrame) -> DataFrame:
             feature = f"pages={x['pages']};width={x['width']};rows={x['rows']};zeros={counts[0]};distinct={len(share)};sum={int((counts * np.arange(256)).sum())};entropy={-(share * np.log2(share)).sum():.6f}"
             return {"doc_id": x["doc_id"], "n_bytes": x["n_bytes"], "payload_bytes": x["n"], "payload_sha256": x["sha"].hexdigest(), "tail_crc32": zlib.crc32(x["tail"]), "media_bytes": x["media_bytes"], "media_sha256": x["media_sha256"], "feature": feature, "pages": x["pages"]}
 
-        for batch in batches:
+        for batch in sliced(batches):
             for r in batch.to_pylist():
                 if r["error"]:
                     raise TiffError(r["error"])
