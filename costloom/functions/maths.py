@@ -18,7 +18,7 @@ def pct(new: Column, old: Column) -> Column:
 
 def shown(value: Column, suffix: str = "") -> Column:
     """Two decimals and a suffix; null is a dash."""
-    return F.coalesce(F.concat(F.format_string("%.2f", value), F.lit(suffix)), F.lit("—"))
+    return F.when(value.isNull(), "—").otherwise(F.concat(F.format_string("%.2f", value), F.lit(suffix)))
 
 
 def from_percent(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +41,6 @@ def simplified(c: Column) -> Column:
 
 def nfkc():
     """Unicode compatibility normalisation, which has no built-in function, as a vectorised one."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")

@@ -295,10 +295,10 @@ def labor_metrics(s, d):
     return rounded(rounded(detail.labor_metrics(cubes.labor_detail(_lines(s, d))), 4, "wage"), 6, "hour_per_box")
 
 
-@query("category_series", f"SELECT product, category, array_to_string(list(printf('%.2f', amount) ORDER BY month_no), ';') AS series FROM od WHERE year = {BASE_YEAR} AND month_no <= 6 GROUP BY ALL")
+@query("category_series", f"SELECT product, category, array_to_string(list(printf('%.6f', amount) ORDER BY month_no), ';') AS series FROM od WHERE year = {BASE_YEAR} AND month_no <= 6 GROUP BY ALL")
 def category_series(s, d):
     rows = detail.category_series(cubes.overhead_detail(_lines(s, d), table(s, d, "orders")), BASE_YEAR)
-    return rows.withColumn("series", F.array_join(F.transform("series", lambda x: F.format_string("%.2f", x)), ";"))
+    return rows.withColumn("series", F.array_join(F.transform("series", lambda x: F.format_string("%.6f", x)), ";"))
 
 
 @query(
