@@ -3,8 +3,8 @@
 1. Equal sets. One scan gives each document its set's size and 128-bit fingerprint; equal sets are one
    class, represented by its smallest id.
 2. Who can have a partner at all. A set shares ceil(0.75 n) shingles with any partner, so it can spare only
-   n - ceil(0.75 n) that no other set has. Shingles are looked at in runs of that number + 1, smallest hashes
-   first, each run only of sets that passed the one before; each is a count and a semi join.
+   n - ceil(0.75 n) that no other set has. Shingles are looked at in runs of hash ranges, each run only of
+   sets that passed the one before, counting those that are alone; each is a count and a join.
 3. Contraction. Sets that agree on a minimum hash are checked against two of them, the most typical and the
    smallest id: pairs in proportion to the sets, whatever the group's size. What links is one component.
 4. Heavy-light join of what is left between different components, shingles ordered from rare to common.
@@ -32,6 +32,8 @@ from costloom.llm.shingles import fingerprint, mixed, shingle_sets
 #: Two sets link when 100 x intersection >= 75 x union.
 PERCENT = 75
 ANCHORS = 4
+#: Hash ranges of the runs that find sets without partners, in sixteenths. Random sets fail the first.
+RUNS = ((0, 5), (5, 10))
 #: What a key costs to emit, shuffle and count, in entries of a list that are looked at.
 KEY_COST = 100
 _MOST = 1 << 18
@@ -49,9 +51,10 @@ def _long_rows(schema, columns):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + _MOST]) for c in whole], schema=schema)
 
 
-def _exploded(docs: DataFrame, part: int | None) -> DataFrame:
-    """doc_id, shingle: the sets of at least 3 shingles, or of each the part-th run of prefix length by hash."""
+def _exploded(docs: DataFrame, low: int = 0, high: int = 16) -> DataFrame:
+    """doc_id, shingle: of the sets of at least 3 shingles, the hashes from low to high sixteenths of their range."""
     schema = pa.schema([("doc_id", pa.int64()), ("shingle", pa.int64())])
+    first, last = np.uint64(low << 60), np.uint64((high << 60) - 1)
 
     def run(batches):
         columns: list[list] = [[], []]
@@ -59,12 +62,9 @@ def _exploded(docs: DataFrame, part: int | None) -> DataFrame:
         for batch in sliced(batches):
             ids = batch["doc_id"].to_numpy()
             for i, values in shingle_sets(batch["text"].to_pylist()):
-                n = len(values)
-                if n < 3:  # such sets link with equal ones only
+                if len(values) < 3:  # such sets link with equal ones only
                     continue
-                if part is not None:
-                    prefix = n - least_shared(n) + 1
-                    values = values[part * prefix : (part + 1) * prefix]
+                values = values[np.searchsorted(values, first) : np.searchsorted(values, last, side="right")]
                 columns[0].append(np.full(len(values), ids[i]))
                 columns[1].append(values.view(np.int64))
                 held += len(values)
@@ -95,20 +95,20 @@ def set_sizes(docs: DataFrame) -> DataFrame:
 
 def linkable_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id, n, shingles, counts: sets that may have a partner, with their shared shingles from rare to common."""
-    prefix, spare = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + k for k in (1, 0))
-    near, seen, asked = classes.select("doc_id", F.col("n_shingles").alias("n")), F.lit(0), docs
-    for part in (0, 1):
-        rows = _exploded(asked, part)
-        twice = rows.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
-        shared = rows.join(twice, "shingle", "left_semi").groupBy("doc_id").agg(F.count("*").alias("more"))
-        near = near.join(shared, "doc_id", "left").select("doc_id", "n", (seen + F.coalesce("more", F.lit(0))).alias("seen"))
-        # Shingles of one set only so far, of those looked at, may be as many as the set can spare.
-        near = cut(near.filter(F.least("n", (part + 1) * prefix) - F.col("seen") <= spare))
-        seen = F.col("seen")
+    spare = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
+    near, alone, asked = classes.select("doc_id", F.col("n_shingles").alias("n")), F.lit(0), docs
+    for low, high in RUNS:
+        rows = _exploded(asked, low, high)
+        twice = rows.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+        # A hash lies in the same run for every set, so what no other set has here, none has at all.
+        found = rows.join(twice, "shingle", "left").groupBy("doc_id").agg(F.count_if(F.col("c").isNull()).alias("more"))
+        near = near.join(found, "doc_id", "left").select("doc_id", "n", (alone + F.coalesce("more", F.lit(0))).alias("alone"))
+        near = cut(near.filter(F.col("alone") <= spare))
+        alone = F.col("alone")
         asked = docs.join(checked_broadcast(near.select("doc_id"), 16), "doc_id", "left_semi").select("doc_id", "text")
-    whole = _exploded(asked, None)
+    whole = _exploded(asked)
     counts = whole.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
-    kept = whole.join(counts, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("e"))
+    kept = whole.join(counts, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("c", "shingle"))).alias("e"))
     enough = F.size("e") >= F.ceil(F.col("n") * PERCENT / 100)
     return cut(kept.join(near, "doc_id").filter(enough).select("doc_id", F.col("n").cast("int").alias("n"), F.col("e.shingle").alias("shingles"), F.col("e.c").alias("counts")))
 
@@ -154,11 +154,11 @@ def boundary(sets: DataFrame) -> int:
     A set pays the subsets it enumerates if it or a smaller partner is light, and if heavy its keys and the
     lists it scans.
     """
-    prefix = F.greatest(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("counts")), F.lit(0)).cast("int")
+    prefix = F.greatest(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("counts")), F.lit(0)).cast("double")
     by = sets.select(
         F.when(F.col("n") <= 64, F.col("n")).otherwise(F.ceil(F.pow(F.lit(2.0), F.ceil(F.log2("n") * 4) / 4))).cast("long").alias("size"),
         (KEY_COST * (prefix + 1) * prefix / 2).alias("subsets"),
-        (KEY_COST * prefix + F.aggregate(F.slice("counts", 1, prefix), F.lit(0).cast("long"), lambda a, x: a + x)).alias("lists"),
+        (KEY_COST * prefix + F.aggregate(F.slice("counts", 1, prefix.cast("int")), F.lit(0).cast("long"), lambda a, x: a + x)).alias("lists"),
     )
     rows = sorted(by.groupBy("size").agg(F.sum("subsets"), F.sum("lists")).collect())
     best, at = None, 0
