@@ -80,7 +80,7 @@ def material_products(detail: DataFrame) -> DataFrame:
 
 def market_text_chunks(wide: DataFrame, products: DataFrame, year: int, months=HALF) -> DataFrame:
     """A text for each material: its prices by month and the products it goes into."""
-    prices = F.concat_ws(", ", *[F.when(F.col(f"price_{m}").isNotNull(), F.concat(F.lit(f"month {m}: "), F.format_string("%.2f", f"price_{m}"))) for m in months])
+    prices = F.concat_ws(", ", *[F.when(F.col(f"price_{m}").isNotNull(), F.concat(F.lit(f"month {m}: "), F.format_string("%.6f", f"price_{m}"))) for m in months])
     names = F.coalesce(F.array_join("products", ", "), F.lit("none"))
     text = F.concat("material", F.lit(f" market prices {year}: "), prices, F.lit(". Products: "), names, F.lit("."))
     return wide.join(products, "material", "left").select(F.concat(F.lit("MKT-"), "material").alias("chunk_id"), F.lit("market price").alias("type"), text.alias("text"))

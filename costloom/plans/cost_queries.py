@@ -332,7 +332,7 @@ def material_products(s, d):
 
 @query(
     "market_text_chunks",
-    f""", w AS (SELECT material, array_to_string(list('month ' || month_no || ': ' || printf('%.2f', price) ORDER BY month_no), ', ') AS prices FROM mp WHERE year = {BASE_YEAR} AND month_no <= 6 GROUP BY material),
+    f""", w AS (SELECT material, array_to_string(list('month ' || month_no || ': ' || printf('%.6f', price) ORDER BY month_no), ', ') AS prices FROM mp WHERE year = {BASE_YEAR} AND month_no <= 6 GROUP BY material),
 p AS (SELECT material, array_to_string(list(DISTINCT product ORDER BY product), ', ') AS names FROM md GROUP BY material)
 SELECT 'MKT-' || w.material AS chunk_id, 'market price' AS type, w.material || ' market prices {BASE_YEAR}: ' || prices || '. Products: ' || coalesce(names, 'none') || '.' AS text FROM w LEFT JOIN p USING (material)""",
 )
@@ -472,7 +472,7 @@ _CHAIN_ROWS = ", ".join(f"('{i}', '{k}', '{p}', {'NULL' if m is None else repr(m
     _TWO_MONTHS
     + f""", chains(chain_id, kind, product, material, e, a, v) AS (VALUES {_CHAIN_ROWS}),
 cf AS (SELECT 'price' AS kind, product, material, actual, counterfactual, delta FROM ({_CF_PRICE}) UNION ALL SELECT 'consumption', product, material, actual, counterfactual, delta FROM ({_CF_USE}) UNION ALL SELECT 'production', product, NULL, actual, counterfactual, delta FROM ({_CF_PROD}))
-SELECT chain_id, chains.kind, chains.product, chains.material, actual, counterfactual, delta, round(0.4 + 0.2 * (e::INT + a::INT + v::INT), 2) AS support FROM chains JOIN cf ON cf.kind = chains.kind AND cf.product = chains.product AND cf.material IS NOT DISTINCT FROM chains.material""",
+SELECT chain_id, chains.kind, chains.product, chains.material, actual, counterfactual, delta, round(0.4::DOUBLE + 0.2::DOUBLE * (e::INT + a::INT + v::INT), 2) AS support FROM chains JOIN cf ON cf.kind = chains.kind AND cf.product = chains.product AND cf.material IS NOT DISTINCT FROM chains.material""",
 )
 def cf_chains(s, d):
     chains = F.broadcast(s.createDataFrame(CHAINS, "chain_id string, kind string, product string, material string, e boolean, a boolean, v boolean"))
@@ -483,7 +483,7 @@ def cf_chains(s, d):
     return cf.join(chains.alias("ch"), on).select("chain_id", "ch.kind", "ch.product", "ch.material", "actual", "counterfactual", "delta", causal.support(F.col("e"), F.col("a"), F.col("v")).alias("support"))
 
 
-@query("support_score", "SELECT e = 1 AS evidence, a = 1 AS direction, v = 1 AS magnitude, round(0.4 + 0.2 * (e + a + v), 2) AS support FROM range(2) x(e), range(2) y(a), range(2) z(v)")
+@query("support_score", "SELECT e = 1 AS evidence, a = 1 AS direction, v = 1 AS magnitude, round(0.4::DOUBLE + 0.2::DOUBLE * (e + a + v), 2) AS support FROM range(2) x(e), range(2) y(a), range(2) z(v)")
 def support_score(s, d):
     bits = [(bool(i & 1), bool(i & 2), bool(i & 4)) for i in range(8)]
     return s.createDataFrame(bits, "evidence boolean, direction boolean, magnitude boolean").withColumn("support", causal.support(F.col("evidence"), F.col("direction"), F.col("magnitude")))

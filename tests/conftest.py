@@ -4,7 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
@@ -23,17 +23,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def same_rows(frame, connection, sql):
-    """Rows of a Spark query and of DuckDB SQL, columns by name, floats to 6 places."""
-
-    def rows(table):
-        names = sorted(table.column_names)
-        show = lambda v: repr(round(v, 6) + 0.0) if isinstance(v, float) else repr(v)
-        return names, sorted(tuple(show(r[n]) for n in names) for r in table.to_pylist())
-
-    return rows(frame.toArrow()), rows(connection.sql(sql).to_arrow_table())
-
-
 @pytest.fixture(scope="session")
 def tables():
     """DuckDB with the smallest tables as views."""
