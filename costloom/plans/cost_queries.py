@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from costloom.operators import causal, cube as cubes, detail, models, variance
 from costloom.operators.cube import BASE_YEAR, ELEMENTS, HALF, OWN, PARTS, YEAR
+from costloom.sources.store import cut
 from costloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -84,6 +85,11 @@ def _cube(s, d):
     return cubes.cube(s, d)
 
 
+def _kept_cube(s, d):
+    """The cube, written once for plans that use it in several places: some rows a product and month."""
+    return cut(_cube(s, d))
+
+
 def _long(s, d, elements=ELEMENTS):
     return cubes.element_long(_cube(s, d), elements)
 
@@ -136,8 +142,13 @@ def range_absent(s, d):
 
 @query("range_all", "SELECT product, bool_and(labor / unit_cost BETWEEN 0.03 AND 0.07) AS inside, round(min(labor / unit_cost), 6) AS least, round(max(labor / unit_cost), 6) AS most FROM cube GROUP BY product")
 def range_all(s, d):
+    return share_range(_cube(s, d))
+
+
+def share_range(c):
+    """Whether labor's share of the unit cost keeps within its range, by product."""
     v = F.col("labor") / F.col("unit_cost")
-    return _cube(s, d).groupBy("product").agg(F.bool_and(v.between(0.03, 0.07)).alias("inside"), F.round(F.min(v), 6).alias("least"), F.round(F.max(v), 6).alias("most"))
+    return c.groupBy("product").agg(F.bool_and(v.between(0.03, 0.07)).alias("inside"), F.round(F.min(v), 6).alias("least"), F.round(F.max(v), 6).alias("most"))
 
 
 # --- variance
@@ -178,7 +189,7 @@ def yoy_monthly(s, d):
   {" UNION ALL ".join(f"SELECT product, month, '{e}' AS element, {e} AS actual, budget_{e} AS budget FROM cube JOIN bd USING (product) WHERE factory = 'F' AND year = {BASE_YEAR}" for e in ELEMENTS)})""",
 )
 def budget_variance(s, d):
-    c = _cube(s, d)
+    c = _kept_cube(s, d)
     return rounded(rounded(variance.budget_variance(c, cubes.budget(c), BASE_YEAR), 6, "actual", "budget"), 4, "variance_pct")
 
 
@@ -373,7 +384,7 @@ def pearson(s, d):
 
 def _tiers(s, d):
     ls = _lines(s, d)
-    c = cubes.cost_cube(ls)
+    c = cut(cubes.cost_cube(ls))
     return models.tier_metrics(cubes.element_long(c), c, detail.labor_metrics(cubes.labor_detail(ls)))
 
 
@@ -387,7 +398,7 @@ def calibration(s, d):
     "SELECT product, year, month_no, metric, round(mom_pct, 4) AS mom_pct, abs(mom_pct) > 10 AS old_alert, abs(mom_pct) > band AS new_alert FROM (SELECT t.*, ceil(p95 / 0.5) * 0.5 AS band FROM tiers t JOIN bands USING (tier) WHERE tier = 'element' AND mom_pct IS NOT NULL) WHERE abs(mom_pct) > 10 OR abs(mom_pct) > band",
 )
 def alerts(s, d):
-    m = _tiers(s, d)
+    m = cut(_tiers(s, d))
     return rounded(models.alerts(m, models.calibration(m)), 4, "mom_pct")
 
 
@@ -439,19 +450,29 @@ _CF_PROD = "SELECT product, round(actual, 6) AS actual, new_q, round(actual + a
 
 @query("cf_price", _TWO_MONTHS + _CF_PRICE)
 def cf_price(s, d):
-    ls = _lines(s, d)
-    return rounded(causal.price_replace(cubes.material_detail(ls), cubes.cost_cube(ls), BASE_YEAR, 3, 5), 6, "actual", "counterfactual", "delta")
+    return _cf_price(cubes.material_detail(_lines(s, d)), _cube(s, d))
+
+
+def _cf_price(md, c):
+    return rounded(causal.price_replace(md, c, BASE_YEAR, 3, 5), 6, "actual", "counterfactual", "delta")
 
 
 @query("cf_consumption", _TWO_MONTHS + _CF_USE)
 def cf_consumption(s, d):
     ls = _lines(s, d)
-    return rounded(causal.consumption_replace(cubes.material_detail(ls), cubes.market_price(ls), cubes.cost_cube(ls), BASE_YEAR, 3, 5), 6, "actual", "counterfactual", "delta")
+    return _cf_consumption(cubes.material_detail(ls), cubes.market_price(ls), cubes.cost_cube(ls))
+
+
+def _cf_consumption(md, mp, c):
+    return rounded(causal.consumption_replace(md, mp, c, BASE_YEAR, 3, 5), 6, "actual", "counterfactual", "delta")
 
 
 @query("cf_production", _TWO_MONTHS + _CF_PROD)
 def cf_production(s, d):
-    c = _cube(s, d)
+    return _cf_production(_kept_cube(s, d))
+
+
+def _cf_production(c):
     return rounded(rounded(causal.production_replace(models.cost_totals(c), c, BASE_YEAR, 2, 1), 6, "actual"), 5, "counterfactual", "delta")
 
 
@@ -477,7 +498,9 @@ SELECT chain_id, chains.kind, chains.product, chains.material, actual, counterfa
 def cf_chains(s, d):
     chains = F.broadcast(s.createDataFrame(CHAINS, "chain_id string, kind string, product string, material string, e boolean, a boolean, v boolean"))
     names = ["kind", "product", "material", "actual", "counterfactual", "delta"]
-    parts = [cf_price(s, d).withColumn("kind", F.lit("price")), cf_consumption(s, d).withColumn("kind", F.lit("consumption")), cf_production(s, d).withColumns({"kind": F.lit("production"), "material": F.lit(None).cast("string")})]
+    ls = _lines(s, d)
+    c, md, mp = (cut(x) for x in (cubes.cost_cube(ls), cubes.material_detail(ls), cubes.market_price(ls)))
+    parts = [_cf_price(md, c).withColumn("kind", F.lit("price")), _cf_consumption(md, mp, c).withColumn("kind", F.lit("consumption")), _cf_production(c).withColumns({"kind": F.lit("production"), "material": F.lit(None).cast("string")})]
     cf = parts[0].select(*names).unionByName(parts[1].select(*names)).unionByName(parts[2].select(*names)).alias("cf")
     on = (F.col("cf.kind") == F.col("ch.kind")) & (F.col("cf.product") == F.col("ch.product")) & F.col("cf.material").eqNullSafe(F.col("ch.material"))
     return cf.join(chains.alias("ch"), on).select("chain_id", "ch.kind", "ch.product", "ch.material", "actual", "counterfactual", "delta", causal.support(F.col("e"), F.col("a"), F.col("v")).alias("support"))

@@ -9,6 +9,7 @@ from costloom.operators.cube import BASE_YEAR, ELEMENTS, OWN, PARTS, YEAR
 from costloom.plans import cost_queries as cost
 from costloom.plans.cost_queries import SHARED, rounded
 from costloom.plans.text_queries import _values
+from costloom.sources.store import cut
 from costloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -69,7 +70,7 @@ UNION ALL SELECT 'no negative cost', CAST(count_if(least(material, labor, overhe
 )
 def identity_checks(s, d):
     ls = cubes.lines(s, d)
-    c = cubes.cost_cube(ls)
+    c = cut(cubes.cost_cube(ls))
     return quality.identity_checks(c, cubes.material_detail(ls), cubes.overhead_detail(ls, table(s, d, "orders")), cubes.labor_detail(ls), cubes.budget(c), variance.three_factor(c))
 
 
@@ -96,10 +97,10 @@ audit AS (SELECT hypothesis_id, CASE WHEN ok THEN y ELSE n END AS level, ok, rou
 @query("audit", _AUDIT + "SELECT * FROM audit")
 def audit(s, d):
     ls = cubes.lines(s, d)
-    c = cubes.cost_cube(ls)
+    c = cut(cubes.cost_cube(ls))
     md = cubes.material_detail(ls)
     return quality.audit(
-        variance.benchmark_diff(cubes.element_long(c), YEAR), models.dilution(models.cost_totals(c), BASE_YEAR), cost.range_absent(s, d), detail.window_change(md, cubes.market_price(ls), BASE_YEAR, 2, 5), cost.range_all(s, d), variance.yoy_overall(c, YEAR)
+        variance.benchmark_diff(cubes.element_long(c), YEAR), models.dilution(models.cost_totals(c), BASE_YEAR), cost.range_absent(s, d), detail.window_change(md, cubes.market_price(ls), BASE_YEAR, 2, 5), cost.share_range(c), variance.yoy_overall(c, YEAR)
     )
 
 
@@ -146,7 +147,7 @@ def _mapping_sql() -> str:
 
 @query("report_mapping", SHARED + _mapping_sql())
 def report_mapping(s, d):
-    c = cubes.cube(s, d)
+    c = cut(cubes.cube(s, d))
     return quality.report_mapping(c, cubes.budget(c), BASE_YEAR)
 
 

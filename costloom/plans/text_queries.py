@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from costloom.functions import text as fn
 from costloom.operators import retrieval as r
 from costloom.plans.cost_queries import rounded
+from costloom.sources.store import cut
 from costloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -46,6 +47,11 @@ def _docs(s, d):
     return table(s, d, "documents")
 
 
+def _postings(s, d):
+    """Postings, written once: every channel and weight reads them instead of splitting the texts again."""
+    return cut(r.postings(_docs(s, d)))
+
+
 def _asked(s, d):
     """Every benchmark passage as a query, whole."""
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -133,18 +139,18 @@ def token_counts(s, d):
 
 @query("idf", "SELECT token, df, round(idf, 8) AS idf FROM idf", POST)
 def idf(s, d):
-    p = r.postings(_docs(s, d))
+    p = _postings(s, d)
     return rounded(r.idf(p, r.collection_size(p).select("n")), 8, "idf")
 
 
 @query("bm25_topk", "SELECT query_id, id, round(score, 6) AS score, CAST(place AS INT) AS place FROM bmr WHERE place <= 10 AND round(score, 9) > 0", POST)
 def bm25_topk(s, d):
-    return rounded(r.bm25(_asked(s, d), r.postings(_docs(s, d)), 10), 6, "score")
+    return rounded(r.bm25(_asked(s, d), _postings(s, d), 10), 6, "score")
 
 
 def _vectors(s, d):
-    p = r.postings(_docs(s, d))
-    w = r.idf(p, r.collection_size(p).select("n"))
+    p = _postings(s, d)
+    w = cut(r.idf(p, r.collection_size(p).select("n")))
     return p, w, r.hash_vectors(p, w)
 
 
@@ -194,7 +200,7 @@ def _fused(s, d, k: int):
     p, w, v = _vectors(s, d)
     asked = _asked(s, d)
     docs = _docs(s, d).select(F.col("doc_id").alias("id"), F.when(F.col("source") == "src0", r.GMP_TYPE).otherwise("其他").alias("type"))
-    lexical, vector = r.bm25(asked, p, 15), r.hash_cosine(asked, v, w, 15)
+    lexical, vector = cut(r.bm25(asked, p, 15)), cut(r.hash_cosine(asked, v, w, 15))
     found = lexical.select("query_id", "id").unionByName(vector.select("query_id", "id")).distinct()
     weights = found.join(docs, "id").join(asked, "query_id").select("query_id", "id", r.type_weight(F.col("text"), F.col("type")).alias("weight"))
     return r.fused(lexical, vector, weights, k)

@@ -212,3 +212,13 @@ def test_stream(spark, tmp_path):
     q = alerts.start_alerts(alerts.windowed(alerts.event_stream(spark, str(folder)), late="1 day"), base, 150.0, lambda df, _: seen.extend(df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert [(r["day"].day, r["total"]) for r in seen] == [(4, 3.0)]
+
+
+def test_store(spark, tmp_path):
+    from costloom.sources import store
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, t string")
+    assert store.content_signature(a, "id", "t") == store.content_signature(a.orderBy(F.desc("id")), "id", "t") != store.content_signature(a.limit(1), "id", "t")
+    for want in (False, True):
+        rows, there = store.load_or_build(spark, str(tmp_path), "index", store.content_signature(a, "id", "t"), lambda: a)
+        assert there is want and rows.count() == 2
