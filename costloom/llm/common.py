@@ -1,14 +1,14 @@
-"""What the training-data operators share: word patterns, the shared work folder, checked broadcasts."""
+"""What the training-data operators share: word patterns, written intermediates, checked broadcasts."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costloom.sources.store import cut, work_dir
+
+__all__ = ["cut", "work_dir"]
+
 #: White space and words are these byte classes everywhere in this subpackage; both are ASCII-only.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,52 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A join side is broadcast only if rows x width stays under this; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
 
-_made: dict[str, str] = {}
-
 
 def whole_text(name: str = "text") -> Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or what the context was given.
-
-    Where neither is set (tests, local mode) a temporary folder is made on this machine; a session on
-    a cluster without the setting falls back to the warehouse, which is shared as well.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = _made.get(sc.applicationId)
-    if not root:
-        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        root = tempfile.mkdtemp(prefix="costloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        _made[sc.applicationId] = root
-    return f"{root.rstrip('/')}/costloom-{sc.applicationId}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone when Python exits
-        pass
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    root = work_dir(spark)
-    if root not in _made:
-        _made[root] = root
-        atexit.register(_remove, spark, root)
-    path = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checked_broadcast(table: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of a table from cut() if its measured size allows; else leave the join to Spark."""
     return F.broadcast(table) if table.count() * width <= limit else table
