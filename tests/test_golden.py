@@ -222,3 +222,19 @@ def test_store(spark, tmp_path):
     for want in (False, True):
         rows, there = store.load_or_build(spark, str(tmp_path), "index", store.content_signature(a, "id", "t"), lambda: a)
         assert there is want and rows.count() == 2
+
+
+def test_adapters(spark):
+    from costloom.operators import adapters
+
+    assert adapters.prompt_table(spark).count() == 13
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "gamma")], "query_id int, text string")
+
+    def missing(*_):
+        raise ImportError("no model")
+
+    found, warning = adapters.embedded_search(docs, q, 1, missing)
+    assert found.first()["id"] == 2 and "no model" in warning
+    assert adapters.narrated(q).first()["line"] == '{"query_id":1,"text":"gamma"}'
+    assert adapters.causal_diagram([("E1", "a", "b", "c")]).splitlines()[1] == "  E1[a] --> E1d[b] --> E1u[unit cost c]"
