@@ -37,7 +37,7 @@ LISTS = frozenset("ul ol dl table menu tbody thead tfoot".split())
 #: Elements that are never main text, and words of class, id or role that say the same.
 ASIDE = frozenset("head nav footer aside form button menu dialog title label".split())
 ASIDE_WORDS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs masthead header footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended recommendations comment comments reply replies respond disqus widget widgets pagination pager toolbar skip hidden complementary contentinfo".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs masthead header topbar footer sidebar aside ad ads adbox adslot adunit adbanner advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert announcement disclaimer popup modal overlay newsletter subscribe signup login search form share sharing social related recommended recommendations comment comments commentlist discussion reply replies respond disqus widget widgets pagination pager toolbar skip hidden complementary contentinfo".split()
 )
 MAIN, MAIN_WORDS = frozenset(("article", "main")), frozenset(("article", "main", "maincontent", "articlebody", "postcontent", "entrycontent"))
 
@@ -68,6 +68,10 @@ def page_stream(html: str) -> tuple[list[str], list[tuple[int, int, str]]]:
     while at < n:
         m = _TOKEN.match(html, at)
         token, at = m.group(), m.end()
+        if token == "<" and html[at : at + 1].isascii() and (html[at : at + 1].isalpha() or html[at : at + 1] == "/"):
+            end = html.find(">", at)  # a tag with an open quote or without an end
+            at = n if end < 0 else end + 1
+            continue
         if token[0] != "<" or token == "<":
             if token == "<" or not token.isspace():
                 if not symbols or symbols[-1] != "T":
@@ -267,21 +271,34 @@ def content_slots(wrapper: list) -> list[bool]:
 
     visit(wrapper, [])
 
-    def of(path: tuple) -> tuple[bool, bool]:
+    weight: dict[tuple, int] = {}
+    for path, x in found:
+        for depth in range(len(path) + 1):
+            weight[path[:depth]] = weight.get(path[:depth], 0) + x[4]
+
+    def of(path: tuple, strict: bool) -> tuple[bool, bool]:
+        """(in a main element, aside). Not strict: words of an element with most of the text don't count."""
         main = aside = False
-        for label in path:
+        for depth, label in enumerate(path, 1):
             name, words = label.split(".")[0], _words(label)
-            if name in MAIN or words & MAIN_WORDS and name not in ("html", "body"):
+            whole = name in ("html", "body") or not strict and 10 * weight[path[:depth]] >= 6 * weight[()]
+            if name in MAIN or words & MAIN_WORDS and not whole:
                 main = main or not aside
-            elif name in ASIDE or name == "header" and not main or words & ASIDE_WORDS and name not in ("html", "body"):
+            if name in ASIDE or name == "header" and not main or words & ASIDE_WORDS and not whole:
                 aside = True
         return main, aside
 
-    kinds = [of(path) for path, _ in found]
-    if any(main and not aside for main, aside in kinds):
-        return [main and not aside for main, aside in kinds]
+    # Some pages call the whole page something with "sidebar" in it: only then its words are passed over.
+    for strict in (True, False):
+        kinds = [of(path, strict) for path, _ in found]
+        if any(main and not aside for main, aside in kinds):
+            return [main and not aside for main, aside in kinds]
     # No article element: the deepest element with most of the text that varies between pages.
-    varies = [not aside and not (x[3] >= 3 and x[2] is not None) for (_, x), (_, aside) in zip(found, kinds, strict=True)]
+    for strict in (True, False):
+        kinds = [of(path, strict) for path, _ in found]
+        varies = [not aside and not (x[3] >= 3 and x[2] is not None) for (_, x), (_, aside) in zip(found, kinds, strict=True)]
+        if any(varies):
+            break
     mass: dict[tuple, int] = {}
     for (path, x), ok in zip(found, varies, strict=True):
         for depth in range(len(path) + 1) if ok else ():
