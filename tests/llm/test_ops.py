@@ -431,6 +431,8 @@ def test_extraction(spark):
         (4, "http://b.com/1", page("<div id=c><p>" + "long varying words " * 20 + "</p></div><div>Same line</div>")),
         (5, "http://b.com/2", page("<div id=c><p>" + "another text here " * 20 + "</p></div><div>Same line</div>")),
         (6, "http://b.com/3", page("<div id=c><p>" + "third of its kind " * 20 + "</p></div><div>Same line</div>")),
+        (10, "http://c.com/1", "<body><div class='page with-sidebar'><div class=sidebar>x</div><article>Inside</article><article class=comment>c</article></div><div class=comments><article>note</article></div></body>"),
+        (11, "http://d.com/1", "<body><header>Top</header><main><header><h1>Own</h1></header><p title='a>b'>a < b &lt; c</p><p class=notice>n</p></main><p clas"),
         (7, None, None), (8, "x", ""), (9, "http://a.com/9", "<article><p>open <b>never closed"), (9, "http://a.com/9", "<article><p>open <b>never closed"),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "host": F.lit(1)})
@@ -438,6 +440,7 @@ def test_extraction(spark):
     assert got[1]["text"] == "T & x\n\nOne two\n\nThree bold end more"
     assert got[2]["text"] == "Other\n\nOne\n\nTwo\n\nThree" and got[3]["text"] == "Third\n\nOnly"
     assert got[4]["text"] == ("long varying words " * 20).strip() and got[7]["text"] == got[8]["text"] == ""
+    assert got[10]["text"] == "Inside" and got[11]["text"] == "Own\n\na < b < c"
     assert got[9]["text"] == "open never closed" and got[1]["n_chars"] == len(got[1]["text"])
     assert html.extract(pages).count() == len(rows) and html.extract(pages.filter("page_id < 0")).count() == 0
 
