@@ -18,6 +18,8 @@ SIMPLIFIED = {
     "潔淨": "洁净", "溫濕度": "温湿度", "車間": "车间", "折舊": "折旧", "處方": "处方", "藥材": "药材", "影響": "影响", "製造費用": "制造费用",
     "產品": "产品", "工廠": "工厂", "記錄": "记录", "提取收率": "提取收率",
 }
+# Radicals that compatibility normalisation leaves alone, and their characters.
+RADICALS = {"⻩": "黄", "⻋": "车", "⻛": "风", "⻄": "西", "⻅": "见", "⻜": "飞", "⻆": "角", "⻓": "长", "⻣": "骨", "⻰": "龙", "⺠": "民"}
 #: Longest section title; least length of a section; longest text left whole; window size, overlap, and reach for a sentence's end.
 TITLE_MOST, SECTION_LEAST, WHOLE_MOST, WINDOW, OVERLAP, REACH = 40, 30, 900, 700, 150, 150
 HASH_DIM = 8192
@@ -39,6 +41,11 @@ def simplified(c: Column) -> Column:
     return c
 
 
+def unified(c: Column) -> Column:
+    """Radicals as the characters they stand for."""
+    return F.translate(c, "".join(RADICALS), "".join(RADICALS.values()))
+
+
 def nfkc():
     """Unicode compatibility normalisation, which has no built-in function, as a vectorised one."""
     @F.pandas_udf(T.StringType())

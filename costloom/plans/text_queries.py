@@ -43,6 +43,9 @@ def _replace_chain(c: str) -> str:
     return c
 
 
+_UNIFIED = f"translate(text, '{''.join(fn.RADICALS)}', '{''.join(fn.RADICALS.values())}')"
+
+
 def _docs(s, d):
     return table(s, d, "documents")
 
@@ -57,9 +60,9 @@ def _asked(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query("text_normalize", f"SELECT doc_id, md5(x) AS normal_md5, length(x) AS n FROM (SELECT doc_id, trim(regexp_replace({_replace_chain('text')}, '\\s+', ' ', 'g')) AS x FROM documents)")
+@query("text_normalize", f"SELECT doc_id, md5(x) AS normal_md5, length(x) AS n FROM (SELECT doc_id, trim(regexp_replace({_replace_chain(_UNIFIED)}, '\\s+', ' ', 'g')) AS x FROM documents)")
 def text_normalize(s, d):
-    x = fn.collapsed(fn.simplified(F.col("text")))
+    x = fn.collapsed(fn.simplified(fn.unified(F.col("text"))))
     return _docs(s, d).select("doc_id", F.md5(x.cast("binary")).alias("normal_md5"), F.length(x).cast("long").alias("n"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,6 +27,8 @@ def work_dir(spark: SparkSession) -> str:
     if not root:
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
         root = tempfile.mkdtemp(prefix="costloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if local:
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
         _made[sc.applicationId] = root
     return f"{root.rstrip('/')}/costloom-{sc.applicationId}"
 

@@ -137,6 +137,7 @@ def test_sections(spark):
 
 def test_simplified_and_nfkc(spark):
     assert spark.range(1).select(text.simplified(F.lit("金銀花價格"))).first()[0] == "金银花价格"
+    assert spark.range(1).select(text.unified(F.lit("银⻩ ⻋间"))).first()[0] == "银黄 车间"
     assert spark.createDataFrame([("Ａ１",)], "t string").select(text.nfkc()("t")).first()[0] == "A1"
 
 
