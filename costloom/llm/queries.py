@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op7_secrets": secrets.ORACLE,
     "op9_warc": warc.ORACLE,
     "op2_jaccard": jaccard.ORACLE,
     "op4_mixing": mixing.ORACLE,

@@ -192,5 +192,42 @@ def find_secrets(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
     )
 
 
+def _oracle() -> str:
+    """The whole query in DuckDB SQL: places from the pieces between matches, tests from lists of characters."""
+
+    def spans_sql(pattern: str, group: int = 0, least: int = 0) -> str:
+        p = pattern.replace("'", "''")
+        hits, gaps = f"regexp_extract_all(text, '{p}')", f"string_split_regex(text, '{p}')"
+        own = f"regexp_extract_all(text, '{p}', {group})"
+        at = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)"
+        return f"(SELECT list_transform(list_filter(range(1, len(h) + 1), lambda i: length(o[i]) >= {least}), lambda i: {{'s': CAST({at} AS BIGINT), 'e': CAST({at} + length(h[i]) AS BIGINT)}}) FROM (SELECT {hits} AS h, {gaps} AS g, {own} AS o))"
+
+    case = lambda f: "CASE " + " ".join(f"WHEN regexp_matches(token, '{p}') THEN {f(n, a)}" for n, p, a in ENCODINGS) + " END"
+    few = "CASE " + " ".join(f"WHEN k <= {most} THEN {x}" for most, x in TEXT_LETTERS) + " END"
+    tail = "z * z / 2 + 0.9189385332046727"
+    line = lambda items: f"array_to_string(list_transform(list_sort({items}), lambda x: ['assign', 'access', 'hex', 'random'][x.k] || ':' || x.s || ':' || x.e), ',')"
+    tagged = lambda c, k: f"list_transform({c}, lambda x: {{'s': x.s, 'k': {k}, 'e': x.e}})"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT rid, doc_id, text, {spans_sql(ASSIGN, 2, ASSIGN_LEAST)} AS a, {spans_sql(ACCESS)} AS c, {spans_sql(HEX)} AS h, {spans_sql(CANDIDATE)} AS t FROM d),
+b AS (SELECT rid, doc_id, len(a) AS na, len(c) AS nc, len(h) AS nh, list_concat(list_concat({tagged("a", 1)}, {tagged("c", 2)}), {tagged("h", 3)}) AS base FROM f),
+x AS (SELECT rid, s, e, substr(text, s + 1, e - s) AS token FROM (SELECT rid, text, unnest(t).s AS s, unnest(t).e AS e FROM f)),
+y AS (SELECT rid, s, e, {case(lambda n, a: f"'{n}'")} AS enc, {case(lambda n, a: f"'{a}'")} AS abc, {case(lambda n, a: repr(_change_share(a)))} AS p, string_split(regexp_replace(token, '=+$', ''), '') AS ch FROM x WHERE regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Za-z]')),
+v AS (SELECT rid, s, e, enc, CAST(length(abc) AS DOUBLE) AS k, CAST(p AS DOUBLE) AS p, CAST(len(ch) AS DOUBLE) AS n, list_transform(ch, lambda c: CAST(strpos(abc, c) AS DOUBLE)) AS v,
+  list_transform(ch, lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN 0 WHEN c BETWEEN 'A' AND 'Z' THEN 1 WHEN c BETWEEN 'a' AND 'z' THEN 2 ELSE 3 END) AS q FROM y WHERE enc IS NOT NULL),
+w AS (SELECT *, list_sum(list_transform(list_distinct(v), lambda c: power(len(list_filter(v, lambda x: x = c)), 2))) * k / n - n AS chi, list_sum(v) / n AS m, len(list_filter(range(2, len(q) + 1), lambda i: q[i] <> q[i - 1])) AS turns FROM v),
+u AS (SELECT *, list_sum(list_transform(v, lambda x: (x - m) * (x - m))) AS spread, list_sum(list_transform(range(2, len(v) + 1), lambda i: (v[i] - m) * (v[i - 1] - m))) AS serial, n * (k / ({few}) - 1) AS nc FROM w),
+z AS (SELECT *, greatest((k - 1 + nc - chi) / sqrt(2 * (k - 1) + 4 * nc), 0) AS z, abs((turns - (n - 1) * p) / sqrt((n - 1) * p * (1 - p))) <= {RANDOM_Z} AND abs(CASE WHEN spread > 0 THEN (serial / greatest(spread, 1e-9) + 1 / n) * sqrt(n) ELSE 99 END) <= {RANDOM_Z} AND abs((chi - (k - 1)) / sqrt(2 * (k - 1))) <= {RANDOM_Z} AS random FROM u),
+ev AS (SELECT *, greatest(({tail}) / 2.302585092994046 + log10((3 * z + sqrt(z * z + 8)) / 4), 0) AS ev FROM z),
+hi AS (SELECT enc, CAST(least(floor(ev / {STEP}), {STEPS}) AS INT) AS step, count(*) AS n FROM ev GROUP BY ALL),
+ok AS (SELECT enc, step, sum(n) OVER (PARTITION BY enc) * power(10, -step * {STEP}) <= {FALSE_SHARE} * sum(n) OVER (PARTITION BY enc ORDER BY step DESC) AS ok FROM hi),
+li AS (SELECT enc, min(step) * {STEP} AS least FROM ok WHERE ok GROUP BY enc),
+ra AS (SELECT ev.rid, list({{'s': ev.s, 'k': 4, 'e': ev.e}}) AS more FROM ev JOIN li USING (enc) JOIN b USING (rid) WHERE random AND ev >= least AND len(list_filter(base, lambda o: o.s < ev.e AND ev.s < o.e)) = 0 GROUP BY ev.rid)
+SELECT doc_id, na AS n_assign, nc AS n_access, nh AS n_hex, sha256({line("base")}) AS base_sha256, {line("list_concat(base, coalesce(more, []))")} AS spans, CAST(coalesce(len(more), 0) AS BIGINT) AS n_random
+FROM b LEFT JOIN ra USING (rid)"""
+
+
+ORACLE = _oracle()
+
+
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))

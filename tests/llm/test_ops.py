@@ -414,6 +414,12 @@ def test_random_strings_are_told_from_text(spark):
     found = secrets.find_secrets(docs).join(docs, "doc_id").groupBy("kind").agg(F.avg("n_random").alias("a")).collect()
     rate = {r["kind"]: r["a"] for r in found}
     assert rate["r"] > 0.8 and rate["t"] < 0.05
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.register("documents", docs.drop("kind").toArrow())
+    got, want = same_rows(secrets.find_secrets(docs), connection, secrets.ORACLE)
+    assert got == want
 
 
 # --- pages
