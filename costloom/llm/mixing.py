@@ -96,10 +96,10 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple = (1, 2, 3),
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all columns of docs."""
-    found = cut(mix(docs).select("doc_id", "repeats").groupBy("doc_id").agg(F.min("repeats").alias("repeats")))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_"), F.col("doc_id").alias("id_"))
-    side = checked_broadcast(found, 32).withColumnRenamed("doc_id", "mix_id")
-    out = rows.join(side, F.col("id_").eqNullSafe(F.col("mix_id"))).filter("repeats > 0")
+    found = cut(mix(docs).select("doc_id", "source", "repeats").distinct())
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_"), F.col("doc_id").alias("id_"), F.col("source").alias("source_"))
+    side = checked_broadcast(found, 64).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "repeats")
+    out = rows.join(side, F.col("id_").eqNullSafe(F.col("mix_id")) & F.col("source_").eqNullSafe(F.col("mix_source"))).filter("repeats > 0")
     return out.select("row_", F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int")))).select("row_.*")
 
 
