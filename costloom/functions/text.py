@@ -92,20 +92,26 @@ def windows(text: Column, mark: str = "。") -> Column:
     A window is stretched to just behind the next mark if that comes soon; the next one starts 150 before
     its end. Positions only are carried from window to window.
     """
-    n = F.length(text)
     kind = "array<struct<start:int,end:int>>"
+    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  evaluates x once
 
     def step(s: Column, _: Column) -> Column:
-        end = F.least(s["at"] + WINDOW, n)
-        p = F.call_function("locate", F.lit(mark), text, end + 1)
-        end = F.when((end < n) & (p > 0) & (p - 1 - end <= REACH), p).otherwise(end)
-        more = F.array(F.struct(s["at"].alias("start"), end.alias("end")))
-        new = F.struct(F.greatest(end - OVERLAP, s["at"] + 1).alias("at"), (end >= n).alias("done"), F.concat(s["out"], more).alias("out"))
-        return F.when(s["done"], s).otherwise(new)
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast(kind).alias("out"))
-    cut = F.aggregate(F.sequence(F.lit(1), F.ceil(n / (WINDOW - OVERLAP)).cast("int") + 1), start, step, lambda s: s["out"])
-    return F.when(n <= WHOLE_MOST, F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))).otherwise(cut)
+        def to(end: Column) -> Column:
+            more = F.array(F.struct(s["at"].alias("start"), end.alias("end")))
+            return F.struct(s["n"].alias("n"), F.greatest(end - OVERLAP, s["at"] + 1).alias("at"), (end >= s["n"]).alias("done"), F.concat(s["out"], more).alias("out"))
+
+        def stretched(end: Column) -> Column:
+            near = F.when(end < s["n"], F.instr(F.substring(text, end + 1, F.lit(REACH + 1)), mark)).otherwise(0)
+            return let(near, lambda p: let(end + p, to))
+
+        return F.when(s["done"], s).otherwise(let(F.least(s["at"] + WINDOW, s["n"]), stretched))
+
+    def cut(n: Column) -> Column:
+        start = F.struct(n.alias("n"), F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast(kind).alias("out"))
+        found = F.aggregate(F.sequence(F.lit(1), F.ceil(n / (WINDOW - OVERLAP)).cast("int") + 1), start, step, lambda s: s["out"])
+        return F.when(n <= WHOLE_MOST, F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))).otherwise(found)
+
+    return let(F.length(text), cut)
 
 
 def tokens(text: Column) -> Column:
