@@ -193,6 +193,22 @@ def test_tokens_equal_the_library():
         assert own(t) == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_get_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, theirs = packing.load_tokenizer(path, added=True), Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext>", "it's<|endoftext|>'s", "  \t<|endoftext|>  ", "日本<|endoftext|>é", "<|endoftext|", "", "plain  text"]
+    assert own(texts[0]) == [64, 220, 50256, 275]
+    for t in texts:
+        assert own(t) == theirs.encode(t, add_special_tokens=False).ids
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.token_pieces(docs, path).collect():
+        ids = np.array([*theirs.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60), st.integers(0, 5))
 def test_evolve_keeps_every_piece(lengths, seed):
