@@ -6,10 +6,11 @@
    of bounded fan-in, so a host with a third of all pages costs no task more than another. Where two
    expressions differ, what only one has becomes optional, a group that one repeats becomes repeated, and
    text that differs becomes a slot; text that never differs is part of the template.
-3. The wrapper chooses its content slots: those inside its article or main element, or else inside the
-   element that holds most of the varying text, without navigation, headers, footers, asides, adverts,
-   notices, forms and comments.
-4. Each shape is matched with its host's wrapper once; a page keeps the text of its content slots.
+3. Main text is what is inside an article or main element, or else inside the element that holds most of
+   the text that the wrapper's slots show to vary, without navigation, headers, footers, asides, adverts,
+   notices, forms and comments. A leaf's own elements decide, not those that the wrapper mixes.
+4. Each shape is matched with its host's wrapper once, by a longest common subsequence; a leaf without a slot
+   is judged by its elements alone.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import json
 import re
 import zlib
 from difflib import SequenceMatcher
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -248,13 +250,14 @@ def align(a: list, b: list) -> list:
     return out
 
 
-def _words(label: str) -> set[str]:
+@lru_cache(1 << 14)
+def _words(label: str) -> frozenset[str]:
     parts = label.split(".")[1:]
-    return {w for p in parts for w in re.split(r"[^a-z]+", p)} | {re.sub(r"[^a-z]", "", p) for p in parts}
+    return frozenset(w for p in parts for w in re.split(r"[^a-z]+", p)) | {re.sub(r"[^a-z]", "", p) for p in parts}
 
 
-def content_slots(wrapper: list) -> list[bool]:
-    """For each text leaf whether it is main text."""
+def leaf_paths(wrapper: list) -> list[tuple[tuple, list]]:
+    """(labels of the open elements, leaf) for each text leaf."""
     found: list[tuple[tuple, list]] = []
 
     def visit(items: list, path: list) -> None:
@@ -270,14 +273,23 @@ def content_slots(wrapper: list) -> list[bool]:
                     pass
 
     visit(wrapper, [])
+    return found
 
-    weight: dict[tuple, int] = {}
-    for path, x in found:
-        for depth in range(len(path) + 1):
-            weight[path[:depth]] = weight.get(path[:depth], 0) + x[4]
 
-    def of(path: tuple, strict: bool) -> tuple[bool, bool]:
-        """(in a main element, aside). Not strict: words of an element with most of the text don't count."""
+def _masses(found: list, ok: list[bool], size: int) -> dict[tuple, int]:
+    """Characters, a leaf's item number size, of the leaves that are ok by element."""
+    mass: dict[tuple, int] = {}
+    for (path, x), own in zip(found, ok, strict=True):
+        for depth in range(len(path) + 1) if own else ():
+            mass[path[:depth]] = mass.get(path[:depth], 0) + x[size]
+    return mass
+
+
+def _kinds(found: list, strict: bool) -> list[tuple[bool, bool]]:
+    """(in a main element, aside) by leaf. Not strict: words of an element with most of the text don't count."""
+    weight = _masses(found, [True] * len(found), 4)
+
+    def of(path: tuple) -> tuple[bool, bool]:
         main = aside = False
         for depth, label in enumerate(path, 1):
             name, words = label.split(".")[0], _words(label)
@@ -288,42 +300,100 @@ def content_slots(wrapper: list) -> list[bool]:
                 aside = True
         return main, aside
 
+    return [of(path) for path, _ in found]
+
+
+def main_leaves(found: list) -> list[bool] | None:
+    """For each leaf whether it is inside an article or main element and not aside; None if no leaf is."""
     # Some pages call the whole page something with "sidebar" in it: only then its words are passed over.
     for strict in (True, False):
-        kinds = [of(path, strict) for path, _ in found]
-        if any(main and not aside for main, aside in kinds):
-            return [main and not aside for main, aside in kinds]
-    # No article element: the deepest element with most of the text that varies between pages.
+        keep = [main and not aside for main, aside in _kinds(found, strict)]
+        if any(keep):
+            return keep
+    return None
+
+
+def _varying(found: list, template: list[bool]) -> list[bool]:
+    """Leaves that are neither aside nor template."""
+    ok: list[bool] = []
     for strict in (True, False):
-        kinds = [of(path, strict) for path, _ in found]
-        varies = [not aside and not (x[3] >= 3 and x[2] is not None) for (_, x), (_, aside) in zip(found, kinds, strict=True)]
-        if any(varies):
+        ok = [not aside and not same for (_, aside), same in zip(_kinds(found, strict), template, strict=True)]
+        if any(ok):
             break
-    mass: dict[tuple, int] = {}
-    for (path, x), ok in zip(found, varies, strict=True):
-        for depth in range(len(path) + 1) if ok else ():
-            mass[path[:depth]] = mass.get(path[:depth], 0) + x[4]
+    return ok
+
+
+def _deepest(found: list, ok: list[bool], size: int) -> tuple:
+    """The deepest element with most of the text that is ok."""
+    mass = _masses(found, ok, size)
     total = mass.get((), 0)
-    best = max((p for p, m in mass.items() if 10 * m >= 6 * total), key=len, default=())
-    return [ok and path[: len(best)] == best for (path, _), ok in zip(found, varies, strict=True)]
+    return max((p for p, m in mass.items() if 10 * m >= 6 * total), key=len, default=())
+
+
+def wrapper_slots(wrapper: list) -> tuple[bool, list, tuple]:
+    """(whether a slot is in a main element; by slot the mark of template text, else None; the element with most of the text that varies)."""
+    found = leaf_paths(wrapper)
+    fixed = [x[2] if x[3] >= 3 else None for _, x in found]
+    return main_leaves(found) is not None, fixed, _deepest(found, _varying(found, [m is not None for m in fixed]), 4)
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places in a and b of a longest common subsequence; bit j of a row is 0 where b's item j makes it longer."""
+    where: dict[str, int] = {}
+    for j, key in enumerate(b):
+        where[key] = where.get(key, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for key in a:
+        hit = rows[-1] & where.get(key, 0)
+        rows.append((rows[-1] + hit | rows[-1] - hit) & full)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+        elif not rows[i - 1] >> j - 1 & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
-def matched(shape: list, wrapper: list, content: list[bool]) -> list[bool]:
-    """For each text leaf of a shape whether the wrapper's slot that it matches is main text."""
+def matched(shape: list, wrapper: list, values: list) -> list:
+    """For each text leaf of a shape (as a wrapper) the value of the slot that it matches, None without one."""
     groups = {" ".join(map(_key, x[2])): len(x[2]) for x in wrapper if x[0] == "+"}
-    items = _lifted(as_wrapper(shape, [[None, 1, 0]] * sum(1 for _ in leaves(shape))), groups)
+    items = _lifted(shape, groups)
     starts, n = [], 0
     for x in wrapper:
         starts.append(n)
         n += sum(1 for _ in leaves([x]))
-    out = [[False] * sum(1 for _ in leaves([x])) for x in items]
-    for m in SequenceMatcher(None, [_key(x) for x in items], [_key(x) for x in wrapper], autojunk=False).get_matching_blocks():
-        for k in range(m.size):
-            i, j = m.a + k, starts[m.b + k]
-            out[i] = content[j : j + len(out[i])]
+    out = [[None] * sum(1 for _ in leaves([x])) for x in items]
+    for i, j in _common([_key(x) for x in items], [_key(x) for x in wrapper]):
+        out[i] = values[starts[j] : starts[j] + len(out[i])]
     return [x for xs in out for x in xs]
 
 
+def content_leaves(shape: list, wrapper: list, known: tuple[bool, list, tuple]) -> list[bool]:
+    """For each text leaf of a shape (as a wrapper) whether it is main text. known is wrapper_slots(wrapper).
+
+    A leaf's own elements say whether it is main or aside: in the wrapper, elements of several shapes mix. The
+    slot that it matches says whether its text is template; a leaf without a slot isn't.
+    """
+    article, fixed, best = known
+    found = leaf_paths(shape)
+    if article:
+        return main_leaves(found) or [False] * len(found)
+    # No article element: the element with most of the text that varies between pages.
+    marks = matched(shape, wrapper, fixed)
+    ok = _varying(found, [m is not None and m == x[2] for m, (_, x) in zip(marks, found, strict=True)])
+    inside = [own and path[: len(best)] == best for own, (path, _) in zip(ok, found, strict=True)]
+    size = lambda chosen: sum(x[4] for (_, x), own in zip(found, chosen, strict=True) if own)
+    if 10 * size(inside) < 4 * size(ok):  # most of this shape's text is elsewhere: there as well
+        own = _deepest(found, ok, 4)
+        inside = [i or v and path[: len(own)] == own for i, v, (path, _) in zip(inside, ok, found, strict=True)]
+    return inside
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, host, shape, marks, sizes, parts: each page's shape and the text of its leaves by block."""
     part = pa.struct([("leaf", pa.int32()), ("block", pa.int32()), ("text", pa.string())])
@@ -420,11 +490,12 @@ def extract(pages: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 if last[0] != r["wrapper"]:
                     last = (r["wrapper"], json.loads(r["wrapper"]), None)
-                    last = (*last[:2], content_slots(last[1]))
-                out.append({"host": r["host"], "shape": r["shape"], "keep": matched(_shape_items(r["shape"]), last[1], last[2])})
+                    last = (*last[:2], wrapper_slots(last[1]))
+                shape = as_wrapper(_shape_items(r["shape"]), [[s["mark"], s["pages"], s["size"]] for s in r["slots"]])
+                out.append({"host": r["host"], "shape": r["shape"], "keep": content_leaves(shape, last[1], last[2])})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    kept = cut(shapes.select("host", "shape").join(found, "host").mapInArrow(choose, "host string, shape string, keep array<boolean>"))
+    kept = cut(shapes.select("host", "shape", "slots").join(found, "host").mapInArrow(choose, "host string, shape string, keep array<boolean>"))
     # A shape is long; its hash joins, and the shape is compared as well.
     kept = cut(kept.withColumn("form", F.xxhash64("shape")))
     width = (kept.agg(F.avg(F.length("shape") + 2 * F.size("keep"))).first()[0] or 0) + 100

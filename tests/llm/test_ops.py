@@ -478,6 +478,37 @@ def test_folding_and_alignment():
     assert [x[2] for x in html.leaves([["+", "", both[1][2]]])] == [None] and both[7][2] == 1
 
 
+def test_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 12)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        got = html._common(a, b)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(got))
+
+
+@pytest.mark.parametrize("kind", ["article", "div"])
+def test_no_paragraph_of_mixed_shapes_is_lost(spark, kind):
+    rng, rows, want = random.Random(11), [], {}
+    for i in range(160):
+        n = itertools.count()
+        word = lambda: f"text{i}x{next(n)} of page {i}"  # noqa: B023, E731
+        body, texts = "", []
+        for _ in range(rng.randint(1, 14)):
+            tag = rng.choice(["p", "h2", "blockquote", "ul", "figure", "aside" if kind == "article" else "p"])
+            t = [word() for _ in range(rng.randint(1, 3) if tag == "ul" else 1)]
+            inner = "".join(f"<li>{x}</li>" for x in t) if tag == "ul" else f"<p>{t[0]}</p>" if tag in ("blockquote", "figure", "aside") else t[0]
+            body += f"<{tag}>{inner}</{tag}>"
+            texts += t if tag != "aside" else []
+        rows.append((i, f"http://{i % 4}.org/{i}", page(f"<{kind} id=c>{body}</{kind}>")))
+        want[i] = "\n\n".join(texts)
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 # --- revisits
 
 
