@@ -8,7 +8,8 @@
    text that differs becomes a slot; text that never differs is part of the template.
 3. Main text is what is inside an article or main element, or else inside the element that holds most of
    the text that the wrapper's slots show to vary, without navigation, headers, footers, asides, adverts,
-   notices, forms and comments. A leaf's own elements decide, not those that the wrapper mixes.
+   notices, forms and comments. A leaf's own elements decide, not those that the wrapper mixes, and each
+   shape for itself: others of its host may be of another layout.
 4. Each shape is matched with its host's wrapper once, by a longest common subsequence; a leaf without a slot
    is judged by its elements alone.
 """
@@ -41,6 +42,8 @@ ASIDE = frozenset("head nav footer aside form button menu dialog title label".sp
 ASIDE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead header topbar footer sidebar aside ad ads adbox adslot adunit adbanner advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert announcement disclaimer popup modal overlay newsletter subscribe signup login search form share sharing social related recommended recommendations comment comments commentlist discussion reply replies respond disqus widget widgets pagination pager toolbar skip hidden complementary contentinfo".split()
 )
+#: Elements that hold a page's text as a whole.
+HOLDS = BLOCK - frozenset("address blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre summary ul".split())
 MAIN, MAIN_WORDS = frozenset(("article", "main")), frozenset(("article", "main", "maincontent", "articlebody", "postcontent", "entrycontent"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
@@ -195,11 +198,12 @@ def leaves(items: list):
             yield from leaves(x[2])
 
 
-# A wrapper's items: ["tag", symbol, optional], ["T", optional, hash or None, pages, characters], ["+", optional, items].
+# A wrapper's items: ["tag", symbol, optional], ["T", optional, hash or None, pages, characters,
+# characters on pages without main element], ["+", optional, items].
 
 
 def as_wrapper(items: list, slots: list[list]) -> list:
-    """A shape as a wrapper; slots give [hash, pages, characters] for each text leaf."""
+    """A shape as a wrapper; slots give what follows optional for each text leaf."""
     rest = iter(slots)
 
     def of(xs: list) -> list:
@@ -216,7 +220,7 @@ def _join(x: list, y: list) -> list:
     if x[0] == "tag":
         return ["tag", x[1], x[2] or y[2]]
     if x[0] == "T":
-        return ["T", x[1] or y[1], x[2] if x[2] == y[2] else None, x[3] + y[3], x[4] + y[4]]
+        return ["T", x[1] or y[1], x[2] if x[2] == y[2] else None, *(p + q for p, q in zip(x[3:], y[3:], strict=True))]
     return ["+", x[1] or y[1], [_join(a, b) for a, b in zip(x[2], y[2], strict=True)]]
 
 
@@ -324,17 +328,26 @@ def _varying(found: list, template: list[bool]) -> list[bool]:
 
 
 def _deepest(found: list, ok: list[bool], size: int) -> tuple:
-    """The deepest element with most of the text that is ok."""
+    """The deepest element with most of the text that is ok; a paragraph or list isn't one, headings are beside it."""
     mass = _masses(found, ok, size)
     total = mass.get((), 0)
-    return max((p for p, m in mass.items() if 10 * m >= 6 * total), key=len, default=())
+    return max((p for p, m in mass.items() if 10 * m >= 6 * total and all(x.split(".")[0] in HOLDS for x in p)), key=len, default=())
 
 
-def wrapper_slots(wrapper: list) -> tuple[bool, list, tuple]:
-    """(whether a slot is in a main element; by slot the mark of template text, else None; the element with most of the text that varies)."""
+def shape_wrapper(shape: str, slots: list[dict]) -> list:
+    """A shape with its slots (mark, pages, size) as a wrapper."""
+    items = _shape_items(shape)
+    one = as_wrapper(items, [[s["mark"], s["pages"], s["size"], s["size"]] for s in slots])
+    if main_leaves(leaf_paths(one)) is None:
+        return one
+    return as_wrapper(items, [[s["mark"], s["pages"], s["size"], 0] for s in slots])
+
+
+def wrapper_slots(wrapper: list) -> tuple[list, tuple]:
+    """(by slot the mark of template text, else None; the element with most of the varying text of pages without main element)."""
     found = leaf_paths(wrapper)
     fixed = [x[2] if x[3] >= 3 else None for _, x in found]
-    return main_leaves(found) is not None, fixed, _deepest(found, _varying(found, [m is not None for m in fixed]), 4)
+    return fixed, _deepest(found, _varying(found, [m is not None for m in fixed]), 5)
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -373,17 +386,18 @@ def matched(shape: list, wrapper: list, values: list) -> list:
     return [x for xs in out for x in xs]
 
 
-def content_leaves(shape: list, wrapper: list, known: tuple[bool, list, tuple]) -> list[bool]:
+def content_leaves(shape: list, wrapper: list, known: tuple[list, tuple]) -> list[bool]:
     """For each text leaf of a shape (as a wrapper) whether it is main text. known is wrapper_slots(wrapper).
 
     A leaf's own elements say whether it is main or aside: in the wrapper, elements of several shapes mix. The
     slot that it matches says whether its text is template; a leaf without a slot isn't.
     """
-    article, fixed, best = known
+    fixed, best = known
     found = leaf_paths(shape)
-    if article:
-        return main_leaves(found) or [False] * len(found)
-    # No article element: the element with most of the text that varies between pages.
+    main = main_leaves(found)
+    if main is not None:
+        return main
+    # No article element in this shape, whatever others of the host have: the element with most of the text that varies between pages.
     marks = matched(shape, wrapper, fixed)
     ok = _varying(found, [m is not None and m == x[2] for m, (_, x) in zip(marks, found, strict=True)])
     inside = [own and path[: len(best)] == best for own, (path, _) in zip(ok, found, strict=True)]
@@ -446,8 +460,7 @@ def wrappers(shapes: DataFrame) -> DataFrame:
         for batch in sliced(batches):
             out = []
             for r in batch.to_pylist():
-                slots = [[s["mark"], s["pages"], s["size"]] for s in r["slots"]]
-                out.append({"host": r["host"], "spot": r["spot"], "wrapper": json.dumps(as_wrapper(_shape_items(r["shape"]), slots))})
+                out.append({"host": r["host"], "spot": r["spot"], "wrapper": json.dumps(shape_wrapper(r["shape"], r["slots"]))})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     def fold(key, table):
@@ -491,8 +504,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 if last[0] != r["wrapper"]:
                     last = (r["wrapper"], json.loads(r["wrapper"]), None)
                     last = (*last[:2], wrapper_slots(last[1]))
-                shape = as_wrapper(_shape_items(r["shape"]), [[s["mark"], s["pages"], s["size"]] for s in r["slots"]])
-                out.append({"host": r["host"], "shape": r["shape"], "keep": content_leaves(shape, last[1], last[2])})
+                out.append({"host": r["host"], "shape": r["shape"], "keep": content_leaves(shape_wrapper(r["shape"], r["slots"]), last[1], last[2])})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     kept = cut(shapes.select("host", "shape", "slots").join(found, "host").mapInArrow(choose, "host string, shape string, keep array<boolean>"))

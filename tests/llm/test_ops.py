@@ -509,6 +509,17 @@ def test_no_paragraph_of_mixed_shapes_is_lost(spark, kind):
     assert {r["page_id"]: r["text"] for r in got} == want
 
 
+def test_layouts_of_a_host_are_told_apart(spark):
+    text = lambda i: f"words of page {i} " * 9
+    rows = [(i, "http://a.com/x" if i % 2 else None, page(f"<article><h1>T{i}</h1><p>{text(i)}</p></article>")) for i in range(8)]
+    rows += [(i, "http://a.com/y" if i % 2 else None, page(f"<div id=content><h1>T{i}</h1><p>{text(i)}</p></div><div id=tail>Same</div>")) for i in range(8, 16)]
+    rows += [(i, None, f"<body><section><p>{text(i)}</p></section><div id=content><p>x{i}</p></div></body>") for i in range(16, 18)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(16):
+        assert got[i] == f"T{i}\n\n{text(i).strip()}"
+    assert all(text(i).strip() in got[i] for i in range(16, 18))
+
+
 # --- revisits
 
 
