@@ -5,7 +5,8 @@
 2. Shapes are counted by host before anything is gathered; a host's distinct shapes are aligned in a tree
    of bounded fan-in, so a host with a third of all pages costs no task more than another. Where two
    expressions differ, what only one has becomes optional, a group that one repeats becomes repeated, and
-   text that differs becomes a slot; text that never differs is part of the template.
+   text that differs becomes a slot; text that never differs on three or more different pages is part of
+   the template. Copies of a page count as one.
 3. Main text is what is inside an article or main element, or else inside the element that holds most of
    the text that the wrapper's slots show to vary, without navigation, headers, footers, asides, adverts,
    notices, forms and comments. A leaf's own elements decide, not those that the wrapper mixes, and each
@@ -453,7 +454,7 @@ def _shape_items(shape: str) -> list:
 
 
 def wrappers(shapes: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) from distinct shapes: host, shape, slots (mark or null, pages, characters by leaf)."""
+    """host, wrapper (JSON) from distinct shapes: host, shape, slots (mark or null, different pages, characters by leaf)."""
 
     def first(batches):
         schema = pa.schema([("host", pa.string()), ("spot", pa.int64()), ("wrapper", pa.string())])
@@ -489,10 +490,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     rows = cut(parsed(pages).withColumn("form", F.xxhash64("shape")))
     # Marks and sizes by leaf are folded leaf by leaf; shapes are equal, so are their leaves.
-    leaf = rows.select("host", "shape", F.posexplode_outer(F.arrays_zip("marks", "sizes")).alias("leaf", "x"))
-    slots = leaf.groupBy("host", "shape", "leaf").agg(F.when(F.min("x.marks") == F.max("x.marks"), F.min("x.marks")).alias("mark"), F.count("*").alias("pages"), F.sum("x.sizes").alias("size"))
-    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("leaf").isNotNull(), F.struct("leaf", "mark", "pages", "size")))), lambda s: F.struct(s["mark"].alias("mark"), s["pages"].alias("pages"), s["size"].alias("size")))
-    shapes = cut(slots.groupBy("host", "shape").agg(listed.alias("slots"), F.max("pages").alias("pages")))
+    leaf = rows.select("host", "shape", "form", F.posexplode_outer(F.arrays_zip("marks", "sizes")).alias("leaf", "x"))
+    slots = leaf.groupBy("host", "shape", "form", "leaf").agg(F.when(F.min("x.marks") == F.max("x.marks"), F.min("x.marks")).alias("mark"), F.sum("x.sizes").alias("size"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("leaf").isNotNull(), F.struct("leaf", "mark", "size"))))
+    # Copies of a page are one page: their text is equal without being template.
+    pages = rows.select("host", "form", F.xxhash64("marks").alias("page")).distinct().groupBy("host", "form").agg(F.count("*").alias("pages"))
+    shapes = slots.groupBy("host", "shape", "form").agg(listed.alias("slots")).join(pages, ["host", "form"])
+    shapes = cut(shapes.select("host", "shape", F.transform("slots", lambda s: F.struct(s["mark"].alias("mark"), F.col("pages"), s["size"].alias("size"))).alias("slots")))
     found = wrappers(shapes)
 
     def choose(batches):

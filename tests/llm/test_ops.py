@@ -520,6 +520,17 @@ def test_layouts_of_a_host_are_told_apart(spark):
     assert all(text(i).strip() in got[i] for i in range(16, 18))
 
 
+def test_copies_of_a_page_are_not_template(spark):
+    body = "<div id=c><p>real text of the copied page</p></div><div>Same line</div>"
+    rows = [(i, "http://a.com/1", page(body)) for i in range(5)]
+    rows += [(i, "http://b.com/1", page(body.replace("<p>", "<p>own block</p><h2>own</h2><p>"))) for i in range(5, 9)]
+    rows += [(i, "http://b.com/1", page(f"<div id=c><p>{f'page {i} text ' * 9}</p></div><div>Same line</div>")) for i in range(9, 13)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("real text of the copied page" in got[i] for i in range(5))
+    assert {got[i] for i in range(5, 9)} == {"own block\n\nown\n\nreal text of the copied page"}
+    assert all(got[i] == (f"page {i} text " * 9).strip() for i in range(9, 13))
+
+
 # --- revisits
 
 
