@@ -6,8 +6,9 @@ Feistel network over (a, b) with alternating modular additions permutes the doma
 equal pseudonyms in every document, different ones different, and formats, checksums and ranges stay valid.
 Whoever has the key can turn it back (direction=-1).
 
-One regular expression finds candidates of all kinds, leftmost first; validation decides. Texts are split
-at it and put together again. DataFrame functions only; documents without digits and "@" are passed by.
+One regular expression finds candidates of all kinds, leftmost first; validation decides. Where a candidate
+holds other numbers beside a value, the value is looked for at its groups. Texts are split at the expression
+and put together again. DataFrame functions only; documents without digits and "@" are passed by.
 """
 
 from __future__ import annotations
@@ -31,7 +32,13 @@ KINDS = {
     "intl": r"\+[2-9][0-9]{0,2}(?:[\x20.-]?\(?[0-9]{1,4}\)?){2,5}",
     "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
 }
-CANDIDATE = r"(?<![A-Za-z0-9_])(?:" + "|".join(KINDS.values()) + r")(?![A-Za-z0-9_])"
+#: Runs of digit groups that a card may stand in; up to so many digits a candidate holds what its neighbours are.
+RUN = r"[0-9](?:[\x20-]?[0-9]){12,126}"
+CANDIDATE = r"(?<![A-Za-z0-9_])(?:" + "|".join((KINDS | {"card": RUN}).values()) + r")(?![A-Za-z0-9_])"
+#: Cards, telephone and social security numbers as they are written: these come before a longer run that passes by chance.
+WRITTEN = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}|[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"
+#: What is looked for inside a candidate that fails; a card's groups have three digits or more.
+INSIDE = "^(?:" + "|".join((KINDS | {"card": r"(?=(?:[\x20-]?[0-9]){13,19}$)[0-9]{3,19}(?:[\x20-][0-9]{3,19})*"}).values()) + ")$"
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049  # to 2099-12-31
 
 
@@ -183,6 +190,45 @@ def kind_of(s: Column) -> Column:
     )
 
 
+def _parts(s: Column, shape: str) -> Column:
+    """array<struct<s, kind>>: s cut at its groups into values of a shape that are valid and what is between.
+
+    Leftmost first, the longest of those that start at the same group.
+    """
+
+    def of(tokens: Column) -> Column:
+        n = F.size(tokens)
+
+        def hit(i: Column) -> Column:
+            ends = F.sequence(F.least(i + 14, n - 1), i, F.lit(-1))
+            runs = F.filter(F.transform(ends, lambda j: F.struct(j.alias("j"), F.array_join(F.slice(tokens, i + 1, j - i + 1), "").alias("s"))), lambda x: x["s"].rlike(shape))
+            valued = F.transform(runs, lambda x: F.struct(x["j"].alias("j"), x["s"].alias("s"), kind_of(x["s"]).alias("kind")))
+            return F.get(F.filter(valued, lambda x: x["kind"].isNotNull()), F.lit(0))
+
+        def add(acc: Column, i: Column) -> Column:
+            one = lambda h: F.struct(F.coalesce(h["j"] + 1, i + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(F.coalesce(h["s"], F.get(tokens, i)).alias("s"), h["kind"].alias("kind")))).alias("out"))
+            return F.when(i < acc["at"], acc).otherwise(F.get(F.transform(F.array(hit(i)), one), F.lit(0)))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:string,kind:string>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, add, lambda acc: acc["out"])
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(s, F.lit(r"\+?[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0))), of), F.lit(0))
+
+
+def values_of(s: Column) -> Column:
+    """array<struct<s, kind>> of a candidate: itself, or what valid values it holds beside other groups.
+
+    A number as it is written, beside others, comes first; then the whole candidate; where that is
+    invalid, any valid value that begins and ends at its groups.
+    """
+    whole = F.array(F.struct(s.alias("s"), kind_of(s).alias("kind")))
+    some = lambda xs: F.exists(xs, lambda x: x["kind"].isNotNull())
+    first = lambda xs, other: F.get(F.transform(F.array(xs), lambda x: F.when(some(x), x).otherwise(other)), F.lit(0))
+    many = (F.length(_digits(s)) >= 13) & s.rlike("[0-9][^0-9]+[0-9]")
+    inside = first(whole, F.when(many, _parts(s, INSIDE)).otherwise(F.array(F.struct(s.alias("s"), F.lit(None).cast("string").alias("kind")))))
+    return F.when(many & s.rlike(f"^{RUN}$"), first(_parts(s, WRITTEN), inside)).otherwise(inside)
+
+
 def pseudonym(s: Column, kind: Column, key: str, direction: int = 1) -> Column:
     """The value of a kind permuted in its format."""
     d = _digits(s)
@@ -238,20 +284,21 @@ def pseudonymised(docs: DataFrame, key: str, direction: int = 1) -> DataFrame:
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     rows = rows.withColumn("hits", hits).withColumn("gaps", F.when(F.size("hits") > 0, F.split(text, CANDIDATE, -1)))
     # Found once, the few documents with candidates are worked on; values are permuted one at a time.
-    valued = F.transform("hits", lambda s: F.struct(s.alias("s"), kind_of(s).alias("kind")))
+    each = lambda z: F.transform(values_of(z["hits"]), lambda v, i: F.struct(F.when(i == 0, z["gaps"]).otherwise("").alias("gap"), v["s"].alias("s"), v["kind"].alias("kind")))
+    valued = F.flatten(F.transform(F.arrays_zip(F.slice("gaps", 1, F.size("hits")).alias("gaps"), "hits"), each))
     rows = rows.withColumn("found", F.when(F.size("hits") > 0, valued))
-    new = F.transform("found", lambda v: F.when(v["kind"].isNull(), v["s"]).otherwise(pseudonym(v["s"], v["kind"], key, direction)))
-    pieces = F.transform(F.arrays_zip("gaps", F.concat(new, F.array(F.lit(""))).alias("new")), lambda z: F.concat(z["gaps"], z["new"]))
+    pieces = F.transform("found", lambda v: F.concat(v["gap"], F.when(v["kind"].isNull(), v["s"]).otherwise(pseudonym(v["s"], v["kind"], key, direction))))
+    pieces = F.concat(pieces, F.array(F.element_at("gaps", -1)))
     has = F.size("hits") > 0
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def place(acc: Column, z: Column) -> Column:
-        start = acc["at"] + F.length(z["gaps"])
-        end = start + F.length(z["found"]["s"])
-        more = F.when(z["found"]["kind"].isNotNull(), F.array(F.concat_ws(":", z["found"]["kind"], start, end))).otherwise(F.array().cast("array<string>"))
+        start = acc["at"] + F.length(z["gap"])
+        end = start + F.length(z["s"])
+        more = F.when(z["kind"].isNotNull(), F.array(F.concat_ws(":", z["kind"], start, end))).otherwise(F.array().cast("array<string>"))
         return F.struct(end.alias("at"), F.concat(acc["out"], more).alias("out"))
 
-    spans = F.aggregate(F.arrays_zip("gaps", "found"), zero, lambda acc, z: F.when(z["found"].isNull(), acc).otherwise(place(acc, z)), lambda acc: F.array_join(acc["out"], ","))
+    spans = F.aggregate("found", zero, place, lambda acc: F.array_join(acc["out"], ","))
     count = lambda k: F.coalesce(F.when(has, F.size(F.filter("found", lambda v: v["kind"].isNotNull() if k is None else v["kind"] == k))), F.lit(0)).cast("long")
     return rows.select(
         "doc_id",

@@ -373,6 +373,20 @@ def test_pseudonyms(spark, odd, none):
     assert pii.pseudonymised(odd, "k").count() == odd.count() and pii.pseudonymised(none, "k").count() == 0
 
 
+def test_values_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/27 123", "4111111111111111 123", "12 4111111111111111", f"1234 {card}", card, "12 469-555-8958 77 1", "469-555-8958", f"7 {card} 5500 0000 0000 0004 99", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 7", "x", "order 4944339490429606 12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r for r in pii.pseudonymised(docs, "k").orderBy("doc_id").collect()]
+    new = got[4]["text"]
+    assert [r["n_card"] for r in got] == [1, 1, 1, 1, 1, 0, 0, 2, 0, 0, 0] and [r["n_phone"] for r in got][5:7] == [1, 1]
+    assert got[0]["text"] == f"{new} 12/27 123" and got[0]["spans"] == "card:0:19" and luhn(new.replace(" ", ""))
+    assert got[1]["text"] == new.replace(" ", "") + " 123" and got[2]["text"] == "12 " + new.replace(" ", "") and got[3]["text"] == f"1234 {new}"
+    assert got[5]["text"] == f"12 {got[6]['text']} 77 1" and got[7]["text"].startswith(f"7 {new} ") and got[10]["text"] == texts[10]
+    back = pii.pseudonymised(spark.createDataFrame([(r["doc_id"], r["text"]) for r in got], "doc_id long, text string"), "k", -1).orderBy("doc_id").collect()
+    assert [r["text"] for r in back] == texts
+
+
 def test_feistel_permutes(spark):
     for a, b in ((7, 5), (10, 10), (26, 1), (13, 1)):
         rows = spark.range(a * b).select(pii.feistel(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), "k", F.lit("t")).alias("y")).collect()
