@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import cut, drop_listed, emit, sliced, whole_text
+from costloom.llm.common import emit, sliced, whole_text
 
 #: The fit reads at most this many labelled rows for each label and fold, none of over SAMPLE_CHARS characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 60_000
@@ -156,10 +156,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those the classifier rejects, with all columns as they were."""
-    scored = score(docs, fit(docs, labels))
-    rejected = cut(scored.filter("predicted = 0").select("doc_id").distinct())
-    return drop_listed(docs, rejected, {"doc_id": F.col("doc_id")}, 24)
+    """docs without those the classifier rejects, with all columns as they were.
+
+    Each row stands or falls by the score of its own text, whatever its doc_id; a null text is the empty text.
+    """
+    model = fit(docs, labels)
+
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in sliced(batches):
+            yield batch.filter(pa.array([scorer.score(t or "") >= 0.5 for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -346,6 +346,22 @@ def test_quality(spark, odd, none):
     assert {r["score"] for r in quality.score(docs, empty).collect()} == {0.5}
 
 
+def test_good_only_goes_by_each_row(spark, odd, none):
+    docs, labels = labelled(spark)
+    texts = [r["text"] for r in docs.filter("doc_id IN (0, 1, 2, 4)").orderBy("doc_id").collect()]
+    more = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (900, texts[3]), (900, texts[1]), (900, texts[1]), (901, None)]
+    rows = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    good = {r["doc_id"]: r["predicted"] for r in quality.score(docs, quality.fit(rows, labels)).collect()}
+    assert (good[0], good[1], good[2], good[4]) == (0, 1, 1, 0)
+    kept = quality.good_only(rows, labels)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.filter("doc_id IS NULL OR doc_id = 900").collect())
+    assert got == Counter({(None, texts[1]): 1, (None, texts[2]): 1, (900, texts[1]): 2})
+    assert kept.filter("doc_id < 900").count() == sum(good.values())
+    model = quality.fit(odd, labels)
+    want = Counter(r["doc_id"] for r in quality.score(odd, model).filter("predicted = 1").collect())
+    assert Counter(r["doc_id"] for r in quality.good_only(odd, labels).collect()) == want and quality.good_only(none, labels).count() == 0
+
+
 # --- pseudonyms
 
 PRIVATE = [
