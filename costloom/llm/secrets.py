@@ -37,6 +37,9 @@ ENCODINGS = (
     ("base64", r"^[A-Za-z0-9+/]+={0,2}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", r"^[A-Za-z0-9_-]+={0,2}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+#: How a run of no encoding is split: at "=" that isn't padding, then at other signs.
+SPLITS = (r"[A-Za-z0-9+/_-]+(?:={1,2}$)?", r"[A-Za-z0-9+]+(?:={1,2}$)?")
+CANDIDATE_LEAST = 20
 #: Text repeats characters as if it had about so many equally likely ones, for alphabets up to so many characters.
 TEXT_LETTERS = ((16, 5.0), (36, 14.0), (64, 20.0))
 #: Expected share of false discoveries; p is counted in steps of a tenth of a power of ten, down to 10^-40.
@@ -125,16 +128,35 @@ def battery(token: Column) -> Column:
     return F.transform(F.array(base), of)[0]
 
 
+def _token(text: Column, s: Column) -> Column:
+    return F.substring(text, s["start"] + 1, s["end"] - s["start"])
+
+
+def _parts(text: Column, s: Column, splits: tuple[str, ...] = SPLITS) -> Column:
+    """array<struct<start, end>>: the run s if it is of an encoding, else its long parts that are."""
+    whole = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    if not splits:
+        return whole
+    fits = F.lit(False)
+    for _, pattern, _ in ENCODINGS:
+        fits = fits | _token(text, s).rlike(pattern)
+    inner = F.transform(spans(_token(text, s), splits[0], least=CANDIDATE_LEAST), lambda x: F.struct((s["start"] + x["start"]).alias("start"), (s["start"] + x["end"]).alias("end")))
+    return F.when(fits, whole).otherwise(F.flatten(F.transform(inner, lambda x: _parts(text, x, splits[1:]))))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, assign, access, hex: base spans; tried: candidates of the battery with their tests."""
+    """doc_id, assign, access, hex: base spans; tried: candidates of the battery with their tests.
+
+    A run that is of no encoding as a whole (NAME=value, a path with an underscore) is split at its signs.
+    """
     text = F.col("text")
     rows = docs.select("doc_id", whole_text().alias("text")).select("doc_id", "text", spans(text, ASSIGN, 2, ASSIGN_LEAST).alias("assign"), spans(text, ACCESS).alias("access"), spans(text, HEX).alias("hex"), spans(text, CANDIDATE).alias("c"))
 
     def tried(s: Column) -> Column:
-        token = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        token = _token(text, s)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), (token.rlike("[0-9]") & token.rlike("[A-Za-z]")).alias("mixed"), battery(token).alias("t"))
 
-    return rows.select("doc_id", "assign", "access", "hex", F.when(F.size("c") > 0, F.filter(F.transform("c", tried), lambda x: x["mixed"] & (x["t"]["encoding"] != "other"))).alias("tried"))
+    return rows.select("doc_id", "assign", "access", "hex", F.when(F.size("c") > 0, F.filter(F.transform(F.flatten(F.transform("c", lambda s: _parts(text, s))), tried), lambda x: x["mixed"] & (x["t"]["encoding"] != "other"))).alias("tried"))
 
 
 def limits(found: DataFrame, share: float = FALSE_SHARE) -> dict[str, float]:

@@ -468,6 +468,20 @@ def test_random_strings_are_told_from_text(spark):
     assert got == want
 
 
+def test_secrets_joined_to_names_are_found(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        value = "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+        before = ("AWS_SECRET_ACCESS_KEY=", "open https://x.com/?sig=", "io/hook_v1/", "")[i % 4]
+        rows.append((i, f"see {before}{value} here", before, value))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, before string, value string")
+    found = secrets.find_secrets(docs).join(docs.drop("text"), "doc_id").collect()
+    for before in {r[2] for r in rows}:
+        hits = [f"random:{4 + len(before)}:{44 + len(before)}" in r["spans"] for r in found if r["before"] == before]
+        assert sum(hits) > 0.8 * len(hits), before
+
+
 # --- pages
 
 
