@@ -5,8 +5,10 @@ The others are dealt at random into blocks of bounded size. Each block is a bin-
 several islands solve: an island's population starts from best-fit orders, crossover injects whole
 well-filled bins of one parent into another, removes the bins that hold a piece twice and best-fits the
 displaced pieces; after each epoch an island's elite moves to the next one. Bins that stay loose in the
-best packing of a block are dissolved and their pieces dealt into fewer blocks, until one block is left, so
-blocks cost no more than one loose bin in the end. Rows are blocks: no task holds more than one.
+best packing of a block are dissolved and their pieces dealt into fewer blocks, until one block is left or the
+pool shrinks by less than a fifth; then each block that is left keeps its loose bins, up to about one sequence a
+block more than one list needs (3,000 pieces of 500 to 1000 tokens: 2,950 sequences in 15 blocks, 2,943 in one).
+Rows are blocks: no task holds more than one.
 """
 
 from __future__ import annotations
