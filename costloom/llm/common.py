@@ -22,6 +22,45 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Items that one list is copied for while it grows; longer lists are made of such parts.
+PART = 128
+
+
+def gathered(items: Column, start: Column, step, kind: str) -> Column:
+    """All that step gives over the items of an array, in order, carrying a state.
+
+    step(state, item) is struct<state, out: array<kind>>. Lists grow in parts of bounded length and the parts in
+    a list of their own, so a text with very many matches isn't copied for each of them.
+    """
+
+    def over(xs: Column, state: Column) -> Column:
+        zero = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def one(acc: Column, x: Column) -> Column:
+            return let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.when(F.size(r["out"]) == 0, acc["out"]).otherwise(F.concat(acc["out"], r["out"])).alias("out")))
+
+        return F.aggregate(xs, zero, one)
+
+    def long(xs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(xs) - 1, F.lit(PART)).cast("int")), lambda k: F.slice(xs, (k * PART + 1).cast("int"), F.lit(PART)))
+        zero = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        more = lambda acc, part: let(over(part, acc["state"]), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        return F.aggregate(parts, zero, more, lambda acc: F.flatten(acc["out"]))
+
+    return let(items, lambda xs: F.when(F.size(xs) > PART, long(xs)).otherwise(over(xs, start)["out"]))
+
+
+def running_sums(lengths: Column) -> Column:
+    """array<int>: for each number of an array the sum of it and all before."""
+    step = lambda state, x: let(state + x, lambda s: F.struct(s.alias("state"), F.array(s).alias("out")))
+    return gathered(lengths, F.lit(0), step, "int")
+
+
 def checked_broadcast(table: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of a table from cut() if its measured size allows; else leave the join to Spark."""
     return F.broadcast(table) if table.count() * width <= limit else table

@@ -1,52 +1,58 @@
 """Format-preserving pseudonyms: validated numbers, dates and addresses are permuted within their format.
 
-Every kind is a finite domain a x b: card numbers of one length, social security numbers, telephone numbers,
-IPv4 addresses, days of two centuries, letters and digits of an account or of a mail address. A keyed
-Feistel network over (a, b) with alternating modular additions permutes the domain, so equal values get
-equal pseudonyms in every document, different ones different, and formats, checksums and ranges stay valid.
-Whoever has the key can turn it back (direction=-1).
-
-One regular expression finds candidates of all kinds, leftmost first; validation decides. Where a candidate
-holds other numbers beside a value, the value is looked for at its groups. Texts are split at the expression
-and put together again. DataFrame functions only; documents without digits and "@" are passed by.
+Keyed Feistel networks permute each kind's own domain: telephone and social security numbers, IPv4
+addresses and days as numbers a x b with alternating modular additions; the digits and letters of cards,
+accounts, other telephone numbers and mail names as strings of any length, whose halves take turns to
+be shifted by a hash of the other. Equal values get equal pseudonyms in every document, different ones
+different, and formats, checksums and ranges stay valid. Whoever has the key can turn it back
+(direction=-1).
+
+What is found. A value stands free of letters, digits and "_", has a kind's shape and passes its check. Mail
+addresses come first, leftmost ones first; then, between them, the strong kinds, whose shape says where a value
+ends; then, between those, the weak ones (cards in unusual groups, numbers of other countries), which could
+swallow a neighbour. Within a tier the leftmost value wins, of those that start together the longest. So no
+valid value stays in clear because of what is beside it.
+
+Numbers and their neighbours are cut out as clusters by one regular expression, which no value crosses, and
+looked through at every group. DataFrame functions only; documents without digits and "@" are passed by.
+
+What stays: the domain of a mail address, the first digit of a card, the first three of other countries' numbers,
+a date's block of 200 years. A short value has few pseudonyms (a mail name of two letters 676), so whoever knows
+pairs of values and pseudonyms learns more of short ones.
 """
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costloom.llm.common import whole_text
+from costloom.llm.common import gathered, let, running_sums, whole_text
 
 ROUNDS = 6
-# Shapes of the kinds, in order of precedence. Candidates stand free of letters and digits.
-KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
+# Shapes of the kinds, in order of precedence.
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9_])"
+STRONG = {
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "card": r"[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-][0-9]{3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"(?:\+?1[\x20.-]?)?(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4}",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}",
-    "card": r"[0-9](?:[\x20-]?[0-9]){12,18}",
-    "intl": r"\+[2-9][0-9]{0,2}(?:[\x20.-]?\(?[0-9]{1,4}\)?){2,5}",
+    "phone": r"(?:\+?1[\x20.-]?)?(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4}|\+1[2-9][0-9]{2}[2-9][0-9]{6}",
     "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}",
 }
-#: Runs of digit groups that a card may stand in; up to so many digits a candidate holds what its neighbours are.
-RUN = r"[0-9](?:[\x20-]?[0-9]){12,126}"
-CANDIDATE = r"(?<![A-Za-z0-9_])(?:" + "|".join((KINDS | {"card": RUN}).values()) + r")(?![A-Za-z0-9_])"
-#: Cards, telephone and social security numbers as they are written: these come before a longer run that passes by chance.
-WRITTEN = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}|[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"
-#: What is looked for inside a candidate that fails; a card's groups have three digits or more.
-INSIDE = "^(?:" + "|".join((KINDS | {"card": r"(?=(?:[\x20-]?[0-9]){13,19}$)[0-9]{3,19}(?:[\x20-][0-9]{3,19})*"}).values()) + ")$"
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049  # to 2099-12-31
+WEAK = {
+    "card": r"[0-9]{3,19}(?:[\x20-][0-9]{3,19}){1,5}",
+    "intl": r"\+[2-9][0-9]{0,2}(?:[\x20.-]?\(?[0-9]{1,4}\)?){1,4}[\x20.-]?\(?[0-9]{1,4}",
+}
+KINDS = ("email", "iban", "ssn", "phone", "date", "card", "intl", "ip")
+#: Groups of digits and capitals with what may stand between groups of one value; the longest value has so many pieces.
+CLUSTER = rf"[+(]?(?!{EMAIL})(?=[A-Z]{{0,3}}[0-9])[A-Z0-9]++(?![a-z_])(?:[\x20./()+-]{{1,3}}(?!{EMAIL})(?:[A-Z]{{1,4}}(?![A-Za-z0-9_])|[A-Z]{{0,3}}[0-9][A-Z0-9]*+(?![a-z_])))*+"
+CANDIDATE = rf"(?<![A-Za-z0-9_])(?:{EMAIL}|{CLUSTER})"
+PIECE, PIECES = r"[A-Z0-9]+|[^A-Z0-9]", 24
 
 
 def feistel(x: Column, a: Column, b: Column, key: str, tweak: Column, direction: int = 1) -> Column:
     """A keyed permutation of 0 .. a*b-1: halves mod a and mod b take turns to be shifted by a hash of the other."""
     state = F.struct(_over(x, b).alias("l"), F.pmod(x, b).alias("r"))
-    order = range(ROUNDS) if direction > 0 else reversed(range(ROUNDS))
-    steps = F.array(*[F.lit(i) for i in order])
     sign = F.lit(direction).cast("long")
 
     def step(s: Column, i: Column) -> Column:
@@ -54,7 +60,12 @@ def feistel(x: Column, a: Column, b: Column, key: str, tweak: Column, direction:
         right = F.when(i % 2 == 1, F.pmod(s["r"] + sign * F.pmod(_keyed(key, tweak, i, s["l"]), b), b)).otherwise(s["r"])
         return F.struct(left.alias("l"), right.alias("r"))
 
-    return F.aggregate(steps, state, step, lambda s: s["l"] * b + s["r"])
+    return F.aggregate(_rounds(direction), state, step, lambda s: s["l"] * b + s["r"])
+
+
+def _rounds(direction: int) -> Column:
+    order = range(ROUNDS) if direction > 0 else reversed(range(ROUNDS))
+    return F.array(*[F.lit(i) for i in order])
 
 
 def _over(x: Column, y: Column) -> Column:
@@ -62,24 +73,41 @@ def _over(x: Column, y: Column) -> Column:
     return F.call_function("div", x, y)
 
 
-def _keyed(key: str, tweak: Column, i: Column, half: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), half.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+def _keyed(key: str, *parts: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _power(base: int, n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(base**i).cast("long") for i in range(13)]), n.cast("int") + 1)
+def permuted_text(s: Column, key: str, tweak: Column, direction: int = 1) -> Column:
+    """A string permuted among those with digits, capitals and small letters at the same places.
 
+    One Feistel network over the whole string: each character of a half moves within its class by a hash of
+    the other half. Other characters stay; the empty string stays.
+    """
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    classed = F.transform(chars, lambda c: F.when(c.between("0", "9"), F.struct(F.lit(48).alias("first"), F.lit(10).alias("m"))).when(c.between("a", "z"), F.struct(F.lit(97).alias("first"), F.lit(26).alias("m"))).when(c.between("A", "Z"), F.struct(F.lit(65).alias("first"), F.lit(26).alias("m"))))
 
-def _digits(s: Column) -> Column:
-    return F.regexp_replace(s, "[^0-9]", "")
+    def of(x: Column) -> Column:
+        half, n = _over(F.size(x["c"]).cast("long"), F.lit(2)).cast("int"), F.size(x["c"])
+        first = F.transform(F.arrays_zip(x["c"].alias("c"), x["k"].alias("k")), lambda z: F.when(z["k"].isNull(), -F.lit(1)).otherwise(F.ascii(z["c"]) - z["k"]["first"]))
 
+        def round_(v: Column, i: Column) -> Column:
+            left = i % 2 == 0
+            other = F.array_join(F.when(left, F.slice(v, half + 1, n - half)).otherwise(F.slice(v, F.lit(1), half)), ",")
 
-def _permuted_digits(d: Column, key: str, tweak: Column, direction: int) -> Column:
-    """A digit string of up to 18 digits (longer ones: the last 18) permuted among those of its length."""
-    head, tail = F.substring(d, 1, F.greatest(F.length(d) - 18, F.lit(0))), F.right(d, F.least(F.length(d), F.lit(18)))
-    n = F.length(tail)
-    a, b = _power(10, F.ceil(n / 2)), _power(10, F.floor(n / 2))
-    return F.when(n > 0, F.concat(head, F.lpad(feistel(tail.cast("long"), a, b, key, tweak, direction).cast("string"), n, "0"))).otherwise(d)
+            def moved(o: Column) -> Column:
+                one = lambda y, p: F.when((y < 0) | ((p < half) != left), y).otherwise(F.pmod(y + direction * F.pmod(_keyed(key, tweak, i, o, p), F.get(x["k"], p)["m"].cast("long")).cast("int"), F.get(x["k"], p)["m"]))
+                return F.transform(v, one)
+
+            return let(other, moved)
+
+        last = F.aggregate(_rounds(direction), first, round_)
+        return F.array_join(F.transform(F.arrays_zip(last.alias("v"), x["c"].alias("c"), x["k"].alias("k")), lambda z: F.when(z["v"] < 0, z["c"]).otherwise(F.char(z["v"] + z["k"]["first"]))), "")
+
+    return let(F.struct(chars.alias("c"), classed.alias("k")), of)
+
+
+def _digits(s: Column) -> Column:
+    return F.regexp_replace(s, "[^0-9]", "")
 
 
 def _filled(shape: Column, chars: Column, of: str) -> Column:
@@ -115,118 +143,131 @@ def mod97(s: Column) -> Column:
     return F.aggregate(F.split(s, ""), zero, step)
 
 
-def _letters_number(s: Column, first: int) -> Column:
-    return F.aggregate(F.split(s, ""), F.lit(0).cast("long"), lambda acc, c: F.when(c == "", acc).otherwise(acc * 26 + F.ascii(c) - first))
+def date_of(s: Column) -> Column:
+    """struct<y, m, d, order> of a date's text, order y, d or m by the part that stands first; null if there is no such day.
 
+    Where day and month could change places, the day comes first.
+    """
 
-def _number_letters(x: Column, n: Column, first: int) -> Column:
-    start = F.struct(F.lit("").alias("out"), x.alias("x"))
-    step = lambda s, _: F.struct(F.concat(F.char((s["x"] % 26 + first).cast("int")), s["out"]).alias("out"), _over(s["x"], F.lit(26).cast("long")).alias("x"))
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["out"])
+    def of(p: Column) -> Column:
+        n = lambda i: F.get(p, F.lit(i)).try_cast("int")
 
+        def day(y: Column, m: Column, d: Column, order: str) -> Column:
+            leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+            days = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+            return F.when((y >= 1) & m.between(1, 12) & (d >= 1) & (d <= days), F.struct(y.alias("y"), m.alias("m"), d.alias("d"), F.lit(order).alias("order")))
 
-def _permuted_run(run: Column, place: Column, key: str, tweak: Column, direction: int) -> Column:
-    """A run of at most 10 digits, lower or upper-case letters, permuted among those of its length."""
-    n, at = F.length(run), F.concat_ws("/", tweak, place.cast("string"))
-    half, rest = F.ceil(n / 2), F.floor(n / 2)
+        iso = s.rlike("^[0-9]{4}-")
+        return F.when(iso, day(n(0), n(1), n(2), "y")).otherwise(F.coalesce(day(n(2), n(1), n(0), "d"), day(n(2), n(0), n(1), "m")))
 
-    def letters(first: int) -> Column:
-        return _number_letters(feistel(_letters_number(run, first), _power(26, half), _power(26, rest), key, at, direction), n, first)
+    return let(F.split(s, "[-/.]"), of)
 
-    digits = F.lpad(feistel(run.try_cast("long"), _power(10, half), _power(10, rest), key, at, direction).cast("string"), n, "0")
-    return F.when(run.rlike("^[0-9]+$"), digits).when(run.rlike("^[a-z]+$"), letters(97)).when(run.rlike("^[A-Z]+$"), letters(65)).otherwise(run)
 
+def _date_pseudonym(s: Column, key: str, direction: int) -> Column:
+    a, b = F.lit(271).cast("long"), F.lit(270).cast("long")
 
-def _permuted_text(s: Column, key: str, tweak: Column, direction: int) -> Column:
-    """Each run of one character class permuted; other characters stay."""
-    runs = F.regexp_extract_all(s, F.lit("[0-9]{1,10}|[a-z]{1,10}|[A-Z]{1,10}|[^0-9a-zA-Z]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r, i: _permuted_run(r, i, key, tweak, direction)), "")
+    def of(x: Column) -> Column:
+        block = _over((x["y"] + 100).cast("long"), F.lit(200)).cast("int") * 200 - 100  # 1900 to 2099 is one
+        first = F.make_date(F.greatest(block, F.lit(1)), F.lit(1), F.lit(1))
+        days = F.datediff(F.make_date(F.least(block + 200, F.lit(10_000)), F.lit(1), F.lit(1)), first).cast("long")
+        place = F.datediff(F.make_date(x["y"], x["m"], x["d"]), first).cast("long")
 
+        def walked(z: Column) -> Column:
+            tweak = F.concat_ws("/", F.lit("date"), x["order"], z["first"].cast("string"))
+            # The network's domain is a little larger than days, and a date with the month first is one whose
+            # day can't be a month: walk on from anything else. A walk ends; over 120 steps it takes all but never.
+            lost = lambda v: (v >= z["days"]) | ((x["order"] == "m") & (F.dayofmonth(F.date_add(z["first"], F.least(v, z["days"]).cast("int"))) <= 12))
+            walk = lambda acc, i: F.when((i == 0) | lost(acc), feistel(acc, a, b, key, tweak, direction)).otherwise(acc)
+            return F.date_add(z["first"], F.aggregate(F.sequence(F.lit(0), F.lit(120)), z["place"], walk).cast("int"))
 
-def _days(s: Column) -> tuple[Column, Column]:
-    """(days since FIRST_DAY or null, how the parts stand: y, d or m first)."""
-    parts = F.split(s, "[-/.]")
-    p = lambda i: F.element_at(parts, i)
-    iso = F.when(s.rlike("^[0-9]{4}-"), F.to_date(F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))))
-    make = lambda y, m, d: F.to_date(F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")))
-    european = F.when(~s.rlike("^[0-9]{4}-"), make(p(3), p(2), p(1)))
-    american = F.when(~s.rlike("^[0-9]{4}-"), make(p(3), p(1), p(2)))
-    day = F.coalesce(iso, european, american)
-    n = F.datediff(day, F.lit(FIRST_DAY))
-    return F.when(n.between(0, DAYS - 1), n.cast("long")), F.when(iso.isNotNull(), "y").when(european.isNotNull(), "d").otherwise("m")
+        def shown(day: Column) -> Column:
+            two = lambda v: F.lpad(v.cast("string"), 2, "0")
+            dd, mm, yy = two(F.dayofmonth(day)), two(F.month(day)), F.lpad(F.year(day).cast("string"), 4, "0")
+            sep = F.regexp_extract(s, "([/.])", 1)
+            first_ = lambda i: F.regexp_extract(s, "[0-9]+([-/.])[0-9]+([-/.])", i)
+            short = F.when(x["order"] == "d", F.concat(dd, first_(1), mm, first_(2), yy)).otherwise(F.concat(mm, first_(1), dd, first_(2), yy))
+            return F.when(x["order"] == "y", F.concat_ws("-", yy, mm, dd)).when(sep != "", short).otherwise(s)
 
+        return let(let(F.struct(first.alias("first"), days.alias("days"), place.alias("place")), walked), shown)
 
-def _date_pseudonym(s: Column, key: str, direction: int) -> Column:
-    days, order = _days(s)
-    a, b = F.lit(271).cast("long"), F.lit(270).cast("long")
-    tweak = F.concat(F.lit("date"), order)
-    # The network's domain has 121 values more than days, and a date with the month first is one whose day
-    # can't be a month: walk on from anything else. A walk ends; that it takes over 60 steps, all but never.
-    lost = lambda x: (x >= DAYS) | ((order == "m") & (F.dayofmonth(F.date_add(F.lit(FIRST_DAY), F.least(x, F.lit(DAYS)).cast("int"))) <= 12))
-    walk = lambda acc, i: F.when((i == 0) | lost(acc), feistel(acc, a, b, key, tweak, direction)).otherwise(acc)
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(60)), days, walk)
-    day = F.date_add(F.lit(FIRST_DAY), found.cast("int"))
-    sep = F.regexp_extract(s, "([/.])", 1)
-    dd, mm, yy = F.date_format(day, "dd"), F.date_format(day, "MM"), F.date_format(day, "yyyy")
-    return F.when(order == "y", F.concat_ws("-", yy, mm, dd)).when(order == "d", F.concat(dd, sep, mm, sep, yy)).otherwise(F.concat(mm, sep, dd, sep, yy))
-
-
-def kind_of(s: Column) -> Column:
-    """The kind of a candidate, or null where validation fails."""
-    whole = {k: s.rlike(f"^(?:{p})$") for k, p in KINDS.items()}
+    return let(date_of(s), of)
+
+
+def kind_of(s: Column, shapes: dict[str, str]) -> Column:
+    """The first of the kinds whose shape the whole of s has and whose check it passes, or null."""
     d = _digits(s)
-    octets = F.transform(F.split(s, r"\."), lambda x: x.try_cast("int"))
     bare = F.regexp_replace(s, " ", "")
-    turned = F.concat(F.substring(bare, 5, 40), F.substring(bare, 1, 4))
-    return (
-        F.when(whole["email"], "email")
-        .when(whole["iban"] & (mod97(turned) == 1), "iban")
-        .when(whole["card"] & (luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1+$"), "card")
-        .when(whole["ssn"] & ~d.rlike("^(000|666|9)|^...00|0000$"), "ssn")
-        .when(whole["phone"], "phone")
-        .when(whole["intl"] & F.length(d).between(8, 15), "intl")
-        .when(whole["ip"] & F.forall(octets, lambda x: x <= 255) & ~s.rlike(r"(^|\.)0[0-9]"), "ip")
-        .when(whole["date"] & _days(s)[0].isNotNull(), "date")
-    )
+    octets = F.transform(F.split(s, r"\."), lambda x: x.try_cast("int"))
+    checks = {
+        "iban": mod97(F.concat(F.substring(bare, 5, 40), F.substring(bare, 1, 4))) == 1,
+        "card": F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1+$"),
+        "ssn": ~d.rlike("^(000|666|9)|^...00|0000$"),
+        "phone": F.lit(True),
+        "ip": F.forall(octets, lambda x: x <= 255) & ~s.rlike(r"(^|\.)0[0-9]"),
+        "date": date_of(s).isNotNull(),
+        "intl": F.length(d).between(8, 15),
+    }
+    out = F.lit(None).cast("string")
+    for name, shape in reversed(shapes.items()):
+        out = F.when(F.when(s.rlike(f"^(?:{shape})$"), checks[name]).otherwise(False), name).otherwise(out)
+    return out
+
+
+_VALUE = "struct<s:string,kind:string>"
 
 
-def _parts(s: Column, shape: str) -> Column:
-    """array<struct<s, kind>>: s cut at its groups into values of a shape that are valid and what is between.
+def _tier(s: Column, shapes: dict[str, str], before: Column) -> Column:
+    """array<struct<s, kind>>: a cluster cut into the values of these kinds and what is between (kind null).
 
-    Leftmost first, the longest of those that start at the same group.
+    before is the character in front of s.
     """
+    some = "(?:" + "|".join(f"(?:{p})" for p in shapes.values()) + ")"
+    starts, whole = f"^{some}(?![A-Z0-9])", f"^{some}$"
+    alone = F.array(F.struct(s.alias("s"), F.lit(None).cast("string").alias("kind")))
 
-    def of(tokens: Column) -> Column:
-        n = F.size(tokens)
+    def of(pieces: Column) -> Column:
+        n = F.size(pieces)
 
-        def hit(i: Column) -> Column:
-            ends = F.sequence(F.least(i + 14, n - 1), i, F.lit(-1))
-            runs = F.filter(F.transform(ends, lambda j: F.struct(j.alias("j"), F.array_join(F.slice(tokens, i + 1, j - i + 1), "").alias("s"))), lambda x: x["s"].rlike(shape))
-            valued = F.transform(runs, lambda x: F.struct(x["j"].alias("j"), x["s"].alias("s"), kind_of(x["s"]).alias("kind")))
-            return F.get(F.filter(valued, lambda x: x["kind"].isNotNull()), F.lit(0))
+        def hit(p: Column, i: Column) -> Column:
+            """struct<j, s, kind>: the longest value that starts at piece i, or null."""
+            joined = lambda j: F.array_join(F.slice(pieces, i + 1, j - i + 1), "")
+            ends = F.sequence(F.least(i + PIECES, n) - 1, i, F.lit(-1))
+            runs = F.filter(F.transform(ends, lambda j: F.struct(j.alias("j"), joined(j).alias("s"))), lambda x: x["s"].rlike(whole) & F.get(pieces, x["j"]).rlike("^[A-Z0-9]"))
+            valued = F.transform(runs, lambda x: F.struct(x["j"].alias("j"), x["s"].alias("s"), kind_of(x["s"], shapes).alias("kind")))
+            free = p.rlike("^[A-Z0-9]") | (p.isin("+", "(") & ~F.coalesce(F.get(pieces, i - 1), before).rlike("^[A-Z0-9]"))
+            can = F.when(free, joined(i + PIECES).rlike(starts)).otherwise(False)
+            return F.when(can, F.get(F.filter(valued, lambda x: x["kind"].isNotNull()), F.lit(0)))
 
-        def add(acc: Column, i: Column) -> Column:
-            one = lambda h: F.struct(F.coalesce(h["j"] + 1, i + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(F.coalesce(h["s"], F.get(tokens, i)).alias("s"), h["kind"].alias("kind")))).alias("out"))
-            return F.when(i < acc["at"], acc).otherwise(F.get(F.transform(F.array(hit(i)), one), F.lit(0)))
+        places = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("p"), hit(p, i).alias("h")))
+        # state: the piece that comes next, and what came since the last value.
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"))
+        one = lambda v, kind: F.struct(v.alias("s"), kind.alias("kind"))
+        none = F.array().cast(f"array<{_VALUE}>")
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:string,kind:string>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, add, lambda acc: acc["out"])
+        def step(state: Column, x: Column) -> Column:
+            skip = F.struct(state.alias("state"), none.alias("out"))
+            plain = F.struct(F.struct((x["i"] + 1).alias("at"), F.concat(state["before"], x["p"]).alias("before")).alias("state"), none.alias("out"))
+            value = F.struct(F.struct((x["h"]["j"] + 1).alias("at"), F.lit("").alias("before")).alias("state"), F.array(one(state["before"], F.lit(None).cast("string")), one(x["h"]["s"], x["h"]["kind"])).alias("out"))
+            return F.when(x["i"] < state["at"], skip).when(x["h"].isNotNull(), value).otherwise(plain)
 
-    return F.get(F.transform(F.array(F.regexp_extract_all(s, F.lit(r"\+?[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0))), of), F.lit(0))
+        # What follows the last value: an end mark flushes it.
+        mark = F.struct(n.alias("i"), F.lit("").alias("p"), F.lit(None).cast("struct<j:int,s:string,kind:string>").alias("h"))
 
+        def flushed(state: Column, x: Column) -> Column:
+            last = F.struct(state.alias("state"), F.array(one(state["before"], F.lit(None).cast("string"))).alias("out"))
+            return F.when(x["i"] == n, last).otherwise(step(state, x))
 
-def values_of(s: Column) -> Column:
-    """array<struct<s, kind>> of a candidate: itself, or what valid values it holds beside other groups.
+        return F.filter(gathered(F.concat(places, F.array(mark)), start, flushed, _VALUE), lambda v: v["s"] != "")
 
-    A number as it is written, beside others, comes first; then the whole candidate; where that is
-    invalid, any valid value that begins and ends at its groups.
-    """
-    whole = F.array(F.struct(s.alias("s"), kind_of(s).alias("kind")))
-    some = lambda xs: F.exists(xs, lambda x: x["kind"].isNotNull())
-    first = lambda xs, other: F.get(F.transform(F.array(xs), lambda x: F.when(some(x), x).otherwise(other)), F.lit(0))
-    many = (F.length(_digits(s)) >= 13) & s.rlike("[0-9][^0-9]+[0-9]")
-    inside = first(whole, F.when(many, _parts(s, INSIDE)).otherwise(F.array(F.struct(s.alias("s"), F.lit(None).cast("string").alias("kind")))))
-    return F.when(many & s.rlike(f"^{RUN}$"), first(_parts(s, WRITTEN), inside)).otherwise(inside)
+    # A cluster without a shape in it has no values: most numbers end here.
+    return F.when(s.rlike(f"(?<![A-Z0-9]){some}(?![A-Z0-9])"), let(F.regexp_extract_all(s, F.lit(PIECE), F.lit(0)), of)).otherwise(alone)
+
+
+def values_of(s: Column) -> Column:
+    """array<struct<s, kind>> of a candidate: a mail address, or a cluster cut into values and what is between."""
+    mail = F.array(F.struct(s.alias("s"), F.lit("email").alias("kind")))
+    weak = lambda v, i: F.when(v["kind"].isNotNull(), F.array(v)).otherwise(_tier(v["s"], WEAK, F.when(i == 0, " ").otherwise("0")))
+    return F.when(F.instr(s, "@") > 0, mail).otherwise(F.flatten(F.transform(_tier(s, STRONG, F.lit(" ")), weak)))
 
 
 def pseudonym(s: Column, kind: Column, key: str, direction: int = 1) -> Column:
@@ -234,38 +275,45 @@ def pseudonym(s: Column, kind: Column, key: str, direction: int = 1) -> Column:
     d = _digits(s)
     n = F.length(d)
     # Cards keep their first digit and get a new check digit.
-    body = F.concat(F.substring(d, 1, 1), _permuted_digits(F.substring(d, F.lit(2), n - 2), key, F.concat(F.lit("card"), F.substring(d, 1, 1)), direction))
-    check = F.pmod(F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    card = _filled(s, F.concat(body, check), "[0-9]")
+    body = F.concat(F.substring(d, 1, 1), permuted_text(F.substring(d, F.lit(2), n - 2), key, F.concat(F.lit("card"), F.substring(d, 1, 1)), direction))
+    check = lambda b: F.concat(b, F.pmod(F.lit(10) - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+    card = let(let(body, check), lambda c: _filled(s, c, "[0-9]"))
     # Social security numbers: 898 areas (1-899 without 666), 99 groups, 9999 serials.
     area = F.substring(d, 1, 3).cast("long")
     place = (area - F.when(area > 666, 2).otherwise(1)) * 99 + F.substring(d, 4, 2).cast("long") - 1
     at = feistel(place * 9999 + F.substring(d, 6, 4).cast("long") - 1, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), key, F.lit("ssn"), direction)
-    top = _over(at, F.lit(9999).cast("long"))
-    a0 = _over(top, F.lit(99).cast("long")) + 1
-    new_area = a0 + F.when(a0 >= 666, 1).otherwise(0)
-    ssn = F.format_string("%03d-%02d-%04d", new_area, top % 99 + 1, at % 9999 + 1)
+
+    def ssn_text(at: Column) -> Column:
+        top = _over(at, F.lit(9999).cast("long"))
+        a0 = _over(top, F.lit(99).cast("long")) + 1
+        return F.format_string("%03d-%02d-%04d", a0 + F.when(a0 >= 666, 1).otherwise(0), top % 99 + 1, at % 9999 + 1)
+
     # North American numbers: area and exchange from 200 to 999, line of four digits.
     ten = F.right(d, F.lit(10))
-    line = F.substring(ten, 7, 4).cast("long")
-    x = ((F.substring(ten, 1, 3).cast("long") - 200) * 800 + F.substring(ten, 4, 3).cast("long") - 200) * 10_000 + line
-    y = feistel(x, F.lit(80_000).cast("long"), F.lit(80_000).cast("long"), key, F.lit("phone"), direction)
-    high = _over(y, F.lit(10_000).cast("long"))
-    new_ten = F.format_string("%03d%03d%04d", _over(high, F.lit(800).cast("long")) + 200, high % 800 + 200, y % 10_000)
-    phone = _filled(s, F.concat(F.substring(d, F.lit(1), n - 10), new_ten), "[0-9]")
+    x = ((F.substring(ten, 1, 3).cast("long") - 200) * 800 + F.substring(ten, 4, 3).cast("long") - 200) * 10_000 + F.substring(ten, 7, 4).cast("long")
+
+    def phone_text(y: Column) -> Column:
+        high = _over(y, F.lit(10_000).cast("long"))
+        new_ten = F.format_string("%03d%03d%04d", _over(high, F.lit(800).cast("long")) + 200, high % 800 + 200, y % 10_000)
+        return let(F.concat(F.substring(d, F.lit(1), n - 10), new_ten), lambda c: _filled(s, c, "[0-9]"))
+
+    phone = let(feistel(x, F.lit(80_000).cast("long"), F.lit(80_000).cast("long"), key, F.lit("phone"), direction), phone_text)
     # Other countries: all but the first three digits.
-    intl = _filled(s, F.concat(F.substring(d, 1, 3), _permuted_digits(F.substring(d, F.lit(4), n), key, F.concat(F.lit("intl"), F.substring(d, 1, 3)), direction)), "[0-9]")
-    octet = lambda i: F.element_at(F.split(s, r"\."), i).try_cast("long")
-    v = feistel(((octet(1) * 256 + octet(2)) * 256 + octet(3)) * 256 + octet(4), F.lit(65_536).cast("long"), F.lit(65_536).cast("long"), key, F.lit("ip"), direction)
-    ip = F.concat_ws(".", *[F.shiftright(v, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)])
+    intl = let(F.concat(F.substring(d, 1, 3), permuted_text(F.substring(d, F.lit(4), n), key, F.concat(F.lit("intl"), F.substring(d, 1, 3)), direction)), lambda c: _filled(s, c, "[0-9]"))
+    octet = lambda i: F.get(F.split(s, r"\."), F.lit(i)).try_cast("long")
+    v = feistel(((octet(0) * 256 + octet(1)) * 256 + octet(2)) * 256 + octet(3), F.lit(65_536).cast("long"), F.lit(65_536).cast("long"), key, F.lit("ip"), direction)
+    ip = let(v, lambda v: F.concat_ws(".", *[F.shiftright(v, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)]))
     local, domain = F.regexp_extract(s, "^([^@]*)", 1), F.regexp_extract(s, "(@.*)$", 1)
-    email = F.concat(_permuted_text(local, key, F.concat(F.lit("email"), F.lower(domain)), direction), domain)
+    email = F.concat(permuted_text(local, key, F.concat(F.lit("email"), F.lower(domain)), direction), domain)
     bare = F.regexp_replace(s, " ", "")
     country, account = F.substring(bare, 1, 2), F.substring(bare, 5, 40)
-    fresh = _permuted_text(account, key, F.concat(F.lit("iban"), country), direction)
-    sums = F.lpad((F.lit(98) - mod97(F.concat(fresh, country, F.lit("00")))).cast("string"), 2, "0")
-    iban = _filled(s, F.concat(country, sums, fresh), "[A-Z0-9]")
-    made = {"email": email, "iban": iban, "card": card, "ssn": ssn, "phone": phone, "intl": intl, "ip": ip, "date": _date_pseudonym(s, key, direction)}
+
+    def iban_text(fresh: Column) -> Column:
+        sums = F.lpad((F.lit(98) - mod97(F.concat(fresh, country, F.lit("00")))).cast("string"), 2, "0")
+        return let(F.concat(country, sums, fresh), lambda c: _filled(s, c, "[A-Z0-9]"))
+
+    iban = let(permuted_text(account, key, F.concat(F.lit("iban"), country), direction), iban_text)
+    made = {"email": email, "iban": iban, "card": card, "ssn": let(at, ssn_text), "phone": phone, "intl": intl, "ip": ip, "date": _date_pseudonym(s, key, direction)}
     out = s
     for name, value in made.items():
         out = F.when(kind == name, value).otherwise(out)
@@ -276,8 +324,8 @@ def pseudonymised(docs: DataFrame, key: str, direction: int = 1) -> DataFrame:
     """One row per document: doc_id, text with pseudonyms, n_found, n_<kind> for each kind, spans.
 
     spans are kind:start:end of what was replaced, in the text as it was (code points, end exclusive).
-    Values that fail validation, and texts without any, stay as they are; null is the empty text. Repeated
-    rows get the same text, no rows give no rows, extra columns are ignored.
+    What passes no check, and texts without values, stay as they are; null is the empty text. Repeated
+    rows get the same text, texts of any length are read whole, no rows give no rows, extra columns are ignored.
     """
     text = F.col("text")
     rows = docs.select("doc_id", whole_text().alias("text"))
@@ -287,25 +335,20 @@ def pseudonymised(docs: DataFrame, key: str, direction: int = 1) -> DataFrame:
     each = lambda z: F.transform(values_of(z["hits"]), lambda v, i: F.struct(F.when(i == 0, z["gaps"]).otherwise("").alias("gap"), v["s"].alias("s"), v["kind"].alias("kind")))
     valued = F.flatten(F.transform(F.arrays_zip(F.slice("gaps", 1, F.size("hits")).alias("gaps"), "hits"), each))
     rows = rows.withColumn("found", F.when(F.size("hits") > 0, valued))
+    has = F.coalesce(F.exists("found", lambda v: v["kind"].isNotNull()), F.lit(False))
+    rows = rows.withColumn("has", has)
     pieces = F.transform("found", lambda v: F.concat(v["gap"], F.when(v["kind"].isNull(), v["s"]).otherwise(pseudonym(v["s"], v["kind"], key, direction))))
     pieces = F.concat(pieces, F.array(F.element_at("gaps", -1)))
-    has = F.size("hits") > 0
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def place(acc: Column, z: Column) -> Column:
-        start = acc["at"] + F.length(z["gap"])
-        end = start + F.length(z["s"])
-        more = F.when(z["kind"].isNotNull(), F.array(F.concat_ws(":", z["kind"], start, end))).otherwise(F.array().cast("array<string>"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], more).alias("out"))
-
-    spans = F.aggregate("found", zero, place, lambda acc: F.array_join(acc["out"], ","))
-    count = lambda k: F.coalesce(F.when(has, F.size(F.filter("found", lambda v: v["kind"].isNotNull() if k is None else v["kind"] == k))), F.lit(0)).cast("long")
+    ends = running_sums(F.transform("found", lambda v: F.length(v["gap"]) + F.length(v["s"])))
+    placed = F.filter(F.arrays_zip(F.col("found").alias("v"), ends.alias("end")), lambda z: z["v"]["kind"].isNotNull())
+    spans = F.array_join(F.transform(placed, lambda z: F.concat_ws(":", z["v"]["kind"], z["end"] - F.length(z["v"]["s"]), z["end"])), ",")
+    count = lambda k: F.coalesce(F.when(F.col("has"), F.size(F.filter("found", lambda v: v["kind"].isNotNull() if k is None else v["kind"] == k))), F.lit(0)).cast("long")
     return rows.select(
         "doc_id",
-        F.when(has, F.array_join(pieces, "")).otherwise(text).alias("text"),
+        F.when(F.col("has"), F.array_join(pieces, "")).otherwise(text).alias("text"),
         count(None).alias("n_found"),
         *[count(k).alias(f"n_{k}") for k in KINDS],
-        F.coalesce(F.when(has, spans), F.lit("")).alias("spans"),
+        F.when(F.col("has"), spans).otherwise("").alias("spans"),
     )
 
 

@@ -1,5 +1,6 @@
 """Operators on odd rows and against brute force; the registered queries against SQL on the smallest tables."""
 
+import datetime
 import hashlib
 import itertools
 import random
@@ -374,6 +375,119 @@ def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
 
+def valid_day(s):
+    parts = [int(x) for x in re.split("[-/.]", s)]
+    for y, m, d in [parts] if s[4:5] == "-" else [(parts[2], parts[1], parts[0]), (parts[2], parts[0], parts[1])]:
+        try:
+            return bool(datetime.date(y, m, d))
+        except ValueError:
+            pass
+    return False
+
+
+def passes(kind, s):
+    d, bare = re.sub("[^0-9]", "", s), s.replace(" ", "")
+    if kind == "iban":
+        return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    if kind == "card":
+        return 13 <= len(d) <= 19 and luhn(d) and len(set(d)) > 1
+    if kind == "ssn":
+        return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+    if kind == "ip":
+        return all(int(x) <= 255 and str(int(x)) == x for x in s.split("."))
+    return valid_day(s) if kind == "date" else 8 <= len(d) <= 15 if kind == "intl" else True
+
+
+def brute_values(text):
+    """Every span of every place is looked at, tier by tier."""
+    own = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    found = [(m.start(), m.end(), "email") for m in re.finditer(r"(?<![A-Za-z0-9_])" + pii.EMAIL, text)]
+    for shapes in (pii.STRONG, pii.WEAK):
+        taken, at = sorted(found), 0
+        for a, b, _ in [*taken, (len(text), len(text), "")]:
+            i = at
+            while i < a:
+                hit = None
+                if not (i and own(text[i - 1])):
+                    for j in range(min(a, i + 60), i, -1):
+                        if own(text[j - 1]) and not (j < len(text) and own(text[j])):
+                            hit = next((k for k, p in shapes.items() if re.fullmatch(p, text[i:j]) and passes(k, text[i:j])), None)
+                        if hit:
+                            found.append((i, j, hit))
+                            break
+                i = j if hit else i + 1
+            at = b
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(found))
+
+
+def private_texts(rng, n):
+    def card(size=16):
+        body = rng.choice("3456") + "".join(rng.choices(string.digits, k=size - 2))
+        return next(body + c for c in string.digits if luhn(body + c))
+
+    def iban():
+        account = rng.choice(["", "WEST"]) + "".join(rng.choices(string.digits, k=rng.choice([14, 18])))
+        return f"GB{98 - int(''.join(str(int(c, 36)) for c in account + 'GB00')) % 97:02d}" + account
+
+    fours = lambda s, sep=" ": sep.join(s[i : i + 4] for i in range(0, len(s), 4))
+    digits = lambda k: "".join(rng.choices(string.digits, k=k))
+    makers = [
+        card, lambda: fours(card()), lambda: fours(card(), "-"), lambda: card(rng.randint(13, 19)), lambda: (lambda c: f"{c[:4]} {c[4:10]} {c[10:]}")(card(15)), lambda: (lambda c: f"{c[:6]} {c[6:]}")(card(19)),
+        iban, lambda: fours(iban()), lambda: f"{rng.randint(0, 899):03d}-{rng.randint(0, 99):02d}-{digits(4)}", lambda: rng.choice(["", "+1 ", "1-", "+1."]) + rng.choice(["(469) 555-", "469-555-", "469.555.", "469 555 "]) + digits(4), lambda: "+1469555" + digits(4),
+        lambda: rng.choice(["+49 30 ", "+44 (20) ", "+33-1-"]) + rng.choice(["901820", "9018 2034", "90.18.20"]), lambda: ".".join(str(rng.randint(0, 300)) for _ in range(4)),
+        lambda: f"{rng.choice([1, 987, 1899, 2024, 2100, 9999]):04d}-{rng.randint(0, 13):02d}-{rng.randint(1, 31):02d}", lambda: f"{rng.randint(1, 31)}{rng.choice('/.')}{rng.randint(1, 31)}/{rng.randint(1850, 2150)}",
+        lambda: rng.choice(["a.Bc12", "jo_e", "7", "x+1"]) + "@" + rng.choice(["mail8.example.com", "x.org", "no-dot"]), lambda: digits(rng.randint(1, 6)), lambda: rng.choice(["EUR", "and", "USA", "12/27", "3 times", "x", "AB", "a1", "_", "é", "WEST"]),
+    ]
+    seps = [" ", " ", " ", "", ", ", "-", ".", "/", "  ", "\n", "(", ") ", "_", " +", ":", "@"]
+    return ["".join(x for _ in range(rng.randint(1, 6)) for x in (rng.choice(makers)(), rng.choice(seps))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_every_valid_value_is_found(spark, seed):
+    """Values that touch words, digits and each other, against a search of all spans; pseudonyms keep kind and place."""
+    texts = private_texts(random.Random(seed), 1500)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.pseudonymised(docs, "k").orderBy("doc_id").collect()
+    wrong = [(t, r["spans"], brute_values(t)) for t, r in zip(texts, rows, strict=True) if r["spans"] != brute_values(t)]
+    assert wrong == []
+    assert len({k for r in rows for k in re.findall("[a-z]+", r["spans"])}) == 8
+    linked = {}
+    for t, r in zip(texts, rows, strict=True):
+        assert len(re.sub("[0-9/.]", "", r["text"])) == len(re.sub("[0-9/.]", "", t)) or "date" in r["spans"] or "email" in r["spans"]
+        shift = 0
+        for span in filter(None, r["spans"].split(",")):
+            kind, a, b = span.split(":")
+            value, a = t[int(a) : int(b)], int(a) + shift
+            if kind == "date":
+                new = r["text"][a : a + 10]
+            elif kind == "ip":
+                new = re.match(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r["text"][a:])[0]
+            else:
+                new = r["text"][a : a + len(value)]
+            shift += len(new) - len(value)
+            assert passes(kind, new) and linked.setdefault((kind, value), new) == new
+            if kind not in ("date", "ip"):
+                assert re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", new))) == re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", value)))
+    assert sum(a != b for (_, a), b in linked.items()) > 0.99 * len(linked)
+
+
+def test_values_beside_words_and_dates(spark):
+    texts = ["4944339490429605 12/27", "4944339490429605 3 times", "4944-3394-9042-9605 123", "AT611904300234573201 EUR now", "+49 30 901820 2024-01-02", "+14695558958 12", "0987-05-06"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["spans"] for r in pii.pseudonymised(docs, "k").orderBy("doc_id").collect()]
+    assert got == ["card:0:16", "card:0:16", "card:0:19", "iban:0:20", "intl:0:13,date:14:24", "phone:0:12", "date:0:10"]
+
+
+def test_a_very_long_text_of_values(spark):
+    """Places stay right over many thousand values, in a cluster without end and in pieces."""
+    one, n = "4944339490429605 12 ", 3000
+    texts = [one * n, (one + "and x@y.org ") * n]
+    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert rows[0]["spans"] == ",".join(f"card:{20 * i}:{20 * i + 16}" for i in range(n))
+    assert rows[1]["spans"] == ",".join(f"card:{32 * i}:{32 * i + 16},email:{32 * i + 24}:{32 * i + 31}" for i in range(n))
+    assert [len(r["text"]) for r in rows] == [len(t) for t in texts]
+
+
 def test_pseudonyms(spark, odd, none):
     docs = spark.createDataFrame(list(enumerate(PRIVATE)), "doc_id long, text string")
     rows = pii.pseudonymised(docs, "k").orderBy("doc_id").collect()
@@ -403,6 +517,15 @@ def test_values_beside_other_numbers(spark):
     assert [r["text"] for r in back] == texts
 
 
+def test_text_permutes(spark):
+    for shape in ("00", "a", "A0", "0-0"):
+        pools = [string.digits if c == "0" else string.ascii_lowercase if c == "a" else string.ascii_uppercase if c == "A" else c for c in shape]
+        every = ["".join(x) for x in itertools.product(*pools)]
+        rows = spark.createDataFrame([(x,) for x in every], "s string").select("s", pii.permuted_text(F.col("s"), "k", F.lit("t")).alias("y"))
+        rows = rows.withColumn("z", pii.permuted_text(F.col("y"), "k", F.lit("t"), -1)).collect()
+        assert sorted(r["y"] for r in rows) == sorted(every) and all(r["s"] == r["z"] for r in rows)
+
+
 def test_feistel_permutes(spark):
     for a, b in ((7, 5), (10, 10), (26, 1), (13, 1)):
         rows = spark.range(a * b).select(pii.feistel(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), "k", F.lit("t")).alias("y")).collect()
