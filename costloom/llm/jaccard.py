@@ -114,11 +114,11 @@ def linkable_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link. Shingles outside the shared ones can't be in both."""
+    """a, b, shared, n_a, n_b: the pairs whose sets link, with their overlap. Shingles outside the shared ones can't be in both."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("shared"), "n_a", "n_b")
+    return met.filter(100 * F.col("shared") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
 
 def anchored(sets: DataFrame) -> DataFrame:
@@ -206,15 +206,40 @@ def candidates(sets: DataFrame, light: int) -> DataFrame:
                 yield from _long_rows(schema, columns)
 
     keys = cut(sets.select("doc_id", "n", "label", "shingles").mapInArrow(run, "key long, doc_id long, n int, left int, cap int, label long"))
-    several = keys.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least"), F.max("cap").alias("most")).filter("x <> y").select("key", "least", "most")
+    # By key and label first: a key of one label ends here. Of a key with several, the rows outside its largest
+    # label meet all its rows; those of the largest, however many, don't meet each other.
+    by = keys.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("cap").alias("most"))
+    several = by.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("top"), F.min("least").alias("least"), F.max("most").alias("most")).filter("labels > 1").select("key", "top", "least", "most")
     left = cut(keys.join(several, "key").filter("least <= cap AND n <= most").drop("least", "most"))
     right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "left", "cap", "label")])
     union = 100 + PERCENT
     need = F.ceil(F.lit(PERCENT) * (F.col("n") + F.col("n_b")) / F.lit(union))
-    ok = (F.col("doc_id") < F.col("doc_id_b")) & (F.col("label") != F.col("label_b")) & (F.least("left", "left_b") >= need) & (F.col("n") <= F.col("cap_b")) & (F.col("n_b") <= F.col("cap"))
-    light_pair = F.least("n", "n_b") <= light
-    heavy_pair = F.least("n", "n_b") > light
-    return left.join(right, "key").filter(ok & (light_pair | heavy_pair)).select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    once = (F.col("label_b") == F.col("top")) | (F.col("doc_id") < F.col("doc_id_b"))
+    ok = once & (F.col("label") != F.col("label_b")) & (F.least("left", "left_b") >= need) & (F.col("n") <= F.col("cap_b")) & (F.col("n_b") <= F.col("cap"))
+    met = left.filter("label <> top").join(right, "key").filter(ok)
+    return met.select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")).distinct()
+
+
+def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_hash of every document; the classes of equal sets: their hash, least doc_id, copies)."""
+    rows = cut(set_sizes(docs))
+    return rows, cut(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+
+
+def jaccard_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): every link of two different sets, and which documents have which set.
+
+    pairs: a < b (the least doc_id of each set), shared, n_a, n_b (the overlap and the sizes). members: doc_id,
+    n_shingles, class_id (that least doc_id; null without shingles or id). Two documents link where they
+    have one class_id or their classes are a pair. No pair is left out, so a group of n near copies with
+    different sets gives up to n * n / 2 rows; jaccard_components gives one row a document instead.
+    Odd rows are as there.
+    """
+    rows, classes = set_classes(docs)
+    sets = linkable_sets(docs, classes).withColumn("label", F.col("doc_id"))
+    pairs = verified(candidates(sets, boundary(sets)), sets)
+    members = rows.join(classes.select("n_shingles", "set_hash", F.col("doc_id").alias("class_id")), ["n_shingles", "set_hash"], "left")
+    return pairs, members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -226,8 +251,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links reach. Repeated rows are copies of each other. A row without doc_id has a size, no component
     and links nothing; one doc_id names one text. Extra columns are ignored; no rows give no rows.
     """
-    rows = cut(set_sizes(docs))
-    classes = cut(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    rows, classes = set_classes(docs)
     sets = linkable_sets(docs, classes)
     links = verified(anchored(sets), sets)
     close = cut(components(links))
@@ -245,7 +269,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the smallest id, with all columns as they were."""
+    """docs with one document of each component: the smallest id, with all columns as they were.
+
+    Rows without doc_id, and texts without words, link with nothing and stay; repeated rows of an id that stays all
+    stay (exact dedup comes before); no rows give no rows.
+    """
     found = jaccard_components(docs)
     gone = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
     return drop_listed(docs, gone, {"doc_id": F.col("doc_id")}, 24)

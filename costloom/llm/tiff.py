@@ -1,7 +1,8 @@
 """Media columns holding TIFF: walk the image directories, decode strips or tiles, one row per page.
 
-Decodes uncompressed, PackBits, LZW and deflate data, undoes horizontal (2) and floating-point (3)
-predictors, reads either byte order, chunky and planar samples of whole bytes. Each file is decoded inside
+Decodes uncompressed, PackBits, LZW (both bit orders) and deflate data, undoes horizontal (2) and floating-point
+(3) predictors, reads either byte order and fill order, chunky and planar samples of whole bytes and of
+1, 2 or 4 bits (given as a byte each). Each file is decoded inside
 one task, so memory is one file's; nothing is shuffled.
 """
 
@@ -23,7 +24,7 @@ from costloom.llm.common import emit, sliced, whole_text
 # Fixed values of the TIFF 6.0 format: field types to (size, struct letter); tags; compression schemes.
 FIELD = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i")}
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_LENGTH, TILE_AT, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+TILE_WIDTH, TILE_LENGTH, TILE_AT, TILE_BYTES, FILL_ORDER = 322, 323, 324, 325, 266
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
 
@@ -108,10 +109,29 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes, size: int) -> bytes:
-    first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, last, out = list(first), 9, None, bytearray()
+def _codes_low_first(data: bytes) -> Iterator[int]:
+    """Codes of the oldest files: least significant bit first, one code later to widen."""
+    acc = held = 0
+    width, free = 9, 258
+    for byte in data:
+        acc, held = acc | byte << held, held + 8
+        if held < width:
+            continue
+        code = acc & (1 << width) - 1
+        acc, held = acc >> width, held - width
+        yield code
+        if code == 256:
+            width, free = 9, 257  # the first code after it adds nothing
+        elif free < 4096:
+            free += 1
+            if free == 1 << width and width < 12:
+                width += 1
+
+
+def _codes_high_first(data: bytes) -> Iterator[int]:
+    """Codes as TIFF 6.0 has them: most significant bit first, one code early to widen."""
     acc = held = 0
+    width, free = 9, 258
     for byte in data:
         acc, held = acc << 8 | byte, held + 8
         if held < width:
@@ -119,10 +139,24 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         held -= width
         code = acc >> held
         acc &= (1 << held) - 1
+        yield code
+        if code == 256:
+            width, free = 9, 257
+        elif free < 4096:
+            free += 1
+            if free == (1 << width) - 1 and width < 12:
+                width += 1
+
+
+def lzw_decode(data: bytes, size: int) -> bytes:
+    first = [bytes((i,)) for i in range(256)] + [b"", b""]
+    table, last, out = list(first), None, bytearray()
+    old = data[:1] == b"\0" and len(data) > 1 and data[1] & 1  # a clear code, written low bits first
+    for code in _codes_low_first(data) if old else _codes_high_first(data):
         if code == 257:
             break
         if code == 256:
-            table, width, last = list(first), 9, None
+            table, last = list(first), None
             continue
         if last is None:
             if code > 255:
@@ -138,8 +172,6 @@ def lzw_decode(data: bytes, size: int) -> bytes:
             raise TiffError("LZW: code out of range")
         out += found
         last = found
-        if len(table) == (1 << width) - 1 and width < 12:
-            width += 1
         if len(out) >= size:
             break
     return bytes(out[:size])
@@ -207,6 +239,9 @@ def walk(data: bytes) -> Iterator[dict]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
+_TURNED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
 def page_samples(data: bytes, tags: dict) -> dict:
     """One page: its geometry and its samples as bytes, row by row."""
     one = lambda tag, default=None: tags.get(tag, [default])[0]
@@ -214,9 +249,11 @@ def page_samples(data: bytes, tags: dict) -> dict:
     bits = tags.get(BITS, [1])
     if not width or not height:
         raise TiffError("page without size")
-    if len(set(bits)) != 1 or bits[0] % 8 or bits[0] > 64:
+    if len(set(bits)) != 1 or bits[0] not in (1, 2, 4) and bits[0] % 8 or not 0 < bits[0] <= 64:
         raise TiffError(f"samples of {bits} bits")
-    size, kind, predictor = bits[0] // 8, one(COMPRESSION, 1), one(PREDICTOR, 1)
+    size, kind, predictor = -(-bits[0] // 8), one(COMPRESSION, 1), one(PREDICTOR, 1)
+    if bits[0] < 8 and predictor != 1:
+        raise TiffError(f"predictor {predictor} over {bits[0]} bits")
     tiled, planes = TILE_AT in tags, spp if one(PLANAR, 1) == 2 else 1
     if tiled:
         bw, bh, places, counts = one(TILE_WIDTH), one(TILE_LENGTH), tags[TILE_AT], tags.get(TILE_BYTES, [])
@@ -225,6 +262,9 @@ def page_samples(data: bytes, tags: dict) -> dict:
     if not bw or not bh or not places:
         raise TiffError("page without data")
     across, down, chunk = -(-width // bw), -(-height // bh), spp // planes
+    if not counts:  # some writers leave them out: each goes on to the next, or to the end
+        ends = sorted(set(places) | {len(data)})
+        counts = [next((e for e in ends if e > at), at) - at for at in places]
     if len(places) < across * down * planes or len(counts) < len(places):
         raise TiffError("strips or tiles are missing")
     out = np.zeros((height, width, spp, size), np.uint8)
@@ -233,11 +273,16 @@ def page_samples(data: bytes, tags: dict) -> dict:
             for i in range(across):
                 k = (plane * down + j) * across + i
                 rows = bh if tiled else min(bh, height - j * bh)
-                need = rows * bw * chunk * size
-                raw = _unpack(kind, data[places[k] : places[k] + counts[k]], need)
-                if len(raw) < need:
+                line = -(-bw * chunk * bits[0] // 8)  # a row begins at a whole byte
+                part = data[places[k] : places[k] + counts[k]]
+                raw = _unpack(kind, part.translate(_TURNED) if one(FILL_ORDER, 1) == 2 else part, rows * line)
+                if len(raw) < rows * line:
                     raise TiffError("strip or tile is too short")
-                block = _undo(predictor, np.frombuffer(raw, np.uint8).reshape(rows, bw, chunk, size), tags["order"], bw)
+                block = np.frombuffer(raw, np.uint8)
+                if bits[0] < 8:
+                    single = np.unpackbits(block.reshape(rows, line), axis=1).reshape(rows, -1, bits[0])
+                    block = np.packbits(np.pad(single, ((0, 0), (0, 0), (8 - bits[0], 0))), axis=2)[:, : bw * chunk, 0]
+                block = _undo(predictor, block.reshape(rows, bw, chunk, size), tags["order"], bw)
                 part = block[: height - j * bh, : width - i * bw]
                 out[j * bh : j * bh + part.shape[0], i * bw : i * bw + part.shape[1], plane * chunk : plane * chunk + chunk] = part
     return {"width": width, "height": height, "samples_per_pixel": spp, "bits": bits[0], "compression": kind, "predictor": predictor, "tiled": tiled, "samples": out.tobytes()}
@@ -327,8 +372,8 @@ def tiff_pages(df: DataFrame, id_col: str = "doc_id", media: str = "media", keep
     return out.withColumnsRenamed({f"own_{i}": c for i, c in enumerate(own)})
 
 
-#: How op1 stores a payload of at most so many bytes: compression, predictor, tile side or None for strips.
-LAYOUTS = ((512, LZW, 2, None), (2048, PACKBITS, 1, None), (16384, DEFLATE, 2, None), (None, DEFLATE, 2, 64))
+#: How op1 stores payloads, in turn by a hash of the payload, whatever its size: compression, predictor, tile side or None for strips.
+LAYOUTS = tuple((kind, predictor, tile) for kind in (LZW, PACKBITS, DEFLATE) for predictor in (1, 2) for tile in (None, 32))
 #: Samples of one page at most; a longer payload has more pages.
 PAGE_SAMPLES = 1 << 20
 
@@ -337,7 +382,7 @@ def text_as_tiff(text: str) -> bytes:
     """The text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as grey pages 64 wide."""
     payload = text.encode()
     payload += b"\0" * (-len(payload) % 64 or (0 if payload else 64))
-    _, kind, predictor, tile = next(x for x in LAYOUTS if x[0] is None or len(payload) <= x[0])
+    kind, predictor, tile = LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
     return write_tiff([{"width": 64, "data": payload[i : i + PAGE_SAMPLES], "compression": kind, "predictor": predictor, "tile": tile} for i in range(0, len(payload), PAGE_SAMPLES)])
 
 
@@ -358,7 +403,8 @@ def stored_texts(docs: DataFrame) -> DataFrame:
 def payload_features(docs: DataFrame) -> DataFrame:
     """Stores the texts as TIFF, reads the pages back by tiff_pages and describes each document's payload.
 
-    n_bytes is the text's length in UTF-8 before the padding. Equal texts give equal values in every column.
+    n_bytes is the text's length in UTF-8 before the padding. Equal texts give equal values in every column;
+    null is the empty text, repeated rows give a row each, no rows none, extra columns are ignored.
     """
     pages = tiff_pages(stored_texts(docs), keep=("n_bytes",))
 

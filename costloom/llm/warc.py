@@ -1,18 +1,27 @@
 """Web archive revisits: a not-modified capture gets the latest earlier full response of its URL.
 
-An as-of join on (canonical URL, time) of narrow rows: payloads don't move. A URL's captures are dealt into
-time buckets of bounded size, the last full response of each bucket is carried over the buckets, and
-inside a bucket a window finds the latest one before each revisit, so a URL with a third of all captures
-is many small groups. Then validators are compared and the headers that a 304 may update are merged.
+An as-of join on (canonical URL, time) of narrow rows: payloads don't move, their digests do. Captures are dealt
+by ranges of (URL, time, id), so a URL with a third of all captures is many parts of even size, whatever
+its times. Inside a part a window carries the last full response of a URL forward; only the last URL of a
+part can go on in the next one, so what crosses parts is one row a part. Validators are compared and
+the headers that a 304 may update are merged where the window stands: nothing is joined back by id.
+
+read_warc gives the records of WARC files, gzip members or plain, as rows for resolve_revisits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gzip
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Captures of one URL that one window holds, about.
-BUCKET_ROWS = 5000
+from costloom.llm.common import checked_broadcast, cut, emit
+
 # Headers that a 304 response may bring up to date, and query parameters that only track.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = r"^(utm_[a-z]+|fbclid|gclid)="
@@ -34,19 +43,23 @@ def canonical_url(url: Column) -> Column:
 
 
 def _latest_before(rows: DataFrame) -> DataFrame:
-    """rows (record_id, key, time, full) with response_id: the last full one before (time, record_id)."""
-    stats = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("time").alias("t0"), F.max("time").alias("t1"))
-    buckets = F.ceil(F.col("n") / BUCKET_ROWS)
-    busy = stats.filter(F.col("n") > BUCKET_ROWS).select("key", "t0", ((F.col("t1") - F.col("t0") + 1) / buckets).alias("width"))
-    # URLs with few captures have one bucket; the busy ones are few and their number is bounded by rows / BUCKET_ROWS.
-    dealt = rows.join(busy, "key", "left").withColumn("bucket", F.coalesce(F.floor((F.col("time") - F.col("t0")) / F.col("width")), F.lit(0)))
+    """The revisits of rows (record_id, key, time, full, info) with before: the info of the last full one ahead of them."""
+    dealt = cut(rows.repartitionByRange("key", "time", "record_id").withColumn("part", F.spark_partition_id()))
     mark = F.when(F.col("full"), F.struct("time", "record_id"))
-    ends = dealt.groupBy("key", "bucket").agg(F.max(mark).alias("end"))
-    carried = ends.withColumn("before", F.max("end").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("key", "bucket", "before")
-    inside = Window.partitionBy("key", "bucket").orderBy("time", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    own = dealt.withColumn("own", F.max(mark).over(inside))
-    found = own.filter(~F.col("full")).join(carried.filter("before IS NOT NULL"), ["key", "bucket"], "left")
-    return found.select("record_id", F.coalesce("own.record_id", "before.record_id").alias("response_id"))
+    # One row a part: its first and its last key.
+    edge = cut(dealt.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last")))
+    side = checked_broadcast(edge, 512)
+    ends = dealt.filter("full").join(side.select(F.col("part").alias("of"), "last"), (F.col("part") == F.col("of")) & (F.col("key") == F.col("last")))
+    ends = ends.groupBy("key", "part").agg(F.max_by("info", mark).alias("info"), F.max(mark).alias("at"))
+    asked = edge.select(F.col("first").alias("key"), "part", F.lit(None).cast(ends.schema["info"].dataType).alias("info"), F.lit(None).cast(ends.schema["at"].dataType).alias("at"))
+    ahead = Window.partitionBy("key").orderBy("part").rangeBetween(Window.unboundedPreceding, -1)
+    both = ends.withColumn("ask", F.lit(False)).unionByName(asked.withColumn("ask", F.lit(True)))
+    carried = both.withColumn("carried", F.max_by("info", "at").over(ahead)).filter("ask AND carried IS NOT NULL").select(F.col("key").alias("of_key"), F.col("part").alias("of"), "carried")
+    # At one time and id the revisit is not after the response.
+    inside = Window.partitionBy("part", "key").orderBy("time", "record_id", "full").rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumn("own", F.max_by("info", mark).over(inside)).filter(~F.col("full"))
+    found = own.join(checked_broadcast(cut(carried), 4096), (F.col("part") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    return found.select("record_id", "key", "time", "headers", F.coalesce("own", "carried").alias("before"))
 
 
 def _validator(name: str, side: str) -> Column:
@@ -63,24 +76,24 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     "missing" where there is none; "mismatch" where an ETag that both have (weak comparison), or without
     one a Last-Modified that both have, differs; "unvalidated" where they share no validator; else
     "resolved". Only resolved revisits get merged headers: the response's, with the permitted ones of the
-    revisit in their place. Null urls match nothing; null times come first; repeated rows resolve alike;
+    revisit in their place. Null urls match nothing; null times come first; repeated rows and ids resolve each;
     extra columns are ignored; no rows give no rows.
     """
-    full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("payload").isNotNull()
-    base = records.select("record_id", canonical_url(F.col("url")).alias("key"), F.coalesce("time", F.lit(-(1 << 62))).alias("time"), full.alias("full"), "kind")
-    asked = base.filter((F.col("kind") == "revisit") | F.col("full")).withColumn("full", F.coalesce("full", F.lit(False)))
-    found = _latest_before(asked.filter("key IS NOT NULL").select("record_id", "key", "time", "full")).distinct()
+    full = F.coalesce((F.col("kind") == "response") & (F.col("status") == 200) & F.col("payload").isNotNull(), F.lit(False))
     headers = F.coalesce("headers", F.create_map().cast("map<string,string>"))
-    revisits = records.filter("kind = 'revisit'").select("record_id", canonical_url(F.col("url")).alias("url_key"), "time", headers.alias("revisit_headers"))
     data = F.col("payload").cast("binary")
-    responses = records.filter(full).select(F.col("record_id").alias("response_id"), headers.alias("response_headers"), F.sha2(data, 256).alias("payload_sha256"), F.octet_length(data).cast("long").alias("payload_bytes")).dropDuplicates(["response_id"])
-    both = revisits.join(found, "record_id", "left").join(responses, "response_id", "left")
+    info = F.struct(F.col("record_id").alias("response_id"), headers.alias("headers"), F.sha2(data, 256).alias("payload_sha256"), F.octet_length(data).cast("long").alias("payload_bytes"))
+    kept = records.filter((F.col("kind") == "revisit") | full).select("record_id", canonical_url(F.col("url")).alias("key"), "time", full.alias("full"), F.when(~full, headers).alias("headers"), F.when(full, info).alias("info"))
+    rows = cut(kept.filter("key IS NOT NULL OR NOT full"))
+    alone = rows.filter("key IS NULL").select("record_id", "key", "time", "headers", F.lit(None).cast(rows.schema["info"].dataType).alias("before"))
+    both = _latest_before(rows.filter("key IS NOT NULL")).unionByName(alone)
+    both = both.select("record_id", F.col("key").alias("url_key"), "time", F.col("headers").alias("revisit_headers"), F.col("before.response_id").alias("response_id"), F.col("before.headers").alias("response_headers"), "before.payload_sha256", "before.payload_bytes", F.col("before").isNotNull().alias("there"))
 
     def compare(name: str) -> Column:
         return _validator(name, "revisit") == _validator(name, "response")
 
     same = F.coalesce(compare("etag"), compare("last-modified"))
-    state = F.when(F.col("response_id").isNull(), "missing").when(same.isNull(), "unvalidated").when(same, "resolved").otherwise("mismatch")
+    state = F.when(~F.col("there"), "missing").when(same.isNull(), "unvalidated").when(same, "resolved").otherwise("mismatch")
     updates = F.map_filter("revisit_headers", lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
     merged = F.map_concat(F.map_filter("response_headers", lambda k, _: ~F.map_contains_key(updates, k)), updates)
     ok = F.col("state") == "resolved"
@@ -88,6 +101,114 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return out.select("record_id", "url_key", "time", "response_id", "state", F.when(ok, merged).alias("headers"), F.when(ok, F.col("payload_sha256")).alias("payload_sha256"), F.when(ok, F.col("payload_bytes")).alias("payload_bytes"))
 
 
+_LINE = re.compile(rb"\r?\n")
+
+
+def _members(data: bytes) -> bytes:
+    """The bytes without gzip, whose members follow each other; a broken member ends them."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = bytearray()
+    while data[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(16 + zlib.MAX_WBITS)
+        try:
+            out += one.decompress(data) + one.flush()
+        except zlib.error:
+            break
+        data = one.unused_data
+    return bytes(out)
+
+
+def _fields(block: bytes) -> tuple[str, dict[str, str]]:
+    """(first line, fields by lower-case name); a folded line goes on, a repeated field is joined by commas."""
+    lines = [x.decode("utf-8", "replace") for x in _LINE.split(block)]
+    found: dict[str, str] = {}
+    name = ""
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = (x.strip() for x in line.split(":", 1))
+            name = name.lower()
+            found[name] = f"{found[name]}, {value}" if name in found else value
+    return lines[0] if lines else "", found
+
+
+def warc_records(data: bytes) -> Iterator[dict]:
+    """The response, resource and revisit records of a WARC file in order; what is cut off or broken ends it.
+
+    record_id is WARC-Record-ID, time whole seconds of WARC-Date (null where it can't be read), status and
+    headers those of the HTTP message in the block, payload its body undone of chunked and gzip coding;
+    revisits have none. profile and refers_to are the record's own fields.
+    """
+    import datetime
+
+    data, at = _members(data), 0
+    while True:
+        at = data.find(b"WARC/", at)
+        end = re.compile(rb"\r?\n\r?\n").search(data, max(at, 0))
+        if at < 0 or end is None:
+            return
+        version, own = _fields(data[at : end.start()])
+        size = own.get("content-length", "")
+        if not re.fullmatch(r"WARC/[0-9.]+", version) or not size.isdigit() or end.end() + int(size) > len(data):
+            return
+        block, at = data[end.end() : end.end() + int(size)], end.end() + int(size)
+        kind = own.get("warc-type")
+        if kind not in ("response", "resource", "revisit"):
+            continue
+        status, headers, payload = (200, {}, block) if kind == "resource" else (None, {}, b"")
+        if block[:5] == b"HTTP/":
+            cut_at = re.compile(rb"\r?\n\r?\n").search(block)
+            first, headers = _fields(block[: cut_at.start() if cut_at else len(block)])
+            parts = first.split()
+            status, payload = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None, block[cut_at.end() :] if cut_at else b""
+            if "chunked" in headers.get("transfer-encoding", "").lower():
+                payload = _unchunked(payload)
+            if headers.get("content-encoding", "").lower() in ("gzip", "x-gzip"):
+                try:
+                    payload = gzip.decompress(payload)
+                except (OSError, EOFError, zlib.error):
+                    pass
+        try:
+            when = datetime.datetime.fromisoformat(own.get("warc-date", "")).replace(tzinfo=datetime.UTC)
+            time = int(when.timestamp())
+        except ValueError:
+            time = None
+        url = own.get("warc-target-uri")
+        yield {
+            "record_id": own.get("warc-record-id"), "url": url.strip("<>") if url else None, "time": time, "kind": "revisit" if kind == "revisit" else "response", "status": status, "headers": list(headers.items()),
+            "payload": None if kind == "revisit" else payload, "profile": own.get("warc-profile"), "refers_to": own.get("warc-refers-to"),
+        }
+
+
+def _unchunked(body: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while (line := _LINE.search(body, at)) is not None:
+        size = body[at : line.start()].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size) or not int(size, 16):
+            break
+        out += body[line.end() : line.end() + int(size, 16)]
+        at = line.end() + int(size, 16) + 2
+    return bytes(out)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of warc_records of all files under path, with file. A file is one task's; files without records give none."""
+    schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("time", pa.int64()), ("kind", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("profile", pa.string()), ("refers_to", pa.string()), ("file", pa.string())])
+
+    def run(batches):
+        rows = emit(schema)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for record in warc_records(batch["content"][i].as_py() or b""):
+                    yield from rows.add(record | {"file": batch["path"][i].as_py()}, 500 + len(record["payload"] or b""))
+        yield from rows.rest()
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "record_id string, url string, time long, kind string, status int, headers map<string,string>, payload binary, profile string, refers_to string, file string")
+
+
 def pages_as_captures(pages: DataFrame) -> DataFrame:
     """A capture log of pages, two records each: the page at a minute of its own and, later, a revisit.
 
@@ -106,7 +227,7 @@ def pages_as_captures(pages: DataFrame) -> DataFrame:
     later = at + 31 + F.pmod(F.col("page_id") * 7919, F.lit(86_400))
     some = F.create_map(F.lit("date"), later.cast("string"), F.lit("content-type"), F.lit("ignored/ignored"))
     revisit = pages.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), F.concat("url", F.lit("#seen")).alias("url"), later.alias("time"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
+        (F.col("page_id") * 2 + 1).alias("record_id"), F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_source=feed#seen")).alias("url"), later.alias("time"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
         F.when(F.pmod("page_id", F.lit(11)) == 0, some).otherwise(F.map_concat(some, F.create_map(F.lit("etag"), sent))).alias("headers"), F.lit(None).cast("string").alias("payload"),
     )
     return response.unionByName(revisit)

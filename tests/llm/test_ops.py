@@ -1,11 +1,13 @@
 """Operators on odd rows and against brute force; the registered queries against SQL on the smallest tables."""
 
 import datetime
+import gzip
 import hashlib
 import itertools
 import random
 import re
 import string
+import struct
 import zlib
 from collections import Counter
 
@@ -150,6 +152,23 @@ def test_jaccard_brute_force(spark, monkeypatch, cost, seed):
     sets = brute_sets(texts)
     want = brute_components(range(len(texts)), sets)
     assert got == {i: (len(sets[i]), want[i]) for i in want}
+    pairs, members = (x.collect() for x in jaccard.jaccard_pairs(docs))
+    of = {r["doc_id"]: r["class_id"] for r in members}
+    assert of == {i: next((j for j in range(i + 1) if sets[j] == sets[i]), None) if sets[i] else None for i in range(len(texts))}
+    linked = {(i, j): (len(sets[i] & sets[j]), len(sets[i]), len(sets[j])) for i, j in itertools.combinations(sorted(set(of.values()) - {None}), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert {(r["a"], r["b"]): (r["shared"], r["n_a"], r["n_b"]) for r in pairs} == linked and len(pairs) == len(linked)
+
+
+def test_a_large_label_does_not_meet_itself(spark):
+    """One key of many sets of one component and one set of another: rows that meet are linear in the key's."""
+    n = 3000
+    shared = list(range(20))
+    rows = [(i, 20 + i % 2, 7 if i else 0, shared) for i in range(n)]
+    sets = spark.createDataFrame(rows, "doc_id long, n int, label long, shingles array<long>")
+    pairs = jaccard.candidates(sets, 0)
+    assert sorted(map(tuple, pairs.collect())) == [(0, i) for i in range(1, n)]
+    outside = sets.filter("label <> 7").count()
+    assert outside == 1  # of a key's n rows only this one meets all
 
 
 def test_jaccard_odd_rows(odd, none):
@@ -288,7 +307,7 @@ def test_lzw_over_many_codes():
 @pytest.mark.parametrize("order", "<>")
 @pytest.mark.parametrize("layout", tiff.LAYOUTS)
 def test_pages(spark, order, layout):
-    _, kind, predictor, tile = layout
+    kind, predictor, tile = layout
     data = bytes(random.Random(1).choices(range(256), k=64 * 90 * 3))
     page = {"width": 64, "data": data, "compression": kind, "predictor": predictor, "tile": tile}
     media = tiff.write_tiff([page, page | {"samples_per_pixel": 3}], order)
@@ -298,6 +317,98 @@ def test_pages(spark, order, layout):
     assert all(any(r["error"] for r in rows if r["doc_id"] == i) for i in (2, 3, 4))
 
 
+def by_hand(order, strips, **tags):
+    """A one-page file put together from the format's text, without the module's writer."""
+    out = struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 8 + sum(map(len, strips)))
+    places = [8 + sum(map(len, strips[:i])) for i in range(len(strips))]
+    fields = {256: tags["width"], 257: tags["height"], 258: [tags.get("bits", 8)] * tags.get("spp", 1), 259: tags["kind"], 262: 1, 266: tags.get("fill", 1), 273: places, 277: tags.get("spp", 1), 278: tags.get("rows", tags["height"]), 284: tags.get("planar", 1), 317: tags.get("predictor", 1)}
+    if not tags.get("bare"):
+        fields[279] = list(map(len, strips))
+    directory, more = struct.pack(order + "H", len(fields)), b""
+    base = len(out) + sum(map(len, strips)) + 2 + 12 * len(fields) + 4
+    for tag, value in sorted(fields.items()):
+        value = value if isinstance(value, list) else [value]
+        letter, code = ("I", 4) if tag in (273, 279) else ("H", 3)
+        raw = struct.pack(f"{order}{len(value)}{letter}", *value)
+        if len(raw) > 4:
+            more, raw = more + raw, struct.pack(order + "I", base + len(more))
+        directory += struct.pack(order + "HHI", tag, code, len(value)) + raw.ljust(4, b"\0")
+    return out + b"".join(strips) + directory + b"\0\0\0\0" + more
+
+
+def nine_bits(codes, low=False):
+    if low:
+        n = sum(c << 9 * i for i, c in enumerate(codes))
+        return n.to_bytes(-(-9 * len(codes) // 8), "little")
+    return int("".join(f"{c:09b}" for c in codes).ljust(-(-9 * len(codes) // 8) * 8, "0"), 2).to_bytes(-(-9 * len(codes) // 8))
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_files_put_together_by_hand(order):
+    def samples(strips, **tags):
+        return next(tiff.decoded(by_hand(order, strips, **tags)))["samples"]
+
+    # The worked examples of the formats' own texts.
+    runs, plain = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22") + b"\xaa" * 10
+    assert samples([runs], width=24, height=1, kind=32773) == plain
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    assert samples([nine_bits(codes)], width=3, height=3, kind=5) == bytes((7, 7, 7, 8, 8, 7, 7, 6, 6))
+    assert samples([nine_bits(codes, low=True)], width=3, height=3, kind=5) == bytes((7, 7, 7, 8, 8, 7, 7, 6, 6))
+    assert samples([zlib.compress(b"abcdef")], width=3, height=2, kind=8) == samples([zlib.compress(b"abcdef")], width=3, height=2, kind=32946) == b"abcdef"
+    assert samples([b"abc", b"def"], width=3, height=2, rows=1, kind=1) == samples([b"abc", b"def"], width=3, height=2, rows=1, kind=1, bare=True) == b"abcdef"
+    # Horizontal differences of three samples a pixel, of 16-bit samples, and planes one after the other.
+    assert samples([bytes((1, 2, 3, 1, 1, 1, 255, 0, 9))], width=3, height=1, spp=3, kind=1, predictor=2) == bytes((1, 2, 3, 2, 3, 4, 1, 3, 13))
+    assert samples([struct.pack(order + "3H", 300, 1, 65535)], width=3, height=1, bits=16, kind=1, predictor=2) == struct.pack(order + "3H", 300, 301, 300)
+    assert samples([b"ace", b"bdf"], width=3, height=1, spp=2, planar=2, kind=1) == b"abcdef"
+    # Floating-point differences: bytes by significance along the row, then differenced.
+    row = np.array([[1.5, -2.25, 3e7]], ">f4").view(np.uint8).reshape(3, 4).T.reshape(-1).astype(int)
+    coded = bytes(int(x) for x in np.diff(row, prepend=0) % 256)
+    assert samples([coded], width=3, height=1, bits=32, kind=1, predictor=3) == np.array([1.5, -2.25, 3e7], order + "f4").tobytes()
+    # Samples under a byte begin each row at a whole byte, in either bit order.
+    assert samples([bytes((0b10110000, 0b01000000))], width=4, height=2, bits=1, kind=1) == bytes((1, 0, 1, 1, 0, 1, 0, 0))
+    assert samples([bytes((0b00001101, 0b00000010))], width=4, height=2, bits=1, kind=1, fill=2) == bytes((1, 0, 1, 1, 0, 1, 0, 0))
+    assert samples([bytes((0x1F, 0x20, 0x3A, 0xB0))], width=3, height=2, bits=4, kind=1) == bytes((1, 15, 2, 3, 10, 11))
+    assert samples([bytes((0b11100100,))], width=4, height=1, bits=2, kind=1) == bytes((3, 2, 1, 0))
+
+
+def test_layouts_serve_texts_of_every_size():
+    rng = random.Random(4)
+    for size in (10, 1000, 30_000):
+        seen = Counter()
+        for _ in range(300):
+            text = "".join(rng.choices("abc ", k=size))
+            one = next(tiff.decoded(tiff.text_as_tiff(text)))
+            assert one["samples"].rstrip(b"\0").decode() == text
+            seen[one["compression"], one["predictor"], one["tiled"]] += 1
+            if size > 1000 and sum(seen.values()) >= 60:
+                break
+        assert len(seen) == len(tiff.LAYOUTS)
+
+
+def old_lzw(data):
+    """Codes low bits first, widened a code later than now."""
+    table, bits, n, run, width = {bytes((i,)): i for i in range(256)}, 256, 9, b"", 9
+    for i in range(len(data)):
+        more = run + data[i : i + 1]
+        if more in table:
+            run = more
+            continue
+        bits, n = bits | table[run] << n, n + width
+        table[more] = len(table) + 2
+        run = data[i : i + 1]
+        if table[more] == 1 << width and width < 12:
+            width += 1
+    for code in (table[run], 257):
+        bits, n = bits | code << n, n + width
+    return bits.to_bytes(-(-n // 8), "little")
+
+
+def test_old_lzw_over_several_widths():
+    rng = random.Random(1)
+    data = bytes(rng.choices(range(8), k=2500))
+    assert tiff.lzw_decode(old_lzw(data), len(data)) == data
+
+
 def test_predictor_of_floats():
     x = np.array([[1.5, -2.25, 3e7]], "<f4")
     raw = x.view(np.uint8).reshape(1, 3, 4)[..., ::-1].transpose(0, 2, 1).reshape(1, -1)
@@ -721,23 +832,76 @@ def brute_revisits(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", [3, 5000])
-def test_revisits(spark, monkeypatch, bucket):
-    monkeypatch.setattr(warc, "BUCKET_ROWS", bucket)
+CAPTURE = "record_id long, url string, time long, kind string, status int, headers map<string,string>, payload string"
+
+
+@pytest.mark.parametrize("times", ["spread", "bunched", "one null", "equal"])
+def test_revisits(spark, times):
+    """A URL with most captures, over many parts, whatever its times."""
     rng = random.Random(7)
     rows = []
-    for i in range(300):
-        url = "h.com/hot" if i % 3 == 0 else f"h.com/{rng.randint(0, 12)}"
+    for i in range(600):
+        url = "h.com/hot" if i % 3 else f"h.com/{rng.randint(0, 12)}"
         kind = rng.choice(["response", "revisit"])
         headers = {}
         if rng.random() < 0.7:
             headers["etag"] = rng.choice(["W/", ""]) + f'"{rng.randint(0, 1)}"'
         if rng.random() < 0.5:
             headers["last-modified"] = str(rng.randint(0, 1))
-        rows.append((i, url, rng.randint(0, 60), kind, 200 if rng.random() < 0.8 else 404, headers, "body" if kind == "response" else None))
-    frame = spark.createDataFrame([(r[0], f"http://{r[1]}", *r[2:]) for r in rows], "record_id long, url string, time long, kind string, status int, headers map<string,string>, payload string")
-    got = {r["record_id"]: (r["state"], r["response_id"]) for r in warc.resolve_revisits(frame).collect()}
-    assert got == brute_revisits(rows)
+        time = {"spread": rng.randint(0, 60), "bunched": 10**9 if i == 5 else rng.randint(0, 3), "one null": -1 if i == 1 else rng.randint(0, 60), "equal": 7}[times]
+        rows.append((i, url, time, kind, 200 if rng.random() < 0.8 else 404, headers, "body" if kind == "response" else None))
+    frame = spark.createDataFrame([(r[0], f"http://{r[1]}", None if r[2] < 0 else r[2], *r[3:]) for r in rows], CAPTURE)
+    found = warc.resolve_revisits(frame).collect()
+    assert {r["record_id"]: (r["state"], r["response_id"]) for r in found} == brute_revisits(rows)
+    assert Counter(r["record_id"] for r in found) == Counter(r[0] for r in rows if r[3] == "revisit")
+
+
+def test_no_part_holds_a_busy_url(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("record_id"), F.lit("http://h.com/x").alias("url"), F.when(F.col("id") > 0, F.lit(5)).cast("long").alias("time"), F.when(F.col("id") % 2 == 0, "response").otherwise("revisit").alias("kind"), F.lit(200).alias("status"), F.create_map().cast("map<string,string>").alias("headers"), F.when(F.col("id") % 2 == 0, "b").alias("payload"))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        base = rows.select("record_id", F.lit("k").alias("key"), "time", (F.col("kind") == "response").alias("full"), "headers", F.struct(F.col("record_id").alias("response_id")).alias("info"))
+        parts = base.repartitionByRange("key", "time", "record_id").groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) == 4 and max(r["count"] for r in parts) < 20_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    got = {r["record_id"]: r["response_id"] for r in warc.resolve_revisits(rows).collect()}
+    assert got == {i: i - 1 for i in range(1, 40_000, 2)}
+
+
+def test_repeated_ids_resolve_each(spark):
+    rows = [(1, "http://a/x", 1, "response", 200, {"etag": "1"}, "b"), (2, "http://b/x", 1, "response", 200, {"etag": "2"}, "bb"), (9, "http://a/x", 5, "revisit", 304, {"etag": "1"}, None), (9, "http://b/x", 5, "revisit", 304, {"etag": "2"}, None), (9, "http://b/x", 5, "revisit", 304, {"etag": "2"}, None), (None, "http://a/x", 6, "revisit", 304, None, None)]
+    got = sorted((r["url_key"], r["response_id"], r["payload_bytes"], r["state"]) for r in warc.resolve_revisits(spark.createDataFrame(rows, CAPTURE)).collect() if r["record_id"] == 9)
+    assert got == [("a/x", 1, 1, "resolved"), ("b/x", 2, 2, "resolved"), ("b/x", 2, 2, "resolved")]
+
+
+def warc_file(records, pack=False):
+    out = b""
+    for head, block in records:
+        lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
+        one = f"WARC/1.0\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        out += gzip.compress(one) if pack else one
+    return out
+
+
+@pytest.mark.parametrize("pack", [False, True])
+def test_warc_files(spark, tmp_path, pack):
+    body = b"HTTP/1.1 200 OK\r\nETag: \"a\"\r\nDate: old\r\nTransfer-Encoding: chunked\r\nX: 1\r\n 2\r\n\r\n4\r\nWARC\r\n3;x=y\r\n/1.\r\n0\r\n\r\n"
+    records = [
+        ({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:0>"}, b"software: x"),
+        ({"WARC-Type": "response", "WARC-Record-ID": "<urn:1>", "WARC-Target-URI": "http://H.com:80/p?b=1&a=2", "WARC-Date": "2024-01-02T03:04:05Z"}, body),
+        ({"WARC-Type": "revisit", "WARC-Record-ID": "<urn:2>", "WARC-Target-URI": "https://h.com/p?a=2&b=1", "WARC-Date": "2024-01-03T03:04:05Z", "WARC-Profile": "p", "WARC-Refers-To": "<urn:1>"}, b"HTTP/1.1 304 Not Modified\r\nETag: W/\"a\"\r\nDate: new\r\n\r\n"),
+        ({"WARC-Type": "resource", "WARC-Record-ID": "<urn:3>", "WARC-Target-URI": "http://x/", "WARC-Date": "no date"}, b"\x00\xff"),
+    ]
+    data = warc_file(records, pack)
+    for name, content in (("a.warc", data), ("b.warc", data[:-40]), ("c.warc", b""), ("d.warc", b"\x1f\x8bjunk")):
+        (tmp_path / name).write_bytes(content)
+    rows = [r for r in warc.read_warc(spark, str(tmp_path)).collect() if r["file"].endswith("a.warc")]
+    assert [(r["record_id"], r["kind"], r["status"], r["time"], r["payload"] and bytes(r["payload"])) for r in rows] == [("<urn:1>", "response", 200, 1704164645, b"WARC/1."), ("<urn:2>", "revisit", 304, 1704251045, None), ("<urn:3>", "response", 200, None, b"\x00\xff")]
+    assert rows[0]["headers"]["x"] == "1 2" and rows[1]["refers_to"] == "<urn:1>" and rows[1]["profile"] == "p"
+    found = warc.resolve_revisits(spark.createDataFrame(rows)).collect()
+    assert [(r["record_id"], r["response_id"], r["state"], r["headers"]["date"], r["payload_bytes"]) for r in found] == [("<urn:2>", "<urn:1>", "resolved", "new", 7)]
 
 
 def test_merged_headers_and_urls(spark):
