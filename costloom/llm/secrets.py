@@ -1,12 +1,16 @@
 """Secret scan: keyword and shape patterns, and a battery of randomness tests under false-discovery control.
 
-Base spans come from three patterns. Every other long run of token characters is a candidate: its encoding
-is inferred, and three statistics say how far its characters are from random ones and from text in that
-alphabet: chi-squared uniformity of the alphabet, runs of character classes (digits, upper and lower case,
-signs) against the alphabet's shares, and serial correlation of neighbours. Random strings keep all three small; text of the same length doesn't, and the
-longer it is the less likely it passes. That chance, from the length, is the candidate's p value against
-"this is text", and Benjamini and Hochberg's step-up, by encoding over all candidates of the table, sets the
-limit. The limits come from histograms of p in fixed steps, so nothing is sorted.
+Base spans come from three patterns. Every other long run of token characters is a candidate. Its encoding
+is inferred, and three tests look at it: chi-squared uniformity of the alphabet, runs of character classes
+(digits, upper and lower case, signs) and serial correlation of neighbours. Each is put against two models:
+
+- random characters of the encoding: the three squared scores add up to a chi-squared number, and a
+  candidate beyond its 99 % point isn't random;
+- text in that alphabet, which repeats few letters, changes class half as often and has neighbours alike. The
+  three scores add up (Stouffer) to one p value, the chance that text of this length looks as random.
+
+Benjamini and Hochberg's step-up over the p values, by encoding and over all candidates of the table, sets the
+limit. Limits come from histograms of p in fixed steps, so nothing is sorted.
 
 All of it is DataFrame functions: matches and their places by splitting at the pattern, tests by
 higher-order functions over the characters.
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costloom.llm.common import cut, whole_text
+from costloom.llm.common import cut, let, running_sums, whole_text
 
 # The base patterns and the least lengths.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,8 +32,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 
 #: Encodings in the order they are tried: name, what the whole candidate matches, alphabet.
 ENCODINGS = (
+    ("digits", r"^[0-9]+$", "0123456789"),
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("lower26", r"^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper26", r"^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("upper36", r"^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
     ("lower36", r"^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
@@ -40,12 +47,15 @@ ENCODINGS = (
 #: How a run of no encoding is split: at "=" that isn't padding, then at other signs.
 SPLITS = (r"[A-Za-z0-9+/_-]+(?:={1,2}$)?", r"[A-Za-z0-9+]+(?:={1,2}$)?")
 CANDIDATE_LEAST = 20
-#: Text repeats characters as if it had about so many equally likely ones, for alphabets up to so many characters.
+#: The model of text, calibrated on words of the documents joined in the ways of identifiers (README): it repeats characters as if
+#: it had about so many equally likely ones, for alphabets up to so many characters; it changes class this share as often as random
+#: characters; neighbours correlate so much where the alphabet has several classes.
 TEXT_LETTERS = ((16, 5.0), (36, 14.0), (64, 20.0))
+TEXT_TURNS, TEXT_SERIAL = 0.5, 0.3
 #: Expected share of false discoveries; p is counted in steps of a tenth of a power of ten, down to 10^-40.
 FALSE_SHARE, STEP, STEPS = 0.01, 0.1, 400
-#: A random string fails a test at this size with a chance of about one in a hundred.
-RANDOM_Z = 2.6
+#: The 99 % points of chi-squared with two and three degrees: alphabets of one class have no runs test.
+RANDOM_SUMS = (9.2103, 11.3449)
 
 
 def spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
@@ -54,20 +64,20 @@ def spans(text: Column, pattern: str, group: int | None = None, least: int = 0)
     Splitting at the pattern gives what lies between the matches, so lengths add up to places. With group,
     matches whose group is shorter than least are left out after matching.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        more = F.when(F.length(x["own"]) >= least, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], more).alias("out"))
-
-    pairs = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.struct(F.element_at(between, i).alias("gap"), F.element_at(found, i).alias("hit"), F.element_at(own, i).alias("own")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
+
+    def placed(found: Column) -> Column:
+        own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        gaps = F.split(text, pattern, -1)
+
+        def ended(x: Column) -> Column:
+            ends = running_sums(F.transform(x["hits"], lambda h, i: F.length(h) + F.length(F.get(x["gaps"], i))))
+            each = F.transform(F.arrays_zip(x["hits"].alias("hit"), x["own"].alias("own"), ends.alias("end")), lambda z: F.struct((z["end"] - F.length(z["hit"])).alias("start"), z["end"].alias("end"), F.length(z["own"]).alias("n")))
+            return F.transform(F.filter(each, lambda z: z["n"] >= least), lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end")))
+
+        return F.when(F.size(found) == 0, none).otherwise(let(F.struct(found.alias("hits"), gaps.alias("gaps"), own.alias("own")), ended))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _class_of(c: Column) -> Column:
@@ -91,7 +101,7 @@ def _upper_tail_log10(z: Column) -> Column:
 def battery(token: Column) -> Column:
     """struct of the tests over one candidate: encoding, n, chi, z_runs, z_serial, evidence, random.
 
-    evidence is -log10 of the chance that text of this length looks as uniform as the candidate does.
+    evidence is -log10 of the chance that text of this length looks as random as the candidate does.
     """
     body = F.regexp_replace(token, "=+$", "")
     kind, alphabet, change = F.lit("other"), F.lit(""), F.lit(0.5)
@@ -112,18 +122,29 @@ def battery(token: Column) -> Column:
         pairs = F.arrays_zip(F.slice(v, 1, F.size(v) - 1).alias("a"), F.slice(v, 2, F.size(v) - 1).alias("b"))
         kinds, p = b["kinds"], b["change"]
         turns = total(F.transform(F.arrays_zip(F.slice(kinds, 1, F.size(v) - 1).alias("a"), F.slice(kinds, 2, F.size(v) - 1).alias("b")), lambda x: F.when(x["a"] != x["b"], F.lit(1.0)).otherwise(F.lit(0.0))))
-        z_runs = (turns - (n - 1) * p) / F.sqrt((n - 1) * p * (1 - p))
+        several, none = p > 0, F.lit(0.0)
+        z_runs = F.when(several, (turns - (n - 1) * p) / F.sqrt((n - 1) * p * (1 - p))).otherwise(none)
         mean = total(v) / n
         spread = total(F.transform(v, lambda x: (x - mean) * (x - mean)))
         serial = total(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean)))
-        z_serial = F.when(spread > 0, (serial / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
-        # Text: excess repetition of n (k / few - 1); a random string's chi has mean k - 1.
-        few = F.coalesce(*[F.when(k <= most, F.lit(x)) for most, x in TEXT_LETTERS])
-        noncentral = n * (k / few - 1)
-        z_text = (k - 1 + noncentral - chi) / F.sqrt(2 * (k - 1) + 4 * noncentral)
-        z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1))
-        random = (F.abs(z_runs) <= RANDOM_Z) & (F.abs(z_serial) <= RANDOM_Z) & (F.abs(z_chi) <= RANDOM_Z)
-        return F.struct(b["encoding"].alias("encoding"), n.alias("n"), chi.alias("chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), _upper_tail_log10(z_text).alias("evidence"), random.alias("random"))
+        r = F.when(spread > 0, serial / F.greatest(spread, F.lit(1e-9)) + 1 / n).otherwise(F.lit(99.0))
+
+        def scored(x: Column) -> Column:
+            chi, turns, r = x["chi"], x["turns"], x["r"]
+            z_serial = r * F.sqrt(n)
+            z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1))
+            z_runs = x["z_runs"]
+            # Text: excess repetition of n (k / few - 1); a random string's chi has mean k - 1.
+            few = F.coalesce(*[F.when(k <= most, F.lit(x)) for most, x in TEXT_LETTERS])
+            noncentral = n * (k / few - 1)
+            t_chi = (k - 1 + noncentral - chi) / F.sqrt(2 * (k - 1) + 4 * noncentral)
+            q = p * TEXT_TURNS
+            t_more = F.when(several, (turns - (n - 1) * q) / F.sqrt((n - 1) * q * (1 - q)) + (F.lit(TEXT_SERIAL) - r) * F.sqrt(n)).otherwise(none)
+            z = (t_chi + t_more) / F.sqrt(F.when(several, 3.0).otherwise(1.0))
+            random = z_chi * z_chi + z_runs * z_runs + z_serial * z_serial <= F.when(several, RANDOM_SUMS[1]).otherwise(RANDOM_SUMS[0])
+            return F.struct(b["encoding"].alias("encoding"), n.alias("n"), chi.alias("chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), _upper_tail_log10(z).alias("evidence"), random.alias("random"))
+
+        return let(F.struct(chi.alias("chi"), turns.alias("turns"), r.alias("r"), z_runs.alias("z_runs")), scored)
 
     return F.transform(F.array(base), of)[0]
 
@@ -154,9 +175,9 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     def tried(s: Column) -> Column:
         token = _token(text, s)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (token.rlike("[0-9]") & token.rlike("[A-Za-z]")).alias("mixed"), battery(token).alias("t"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(token).alias("t"))
 
-    return rows.select("doc_id", "assign", "access", "hex", F.when(F.size("c") > 0, F.filter(F.transform(F.flatten(F.transform("c", lambda s: _parts(text, s))), tried), lambda x: x["mixed"] & (x["t"]["encoding"] != "other"))).alias("tried"))
+    return rows.select("doc_id", "assign", "access", "hex", F.when(F.size("c") > 0, F.filter(F.transform(F.flatten(F.transform("c", lambda s: _parts(text, s))), tried), lambda x: x["t"]["encoding"] != "other")).alias("tried"))
 
 
 def limits(found: DataFrame, share: float = FALSE_SHARE) -> dict[str, float]:
@@ -217,10 +238,10 @@ def find_secrets(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
 def _oracle() -> str:
     """The whole query in DuckDB SQL: places from the pieces between matches, tests from lists of characters."""
 
-    def spans_sql(pattern: str, group: int = 0, least: int = 0) -> str:
+    def spans_sql(pattern: str, group: int = 0, least: int = 0, of: str = "text") -> str:
         p = pattern.replace("'", "''")
-        hits, gaps = f"regexp_extract_all(text, '{p}')", f"string_split_regex(text, '{p}')"
-        own = f"regexp_extract_all(text, '{p}', {group})"
+        hits, gaps = f"regexp_extract_all({of}, '{p}')", f"string_split_regex({of}, '{p}')"
+        own = f"regexp_extract_all({of}, '{p}', {group})"
         at = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)"
         return f"(SELECT list_transform(list_filter(range(1, len(h) + 1), lambda i: length(o[i]) >= {least}), lambda i: {{'s': CAST({at} AS BIGINT), 'e': CAST({at} + length(h[i]) AS BIGINT)}}) FROM (SELECT {hits} AS h, {gaps} AS g, {own} AS o))"
 
@@ -229,16 +250,27 @@ def _oracle() -> str:
     tail = "z * z / 2 + 0.9189385332046727"
     line = lambda items: f"array_to_string(list_transform(list_sort({items}), lambda x: ['assign', 'access', 'hex', 'random'][x.k] || ':' || x.s || ':' || x.e), ',')"
     tagged = lambda c, k: f"list_transform({c}, lambda x: {{'s': x.s, 'k': {k}, 'e': x.e}})"
+    fits = " OR ".join(f"regexp_matches(token, '{p}')" for _, p, _ in ENCODINGS)
+
+    def split(before: str, after: str, pattern: str) -> str:
+        inner = f"SELECT rid, s, token, unnest({spans_sql(pattern, 0, CANDIDATE_LEAST, 'token')}) AS part FROM {before} WHERE NOT ({fits})"
+        return f"{after} AS (SELECT rid, s, token FROM {before} WHERE {fits} UNION ALL SELECT rid, s + part.s, substr(token, part.s + 1, part.e - part.s) FROM ({inner}))"
+
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 f AS (SELECT rid, doc_id, text, {spans_sql(ASSIGN, 2, ASSIGN_LEAST)} AS a, {spans_sql(ACCESS)} AS c, {spans_sql(HEX)} AS h, {spans_sql(CANDIDATE)} AS t FROM d),
 b AS (SELECT rid, doc_id, len(a) AS na, len(c) AS nc, len(h) AS nh, list_concat(list_concat({tagged("a", 1)}, {tagged("c", 2)}), {tagged("h", 3)}) AS base FROM f),
-x AS (SELECT rid, s, e, substr(text, s + 1, e - s) AS token FROM (SELECT rid, text, unnest(t).s AS s, unnest(t).e AS e FROM f)),
-y AS (SELECT rid, s, e, {case(lambda n, a: f"'{n}'")} AS enc, {case(lambda n, a: f"'{a}'")} AS abc, {case(lambda n, a: repr(_change_share(a)))} AS p, string_split(regexp_replace(token, '=+$', ''), '') AS ch FROM x WHERE regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Za-z]')),
+x0 AS (SELECT rid, s, substr(text, s + 1, e - s) AS token FROM (SELECT rid, text, unnest(t).s AS s, unnest(t).e AS e FROM f)),
+{split("x0", "x1", SPLITS[0])},
+{split("x1", "x2", SPLITS[1])},
+x AS (SELECT rid, s, s + length(token) AS e, token FROM x2),
+y AS (SELECT rid, s, e, {case(lambda n, a: f"'{n}'")} AS enc, {case(lambda n, a: f"'{a}'")} AS abc, {case(lambda n, a: repr(_change_share(a)))} AS p, string_split(regexp_replace(token, '=+$', ''), '') AS ch FROM x),
 v AS (SELECT rid, s, e, enc, CAST(length(abc) AS DOUBLE) AS k, CAST(p AS DOUBLE) AS p, CAST(len(ch) AS DOUBLE) AS n, list_transform(ch, lambda c: CAST(strpos(abc, c) AS DOUBLE)) AS v,
   list_transform(ch, lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN 0 WHEN c BETWEEN 'A' AND 'Z' THEN 1 WHEN c BETWEEN 'a' AND 'z' THEN 2 ELSE 3 END) AS q FROM y WHERE enc IS NOT NULL),
 w AS (SELECT *, list_sum(list_transform(list_distinct(v), lambda c: power(len(list_filter(v, lambda x: x = c)), 2))) * k / n - n AS chi, list_sum(v) / n AS m, len(list_filter(range(2, len(q) + 1), lambda i: q[i] <> q[i - 1])) AS turns FROM v),
 u AS (SELECT *, list_sum(list_transform(v, lambda x: (x - m) * (x - m))) AS spread, list_sum(list_transform(range(2, len(v) + 1), lambda i: (v[i] - m) * (v[i - 1] - m))) AS serial, n * (k / ({few}) - 1) AS nc FROM w),
-z AS (SELECT *, greatest((k - 1 + nc - chi) / sqrt(2 * (k - 1) + 4 * nc), 0) AS z, abs((turns - (n - 1) * p) / sqrt((n - 1) * p * (1 - p))) <= {RANDOM_Z} AND abs(CASE WHEN spread > 0 THEN (serial / greatest(spread, 1e-9) + 1 / n) * sqrt(n) ELSE 99 END) <= {RANDOM_Z} AND abs((chi - (k - 1)) / sqrt(2 * (k - 1))) <= {RANDOM_Z} AS random FROM u),
+r AS (SELECT *, CASE WHEN spread > 0 THEN serial / greatest(spread, 1e-9) + 1 / n ELSE 99 END AS r FROM u),
+z AS (SELECT *, greatest(((k - 1 + nc - chi) / sqrt(2 * (k - 1) + 4 * nc) + CASE WHEN p > 0 THEN (turns - (n - 1) * p * {TEXT_TURNS}) / sqrt((n - 1) * p * {TEXT_TURNS} * (1 - p * {TEXT_TURNS})) + ({TEXT_SERIAL} - r) * sqrt(n) ELSE 0 END) / sqrt(CASE WHEN p > 0 THEN 3.0::DOUBLE ELSE 1 END), 0) AS z,
+  power((chi - (k - 1)) / sqrt(2 * (k - 1)), 2) + CASE WHEN p > 0 THEN power((turns - (n - 1) * p) / sqrt((n - 1) * p * (1 - p)), 2) ELSE 0 END + power(r * sqrt(n), 2) <= CASE WHEN p > 0 THEN {RANDOM_SUMS[1]} ELSE {RANDOM_SUMS[0]} END AS random FROM r),
 ev AS (SELECT *, greatest(({tail}) / 2.302585092994046 + log10((3 * z + sqrt(z * z + 8)) / 4), 0) AS ev FROM z),
 hi AS (SELECT enc, CAST(least(floor(ev / {STEP}), {STEPS}) AS INT) AS step, count(*) AS n FROM ev GROUP BY ALL),
 ok AS (SELECT enc, step, sum(n) OVER (PARTITION BY enc) * power(10, -step * {STEP}) <= {FALSE_SHARE} * sum(n) OVER (PARTITION BY enc ORDER BY step DESC) AS ok FROM hi),

@@ -694,10 +694,48 @@ def test_random_strings_are_told_from_text(spark):
     found = secrets.find_secrets(docs).join(docs, "doc_id").groupBy("kind").agg(F.avg("n_random").alias("a")).collect()
     rate = {r["kind"]: r["a"] for r in found}
     assert rate["r"] > 0.8 and rate["t"] < 0.05
+    same_as_sql(docs)
+
+
+def test_text_model_is_calibrated(spark, tables):
+    """Identifiers made of the documents' own words: a p value under x comes up at most about so often."""
+    _, connection = tables
+    pool = sorted({w.lower() for (t,) in connection.sql("select text from documents where text is not null").fetchall() for w in re.findall("[A-Za-z]{3,9}", t)})
+    rng = random.Random(17)
+
+    def token():
+        some = rng.choices(pool, k=rng.randint(4, 9))
+        form = rng.randint(0, 3)
+        return ("_".join(some) if form == 0 else "-".join(some) if form == 1 else "".join(w.title() for w in some) if form == 2 else "".join(some)) + rng.choice(["", "7", "2024"])
+
+    tokens = [t for t in (token() for _ in range(4000)) if len(t) >= 20]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select(secrets.battery(F.col("t")).alias("b")).select("b.*").collect()
+    for steps in (1, 2, 3):
+        assert sum(r["evidence"] >= steps for r in rows) <= 2 * len(rows) * 10**-steps + 2, steps
+    assert sum(r["random"] and r["evidence"] >= 3 for r in rows) <= 0.002 * len(rows)
+
+
+def test_strings_of_one_class_are_tried(spark):
+    rng = random.Random(3)
+    rows = [(kind, "".join(rng.choices(a, k=48))) for kind, a in (("digits", string.digits), ("lower", string.ascii_lowercase), ("upper", string.ascii_uppercase)) for _ in range(60)]
+    rows += [("text", t) for t in ("0" * 30, "ab" * 20, "12345678901234567890", "donaudampfschifffahrtsgesellschaft")]
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, kind string")
+    rate = {r["kind"]: r["a"] for r in secrets.find_secrets(docs).join(docs, "doc_id").groupBy("kind").agg(F.avg("n_random").alias("a")).collect()}
+    assert min(rate["lower"], rate["upper"]) > 0.8 and rate["digits"] == 0 and rate["text"] < 0.3  # so many digits are a hex span
+
+
+def test_a_very_long_text_of_matches(spark):
+    n = 20_000
+    docs = spark.createDataFrame([(1, "token=abcdefg é " * n)], "doc_id long, text string")
+    r = secrets.find_secrets(docs).first()
+    assert r["n_assign"] == n and r["spans"] == ",".join(f"assign:{16 * i}:{16 * i + 13}" for i in range(n))
+
+
+def same_as_sql(docs):
     import duckdb
 
     connection = duckdb.connect()
-    connection.register("documents", docs.drop("kind").toArrow())
+    connection.register("documents", docs.select("doc_id", "text").toArrow())
     got, want = same_rows(secrets.find_secrets(docs), connection, secrets.ORACLE)
     assert got == want
 
@@ -714,6 +752,7 @@ def test_secrets_joined_to_names_are_found(spark):
     for before in {r[2] for r in rows}:
         hits = [f"random:{4 + len(before)}:{44 + len(before)}" in r["spans"] for r in found if r["before"] == before]
         assert sum(hits) > 0.8 * len(hits), before
+    same_as_sql(docs)
 
 
 # --- pages
