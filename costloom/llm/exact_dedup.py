@@ -68,7 +68,10 @@ def exact_dedup(docs: DataFrame, key=hash128) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all columns of docs. Repeated rows of one id and text become one."""
+    """The documents that stay, with all columns of docs. Repeated rows of one id and text become one.
+
+    Null texts are the empty text, null ids give way to any id of an equal text; no rows give no rows.
+    """
     found = cut(exact_dedup(docs))
     sha = digest()
     gone = cut(found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.max("copies").alias("copies")).filter("not stays or copies > 1"))

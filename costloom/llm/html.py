@@ -9,8 +9,10 @@
    the template. Copies of a page count as one.
 3. Main text is what is inside an article or main element, or else inside the element that holds most of
    the text that the wrapper's slots show to vary, without navigation, headers, footers, asides, adverts,
-   notices, forms and comments. A leaf's own elements decide, not those that the wrapper mixes, and each
-   shape for itself: others of its host may be of another layout.
+   notices, forms and comments. Inside an article only whole names of these say so: a section called
+   "related-work" or "discussion", mathematics and hidden text are article. A leaf's own elements decide, not
+   those that the wrapper mixes, and each shape for itself: others of its host may be of another layout. Where
+   nothing varies, all text outside navigation and the like is taken.
 4. Each shape is matched with its host's wrapper once, by a longest common subsequence; a leaf without a slot
    is judged by its elements alone.
 """
@@ -32,7 +34,7 @@ from costloom.llm.common import checked_broadcast, cut, emit, sliced
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea iframe svg object select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -43,15 +45,22 @@ ASIDE = frozenset("head nav footer aside form button menu dialog title label".sp
 ASIDE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead header topbar footer sidebar aside ad ads adbox adslot adunit adbanner advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert announcement disclaimer popup modal overlay newsletter subscribe signup login search form share sharing social related recommended recommendations comment comments commentlist discussion reply replies respond disqus widget widgets pagination pager toolbar skip hidden complementary contentinfo".split()
 )
+#: Inside an article: names that end in one of these, or begin with one and end in a word for a box, aren't its text.
+INNER_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar ad ads advert adverts advertisement sponsored cookie cookies consent notice notices newsletter subscribe login comment comments commentlist respond disqus form".split())
+BOXES = frozenset("list box slot unit banner area section block wrapper container bar thread feed count # ".split())
 #: Elements that hold a page's text as a whole.
 HOLDS = BLOCK - frozenset("address blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre summary ul".split())
+#: Parts of a table hold a page as a whole only if they have a name.
+PLAIN = frozenset("table tbody thead tfoot tr td th".split())
 MAIN, MAIN_WORDS = frozenset(("article", "main")), frozenset(("article", "main", "maincontent", "articlebody", "postcontent", "entrycontent"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s=>/])|display\s*:\s*none", re.I)
-_LONGEST_GROUP, _FAN_IN = 32, 64
+_FAN_IN = 64
+#: A repeated group is looked for at so many of the nearest equal elements before it; it may be of any length.
+_NEAREST = 8
 
 
 def page_stream(html: str) -> tuple[list[str], list[tuple[int, int, str]]]:
@@ -114,12 +123,13 @@ def page_stream(html: str) -> tuple[list[str], list[tuple[int, int, str]]]:
                 if stack[i][0] in BLOCK:
                     break
             if name in CLOSES:
+                first = len(stack)
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in CLOSES[name]:
-                        close(i)
-                        break
+                        first = i
                     if stack[i][0] in LISTS and name != "body":
                         break
+                close(first)
         words = sorted({w for a in _ATTR.finditer(token) for w in re.sub(r"\d+", "#", a[2] or a[3] or a[4] or "").lower().split()})
         if _HIDDEN.search(token):
             words.append("hidden")
@@ -133,61 +143,85 @@ def page_stream(html: str) -> tuple[list[str], list[tuple[int, int, str]]]:
     return symbols, texts
 
 
+class _Level:
+    """The finished children of one open element: their items, their forms, and where each form stands."""
+
+    def __init__(self):
+        self.items: list[list] = []
+        self.forms: list[int] = []
+        self.at: dict[int, list[int]] = {}
+        self.groups: list[int] = []
+
+    def add(self, items: list, form: int, group: bool = False) -> None:
+        self.at.setdefault(form, []).append(len(self.forms))
+        if group:
+            self.groups.append(len(self.forms))
+        self.items.append(items)
+        self.forms.append(form)
+
+    def drop(self, n: int) -> None:
+        for _ in range(n):
+            self.at[self.forms.pop()].pop()
+            self.items.pop()
+            if self.groups and self.groups[-1] == len(self.forms):
+                self.groups.pop()
+
+
+def _merge(a: list, b: list) -> None:
+    """The text places of b go to the equal items of a."""
+    for x, y in zip(a, b, strict=True):
+        if x[0] == "T":
+            x[1] += y[1]
+        elif x[0] == "+":
+            _merge(x[2], y[2])
+
+
 def folded(symbols: list[str]) -> list:
-    """Items of the shape: a tag is its symbol, text is ["T", [places]], a repeated group ["+", key, items].
+    """Items of the shape: a tag is its symbol, text is ["T", [places]], a repeated group ["+", "", items].
 
-    Only balanced groups fold. Places are those of the symbols in the stream.
+    Only balanced groups fold, innermost first. Places are those of the symbols in the stream.
     """
-    out: list = []
-    keys: list[str] = []
-    # depth after each item, to see that a group is balanced
-    depth = [0]
-
-    def push(item, key: str, d: int) -> None:
-        out.append(item)
-        keys.append(key)
-        depth.append(depth[-1] + d)
-
-    def merge(a: list, b: list) -> None:
-        for x, y in zip(a, b, strict=True):
-            if x[0] == "T":
-                x[1] += y[1]
-            elif x[0] == "+":
-                merge(x[2], y[2])
-
+    known: dict[tuple, int] = {}
+    inner: dict[int, list[int]] = {}
+
+    def form_of(key: tuple) -> int:
+        return known.setdefault(key, len(known))
+
+    def flat(parts: list[list]) -> list:
+        return [x for p in parts for x in p]
+
+    def fold(level: _Level) -> bool:
+        forms, n = level.forms, len(level.forms)
+        for j in reversed(level.groups[-_NEAREST:]):  # once more what a group before repeats
+            if 0 < n - 1 - j and inner[forms[j]] == forms[j + 1 :]:
+                _merge(level.items[j][0][2], flat(level.items[j + 1 :]))
+                level.drop(n - 1 - j)
+                return True
+        for p in reversed(level.at[forms[-1]][-_NEAREST - 1 : -1]):  # twice the same since an equal element
+            d = n - 1 - p
+            if n >= 2 * d and forms[n - 2 * d : n - d] == forms[n - d :]:
+                items, own = flat(level.items[n - 2 * d : n - d]), forms[n - d :]
+                _merge(items, flat(level.items[n - d :]))
+                level.drop(2 * d)
+                form = form_of(("+", *own))
+                inner[form] = own
+                level.add([["+", "", items]], form, True)
+                return True
+        return False
+
+    levels, opened = [_Level()], []
     for place, s in enumerate(symbols):
         if s == "T":
-            push(["T", [place]], "T", 0)
-            continue
-        push(s, s, 1 if s[0] == "<" else -1)
-        if s[0] == "<":
-            continue
-        again = True
-        while again:
-            again = False
-            top = len(out)
-            for size in range(1, min(_LONGEST_GROUP, top) + 1):
-                first = top - size
-                if depth[first] != depth[top] or min(depth[first:]) < depth[first]:
-                    if depth[first] < depth[top]:
-                        break
-                    continue
-                group = keys[first:]
-                if first and keys[first - 1].startswith("+") and keys[first - 1] == "+(" + " ".join(group) + ")":
-                    merge(out[first - 1][2], out[first:])
-                elif first >= size and keys[first - size : first] == group and depth[first - size] == depth[first]:
-                    merge(out[first - size : first], out[first:])
-                    items, key = out[first - size : first], "+(" + " ".join(group) + ")"
-                    del out[first - size :], keys[first - size :], depth[first - size + 1 :]
-                    push(["+", key, items], key, 0)
-                    again = True
-                    break
-                else:
-                    continue
-                del out[first:], keys[first:], depth[first + 1 :]
-                again = True
-                break
-    return out
+            levels[-1].add([["T", [place]]], form_of(("T",)))
+        elif s[0] == "<":
+            opened.append(s)
+            levels.append(_Level())
+        else:
+            done, tag = levels.pop(), opened.pop()
+            levels[-1].add([tag, *flat(done.items), s], form_of((tag, *done.forms)))
+            while fold(levels[-1]):
+                pass
+    return flat(levels[0].items)
 
 
 def leaves(items: list):
@@ -261,6 +295,16 @@ def _words(label: str) -> frozenset[str]:
     return frozenset(w for p in parts for w in re.split(r"[^a-z]+", p)) | {re.sub(r"[^a-z]", "", p) for p in parts}
 
 
+@lru_cache(1 << 14)
+def _inner_aside(label: str) -> bool:
+    """Whether an element inside an article is named as something else than its text."""
+    for token in label.split(".")[1:]:
+        parts = [w for w in re.split(r"[^a-z#]+|(?=#)", token) if w]
+        if parts and (parts[-1] in INNER_WORDS or parts[0] in INNER_WORDS and parts[-1] in BOXES):
+            return True
+    return False
+
+
 def leaf_paths(wrapper: list) -> list[tuple[tuple, list]]:
     """(labels of the open elements, leaf) for each text leaf."""
     found: list[tuple[tuple, list]] = []
@@ -293,15 +337,17 @@ def _masses(found: list, ok: list[bool], size: int) -> dict[tuple, int]:
 def _kinds(found: list, strict: bool) -> list[tuple[bool, bool]]:
     """(in a main element, aside) by leaf. Not strict: words of an element with most of the text don't count."""
     weight = _masses(found, [True] * len(found), 4)
+    every = weight.get((), 0)
 
     def of(path: tuple) -> tuple[bool, bool]:
         main = aside = False
         for depth, label in enumerate(path, 1):
             name, words = label.split(".")[0], _words(label)
-            whole = name in ("html", "body") or not strict and 10 * weight[path[:depth]] >= 6 * weight[()]
+            whole = name in ("html", "body") or not strict and 10 * weight[path[:depth]] >= 6 * every
+            inside = main
             if name in MAIN or words & MAIN_WORDS and not whole:
                 main = main or not aside
-            if name in ASIDE or name == "header" and not main or words & ASIDE_WORDS and not whole:
+            if name in ASIDE or name == "header" and not main or (_inner_aside(label) if inside else words & ASIDE_WORDS) and not whole:
                 aside = True
         return main, aside
 
@@ -332,7 +378,7 @@ def _deepest(found: list, ok: list[bool], size: int) -> tuple:
     """The deepest element with most of the text that is ok; a paragraph or list isn't one, headings are beside it."""
     mass = _masses(found, ok, size)
     total = mass.get((), 0)
-    return max((p for p, m in mass.items() if 10 * m >= 6 * total and all(x.split(".")[0] in HOLDS for x in p)), key=len, default=())
+    return max((p for p, m in mass.items() if 10 * m >= 6 * total and not (p and p[-1] in PLAIN) and all(x.split(".")[0] in HOLDS for x in p)), key=len, default=())
 
 
 def shape_wrapper(shape: str, slots: list[dict]) -> list:
@@ -400,13 +446,27 @@ def content_leaves(shape: list, wrapper: list, known: tuple[list, tuple]) -> lis
         return main
     # No article element in this shape, whatever others of the host have: the element with most of the text that varies between pages.
     marks = matched(shape, wrapper, fixed)
-    ok = _varying(found, [m is not None and m == x[2] for m, (_, x) in zip(marks, found, strict=True)])
-    inside = [own and path[: len(best)] == best for own, (path, _) in zip(ok, found, strict=True)]
+    template = [m is not None and m == x[2] for m, (_, x) in zip(marks, found, strict=True)]
+    ok = _varying(found, template)
+    if not any(ok):  # all of it is on other pages as well
+        template = [False] * len(found)
+        ok = _varying(found, template)
+    inside = _within(found, ok, best)
     size = lambda chosen: sum(x[4] for (_, x), own in zip(found, chosen, strict=True) if own)
-    if 10 * size(inside) < 4 * size(ok):  # most of this shape's text is elsewhere: there as well
-        own = _deepest(found, ok, 4)
-        inside = [i or v and path[: len(own)] == own for i, v, (path, _) in zip(inside, ok, found, strict=True)]
-    return inside
+    if 10 * size([i and o for i, o in zip(inside, ok, strict=True)]) < 4 * size(ok):  # most of this shape's text is elsewhere: there as well
+        own = _within(found, ok, _deepest(found, ok, 4))
+        inside = [i or o for i, o in zip(inside, own, strict=True)]
+    return [i and not same for i, same in zip(inside, template, strict=True)]
+
+
+def _within(found: list, ok: list[bool], best: tuple) -> list[bool]:
+    """Leaves of an element that are its text: those that are ok, and what only the words of an article would take out."""
+
+    def own(path: tuple) -> bool:
+        return all(label.split(".")[0] not in ASIDE and not _inner_aside(label) for label in path[len(best) :])
+
+    alone = bool(best) and best[-1].split(".")[0] not in ("html", "body")
+    return [path[: len(best)] == best and (v or alone and own(path)) for v, (path, _) in zip(ok, found, strict=True)]
 
 
 def parsed(pages: DataFrame) -> DataFrame:

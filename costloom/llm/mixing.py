@@ -95,7 +95,11 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple = (1, 2, 3),
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all columns of docs."""
+    """The mix itself: each document as often as it is taken, with all columns of docs.
+
+    Documents are known by id and source, null as well, so repeated rows are taken alike; texts without words and
+    null texts have size 0 and go by their hash; no rows give no rows.
+    """
     found = cut(mix(docs).select("doc_id", "source", "repeats").distinct())
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_"), F.col("doc_id").alias("id_"), F.col("source").alias("source_"))
     side = checked_broadcast(found, 64).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "repeats")

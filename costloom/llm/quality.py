@@ -3,7 +3,8 @@
 Each block of a text is compressed with a dictionary trained on good text and with one trained on bad
 text (pairs of several sizes: small ones hold what is typical, large ones what is frequent). Summed over the whole text, the normalised difference of the two sizes says which kind it
 resembles; a logistic curve, fitted on labelled rows the dictionaries haven't seen, turns it into a
-probability. Fitting uses a bounded sample on the driver; scoring is one pass without a shuffle.
+probability. Beside the difference the curve sees the size under the good dictionary and the length, without which
+empty repetition looks like prose (README: 0.977 against 0.994 held-out accuracy). Fitting uses a bounded sample on the driver; scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costloom.llm.common import emit, sliced, whole_text
 
-#: The fit reads at most this many labelled rows for each label and fold, none of over SAMPLE_CHARS characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 1200, 60_000
+#: The fit reads at most this many labelled rows for each label and fold, none of over SAMPLE_CHARS characters, together
+#: of at most SAMPLE_TEXT characters.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TEXT = 1200, 60_000, 8_000_000
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = (8 << 10, 32 << 10), 1024, 1
 
 
@@ -128,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         sample = sample.unionAll(part)
     # Bounded by sample_rows, so the broadcast is as well.
     texts = docs.select("doc_id", whole_text().alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "fold", "quality", "text").toArrow().to_pylist()
+    met = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "fold", "quality", "text")
+    so_far = Window.partitionBy("fold", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    found = met.withColumn("chars", F.sum(F.length("text")).over(so_far)).filter(F.col("chars") <= SAMPLE_TEXT).drop("chars").toArrow().to_pylist()
     found.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"]))
     share = known.filter("fold <> 1").agg(F.avg("quality")).first()[0]
     return fit_texts(*([(r["text"], r["quality"]) for r in found if r["fold"] == k] for k in (0, 2)), 0.5 if share is None else share)
@@ -159,6 +163,7 @@ def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those the classifier rejects, with all columns as they were.
 
     Each row stands or falls by the score of its own text, whatever its doc_id; a null text is the empty text.
+    Repeated rows stand or fall together, other columns are carried along, no rows give no rows.
     """
     model = fit(docs, labels)
 

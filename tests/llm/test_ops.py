@@ -837,6 +837,73 @@ def test_layouts_of_a_host_are_told_apart(spark):
     assert all(text(i).strip() in got[i] for i in range(16, 18))
 
 
+def test_nothing_inside_an_article_is_lost(spark):
+    inner = "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "<div class=discussion><p>we discuss</p></div>", "<section class='related-work'><p>others did</p></section>", "<p hidden>unseen</p>", "<div class='notice-of-death'><p>she died</p></div>", "<div class=ad-hoc>by hand</div>"
+    outer = "<div class=comments><p>c1</p></div>", "<div class='comment-list'><p>c2</p></div>", "<div class='post-comments'>c3</div>", "<div class='ad-slot-1'>buy</div>", "<div class='cookie-notice'>ok</div>", "<aside>a</aside>", "<form><p>f</p></form>", "<nav>n</nav>", "<div id=sidebar>s</div>"
+    rows = [(i, "http://a.com/", page("<article><h1>T</h1>" + "".join(f"{x}{y}" for x, y in itertools.zip_longest(inner, outer, fillvalue="")) + f"<p>end {i}</p></article>")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T\n\nx=2\n\nwe discuss\n\nothers did\n\nunseen\n\nshe died\n\nby hand\n\nend {i}" for i in range(4)}
+
+
+def test_where_nothing_varies_all_text_is_taken(spark):
+    rows = [(i, "http://a.com/", page("<div id=c><p>one and the same</p></div>" + "<div><i></i></div>" * i)) for i in range(5)]
+    rows.append((9, "http://b.com/", "<div id=c><p>" + "word " * 30_000 + "</p></div>"))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(5)} == {"one and the same"} and got[9] == ("word " * 30_000).strip()
+
+
+def test_long_groups_fold():
+    one = "".join(f"<h{k % 5 + 1}>t</h{k % 5 + 1}>" + "<p>t</p>" * (k % 2) + f"<div class=c{'x' * k}>t</div>" for k in range(30))
+    shapes = {str(html.folded(html.page_stream(f"<section>{one * n}</section>")[0])).count("T") for n in (2, 3, 7)}
+    assert len(shapes) == 1
+    for n in (1, 2, 50):
+        symbols, texts = html.page_stream(f"<table>{'<tr><td>a<td>b<td>c' * n}</table>")
+        leaves = list(html.leaves(html.folded(symbols)))
+        assert sorted(x for leaf in leaves for x in leaf[1]) == [i for i, x in enumerate(symbols) if x == "T"]
+        assert len(leaves) == (1 if n > 0 else 0)
+
+
+def made_page(rng, host, i):
+    """(html, its main text) of a page of a host: hosts have their own frame and main element."""
+    count = itertools.count()
+    text = lambda: f"w{i}q{next(count)} " + " ".join(rng.choice(["river", "stone", "A&amp;B", "<b>bold</b>", "x &lt; y", "<a href='#'>link</a>"]) for _ in range(rng.randint(3, 25)))
+    plain = lambda t: " ".join(re.sub("<[^>]*>", "", t).replace("&lt;", "<").replace("&amp;", "&").split())
+    body, want = "", []
+    for _ in range(rng.randint(2, 20)):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "quote", "table", "div", "pre"])
+        some = [text() for _ in range(rng.randint(1, 4) if kind in ("ul", "table") else 1)]
+        body += {
+            "ul": "<ul>" + "".join(f"<li>{x}" for x in some) + "</ul>", "table": "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in some) + "</table>", "quote": f"<blockquote><p>{some[0]}</p></blockquote>",
+            "div": f"<div class='part discussion'><p>{some[0]}</p></div>",
+        }.get(kind, f"<{kind}>{some[0]}</{kind}>")
+        want += map(plain, some)
+    frame = rng.choice(["<div class=ad>buy {r}</div>", "<aside><p>see {r}</p></aside>", "<form><p>mail {r}</p></form>", ""]).format(r=rng.random())
+    main = ("<article>{}</article>", "<main><header>{}</main>", "<div id=content>{}</div>", "<div><div class=post>{}</div></div>")[host % 4].replace("<header>", "")
+    comments = "<div class=comments>" + "".join(f"<p>comment {rng.random()}</p>" for _ in range(rng.randint(0, 4))) + "</div>"
+    html = f"<html><head><title>t {i}</title></head><body><header>Site {host}</header><nav><ul><li>a<li>b</ul></nav>{frame}{main.format(body)}{comments}<div>All rights of {host}</div><footer>f</footer><script>no()</script></body></html>"
+    return html, "\n\n".join(want)
+
+
+def test_pages_of_known_text(spark):
+    """Hosts with and without an article element, of 1 to 300 pages, some of them copies: all main text, nothing else."""
+    rng, rows, want = random.Random(31), [], {}
+    for host, n in enumerate([1, 2, 3, 5, 8, 20, 60, 300, 1, 1, 2, 2, 300]):
+        made = None
+        for _ in range(n):
+            i = len(rows)
+            made = made if made and rng.random() < 0.15 else made_page(rng, host, i)
+            rows.append((i, f"http://h{host}.org/{i}", made[0]))
+            want[i] = (host, made[1])
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    article = [i for i, (host, _) in want.items() if host % 4 < 2]
+    assert [i for i in article if got[i] != want[i][1]] == []
+    blocks = lambda t: Counter(t.split("\n\n"))
+    several = [i for i, (host, _) in want.items() if host % 4 >= 2]
+    kept = sum(((blocks(got[i]) & blocks(want[i][1])).total()) for i in several)
+    assert kept >= 0.995 * sum(blocks(want[i][1]).total() for i in several)
+    assert sum(blocks(got[i]).total() for i in several) <= 1.01 * kept
+
+
 def test_copies_of_a_page_are_not_template(spark):
     body = "<div id=c><p>real text of the copied page</p></div><div>Same line</div>"
     rows = [(i, "http://a.com/1", page(body)) for i in range(5)]
