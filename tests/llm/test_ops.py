@@ -229,25 +229,97 @@ def test_added_tokens_get_their_ids(spark):
         assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 100), min_size=1, max_size=60), st.integers(0, 5))
+def counted(lengths, most=100):
+    return [lengths.count(x) for x in range(most)]
+
+
+def pieces_of(bins):
+    return sorted(x for pattern, n in bins for x in pattern * n)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 99), min_size=1, max_size=60), st.integers(0, 5))
 def test_evolve_keeps_every_piece(lengths, seed):
-    p = packing.evolve(lengths, seed, [], most=100)
-    assert sorted(x for b in p.bins for x in b) == list(range(len(lengths)))
-    assert all(sum(lengths[x] for x in b) == f <= 100 for b, f in zip(p.bins, p.fill, strict=True))
-    again = packing.evolve(lengths, seed, [p.bins], most=100)
-    assert len(again.bins) <= len(p.bins)
+    p = packing.evolve(counted(lengths), seed, [], most=100)
+    assert pieces_of(p.bins()) == sorted(lengths) and max(sum(x) for x, _ in p.bins()) <= 100
+    assert p.worth() == (-sum(n for _, n in p.bins()), sum(n * sum(x) ** 2 for x, n in p.bins()))
+    again = packing.evolve(counted(lengths), seed, [p.bins()], most=100)
+    assert again.worth() >= p.worth()
+
+
+def one_by_one(lengths, most):
+    """Plain best-fit decreasing over one list."""
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= x]
+        if fits:
+            i = min(fits, key=lambda i: rooms[i])
+            rooms[i] -= x
+        else:
+            rooms.append(most - x)
+    return sorted(rooms)
+
+
+def fewest_bins(lengths, most):
+    """The optimum, by trying every place for every piece."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for r in {r for r in rooms if r >= lengths[i]}:
+            k = rooms.index(r)
+            go(i + 1, [*rooms[:k], r - lengths[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, most - lengths[i]])
+
+    go(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 99), max_size=80))
+def test_best_fit_over_counts_is_best_fit_decreasing(lengths):
+    p = packing.Packing(100)
+    p.best_fit(counted(lengths), range(99, 0, -1))
+    assert sorted(100 - sum(x) for x, n in p.bins() for _ in range(n)) == one_by_one(lengths, 100)
+
+
+def test_small_packings_are_optimal():
+    rng, gained = random.Random(5), 0
+    for seed in range(40):
+        lengths = [rng.randint(15, 60) for _ in range(rng.randint(6, 11))]
+        found = min(-packing.evolve(counted(lengths), 100 * seed + k, [], most=100, generations=150).worth()[0] for k in range(packing.ISLANDS))
+        best = fewest_bins(lengths, 100)
+        assert found == best
+        gained += len(one_by_one(lengths, 100)) - best
+    assert gained > 0
+
+
+def test_generations_gain_on_many_pieces():
+    rng = random.Random(7)
+    lengths = [rng.randint(200, 700) for _ in range(3000)]
+    counts = counted(lengths, 1024)
+    none, some = (-packing.evolve(counts, 1, [], generations=g).worth()[0] for g in (0, 100))
+    assert some < none == len(one_by_one(lengths, 1024))
 
 
 def test_crossover_injects_whole_bins():
     rng = np.random.default_rng(0)
-    lengths = [int(x) for x in rng.integers(5, 60, 80)]
-    a, b = (packing.Packing(lengths, 100) for _ in range(2))
-    a.best_fit(range(80))
-    b.best_fit(reversed(range(80)))
-    child = packing.crossover(a, b, rng)
-    assert sorted(x for s in child.bins for x in s) == list(range(80)) and max(child.fill) <= 100
-    assert {frozenset(s) for s in child.bins} & {frozenset(s) for s in b.bins}
+    lengths = [int(x) for x in rng.integers(5, 60, 400)]
+    counts = counted(lengths)
+    a, b = packing.Packing(100), packing.Packing(100)
+    a.best_fit(counts, range(99, 0, -1))
+    b.best_fit(counts, sorted(range(1, 100), key=lambda x: -x * rng.uniform(0.8, 1.2)))
+    own, taken = {x for x, _ in b.bins()} - {x for x, _ in a.bins()}, 0
+    for _ in range(20):
+        child = packing.crossover(a, b, counts, rng)
+        assert pieces_of(child.bins()) == sorted(lengths) and max(sum(x) for x, _ in child.bins()) <= 100
+        taken += len({x for x, _ in child.bins()} & own)
+    assert taken >= 20
 
 
 def test_packing(spark, odd, none):
@@ -278,15 +350,21 @@ def test_packing(spark, odd, none):
     assert packing.packed_documents(none).count() == 0
 
 
-def test_packing_in_blocks(spark):
+def test_packing_of_many_alike(spark):
+    """A length that holds a third of the rows, in several parts; as few sequences as best-fit decreasing or fewer."""
     rng = random.Random(4)
-    pieces = spark.createDataFrame([(i, rng.randint(1, 900)) for i in range(1500)], "doc_id long, length long")
-    got = packing.pack(pieces, block=200).collect()
-    fill = Counter()
+    lengths = [2 if i % 3 == 0 else rng.randint(1, 1024) for i in range(3000)]
+    pieces = spark.createDataFrame([(i, x, i) for i, x in enumerate(lengths)], "doc_id long, length long, offset_ long").repartition(7)
+    got = packing.pack(pieces, generations=5).collect()
+    by = {}
     for r in got:
-        fill[r["sequence_id"]] += r["length"]
-    assert len(got) == 1500 and max(fill.values()) <= 1024
-    assert len(fill) <= 1.01 * -(-sum(fill.values()) // 1024) + 2
+        assert r["length"] == lengths[r["doc_id"]] and r["offset_"] == r["doc_id"]
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(r["doc_id"] for r in got) == list(range(3000))
+    for xs in by.values():
+        ends = list(itertools.accumulate([n for _, n in sorted(xs)], initial=0))
+        assert [o for o, _ in sorted(xs)] == ends[:-1] and ends[-1] <= 1024
+    assert len(by) <= len(one_by_one(lengths, 1024))
 
 
 # --- TIFF
