@@ -5,6 +5,8 @@ factory is the line status ("F" own plant, "O" the other), product the part type
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,16 @@ ELEMENTS = ("material", "labor", "overhead", "unit_cost")
 PARTS = ELEMENTS[:3]
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with product, material and month; only the columns the model needs are read."""
+def lines(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """Order lines with product, material and month; only the columns the model needs are read.
+
+    years is the first and the last that a plan looks at: a range of ship dates that reaches the scan.
+    """
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("product"), F.col("p_brand").alias("material"))
     li = table(spark, sf_dir, "lineitem")
     e = F.col("l_extendedprice")
+    if years:
+        li = li.filter((F.col("l_shipdate") >= F.lit(datetime.datetime(years[0], 1, 1))) & (F.col("l_shipdate") < F.lit(datetime.datetime(years[1] + 1, 1, 1))))
     li = li.select(
         F.col("l_linestatus").alias("factory"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month_no"), F.date_format("l_shipdate", "yyyy-MM").alias("month"),
         "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", F.col("l_quantity").alias("qty"), e.alias("cost"),
@@ -33,13 +40,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost_cube(ls: DataFrame) -> DataFrame:
     q = F.sum("qty")
     per = lambda c: (F.sum(c) / F.nullif(q, F.lit(0.0)))
-    return ls.groupBy("factory", "product", "year", "month_no", "month").agg(
+    by = ls.groupBy("factory", "product", "year", "month_no").agg(
         q.alias("volume"), F.sum("cost").alias("total_cost"), per("material_cost").alias("material"), per("labor_cost").alias("labor"), per("overhead_cost").alias("overhead"), per("cost").alias("unit_cost")
     )
+    month = F.format_string("%04d-%02d", F.col("year"), F.col("month_no"))  # made for months, not for lines
+    return by.select("factory", "product", "year", "month_no", month.alias("month"), "volume", "total_cost", *PARTS, "unit_cost")
 
 
-def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cost_cube(lines(spark, sf_dir))
+def cube(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    return cost_cube(lines(spark, sf_dir, years))
 
 
 def element_long(cube: DataFrame, elements=ELEMENTS) -> DataFrame:

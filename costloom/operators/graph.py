@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costloom.functions.text import tokens
@@ -20,6 +20,36 @@ def edges_of(parts: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     return out.distinct()
 
 
+def code_bridge(named: DataFrame, register: DataFrame, rel: str = "code") -> DataFrame:
+    """src, dst, rel from the devices that steps name to their code in the register (name, code, place).
+
+    Of devices with one name the last place of the register counts.
+    """
+    last = register.groupBy("name").agg(F.max_by("code", "place").alias("dst"))
+    return named.select(F.col("name").alias("src")).distinct().join(last, F.col("src") == F.col("name")).select("src", "dst", F.lit(rel).alias("rel"))
+
+
+def event_edges(events: DataFrame, products: DataFrame, every: str, rel: str = "event") -> DataFrame:
+    """src, dst, rel from what an event (event_id, product, material) touches; an event of every product touches each.
+
+    Products are a small dimension: only events of every product meet all of them.
+    """
+    node = F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("dst")
+    one = events.filter(F.col("product") != every).join(products.select(F.col("product").alias("src")), F.col("src") == F.col("product")).select("src", node)
+    all_ = events.filter(F.col("product") == every).select(node).crossJoin(products.select(F.col("product").alias("src"))).select("src", "dst")
+    material = events.filter("material IS NOT NULL").select(F.col("material").alias("src"), node)
+    return one.unionByName(all_).unionByName(material).distinct().withColumn("rel", F.lit(rel))
+
+
+def node_text(kind: Column, node: Column, about: Column) -> Column:
+    """How a path shows a node by its kind; about is a map of the node's properties, of which all may be missing."""
+    at = lambda k: F.coalesce(F.element_at(about, k), F.lit("?"))
+    price = F.concat(at("material"), F.lit(" "), at("month"), F.lit(" price "), at("price"), F.lit(" ("), at("trend"), F.lit(")"))
+    repair = F.concat(at("date"), F.lit(" "), at("name"), F.lit(" failed: "), at("note"), F.lit(", cost "), at("cost"), F.lit(", hours "), at("hours"))
+    scene = F.concat(F.lit("[scenario] "), at("event"), F.lit(" ("), at("verdict"), F.lit(")"))
+    return F.when(kind == "price", price).when(kind == "repair", repair).when(kind == "scenario", scene).otherwise(node)
+
+
 def anchors(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, node: nodes (node) that a query (query_id, text) names.
 

@@ -34,6 +34,17 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "task_id") -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(last)
 
 
+def closures(tasks: DataFrame, effects: DataFrame) -> DataFrame:
+    """A closed task (task_id, task_title, product, task_month) with its effect, or with the error why there is none.
+
+    effects: product, month, target_mom_pct, control_mom_pct, net_effect_pct.
+    """
+    e = effects.withColumnRenamed("month", "task_month")
+    rows = tasks.join(e, ["product", "task_month"], "left").withColumn("status", F.lit("completed"))
+    error = F.when(F.col("product").isNull() | F.col("task_month").isNull(), "task without product or month").when(F.col("net_effect_pct").isNull(), F.concat(F.lit("no movement of "), "product", F.lit(" in "), "task_month"))
+    return rows.withColumn("error", error)
+
+
 def related(closures: DataFrame, product, month) -> DataFrame:
     """Closures of a product from months before, compared as text; a missing month is the earliest."""
     return closures.filter((F.col("product") == product) & (F.coalesce("task_month", F.lit("")) < month))

@@ -17,7 +17,7 @@ def _counted(rows: DataFrame, **tests: Column) -> DataFrame:
     return t.select(F.explode(each).alias("x")).select("x.*")
 
 
-def identity_checks(cube: DataFrame, detail: DataFrame, overhead: DataFrame, labor: DataFrame, budget: DataFrame, factors: DataFrame) -> DataFrame:
+def identity_checks(cube: DataFrame, detail: DataFrame, overhead: DataFrame, labor: DataFrame, budget: DataFrame, factors: DataFrame, prices: DataFrame | None = None, window: DataFrame | None = None) -> DataFrame:
     """name, bad_count: rows that break each identity; 0 means it holds. Missing detail counts as 0.
 
     Tests over the same rows share a pass.
@@ -41,15 +41,49 @@ def identity_checks(cube: DataFrame, detail: DataFrame, overhead: DataFrame, lab
         ),
         _counted(own, material_detail_adds_up=against("m_", "material"), overhead_detail_adds_up=against("o_", "overhead"), labor_detail_adds_up=against("l_", "labor")),
         _counted(shares, shares_add_up_to_100=off(c("s"), F.lit(100.0), 1e-4), deltas_add_up_to_the_unit_cost=off(c("d"), c("u"), 1e-6)),
-        _counted(budget.groupBy("product").agg(F.count("*").alias("n")), one_budget_for_each_product=c("n") != 1),
+        _counted(monthly_budget(cube, budget).groupBy("product").agg(F.count_distinct(F.round("budget_unit_cost", 9)).alias("n")), one_budget_for_each_product=c("n") != 1),
         _counted(cube.groupBy("factory", "product", "month").agg(F.count("*").alias("n")), keys_are_unique=c("n") != 1),
     ]
+    if prices is not None:  # every material of the detail has its price in that month, and every pair of product and material all its months
+        key_ = ["material", "month"]
+        alone = detail.join(prices.select(*key_).distinct(), key_, "left_anti")
+        checks.append(_counted(alone, every_material_has_a_price=F.lit(True)))
+    if window is not None:  # all three changes of a window are over the same two months
+        checks.append(_counted(window, windows_are_aligned=(c("m1") >= c("m2")) | c("m1").isNull() | c("m2").isNull()))
     out = checks[0]
     for x in checks[1:]:
         out = out.unionAll(x)
     return out
 
 
+def monthly_budget(cube: DataFrame, budget: DataFrame, factory: str = OWN) -> DataFrame:
+    """product, month and the budget that holds for it: one row a month of the year, as plans use it."""
+    months = cube.filter(F.col("factory") == factory).select("product", "month").distinct()
+    return months.join(budget, "product")
+
+
+def moves_with_volume(overhead: DataFrame, cube: DataFrame, year: int, least: float = 0.9, factory: str = OWN) -> DataFrame:
+    """product, category, r, follows: whether a category's monthly amount moves with the product's volume."""
+    rows = overhead.filter(F.col("year") == year).join(cube.filter((F.col("factory") == factory) & (F.col("year") == year)).select("product", "month", "volume"), ["product", "month"])
+    by = rows.groupBy("product", "category").agg(F.corr("amount", "volume").alias("r"))
+    return by.withColumn("follows", F.coalesce(F.col("r") > least, F.lit(False)))
+
+
+def golden_error(rows: DataFrame, golden: DataFrame, keys: list[str], value: str, within: float = 1.0) -> DataFrame:
+    """rows, max_rel_error_pct, within: one row; the largest relative error of value against golden's, in percent."""
+    g = golden.select(*keys, F.col(value).alias("golden_"))
+    error = F.abs(F.col(value) - F.col("golden_")) / F.greatest(F.abs("golden_"), F.lit(1e-9)) * 100
+    t = rows.join(g, keys).agg(F.count("*").alias("rows"), F.round(F.max(error), 4).alias("max_rel_error_pct"))
+    return t.withColumn("within", F.coalesce(F.col("max_rel_error_pct") <= within, F.lit(False)))
+
+
+def hit_summary(hits: DataFrame) -> DataFrame:
+    """total, full, partial, miss, hit_rate: one row over the verdicts."""
+    n = lambda v: F.count_if(F.col("verdict") == v).alias(v)
+    t = hits.agg(F.count("*").alias("total"), n("full"), n("partial"), n("miss"))
+    return t.withColumn("hit_rate", F.format_string("%d/%d", F.col("full") + F.col("partial"), F.col("total")))
+
+
 def identity_gate(checks: DataFrame) -> DataFrame:
     """The checks, or an error that names the first broken one."""
     message = F.concat(F.lit("identity broken: "), F.col("name"))
@@ -60,8 +94,12 @@ def identity_gate(checks: DataFrame) -> DataFrame:
 VERDICTS = {"red": "contradicted", "yellow": "partly holds", "blue": "definition differs", "grey": "to be checked", "green": "holds"}
 
 
-def audit(diff: DataFrame, dilution: DataFrame, gaps: DataFrame, window: DataFrame, ranges: DataFrame, overall: DataFrame) -> DataFrame:
-    """hypothesis_id, level, ok, evidence: levels follow from the data; what can't be computed is grey."""
+def audit(diff: DataFrame, dilution: DataFrame, gaps: DataFrame, window: DataFrame, ranges: DataFrame, overall: DataFrame, consumption: DataFrame | None = None, ratios: DataFrame | None = None, utilities: DataFrame | None = None, labor: DataFrame | None = None) -> DataFrame:
+    """hypothesis_id, level, ok, evidence: levels follow from the data; what can't be computed is grey.
+
+    consumption (mean, theory), ratios (value, stated), utilities (counted, booked) and labor (counted, stated) are
+    what a source states beside what the detail gives: without them C1, P1, T1 and P3 are grey.
+    """
     d = lambda e: diff.filter(F.col("element") == e)
     num = lambda c: F.round(c, 4).cast("double")
 
@@ -83,7 +121,17 @@ def audit(diff: DataFrame, dilution: DataFrame, gaps: DataFrame, window: DataFra
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    rest = out.sparkSession.createDataFrame([("T1", "grey", None, None), ("P3", "grey", None, None)], "hypothesis_id string, level string, ok boolean, evidence double")
+    of = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0.0))
+    stated = {
+        "C1": (consumption, lambda: (F.bool_and(F.abs(of("mean", "theory") - 1) <= 0.5), F.max(of("mean", "theory")), "green", "blue")),
+        "P1": (ratios, lambda: (F.bool_and(F.abs(F.col("value") - F.col("stated")) < 0.05), F.max(F.abs(F.col("value") - F.col("stated"))), "green", "red")),
+        "T1": (utilities, lambda: (F.bool_and(of("counted", "booked") >= 0.9), F.min(of("counted", "booked")), "green", "grey")),
+        "P3": (labor, lambda: (F.bool_and(F.abs(of("counted", "stated") - 1) <= 0.15), F.max(F.abs(of("counted", "stated") - 1)), "green", "yellow")),
+    }
+    for name, (rows, tests) in stated.items():
+        if rows is not None:
+            out = out.unionByName(row(name, rows, *tests()))
+    rest = out.sparkSession.createDataFrame([(k, "grey", None, None) for k in ("T1", "P3", "C1", "P1") if stated[k][0] is None and (k in ("T1", "P3") or consumption is not None or ratios is not None)], "hypothesis_id string, level string, ok boolean, evidence double")
     return out.unionByName(rest)
 
 

@@ -77,21 +77,25 @@ bands AS (SELECT tier, count(*) AS n, quantile_cont(abs(mom_pct), 0.95) AS p95 F
 """
 
 
-def _lines(s, d):
-    return cubes.lines(s, d)
+#: First and last year of the plans that look at the base year alone, the year alone, the year and the one before, the base year and its budget.
+BASE, NOW, BOTH, BUDGET = (BASE_YEAR, BASE_YEAR), (YEAR, YEAR), (YEAR - 1, YEAR), (BASE_YEAR - 1, BASE_YEAR)
 
 
-def _cube(s, d):
-    return cubes.cube(s, d)
+def _lines(s, d, years=None):
+    return cubes.lines(s, d, years)
 
 
-def _kept_cube(s, d):
+def _cube(s, d, years=None):
+    return cubes.cube(s, d, years)
+
+
+def _kept_cube(s, d, years=None):
     """The cube, written once for plans that use it in several places: some rows a product and month."""
-    return cut(_cube(s, d))
+    return cut(_cube(s, d, years))
 
 
-def _long(s, d, elements=ELEMENTS):
-    return cubes.element_long(_cube(s, d), elements)
+def _long(s, d, elements=ELEMENTS, years=None):
+    return cubes.element_long(_cube(s, d, years), elements)
 
 
 # --- cube and look-ups
@@ -114,7 +118,7 @@ def mom(s, d):
 
 @query("market_unpivot", f"SELECT material, month_no, month, round(price, 6) AS price FROM mp WHERE year = {BASE_YEAR} AND month_no <= 6")
 def market_unpivot(s, d):
-    return rounded(cubes.market_unpivot(cubes.market_wide(cubes.market_price(_lines(s, d)))), 6, "price")
+    return rounded(cubes.market_unpivot(cubes.market_wide(cubes.market_price(_lines(s, d, BASE)))), 6, "price")
 
 
 @query("weighted_unit_cost", "SELECT factory, year, product, round(sum(unit_cost * volume) / sum(volume), 6) AS weighted FROM cube GROUP BY ALL")
@@ -124,7 +128,7 @@ def weighted_unit_cost(s, d):
 
 @query("unweighted_mean", f"SELECT product, round(avg(material), 6) AS mean_material FROM cube WHERE factory = 'F' AND year = {YEAR} AND month_no <= 6 GROUP BY product")
 def unweighted_mean(s, d):
-    rows = _cube(s, d).filter((F.col("factory") == OWN) & (F.col("year") == YEAR) & F.col("month_no").isin(*HALF))
+    rows = _cube(s, d, NOW).filter((F.col("factory") == OWN) & (F.col("year") == YEAR) & F.col("month_no").isin(*HALF))
     return rows.groupBy("product").agg(F.round(F.avg("material"), 6).alias("mean_material"))
 
 
@@ -161,7 +165,7 @@ def share_range(c):
   FROM cube WHERE month_no <= 6 AND year IN ({YEAR - 1}, {YEAR}) GROUP BY ALL)""",
 )
 def yoy_unit_cost(s, d):
-    return rounded(rounded(variance.yoy_unit_cost(_cube(s, d), YEAR), 6, "before", "now"), 4, "yoy_pct")
+    return rounded(rounded(variance.yoy_unit_cost(_cube(s, d, BOTH), YEAR), 6, "before", "now"), 4, "yoy_pct")
 
 
 @query(
@@ -171,7 +175,7 @@ def yoy_unit_cost(s, d):
   FROM cube WHERE month_no <= 6 AND year IN ({YEAR - 1}, {YEAR}) GROUP BY factory)""",
 )
 def yoy_overall(s, d):
-    return rounded(variance.yoy_overall(_cube(s, d), YEAR), 4, "unit_cost_pct", "total_cost_pct")
+    return rounded(variance.yoy_overall(_cube(s, d, BOTH), YEAR), 4, "unit_cost_pct", "total_cost_pct")
 
 
 @query(
@@ -189,7 +193,7 @@ def yoy_monthly(s, d):
   {" UNION ALL ".join(f"SELECT product, month, '{e}' AS element, {e} AS actual, budget_{e} AS budget FROM cube JOIN bd USING (product) WHERE factory = 'F' AND year = {BASE_YEAR}" for e in ELEMENTS)})""",
 )
 def budget_variance(s, d):
-    c = _kept_cube(s, d)
+    c = _kept_cube(s, d, BUDGET)
     return rounded(rounded(variance.budget_variance(c, cubes.budget(c), BASE_YEAR), 6, "actual", "budget"), 4, "variance_pct")
 
 
@@ -212,7 +216,7 @@ def contribution(s, d):
 
 @query("benchmark_diff", "SELECT product, element, round(own, 6) AS own, round(other, 6) AS other, round((own / nullif(other, 0) - 1) * 100, 2) AS diff_pct, round(own - other, 4) AS diff_amount, CASE WHEN own / other - 1 < 0 THEN 'own plant lower' ELSE 'other plant lower' END AS direction FROM bench")
 def benchmark_diff(s, d):
-    return rounded(rounded(rounded(variance.benchmark_diff(_long(s, d), YEAR), 6, "own", "other"), 2, "diff_pct"), 4, "diff_amount")
+    return rounded(rounded(rounded(variance.benchmark_diff(_long(s, d, years=NOW), YEAR), 6, "own", "other"), 2, "diff_pct"), 4, "diff_amount")
 
 
 @query(
@@ -222,12 +226,12 @@ def benchmark_diff(s, d):
   FROM bench WHERE element <> 'unit_cost' WINDOW w AS (PARTITION BY product)""",
 )
 def struct_tree(s, d):
-    return rounded(rounded(variance.struct_tree(variance.benchmark_diff(_long(s, d), YEAR)), 4, "diff_amount"), 1, "share_of_total")
+    return rounded(rounded(variance.struct_tree(variance.benchmark_diff(_long(s, d, years=NOW), YEAR)), 4, "diff_amount"), 1, "share_of_total")
 
 
 @query("element_ratios", f"SELECT factory, product, {', '.join(f'round(sum({e} * volume) / sum(unit_cost * volume) * 100, 4) AS {e}_ratio' for e in PARTS)} FROM cube WHERE year = {YEAR} AND month_no <= 6 GROUP BY ALL")
 def element_ratios(s, d):
-    return rounded(variance.element_ratios(_cube(s, d), YEAR), 4, *[f"{e}_ratio" for e in PARTS])
+    return rounded(variance.element_ratios(_cube(s, d, NOW), YEAR), 4, *[f"{e}_ratio" for e in PARTS])
 
 
 @query(
@@ -236,7 +240,7 @@ def element_ratios(s, d):
 )
 def unit_cost_per_piece(s, d):
     pieces = F.broadcast(s.createDataFrame(list(PIECES.items()), "product string, pieces int"))
-    return rounded(variance.unit_cost_per_piece(_cube(s, d), pieces, YEAR), 6, "per_piece")
+    return rounded(variance.unit_cost_per_piece(_cube(s, d, NOW), pieces, YEAR), 6, "per_piece")
 
 
 @query(
@@ -297,7 +301,7 @@ def material_mom(s, d):
 SELECT material, month, round(price_1, 6) AS price_1, round(price, 6) AS price, round(c, 4) AS change_pct, CASE WHEN c > 0 THEN 'rising' WHEN c < 0 THEN 'falling' ELSE 'flat' END AS note FROM c""",
 )
 def price_tracking(s, d):
-    long = cubes.market_unpivot(cubes.market_wide(cubes.market_price(_lines(s, d))))
+    long = cubes.market_unpivot(cubes.market_wide(cubes.market_price(_lines(s, d, BASE))))
     return rounded(rounded(detail.price_tracking(long), 6, "price_1", "price"), 4, "change_pct")
 
 
@@ -308,7 +312,7 @@ def labor_metrics(s, d):
 
 @query("category_series", f"SELECT product, category, array_to_string(list(printf('%.6f', amount) ORDER BY month_no), ';') AS series FROM od WHERE year = {BASE_YEAR} AND month_no <= 6 GROUP BY ALL")
 def category_series(s, d):
-    rows = detail.category_series(cubes.overhead_detail(_lines(s, d), table(s, d, "orders")), BASE_YEAR)
+    rows = detail.category_series(cubes.overhead_detail(_lines(s, d, BASE), table(s, d, "orders")), BASE_YEAR)
     return rows.withColumn("series", F.array_join(F.transform("series", lambda x: F.format_string("%.6f", x)), ";"))
 
 
@@ -318,7 +322,7 @@ def category_series(s, d):
   WHERE md.year = {BASE_YEAR} AND md.month_no <= 6) GROUP BY ALL""",
 )
 def implied_consumption(s, d):
-    ls = _lines(s, d)
+    ls = _lines(s, d, BASE)
     return rounded(rounded(detail.implied_consumption(cubes.material_detail(ls), cubes.market_price(ls), BASE_YEAR), 8, "mean"), 4, "cv")
 
 
@@ -332,7 +336,7 @@ SELECT product, material, round(up, 4) AS unit_pct, round(pp, 4) AS price_pct, r
   round(CASE WHEN up IS NULL OR pp IS NULL THEN u2 - u1 END, 6) AS unit_abs, round(CASE WHEN up IS NULL OR pp IS NULL THEN p2 - p1 END, 6) AS price_abs FROM x""",
 )
 def window_change(s, d):
-    ls = _lines(s, d)
+    ls = _lines(s, d, BASE)
     return rounded(rounded(detail.window_change(cubes.material_detail(ls), cubes.market_price(ls), BASE_YEAR, 2, 5), 4, "unit_pct", "price_pct", "ratio"), 6, "unit_abs", "price_abs")
 
 
@@ -357,7 +361,7 @@ def market_text_chunks(s, d):
 
 @query("fixed_variable", f"SELECT product, cost_type, round(regr_intercept(total, volume), 3) AS a, round(regr_slope(total, volume), 6) AS b, round(regr_r2(total, volume), 6) AS r2 FROM ct WHERE factory = 'F' AND year = {BASE_YEAR} GROUP BY ALL")
 def fixed_variable(s, d):
-    return rounded(rounded(models.fixed_variable(models.cost_totals(_cube(s, d)), BASE_YEAR), 3, "a"), 6, "b", "r2")
+    return rounded(rounded(models.fixed_variable(models.cost_totals(_cube(s, d, BASE)), BASE_YEAR), 3, "a"), 6, "b", "r2")
 
 
 _TWO = "max(total) FILTER (month_no = 2) AS t1, max(total) FILTER (month_no = 5) AS t2, max(volume) FILTER (month_no = 2) AS q1, max(volume) FILTER (month_no = 5) AS q2"
@@ -365,7 +369,7 @@ _TWO = "max(total) FILTER (month_no = 2) AS t1, max(total) FILTER (month_no = 5)
 
 @query("high_low", f"SELECT product, cost_type, round(t1 - (t2 - t1) / nullif(q2 - q1, 0) * q1, 3) AS a, round((t2 - t1) / nullif(q2 - q1, 0), 6) AS b FROM (SELECT product, cost_type, {_TWO} FROM ct WHERE factory = 'F' AND year = {BASE_YEAR} GROUP BY ALL)")
 def high_low(s, d):
-    return rounded(rounded(models.high_low(models.cost_totals(_cube(s, d)), BASE_YEAR), 3, "a"), 6, "b")
+    return rounded(rounded(models.high_low(models.cost_totals(_cube(s, d, BASE)), BASE_YEAR), 3, "a"), 6, "b")
 
 
 @query(
@@ -374,16 +378,16 @@ def high_low(s, d):
 SELECT product, cost_type, round(u2 - u1, 6) AS delta, round(a * (1 / q2 - 1 / q1), 5) AS dilution, round(u2 - u1 - a * (1 / q2 - 1 / q1), 5) AS drift FROM x""",
 )
 def dilution(s, d):
-    return rounded(rounded(models.dilution(models.cost_totals(_cube(s, d)), BASE_YEAR), 6, "delta"), 5, "dilution", "drift")
+    return rounded(rounded(models.dilution(models.cost_totals(_cube(s, d, BASE)), BASE_YEAR), 6, "delta"), 5, "dilution", "drift")
 
 
 @query("pearson", f"SELECT factory, product, cost_type, round(corr(total, volume), 6) AS r FROM ct WHERE year = {BASE_YEAR} GROUP BY ALL")
 def pearson(s, d):
-    return rounded(models.pearson(models.cost_totals(_cube(s, d)), BASE_YEAR), 6, "r")
+    return rounded(models.pearson(models.cost_totals(_cube(s, d, BASE)), BASE_YEAR), 6, "r")
 
 
 def _tiers(s, d):
-    ls = _lines(s, d)
+    ls = _lines(s, d, (BASE_YEAR, YEAR))
     c = cut(cubes.cost_cube(ls))
     return models.tier_metrics(cubes.element_long(c), c, detail.labor_metrics(cubes.labor_detail(ls)))
 
@@ -423,7 +427,7 @@ x AS (SELECT factory, product, avg(v) FILTER (i > n - 3) AS ma3, sum(CASE WHEN i
 SELECT factory, product, round(ma3, 6) AS ma3, round(es, 6) AS es, round(sigma, 6) AS sigma, round(es - sigma, 6) AS low, round(es + sigma, 6) AS high FROM x""",
 )
 def forecast(s, d):
-    return rounded(models.forecast(_cube(s, d), BASE_YEAR), 6, "ma3", "es", "sigma", "low", "high")
+    return rounded(models.forecast(_cube(s, d, BASE), BASE_YEAR), 6, "ma3", "es", "sigma", "low", "high")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from costloom.functions.maths import general, signed
 from costloom.operators import cube as cubes, detail, graph, guard, ledger, models, quality, variance
 from costloom.operators.cube import BASE_YEAR, ELEMENTS, OWN, PARTS, YEAR
 from costloom.plans import cost_queries as cost
@@ -27,8 +28,6 @@ def query(name: str, sql: str | None):
 
 
 #: Sample rows of what a report run produces.
-LABELS = [("E1", "金银花,上涨,产地减产", "材料成本"), ("E2", "板蓝根,上涨,流感", "材料成本"), ("E3", "黄芩,单耗,收率", "材料成本"), ("E4", "制造费用,摊薄", "制造费用"), ("E5", "山茱萸,上涨,库存", "材料成本"), ("E6", "胶囊填充机,故障,停工", "单位成本")]
-CHAIN_TEXTS = [("E1", "金银花采购价上涨（产地减产）"), ("E2", "板蓝根采购价上涨（流感季需求）"), ("E3", "黄芩提取物单耗上升（收率波动），幅度微弱"), ("E4", "春节产量下降→固定费摊薄，摊薄为次因"), ("E5", "山茱萸采购价上涨（库存偏低）"), ("E6", "胶囊填充机故障停工24h")]
 TASKS = [
     ("TASK-202605-0001", "核查合同", "张伟", "采购部", "月度成本分析", "2026-05", "银黄口服液", "超阈值", "high", "2026-06-03", "核查", "wechat", "2026-05-01T09:00:00"),
     ("TASK-2026-1", "核查", "张伟", "采购部", "月度成本分析", "2026-05", "银黄口服液", "超阈值", "urgent", "2026/06/03", None, None, "2026-05-01"),
@@ -109,15 +108,81 @@ def audit_counts(s, d):
     return quality.audit_counts(audit(s, d))
 
 
+#: Parts stand for labelled events: their brand, type and the words of their name are what an explanation has to hold; the
+#: explanation knows the name, and the brand of even sizes. A hedge makes a full hit a partial one.
+HEDGED = "次因"
+_HITS = f"""WITH l AS (SELECT CAST(p_partkey AS VARCHAR) AS id, [p_brand, string_split(p_name, ' ')[1], string_split(p_name, ' ')[-1]] AS k, p_type AS impact,
+  p_name || CASE WHEN p_size % 2 = 0 THEN ' ' || p_brand ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ' {HEDGED}' ELSE '' END AS text FROM part),
+m AS (SELECT id, text || ' impact:' || impact AS w, k FROM l), v AS (SELECT id, w, list_filter(k, lambda x: contains(w, x)) AS a, list_filter(k, lambda x: NOT contains(w, x)) AS b FROM m),
+hits AS (SELECT id, array_to_string(a, ',') AS matched, array_to_string(b, ',') AS missing, CASE WHEN len(b) = 0 THEN CASE WHEN contains(w, '{HEDGED}') THEN 'partial' ELSE 'full' END WHEN len(a) > 0 THEN 'partial' ELSE 'miss' END AS verdict FROM v)
+"""
+
+
+def _hits(s, d):
+    part = table(s, d, "part")
+    words = F.split("p_name", " ")
+    key = F.col("p_partkey").cast("string").alias("id")
+    labels = part.select(key, F.array("p_brand", F.get(words, F.lit(0)), F.element_at(words, -1)).alias("keywords"), F.col("p_type").alias("impact"))
+    text = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_brand")).otherwise(""), F.when(F.col("p_size") % 5 == 0, f" {HEDGED}").otherwise(""))
+    return quality.attribution_hits(labels, part.select(key, text.alias("text")))
+
+
+@query("attribution_hits", _HITS + "SELECT * FROM hits")
+def attribution_hits(s, d):
+    return _hits(s, d)
+
+
+@query("hit_summary", _HITS + """SELECT count(*) AS total, CAST(count_if(verdict = 'full') AS BIGINT) AS "full", CAST(count_if(verdict = 'partial') AS BIGINT) AS "partial", CAST(count_if(verdict = 'miss') AS BIGINT) AS miss, count_if(verdict <> 'miss') || '/' || count(*) AS hit_rate FROM hits""")
+def hit_summary(s, d):
+    return quality.hit_summary(_hits(s, d))
+
+
 @query(
-    "attribution_hits",
-    f"""WITH l(id, words, impact) AS (VALUES {_values(LABELS)}), c(id, text) AS (VALUES {_values(CHAIN_TEXTS)}), t AS (SELECT id, string_split(words, ',') AS k, text || ' impact:' || impact AS w FROM l JOIN c USING (id)),
-m AS (SELECT id, w, list_filter(k, lambda x: contains(w, x)) AS a, list_filter(k, lambda x: NOT contains(w, x)) AS b FROM t)
-SELECT id, array_to_string(a, ',') AS matched, array_to_string(b, ',') AS missing, CASE WHEN len(b) = 0 THEN CASE WHEN contains(w, '幅度微弱') OR contains(w, '次因') THEN 'partial' ELSE 'full' END WHEN len(a) > 0 THEN 'partial' ELSE 'miss' END AS verdict FROM m""",
+    "golden_error",
+    SHARED + """, g AS (SELECT product, element, round((own / nullif(other, 0) - 1) * 100, 2) AS golden, (own / nullif(other, 0) - 1) * 100 AS p FROM bench)
+SELECT count(*) AS rows, round(max(abs(p - golden) / greatest(abs(golden), 1e-9) * 100), 4) AS max_rel_error_pct, coalesce(round(max(abs(p - golden) / greatest(abs(golden), 1e-9) * 100), 4) <= 1, false) AS within FROM g""",
 )
-def attribution_hits(s, d):
-    labels = s.createDataFrame(LABELS, "id string, words string, impact string").select("id", F.split("words", ",").alias("keywords"), "impact")
-    return quality.attribution_hits(labels, s.createDataFrame(CHAIN_TEXTS, "id string, text string"))
+def golden_error(s, d):
+    """The differences to two places, as a report shows them, stand for published numbers."""
+    rows = cut(variance.benchmark_diff(cubes.element_long(cubes.cube(s, d, (YEAR, YEAR))), YEAR))
+    return quality.golden_error(rows, rows.withColumn("diff_pct", F.round("diff_pct", 2)), ["product", "element"], "diff_pct")
+
+
+@query(
+    "moves_with_volume",
+    SHARED + f""", v AS (SELECT od.product, category, corr(amount, volume) AS r FROM od JOIN cube ON cube.product = od.product AND cube.month = od.month AND factory = 'F' WHERE od.year = {BASE_YEAR} GROUP BY ALL)
+SELECT product, category, round(r, 6) AS r, coalesce(r > 0.9, false) AS follows FROM v""",
+)
+def moves_with_volume(s, d):
+    ls = cubes.lines(s, d, (BASE_YEAR, BASE_YEAR))
+    return rounded(quality.moves_with_volume(cubes.overhead_detail(ls, table(s, d, "orders")), cubes.cost_cube(ls), BASE_YEAR), 6, "r")
+
+
+@query(
+    "event_edges",
+    """WITH ev AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'all' ELSE (['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'])[CAST(user_id % 6 + 1 AS INT)] END AS product, CASE WHEN user_id % 3 = 0 THEN 'Brand#' || (user_id % 25 + 1) END AS material FROM events),
+p AS (SELECT DISTINCT p_type AS product FROM part)
+SELECT DISTINCT * FROM (SELECT ev.product AS src, 'event:' || event_id AS dst, 'event' AS rel FROM ev JOIN p ON p.product = ev.product UNION ALL SELECT p.product, 'event:' || event_id, 'event' FROM ev, p WHERE ev.product = 'all' UNION ALL SELECT material, 'event:' || event_id, 'event' FROM ev WHERE material IS NOT NULL)""",
+)
+def event_edges(s, d):
+    e, kinds = table(s, d, "events"), F.array(*[F.lit(x) for x in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")])
+    product = F.when(F.col("event_type") == "error", "all").otherwise(F.get(kinds, (F.col("user_id") % 6).cast("int")))
+    material = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")))
+    events = e.select("event_id", product.alias("product"), material.alias("material"))
+    return graph.event_edges(events, table(s, d, "part").select(F.col("p_type").alias("product")).distinct(), "all")
+
+
+@query("code_bridge", "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT p_name AS src, max_by(p_brand || '/' || p_partkey, p_partkey) AS dst, 'code' AS rel FROM part JOIN n ON n.name = p_name GROUP BY p_name")
+def code_bridge(s, d):
+    part = table(s, d, "part")
+    code = F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string"))
+    return graph.code_bridge(part.select(F.col("p_name").alias("name")), part.select(F.col("p_name").alias("name"), code.alias("code"), F.col("p_partkey").alias("place")))
+
+
+@query("number_formats", "SELECT p_partkey, printf('%+.1f', p_retailprice - 1000) AS signed_one, printf('%+.2f%%', p_retailprice / 7 - 140) AS signed_two, printf('%g', p_retailprice) AS plain FROM part")
+def number_formats(s, d):
+    v = F.col("p_retailprice")
+    return table(s, d, "part").select("p_partkey", signed(v - 1000).alias("signed_one"), signed(v / 7 - 140, 2, "%").alias("signed_two"), general(v).alias("plain"))
 
 
 @query(
