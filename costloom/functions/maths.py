@@ -28,7 +28,7 @@ def from_percent(text: Column) -> Column:
 
 def signed(v: Column, places: int = 1, suffix: str = "") -> Column:
     """The number with its sign, "+3.2%"; a dash for null."""
-    return F.coalesce(F.format_string(f"%+.{places}f", v.cast("double")) if not suffix else F.concat(F.format_string(f"%+.{places}f", v.cast("double")), F.lit(suffix)), F.lit("—"))
+    return F.when(v.isNull(), "—").otherwise(F.concat(F.format_string(f"%+.{places}f", v.cast("double")), F.lit(suffix)))
 
 
 def general(v: Column) -> Column:
