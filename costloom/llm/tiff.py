@@ -63,49 +63,46 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """Most significant bit first; codes widen one entry early, as the format has it."""
-    clear, stop = 256, 257
-    acc, held, out = 0, 0, bytearray()
-    table: dict[bytes, int] = {}
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, held
-        acc, held = acc << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(acc >> held & 255)
-        acc &= (1 << held) - 1
+    """Most significant bit first; codes widen one entry early, as the format has it.
 
-    def fresh() -> None:
-        table.clear()
-        table.update((bytes((i,)), i) for i in range(256))
-
-    put(clear, 9)
-    fresh()
-    nxt, width, run = 258, 9, b""
-    for i in range(len(data)):
-        more = run + data[i : i + 1]
-        if more in table:
-            run = more
+    An entry is keyed by the code of its run and the byte after it, so no run is copied.
+    """
+    clear, stop = 256, 257
+    table: dict[int, int] = {}
+    nxt, width, out = 258, 9, bytearray()
+    acc, held = clear, 9
+    run = -1
+    for byte in data:
+        if run < 0:
+            run = byte
+            continue
+        key = run << 8 | byte
+        found = table.get(key)
+        if found is not None:
+            run = found
             continue
-        put(table[run], width)
-        table[more] = nxt
+        acc, held = acc << width | run, held + width
+        table[key] = nxt
         nxt += 1
         if nxt == 1 << width and width < 12:
             width += 1
         if nxt == 4094:
-            put(clear, width)
-            fresh()
+            acc, held = acc << width | clear, held + width
+            table.clear()
             nxt, width = 258, 9
-        run = data[i : i + 1]
-    if run:
-        put(table[run], width)
+        if held >= 256:
+            held -= 256
+            out += (acc >> held).to_bytes(32, "big")
+            acc &= (1 << held) - 1
+        run = byte
+    if run >= 0:
+        acc, held = acc << width | run, held + width
         nxt += 1
         if nxt == 1 << width and width < 12:
             width += 1
-    put(stop, width)
-    if held:
-        out.append(acc << 8 - held & 255)
+    acc, held = acc << width | stop, held + width
+    spare = -held % 8
+    out += (acc << spare).to_bytes((held + spare) // 8, "big")
     return bytes(out)
 
 
@@ -148,15 +145,17 @@ def _codes_high_first(data: bytes) -> Iterator[int]:
                 width += 1
 
 
+_LITERALS = [bytes((i,)) for i in range(256)] + [b"", b""]
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, last, out = list(first), None, bytearray()
+    table, last, out = list(_LITERALS), None, bytearray()
     old = data[:1] == b"\0" and len(data) > 1 and data[1] & 1  # a clear code, written low bits first
     for code in _codes_low_first(data) if old else _codes_high_first(data):
         if code == 257:
             break
         if code == 256:
-            table, last = list(first), None
+            table, last = list(_LITERALS), None
             continue
         if last is None:
             if code > 255:
