@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from costloom.llm import exact_dedup, html, jaccard, mixing, packing, pii, quality, secrets, tiff, warc
+from costloom.llm import audit, bbit, exact_dedup, html, jaccard, merkle, mixing, packing, pii, quality, secrets, tiff, warc
 
 QUERIES = {
     "op1_tiff": tiff.op1_tiff,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_bbit_minhash": bbit.op13_bbit_minhash,
 }
 ORACLES = {
     "op7_secrets": secrets.ORACLE,
@@ -22,4 +25,7 @@ ORACLES = {
     "op2_jaccard": jaccard.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_merkle": merkle.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
+    "op13_bbit_minhash": bbit.ORACLE,
 }

@@ -1,4 +1,4 @@
-"""Five-word shingles of whole texts, hashed to 64 bits, for many texts at once."""
+"""Word shingles (five words, if not told otherwise) of whole texts, hashed to 64 bits, for many texts at once."""
 
 from __future__ import annotations
 
@@ -53,23 +53,23 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def shingle_sets(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(texts: list[str], size: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
     """(index, sorted distinct shingle hashes) of each text, in order; too few words are one shingle."""
     for first, chunk in _chunks(texts):
         start, words = word_hashes(np.frombuffer(b"".join(chunk), np.uint8))
         ends = np.cumsum([len(x) for x in chunk])
         owner = np.searchsorted(ends, start, side="right")
         count = np.bincount(owner, minlength=len(chunk))
-        n = max(0, len(words) - WORDS + 1)
-        value = np.full(n, np.uint64(WORDS))
-        for k in range(WORDS):
+        n = max(0, len(words) - size + 1)
+        value = np.full(n, np.uint64(size))
+        for k in range(size):
             value = mixed(value + words[k : n + k])
         inside = owner[:n] == owner[len(owner) - n :]
         value, of = value[inside], owner[:n][inside]
         at = np.searchsorted(of, np.arange(len(chunk) + 1))
         word_at = np.concatenate([[0], np.cumsum(count)])
         for i in range(len(chunk)):
-            if 0 < count[i] < WORDS:
+            if 0 < count[i] < size:
                 short = np.array([count[i]], np.uint64)
                 for w in words[word_at[i] : word_at[i + 1]]:
                     short = mixed(short + w)
