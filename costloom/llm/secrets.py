@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costloom.llm.common import cut, let, running_sums, whole_text
+from costloom.llm.common import cut, gathered, let, running_sums, whole_text
 
 # The base patterns and the least lengths.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -58,13 +58,13 @@ FALSE_SHARE, STEP, STEPS = 0.01, 0.1, 400
 RANDOM_SUMS = (9.2103, 11.3449)
 
 
-def spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
-    """array<struct<start, end>> of the leftmost matches; code points, end exclusive.
+def matches(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
+    """array<struct<start, end, s>> of the leftmost matches; code points, end exclusive; s is the match.
 
-    Splitting at the pattern gives what lies between the matches, so lengths add up to places. With group,
-    matches whose group is shorter than least are left out after matching.
+    Splitting at the pattern gives what lies between the matches, so lengths add up to places and no match is cut
+    out of the text again. With group, matches whose group is shorter than least are left out after matching.
     """
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
 
     def placed(found: Column) -> Column:
         own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
@@ -72,14 +72,19 @@ def spans(text: Column, pattern: str, group: int | None = None, least: int = 0)
 
         def ended(x: Column) -> Column:
             ends = running_sums(F.transform(x["hits"], lambda h, i: F.length(h) + F.length(F.get(x["gaps"], i))))
-            each = F.transform(F.arrays_zip(x["hits"].alias("hit"), x["own"].alias("own"), ends.alias("end")), lambda z: F.struct((z["end"] - F.length(z["hit"])).alias("start"), z["end"].alias("end"), F.length(z["own"]).alias("n")))
-            return F.transform(F.filter(each, lambda z: z["n"] >= least), lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end")))
+            each = F.transform(F.arrays_zip(x["hits"].alias("hit"), x["own"].alias("own"), ends.alias("end")), lambda z: F.struct((z["end"] - F.length(z["hit"])).alias("start"), z["end"].alias("end"), z["hit"].alias("s"), F.length(z["own"]).alias("n")))
+            return F.transform(F.filter(each, lambda z: z["n"] >= least), lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end"), z["s"].alias("s")))
 
         return F.when(F.size(found) == 0, none).otherwise(let(F.struct(found.alias("hits"), gaps.alias("gaps"), own.alias("own")), ended))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
+def spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
+    """array<struct<start, end>> of matches()."""
+    return F.transform(matches(text, pattern, group, least), lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end")))
+
+
 def _class_of(c: Column) -> Column:
     return F.when(c.between("0", "9"), 0).when(c.between("A", "Z"), 1).when(c.between("a", "z"), 2).otherwise(3)
 
@@ -98,36 +103,54 @@ def _upper_tail_log10(z: Column) -> Column:
     return F.greatest(density + F.log10((3 * x + F.sqrt(x * x + 8)) / 4), F.lit(0.0))
 
 
-def battery(token: Column) -> Column:
+def encoding_of(token: Column) -> Column:
+    """The place of the first encoding that the whole token matches, or null."""
+    return F.coalesce(*[F.when(token.rlike(pattern), F.lit(i)) for i, (_, pattern, _) in enumerate(ENCODINGS)])
+
+
+def battery(token: Column, encoding: Column | None = None) -> Column:
     """struct of the tests over one candidate: encoding, n, chi, z_runs, z_serial, evidence, random.
 
-    evidence is -log10 of the chance that text of this length looks as random as the candidate does.
+    encoding is the place of its encoding if that is known. evidence is -log10 of the chance that text of this length looks as
+    random as the candidate does. Every sum is taken once over the characters, so the cost is their number's.
     """
-    body = F.regexp_replace(token, "=+$", "")
-    kind, alphabet, change = F.lit("other"), F.lit(""), F.lit(0.5)
-    for name, pattern, letters in reversed(ENCODINGS):
-        change = F.when(token.rlike(pattern), F.lit(_change_share(letters))).otherwise(change)
-        kind = F.when(token.rlike(pattern), F.lit(name)).otherwise(kind)
-        alphabet = F.when(token.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    if encoding is None:
+        return let(encoding_of(token), lambda e: battery(token, e))
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), encoding)
+    body, alphabet = F.regexp_replace(token, "=+$", ""), pick([a for _, _, a in ENCODINGS])
     letters = F.filter(F.split(body, ""), lambda c: c != "")
-    base = F.struct(kind.alias("encoding"), F.length(alphabet).cast("double").alias("k"), change.alias("change"), F.transform(letters, lambda c: F.instr(alphabet, c).cast("double")).alias("v"), F.transform(letters, _class_of).alias("kinds"))
+    known = F.struct(body.alias("body"), alphabet.alias("alphabet"), letters.alias("letters"))
+
+    def numbers(x: Column) -> Column:
+        v = F.transform(x["letters"], lambda c: F.instr(x["alphabet"], c).cast("double"))
+        counts = F.transform(F.split(x["alphabet"], ""), lambda c: F.when(c == "", 0).otherwise(F.length(x["body"]) - F.length(F.replace(x["body"], c, F.lit("")))).cast("double"))
+        return F.struct(
+            pick([n for n, _, _ in ENCODINGS]).alias("encoding"), F.length(x["alphabet"]).cast("double").alias("k"), pick([_change_share(a) for _, _, a in ENCODINGS]).alias("change"),
+            v.alias("v"), counts.alias("counts"), F.transform(x["letters"], _class_of).alias("kinds"),
+        )
+
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
-    def of(b: Column) -> Column:
+    def averaged(b: Column) -> Column:
+        return let(F.struct(b.alias("b"), (total(b["v"]) / F.size(b["v"]).cast("double")).alias("mean")), of)
+
+    def of(y: Column) -> Column:
+        b, mean = y["b"], y["mean"]
         v, k = b["v"], b["k"]
         n = F.size(v).cast("double")
-        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-        # Sum of squared counts: each distinct character's count, squared.
-        squares = total(F.transform(F.array_distinct(v), lambda c: F.pow(F.size(F.filter(v, lambda x: x == c)).cast("double"), F.lit(2.0))))
+        squares = total(F.transform(b["counts"], lambda c: c * c))
         chi = squares * k / n - n
-        pairs = F.arrays_zip(F.slice(v, 1, F.size(v) - 1).alias("a"), F.slice(v, 2, F.size(v) - 1).alias("b"))
         kinds, p = b["kinds"], b["change"]
-        turns = total(F.transform(F.arrays_zip(F.slice(kinds, 1, F.size(v) - 1).alias("a"), F.slice(kinds, 2, F.size(v) - 1).alias("b")), lambda x: F.when(x["a"] != x["b"], F.lit(1.0)).otherwise(F.lit(0.0))))
+        turns = total(F.zip_with(F.slice(kinds, 1, F.size(v) - 1), F.slice(kinds, 2, F.size(v) - 1), lambda a, c: F.when(a != c, F.lit(1.0)).otherwise(F.lit(0.0))))
         several, none = p > 0, F.lit(0.0)
-        z_runs = F.when(several, (turns - (n - 1) * p) / F.sqrt((n - 1) * p * (1 - p))).otherwise(none)
-        mean = total(v) / n
-        spread = total(F.transform(v, lambda x: (x - mean) * (x - mean)))
-        serial = total(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean)))
-        r = F.when(spread > 0, serial / F.greatest(spread, F.lit(1e-9)) + 1 / n).otherwise(F.lit(99.0))
+        serial = total(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, c: (a - mean) * (c - mean)))
+        sums = F.struct(total(F.transform(v, lambda x: (x - mean) * (x - mean))).alias("spread"), serial.alias("serial"), turns.alias("turns"), chi.alias("chi"), n.alias("n"))
+
+        def tested(x: Column) -> Column:
+            n, turns = x["n"], x["turns"]
+            z_runs = F.when(several, (turns - (n - 1) * p) / F.sqrt((n - 1) * p * (1 - p))).otherwise(none)
+            r = F.when(x["spread"] > 0, x["serial"] / F.greatest(x["spread"], F.lit(1e-9)) + 1 / n).otherwise(F.lit(99.0))
+            return let(F.struct(x["chi"].alias("chi"), turns.alias("turns"), r.alias("r"), z_runs.alias("z_runs")), scored)
 
         def scored(x: Column) -> Column:
             chi, turns, r = x["chi"], x["turns"], x["r"]
@@ -144,25 +167,23 @@ def battery(token: Column) -> Column:
             random = z_chi * z_chi + z_runs * z_runs + z_serial * z_serial <= F.when(several, RANDOM_SUMS[1]).otherwise(RANDOM_SUMS[0])
             return F.struct(b["encoding"].alias("encoding"), n.alias("n"), chi.alias("chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), _upper_tail_log10(z).alias("evidence"), random.alias("random"))
 
-        return let(F.struct(chi.alias("chi"), turns.alias("turns"), r.alias("r"), z_runs.alias("z_runs")), scored)
+        return let(sums, tested)
 
-    return F.transform(F.array(base), of)[0]
+    return let(let(known, numbers), averaged)
 
 
-def _token(text: Column, s: Column) -> Column:
-    return F.substring(text, s["start"] + 1, s["end"] - s["start"])
+#: A whole run of one encoding, in one pattern.
+FITS = "|".join(pattern for _, pattern, _ in ENCODINGS)
 
 
-def _parts(text: Column, s: Column, splits: tuple[str, ...] = SPLITS) -> Column:
-    """array<struct<start, end>>: the run s if it is of an encoding, else its long parts that are."""
-    whole = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
+def _parts(run: Column, splits: tuple[str, ...] = SPLITS) -> Column:
+    """array<struct<start, end, s>>: the run (start, end, s) if it is of an encoding, else its long parts that are."""
+    whole = F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"), run["s"].alias("s")))
     if not splits:
         return whole
-    fits = F.lit(False)
-    for _, pattern, _ in ENCODINGS:
-        fits = fits | _token(text, s).rlike(pattern)
-    inner = F.transform(spans(_token(text, s), splits[0], least=CANDIDATE_LEAST), lambda x: F.struct((s["start"] + x["start"]).alias("start"), (s["start"] + x["end"]).alias("end")))
-    return F.when(fits, whole).otherwise(F.flatten(F.transform(inner, lambda x: _parts(text, x, splits[1:]))))
+    moved = lambda x: F.struct((run["start"] + x["start"]).alias("start"), (run["start"] + x["end"]).alias("end"), x["s"].alias("s"))
+    inner = F.transform(matches(run["s"], splits[0], least=CANDIDATE_LEAST), moved)
+    return F.when(run["s"].rlike(FITS), whole).otherwise(F.flatten(F.transform(inner, lambda x: _parts(x, splits[1:]))))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -171,13 +192,34 @@ def scanned(docs: DataFrame) -> DataFrame:
     A run that is of no encoding as a whole (NAME=value, a path with an underscore) is split at its signs.
     """
     text = F.col("text")
-    rows = docs.select("doc_id", whole_text().alias("text")).select("doc_id", "text", spans(text, ASSIGN, 2, ASSIGN_LEAST).alias("assign"), spans(text, ACCESS).alias("access"), spans(text, HEX).alias("hex"), spans(text, CANDIDATE).alias("c"))
+    rows = docs.select("doc_id", whole_text().alias("text")).select("doc_id", spans(text, ASSIGN, 2, ASSIGN_LEAST).alias("assign"), spans(text, ACCESS).alias("access"), spans(text, HEX).alias("hex"), matches(text, CANDIDATE).alias("c"))
+    encoded = F.filter(F.transform(F.flatten(F.transform("c", lambda run: _parts(run))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), encoding_of(x["s"]).alias("e"))), lambda x: x["e"].isNotNull())
+    tried = F.transform(encoded, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["s"], x["e"]).alias("t")))
+    return rows.select("doc_id", "assign", "access", "hex", F.when(F.size("c") > 0, tried).alias("tried"))
+
+
+def clear_of(extra: Column, base: Column) -> Column:
+    """The spans of extra (start, end, disjoint and in order) that no span of base overlaps.
 
-    def tried(s: Column) -> Column:
-        token = _token(text, s)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(token).alias("t"))
+    Two passes over both lists by start: from the left the furthest end of base so far, from the right the
+    nearest start; the cost is that of sorting, however many both are.
+    """
+    kind = "struct<start:int,own:int,end:int>"
+    tagged = lambda xs, own: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end")))
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def passed(items: Column, start: int, further, free) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            ours = x["own"] == 1
+            return F.struct(F.when(ours, state).otherwise(further(state, x)).alias("state"), F.when(ours & ~free(state, x), nothing).otherwise(F.array(x)).alias("out"))
 
-    return rows.select("doc_id", "assign", "access", "hex", F.when(F.size("c") > 0, F.filter(F.transform(F.flatten(F.transform("c", lambda s: _parts(text, s))), tried), lambda x: x["t"]["encoding"] != "other")).alias("tried"))
+        return gathered(items, F.lit(start), step, kind)
+
+    both = F.array_sort(F.concat(tagged(base, 0), tagged(extra, 1)))  # base first where both start together
+    left = passed(both, -1, lambda s, x: F.greatest(s, x["end"]), lambda s, x: s <= x["start"])
+    right = passed(F.reverse(left), 2**31 - 1, lambda s, x: x["start"], lambda s, x: s >= x["end"])
+    alone = F.reverse(F.transform(F.filter(right, lambda x: x["own"] == 1), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    return F.when((F.size(base) == 0) | (F.size(extra) == 0), F.transform(extra, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).otherwise(alone)
 
 
 def limits(found: DataFrame, share: float = FALSE_SHARE) -> dict[str, float]:
@@ -219,12 +261,12 @@ def find_secrets(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
         level = F.lit(float("inf"))
         for name, evidence in limit.items():
             level = F.when(x["t"]["encoding"] == name, F.lit(evidence)).otherwise(level)
-        clear = ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return x["t"]["random"] & (x["t"]["evidence"] >= level) & clear
+        return x["t"]["random"] & (x["t"]["evidence"] >= level)
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    rows = found.withColumn("base", base)
-    extra = F.when(F.col("tried").isNull(), none).otherwise(F.transform(F.filter("tried", passes), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end"))))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    passing = F.transform(F.filter("tried", passes), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    rows = found.withColumn("base", base).withColumn("passing", F.when(F.col("tried").isNull(), none).otherwise(passing))
+    extra = F.transform(clear_of(F.col("passing"), F.col("base")), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end")))
     rows = rows.withColumn("extra", extra)
     return rows.select(
         "doc_id",

@@ -8,6 +8,7 @@ import random
 import re
 import string
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -706,6 +707,34 @@ def test_values_beside_other_numbers(spark):
     assert [r["text"] for r in back] == texts
 
 
+def test_mail_domains_of_any_length(spark):
+    """No text may overflow a pattern's stack: a million labels, many thousand groups and values in one text."""
+    n, m = 10**6, 20_000
+    many = "x@" + "a." * n + "com"
+    texts = [many, "x@" + "a" * n + ".com", "x@" + "a." * 126 + "com", "x@" + "a." * 127 + "com", "1 " * m, "x@a." * m, "+1 (" * m, "A1-" * m, "GB12 " * m]
+    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r["n_email"] for r in rows[:4]] == [0, 1, 1, 0]
+    assert rows[0]["text"] == many and [len(r["text"]) for r in rows] == [len(t) for t in texts]
+
+
+def test_a_day_has_one_pseudonym_in_all_notations(spark):
+    days = [(1987, 2, 14), (1999, 12, 31), (2024, 2, 29), (1903, 7, 13), (2001, 3, 4), (1950, 12, 12)]
+    texts = [t for y, m, d in days for t in ([f"{y:04d}-{m:02d}-{d:02d}", f"{d:02d}/{m:02d}/{y}"] + [f"{m:02d}.{d:02d}.{y}"] * (d > 12))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r["text"] for r in pii.pseudonymised(docs, "k").orderBy("doc_id").collect()]
+
+    def day(t):
+        p = [int(x) for x in re.split("[-/.]", t)]
+        return (p[0], p[1], p[2]) if t[4] == "-" else (p[2], p[1], p[0]) if p[1] <= 12 else (p[2], p[0], p[1])
+
+    linked = {}
+    for a, b in zip(texts, new, strict=True):
+        assert linked.setdefault(day(a), day(b)) == day(b), (a, b)
+    assert len(set(linked.values())) == len(days)
+    back = pii.pseudonymised(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), "k", -1).orderBy("doc_id").collect()
+    assert [r["text"] for r in back] == texts
+
+
 def test_text_permutes(spark):
     for shape in ("00", "a", "A0", "0-0"):
         pools = [string.digits if c == "0" else string.ascii_lowercase if c == "a" else string.ascii_uppercase if c == "A" else c for c in shape]
@@ -809,6 +838,38 @@ def test_a_very_long_text_of_matches(spark):
     assert r["n_assign"] == n and r["spans"] == ",".join(f"assign:{16 * i}:{16 * i + 13}" for i in range(n))
 
 
+def test_long_tokens_and_many_candidates_take_their_length(spark):
+    """A token of 400,000 characters, 20,000 candidates of one text, and as many beside base spans: seconds, not hours."""
+    rng = random.Random(31)
+    letters = string.ascii_letters + string.digits + "+/"
+    small = ["".join(rng.choices(letters, k=24)) for _ in range(20_000)]
+    texts = ["see " + "".join(rng.choices(letters, k=400_000)) + " end", " ".join(small), " ".join(f"token=abcdefg {x}" for x in small)]
+    began = time.time()
+    rows = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert time.time() - began < 120
+    assert rows[0]["spans"] == "random:4:400004" and rows[2]["n_assign"] == 20_000
+    assert rows[1]["n_random"] == rows[2]["n_random"] > 0
+    starts = [int(x.split(":")[1]) for x in rows[1]["spans"].split(",")]
+    assert all(s % 25 == 0 for s in starts)
+
+
+def test_clear_of(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        at, extra = 0, []
+        for _ in range(rng.randint(0, 40)):
+            at += rng.randint(0, 9)
+            extra.append((at, at + rng.randint(1, 9)))
+            at = extra[-1][1]
+        base = [(a, a + rng.randint(1, 30)) for a in (rng.randint(0, 300) for _ in range(rng.randint(0, 12)))]
+        rows.append((i, extra, base))
+    frame = spark.createDataFrame(rows, "i int, extra array<struct<start:int,end:int>>, base array<struct<start:int,end:int>>")
+    got = {r["i"]: [tuple(x) for x in r["x"]] for r in frame.select("i", secrets.clear_of(F.col("extra"), F.col("base")).alias("x")).collect()}
+    for i, extra, base in rows:
+        assert got[i] == [x for x in extra if not any(b[0] < x[1] and x[0] < b[1] for b in base)]
+
+
 def same_as_sql(docs):
     import duckdb
 
