@@ -3,11 +3,12 @@
 1. One scan gives each document its set's size, 128-bit fingerprint, the low BITS bits of HASHES minima packed as bit
    planes (a plane has one bit of every minimum, so eight longs in all) and a key for each of BANDS bands of
    whole minima. Equal sets are one class from here on, whatever their number.
-2. Stars: in each band bucket, every set is a candidate with the smallest id only: pairs in proportion to the
-   sets. What links is one component.
+2. Stars: in each band bucket, every set is a candidate with the smallest id and with the most typical set only: pairs
+   in proportion to the sets. What links is one component.
 3. Between components: in buckets that still hold several, the sets outside a bucket's largest component meet all
-   others of another component and of a size that allows a link. First the most alike pair of two components is confirmed,
-   then, where that doesn't link them, all the rest.
+   others of another component and of a size that allows a link, if each holds enough shingles that other
+   components have as well. First the most alike pair of two components is confirmed, then, where that doesn't
+   link them, all the rest.
 4. Estimate: minima agree where all planes do: HASHES less the bits set in the OR of the planes' XOR. Of b bits a share
    2^-b agrees by chance, so s = (agreeing / HASHES - 2^-b) / (1 - 2^-b). Pairs six standard deviations
    below the least similarity go no further; the rest is counted on full sets, so every link is real.
@@ -158,46 +159,97 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(checked_broadcast(ids, 16), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b of the pairs that link by their full sets. pairs is a written table."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = cut(full_sets(docs, ids))
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b of the pairs that link by their full sets (doc_id, shingles)."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    counts = met.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("both"), (F.size("s_a") + F.size("s_b")).cast("long").alias("sizes"))
-    return counts.filter(100 * F.col("both") >= PERCENT * (F.col("sizes") - F.col("both"))).select("a", "b")
+    both, sizes = F.size(F.array_intersect("s_a", "s_b")).cast("long"), (F.size("s_a") + F.size("s_b")).cast("long")
+    right = side("b").withColumnRenamed("b", "other")
+    # In the join's condition, so that pairs that don't link aren't rows after it.
+    return pairs.join(side("a"), "a").join(right, (F.col("b") == F.col("other")) & ((100 + PERCENT) * both >= PERCENT * sizes)).select("a", "b")
 
 
-def stars(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b): each set and the smallest id of each of its band buckets."""
-    keys = sets.select("doc_id", F.explode("bands").alias("key"))
-    centres = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).filter("c > 1").select("key", "b")
-    return keys.join(centres, "key").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+def ends(pairs: DataFrame) -> DataFrame:
+    """doc_id: the documents of pairs (a, b), a written table."""
+    return cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
 
 
-def between(sets: DataFrame) -> DataFrame:
-    """a, b, agree: pairs of sets of different components (label) that share a bucket and may link.
+def stars(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set and two sets of each of its band buckets, the most typical one and the smallest id.
 
-    A bucket's rows are met by size class, a factor of 100 / PERCENT wide: partners are in one class or neighbours.
-    Those of the bucket's largest component don't meet each other, nor does a bucket of one component.
+    A set is typical if many share buckets with it: the text that near copies derive from meets more of them than they
+    meet each other. Sums are taken before rows meet, so a bucket gives two pairs a set whatever its size.
     """
-    band = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
-    keys = sets.select("doc_id", "label", "n", band.alias("band"), *PLANES, F.explode("bands").alias("key"))
+    keys = cut(sets.select("doc_id", F.explode("bands").alias("key")))
+    counts = cut(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    shared = keys.join(checked_broadcast(counts, 16), "key")
+    rank = cut(shared.groupBy("doc_id").agg(F.sum("c").alias("rank")))
+    ranked = shared.select("key", "doc_id").join(checked_broadcast(rank, 16), "doc_id")
+    centres = ranked.groupBy("key").agg(F.min("doc_id").alias("first"), F.max(F.struct("rank", (-F.col("doc_id")).alias("id"))).alias("top"))
+    centres = centres.select("key", F.array_distinct(F.array("first", -F.col("top.id"))).alias("b"))
+    return shared.select("key", F.col("doc_id").alias("a")).join(centres, "key").select("a", F.explode("b").alias("b")).filter("a <> b").distinct()
+
+
+def contested(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, top: band buckets that hold several components, and their largest one; doc_id: the sets in them). sets has label."""
+    keys = sets.select("doc_id", "label", F.explode("bands").alias("key"))
     by = keys.groupBy("key", "label").agg(F.count("*").alias("c"))
     several = cut(by.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("top")).filter("labels > 1").select("key", "top"))
+    return several, cut(keys.join(checked_broadcast(several, 24), "key").select("doc_id").distinct())
+
+
+def shared_counts(full: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, s: how many shingles of each full set are in a set of another component too; without any there is no row.
+
+    A link to another component rests on these alone. A shingle is reduced to its least and greatest component
+    before rows move, so one that half of all texts hold is no burden.
+    """
+    rows = full.join(checked_broadcast(labels, 24), "doc_id").select("doc_id", "label", F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("shingle")
+    return rows.join(checked_broadcast(cut(shared), 12), "shingle", "left_semi").groupBy("doc_id").agg(F.count("*").alias("s"))
+
+
+def held_by_top(sets: DataFrame, several: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, top, t: how many shingles of a set the sets of a contested bucket's largest component hold together.
+
+    For each set outside that component; no link into it can rest on more. sets has label.
+    """
+    outside = sets.select("doc_id", "label", F.explode("bands").alias("key")).join(checked_broadcast(several, 24), "key").filter("label <> top").select("doc_id", "top").distinct()
+    asked = full.join(cut(outside), "doc_id").select("doc_id", "top", F.explode("shingles").alias("shingle"))
+    tops = checked_broadcast(cut(several.select("top").distinct()), 12)
+    together = full.join(checked_broadcast(labels, 24), "doc_id").join(tops, F.col("label") == F.col("top")).select("top", F.explode("shingles").alias("shingle")).distinct()
+    return asked.join(together, ["top", "shingle"]).groupBy("doc_id", "top").agg(F.count("*").alias("t"))
+
+
+def between(sets: DataFrame, several: DataFrame, shared: DataFrame, held: DataFrame) -> DataFrame:
+    """a, b, label_a, label_b, agree: pairs of sets of different components (label) that share a contested bucket and may link.
+
+    A bucket's rows are met by size class, a factor of 100 / PERCENT wide: partners are in one class or neighbours. Those
+    of the bucket's largest component don't meet each other. Two sets that link share at least PERCENT / (100 + PERCENT)
+    of their sizes' sum, so each must hold as many shingles that other components have (shared), and to link
+    into the largest component as many that it has (held).
+    """
+    few, sum_ = PERCENT, 100 + PERCENT
+    able = sets.join(shared, "doc_id").filter(100 * F.col("s") >= PERCENT * F.col("n"))
+    band = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
+    names = ("doc_id", "label", "n", "s", *PLANES)
+    keys = able.select(*names, band.alias("band"), F.explode("bands").alias("key"))
     rows = keys.join(checked_broadcast(several, 24), "key")
-    left = rows.filter("label <> top").select("key", "band", *[F.col(c).alias(f"a_{c}") for c in ("doc_id", "label", "n", *PLANES)])
-    right = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).select("key", "band", (F.col("label") == F.col("top")).alias("of_top"), *[F.col(c).alias(f"b_{c}") for c in ("doc_id", "label", "n", *PLANES)])
+    left = rows.filter("label <> top").join(checked_broadcast(held, 32), ["doc_id", "top"], "left").select("key", "band", F.coalesce("t", F.lit(0)).alias("t"), *[F.col(c).alias(f"a_{c}") for c in names])
+    right = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).select("key", "band", (F.col("label") == F.col("top")).alias("of_top"), *[F.col(c).alias(f"b_{c}") for c in names])
     agree = agreeing("a_", "b_")
-    ok = (F.col("a_label") != F.col("b_label")) & (F.col("of_top") | (F.col("a_doc_id") < F.col("b_doc_id"))) & _sized(F.col("a_n"), F.col("b_n")) & (agree >= least_agreeing())
+    enough = lambda x: sum_ * x >= few * (F.col("a_n") + F.col("b_n"))
+    one_way = F.when(F.col("of_top"), enough(F.col("t"))).otherwise(F.col("a_doc_id") < F.col("b_doc_id"))
+    ok = (F.col("a_label") != F.col("b_label")) & one_way & _sized(F.col("a_n"), F.col("b_n")) & enough(F.least("a_s", "b_s")) & (agree >= least_agreeing())
     met = left.join(right, (left["key"] == right["key"]) & (left["band"] == right["band"]) & ok)
-    return met.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b"), agree.alias("agree")).distinct()
+    turned = F.col("a_doc_id") > F.col("b_doc_id")
+    side = lambda c, x, y: F.when(turned, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}"))
+    return met.select(side("doc_id", "a", "b").alias("a"), side("doc_id", "b", "a").alias("b"), side("label", "a", "b").alias("label_a"), side("label", "b", "a").alias("label_b"), agree.alias("agree")).distinct()
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """doc_id, label: labels after links between documents are added."""
-    ends = links.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("y")), "b")
-    found = cut(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    met = links.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("y")), "b")
+    found = cut(components(met.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     return labels.join(checked_broadcast(found, 24).select(F.col("id").alias("label"), F.col("label").alias("least")), "label", "left").select("doc_id", F.coalesce("least", "label").alias("label"))
 
 
@@ -215,19 +267,23 @@ def near_components(docs: DataFrame) -> DataFrame:
     known = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(known.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in (*PLANES, "bands")]))
     sets = classes.filter(f"n_shingles >= {LEAST_SET}").select("doc_id", F.col("n_shingles").alias("n"), *PLANES, "bands")
-    links = confirmed(cut(estimated(stars(sets), sets).distinct()), docs)
-    close = cut(components(links))
+    near = cut(estimated(stars(sets), sets).distinct())
+    close = cut(components(confirmed(near, cut(full_sets(docs, ends(near))))))
     labels = cut(sets.select("doc_id").distinct().join(close.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")))
-    across = cut(between(sets.join(labels, "doc_id")))
-    for last in (False, True):
-        if across.isEmpty():
-            break
-        x, y = [labels.select(F.col("doc_id").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
-        apart = across.join(x, "a").join(y, "b").filter("label_a <> label_b")
-        if not last:
-            first = F.min_by(F.struct("a", "b"), F.struct(-F.col("agree"), "a", "b")).alias("p")
-            apart = apart.groupBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).agg(first).select("p.a", "p.b")
-        labels = cut(merged(labels, confirmed(cut(apart.select("a", "b")), docs)))
+    labelled = sets.join(labels, "doc_id")
+    several, ids = contested(labelled)
+    full = cut(full_sets(docs, ids))
+    across = cut(between(labelled, several, shared_counts(full, labels), cut(held_by_top(labelled, several, full, labels))))
+    if not across.isEmpty():
+        first = F.min_by(F.struct("a", "b"), F.struct(-F.col("agree"), "a", "b")).alias("p")
+        best = across.groupBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).agg(first).select("p.a", "p.b")
+        found = cut(confirmed(cut(best), full))
+        told = across.join(found, ["a", "b"], "left_semi").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        joined = cut(components(told))  # components that the most alike pair links
+        x, y = [checked_broadcast(joined, 24).select(F.col("id").alias(f"label_{c}"), F.col("label").alias(f"to_{c}")) for c in ("a", "b")]
+        now = lambda c: F.coalesce(f"to_{c}", f"label_{c}")
+        apart = across.join(x, "label_a", "left").join(y, "label_b", "left").filter(now("a") != now("b")).select("a", "b")
+        labels = cut(merged(labels, found.unionByName(confirmed(cut(apart), full))))
     # Only classes with copies or a smaller component need a look-up; all others are their own.
     named = classes.join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
     named = cut(named.filter("copies > 1 OR component_id <> doc_id").select("n_shingles", "set_hash", "component_id"))
