@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costloom.functions.text import tokens
+from costloom.operators.patterns import occurrences
+from costloom.sources.store import cut
 
 #: Most paths for each anchor.
 MAX_PATHS = 20
@@ -43,36 +45,64 @@ def event_edges(events: DataFrame, products: DataFrame, every: str, rel: str = "
 
 def node_text(kind: Column, node: Column, about: Column) -> Column:
     """How a path shows a node by its kind; about is a map of the node's properties, of which all may be missing."""
-    at = lambda k: F.coalesce(F.element_at(about, k), F.lit("?"))
+    at = lambda k: F.coalesce(F.try_element_at(about, F.lit(k)), F.lit("?"))
     price = F.concat(at("material"), F.lit(" "), at("month"), F.lit(" price "), at("price"), F.lit(" ("), at("trend"), F.lit(")"))
     repair = F.concat(at("date"), F.lit(" "), at("name"), F.lit(" failed: "), at("note"), F.lit(", cost "), at("cost"), F.lit(", hours "), at("hours"))
     scene = F.concat(F.lit("[scenario] "), at("event"), F.lit(" ("), at("verdict"), F.lit(")"))
     return F.when(kind == "price", price).when(kind == "repair", repair).when(kind == "scenario", scene).otherwise(node)
 
 
+#: Kinds of nodes that a query may name.
+ANCHOR_KINDS = ("product", "material", "device")
+#: Shortest name that counts when it is only a part of the query, and shortest token that counts as a part of a name.
+PART_LEAST = 4
+
+
+def nodes_of(parts: list[DataFrame]) -> DataFrame:
+    """node, kind, about (map<string, string>) of several such tables, a row a node: of repeated nodes the first kind by name."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.filter("node IS NOT NULL").groupBy("node").agg(F.min_by(F.struct("kind", "about"), F.struct("kind", F.to_json("about"))).alias("x")).select("node", "x.kind", "x.about")
+
+
 def anchors(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, node: nodes (node) that a query (query_id, text) names.
 
     A node is a token of the query, or at least 4 characters long and in it, or holds a token of at least 4.
-    Blank queries name nothing. Nodes are a dimension, so the join on containment is over small tables.
+    Blank queries name nothing. Case doesn't count. Names in queries are found by an automaton of all names; tokens
+    in names by an equi-join with the names' substrings, so any number of queries is one pass and no pair
+    of a query and a node is looked at without reason.
     """
-    q = queries.filter(F.trim("text") != "").select("query_id", F.lower("text").alias("text"), tokens(F.col("text")).alias("t"))
-    name = F.lower("node")
-    hit = F.array_contains("t", name) | ((F.length("node") >= 4) & F.contains(F.col("text"), name)) | F.exists("t", lambda t: (F.length(t) >= 4) & F.contains(name, t))
-    return q.join(nodes, hit).select("query_id", "node")
-
-
-def paths(edges: DataFrame, starts: DataFrame, hops: int = 2, most: int | None = MAX_PATHS) -> DataFrame:
+    asked = queries.filter(F.trim("text") != "").select("query_id", F.lower("text").alias("text"))
+    named = cut(nodes.select("node", F.lower("node").alias("name")).filter("name <> ''").distinct())
+    n = F.length("name")
+    pieces = F.when(n >= PART_LEAST, F.flatten(F.transform(F.sequence(F.lit(1), n - PART_LEAST + 1), lambda i: F.transform(F.sequence(F.lit(PART_LEAST), n - i + 1), lambda k: F.substring(F.col("name"), i, k)))))
+    keys = named.select("node", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce(pieces, F.array().cast("array<string>"))))).alias("token"))
+    tokened = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    by_token = tokened.join(keys, "token").select("query_id", "node")
+    held = occurrences(asked, named.filter(n >= PART_LEAST).select(F.col("name").alias("pattern"))).select("query_id", F.col("pattern").alias("name"))
+    return by_token.unionByName(held.join(named, "name").select("query_id", "node")).distinct()
+
+
+def paths(edges: DataFrame, starts: DataFrame, hops: int = 2, most: int | None = MAX_PATHS, nodes: DataFrame | None = None) -> DataFrame:
     """start, hops, path_text: simple directed paths of 1 to hops edges from each start (node).
 
-    Texts are unique; with most, the first of each start by length and text are kept.
+    With nodes (node, kind, about) a path shows its nodes by their kind. Texts are unique; with most, the first of
+    each start by length and text are kept.
     """
-    now = starts.select(F.col("node").alias("start"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("rels"))
+    if nodes is not None:
+        told = nodes.select(F.col("node").alias("dst"), node_text(F.col("kind"), F.col("node"), F.col("about")).alias("shown"))
+        edges = edges.join(told, "dst", "left").select("src", "dst", "rel", F.coalesce("shown", "dst").alias("shown"))
+        first = starts.select("node").distinct().join(told.withColumnRenamed("dst", "node"), "node", "left").select("node", F.coalesce("shown", "node").alias("shown"))
+    else:
+        edges, first = edges.select("src", "dst", "rel", F.col("dst").alias("shown")), starts.select("node", F.col("node").alias("shown"))
+    now = first.select(F.col("node").alias("start"), F.array("node").alias("nodes"), F.array("shown").alias("texts"), F.array().cast("array<string>").alias("rels"))
     out = None
     for hop in range(1, hops + 1):
         step = now.withColumn("last", F.element_at("nodes", -1)).join(edges, F.col("last") == F.col("src")).filter(~F.array_contains("nodes", F.col("dst")))
-        now = step.select("start", F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels"))
-        text = F.concat(F.array_join("nodes", " -> "), F.lit(" ("), F.array_join("rels", ", "), F.lit(")"))
+        now = step.select("start", F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("texts", F.col("shown")).alias("texts"), F.array_append("rels", F.col("rel")).alias("rels"))
+        text = F.concat(F.array_join("texts", " -> "), F.lit(" ("), F.array_join("rels", ", "), F.lit(")"))
         rows = now.select("start", F.lit(hop).alias("hops"), text.alias("path_text"))
         out = rows if out is None else out.unionAll(rows)
     out = out.distinct()
@@ -82,19 +112,74 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int = 2, most: int | None =
     return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("place")
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int = 3) -> DataFrame:
-    """start, target, hops: the least number of edges to every node within most; one join a hop, over new nodes only."""
-    e = edges.select("src", "dst").distinct()
-    seen = starts.select(F.col("node").alias("start"), F.col("node").alias("target"), F.lit(0).alias("hops"))
-    front = seen
-    for hop in range(1, most + 1):
+def query_paths(queries: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2, most: int = MAX_PATHS) -> DataFrame:
+    """query_id, place, path_text: what the graph says to each query, at most so many paths of a query.
+
+    Queries name products, materials and devices; their paths come anchor by anchor, shorter ones first.
+    """
+    named = cut(anchors(queries, nodes.filter(F.col("kind").isin(*ANCHOR_KINDS))))
+    found = paths(edges, named.select("node").distinct(), hops, most, nodes)
+    rows = named.join(found, F.col("node") == F.col("start")).groupBy("query_id", "path_text").agg(F.min(F.struct("node", "hops")).alias("x"))
+    w = Window.partitionBy("query_id").orderBy("x.node", "x.hops", "path_text")
+    return rows.select("query_id", F.row_number().over(w).alias("place"), "path_text").filter(F.col("place") <= most)
+
+
+def reach(edges: DataFrame, starts: DataFrame, most: int | None = 3) -> DataFrame:
+    """start, target, hops: the least number of edges to every node within most; without most, to every node at any depth.
+
+    One join a hop, over the nodes that the last hop was first to reach; it ends when a hop reaches none. The frontier
+    is written each hop, so plans don't grow with depth and lost executors cost one hop. A hub's edges are a
+    skewed side of a plain equi-join, which adaptive execution splits. A start that comes round to itself isn't its target.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    front = cut(starts.select(F.col("node").alias("start"), F.col("node").alias("target"), F.lit(0).alias("hops")).distinct())
+    seen, hop = front, 0
+    while most is None or hop < most:
+        hop += 1
         near = front.join(e, F.col("target") == F.col("src")).select("start", F.col("dst").alias("target")).distinct()
-        front = near.join(seen.select("start", "target"), ["start", "target"], "left_anti").withColumn("hops", F.lit(hop))
+        front = cut(near.join(seen.select("start", "target"), ["start", "target"], "left_anti").withColumn("hops", F.lit(hop)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.filter("hops > 0")
 
 
-def reachable(edges: DataFrame, start: str, target: str, most: int = 3) -> bool:
-    """Whether target is within most edges of start."""
-    one = edges.sparkSession.createDataFrame([(start,)], "node string")
-    return start == target or not reach(edges, one, most).filter(F.col("target") == target).isEmpty()
+def distances(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """src, dst, hops of the pairs (src, dst) that a directed path joins: the least number of edges, 0 for a node and itself.
+
+    Sources grow along the edges and targets against them, once each however many pairs they are in; the side with fewer
+    new nodes goes first, so about half the way is walked from either end. A pair ends where the ends first meet, or when
+    one of them has no new nodes; an end stops growing when none of its pairs is open.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    asked = cut(pairs.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    found = asked.filter("src = dst").withColumn("hops", F.lit(0))
+    open_ = cut(asked.filter("src <> dst"))
+    ends = {"src": e.select(F.col("src").alias("node"), F.col("dst").alias("next")), "dst": e.select(F.col("dst").alias("node"), F.col("src").alias("next"))}
+    front, seen, size = {}, {}, {}
+    for end in ends:
+        front[end] = seen[end] = cut(open_.select(end, F.col(end).alias("node"), F.lit(0).alias("d")).distinct())
+        size[end] = front[end].count()
+    depth = 0
+    while min(size.values()) and (most is None or depth < most):
+        depth += 1
+        own, other = sorted(ends, key=lambda x: (size[x], x))
+        near = front[own].join(ends[own], "node").select(own, F.col("next").alias("node"), (F.col("d") + 1).alias("d")).distinct()
+        new = cut(near.join(seen[own].select(own, "node"), [own, "node"], "left_anti"))
+        seen[own] = seen[own].unionByName(new)
+        # What this hop meets first is joined by it: nodes of the other end, of open pairs only.
+        met = new.join(seen[other].select(other, "node", F.col("d").alias("far")), "node").join(open_, ["src", "dst"]).groupBy("src", "dst").agg(F.min(F.col("d") + F.col("far")).alias("hops"))
+        met = cut(met)
+        found = found.unionByName(met)
+        open_ = open_.join(met, ["src", "dst"], "left_anti").join(new.select(own).distinct(), own, "left_semi")
+        open_ = cut(open_.join(front[other].select(other).distinct(), other, "left_semi"))
+        front[own] = cut(new.join(open_.select(own).distinct(), own, "left_semi"))
+        front[other] = cut(front[other].join(open_.select(other).distinct(), other, "left_semi"))
+        size = {end: front[end].count() for end in ends}
+    return found
+
+
+def reachable(edges: DataFrame, start: str, target: str, most: int | None = 3) -> bool:
+    """Whether target is within most edges of start; without most, at any depth."""
+    one = edges.sparkSession.createDataFrame([(start, target)], "src string, dst string")
+    return not distances(edges, one, most).isEmpty()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from costloom.functions.maths import pct
 from costloom.operators.cube import BASE_YEAR, OWN, PARTS, YEAR
+from costloom.operators.quantile import exact_quantiles
 from costloom.operators.variance import mom, previous
+from costloom.sources.store import cut
 
 #: Bands of the tiers without a calibrated one, in percent, and the step calibrated bands are rounded up to.
 FIXED_BAND, STEP = 10.0, 0.5
@@ -71,9 +73,11 @@ def tier_metrics(long: DataFrame, cube: DataFrame, labor: DataFrame, factory: st
 def calibration(metrics: DataFrame) -> DataFrame:
     """Exact 95th percentile of |mom| by tier; the element tier's band is it rounded up, the others' fixed.
 
-    computed_band is the calibrated one for every tier. Percentiles of months grow with months, not rows.
+    computed_band is the calibrated one for every tier. Percentiles come from refined histograms, so a tier of any
+    number of metrics is never sorted or gathered.
     """
-    t = metrics.filter("mom_pct IS NOT NULL").groupBy("tier").agg(F.count("*").alias("n"), F.percentile(F.abs("mom_pct"), F.lit(0.95)).alias("p95"))
+    moves = cut(metrics.filter("mom_pct IS NOT NULL").select("tier", F.abs("mom_pct").alias("v")))
+    t = exact_quantiles(moves, ["tier"], "v", [0.95]).select("tier", "n", F.col("quantiles")[0].alias("p95"))
     computed = F.ceil(F.col("p95") / STEP) * STEP
     return t.select("tier", "n", "p95", computed.cast("double").alias("computed_band"), F.when(F.col("tier") == "element", computed.cast("double")).otherwise(F.lit(FIXED_BAND)).alias("band"))
 

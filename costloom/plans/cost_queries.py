@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costloom.operators import causal, cube as cubes, detail, models, variance
+from costloom.operators import causal, cube as cubes, detail, models, quantile, variance
 from costloom.operators.cube import BASE_YEAR, ELEMENTS, HALF, OWN, PARTS, YEAR
 from costloom.sources.store import cut
 from costloom.sources.tables import table
@@ -121,6 +121,19 @@ def market_unpivot(s, d):
     return rounded(cubes.market_unpivot(cubes.market_wide(cubes.market_price(_lines(s, d, BASE)))), 6, "price")
 
 
+PRICE_SHARES = [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+@query(
+    "price_quantiles",
+    "SELECT factory, product, count(*) AS n, " + ", ".join(f"round(quantile_cont(e, {q}), 6) AS q{i}" for i, q in enumerate(PRICE_SHARES)) + " FROM base GROUP BY factory, product",
+)
+def price_quantiles(s, d):
+    """Quantiles of line prices: few groups with all rows of the table, none of them sorted."""
+    found = quantile.exact_quantiles(_lines(s, d).select("factory", "product", "cost"), ["factory", "product"], "cost", PRICE_SHARES)
+    return found.select("factory", "product", "n", *[F.round(F.col("quantiles")[i], 6).alias(f"q{i}") for i in range(len(PRICE_SHARES))])
+
+
 @query("weighted_unit_cost", "SELECT factory, year, product, round(sum(unit_cost * volume) / sum(volume), 6) AS weighted FROM cube GROUP BY ALL")
 def weighted_unit_cost(s, d):
     return rounded(variance.weighted(_cube(s, d), ["factory", "year", "product"], "unit_cost"), 6, "weighted")

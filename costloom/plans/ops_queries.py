@@ -238,16 +238,124 @@ def graph_edges(s, d):
     return _edges(s, d)
 
 
+#: Devices of the typed graph are suppliers, their codes numbers, their workshops nations; a product's steps are its lines' return flags.
+_NODES = f"""mp AS (SELECT p_brand AS material, strftime(l_shipdate, '%Y-%m') AS month, round(avg(l_extendedprice / l_quantity), 2) AS price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = {BASE_YEAR} AND month(l_shipdate) <= 6 GROUP BY ALL),
+er AS (SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS day, user_id, value, (SELECT max(s_suppkey) FROM supplier) AS m FROM events),
+rp AS (SELECT 'repair:' || er.day || ':' || event_id AS node, s_name AS name, 'S' || s_suppkey AS code, er.day, CAST(er.user_id AS VARCHAR) AS note, printf('%.2f', er.value) AS cost, CAST(er.user_id % 24 AS VARCHAR) AS hours FROM er JOIN supplier ON s_suppkey = er.user_id % m + 1 WHERE event_type = 'error'),
+sc AS (SELECT 'scenario:' || event_id AS node, CAST(event_id AS VARCHAR) AS event, CASE WHEN value > 50 THEN 'true' ELSE 'open' END AS verdict, (['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'])[CAST(user_id % 6 + 1 AS INT)] AS product, CASE WHEN user_id % 3 = 0 THEN 'Brand#' || (user_id % 25 + 1) END AS material FROM events WHERE event_type = 'signup'),
+st AS (SELECT DISTINCT p_type AS product, p_type || '/' || l_returnflag AS step, s_name AS device FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+nd AS (SELECT DISTINCT p_type AS node, 'product' AS kind, p_type AS shown FROM part UNION SELECT p_brand, 'material', p_brand FROM part UNION SELECT step, 'step', step FROM st UNION SELECT s_name, 'device', s_name FROM supplier UNION SELECT 'S' || s_suppkey, 'device', 'S' || s_suppkey FROM supplier
+  UNION SELECT n_name, 'workshop', n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) UNION SELECT 'price:' || material || ':' || month, 'price', material || ' ' || month || ' price ' || printf('%.2f', price) || ' (' || CASE WHEN price > 1000 THEN 'high' ELSE 'low' END || ')' FROM mp
+  UNION SELECT node, 'repair', day || ' ' || name || ' failed: ' || note || ', cost ' || cost || ', hours ' || hours FROM rp UNION SELECT node, 'scenario', '[scenario] ' || event || ' (' || verdict || ')' FROM sc),
+ed AS (SELECT DISTINCT p_type AS src, p_brand AS dst, 'contains' AS rel FROM part UNION SELECT product, step, 'goes through' FROM st UNION SELECT step, device, 'uses' FROM st UNION SELECT n_name, 'S' || s_suppkey, 'workshop of' FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT s_name, 'S' || s_suppkey, 'code' FROM supplier
+  UNION SELECT code, node, 'repair' FROM rp UNION SELECT product, node, 'scenario' FROM sc WHERE product IN (SELECT p_type FROM part) UNION SELECT material, node, 'scenario' FROM sc WHERE material IS NOT NULL UNION SELECT material, 'price:' || material || ':' || month, 'price' FROM mp)
+"""
+
+
+def _typed_graph(s, d):
+    """(nodes, edges) of all kinds, written once: products, materials, steps, devices, workshops, repairs, scenarios, prices."""
+    part = table(s, d, "part").select("p_partkey", F.col("p_type").alias("product"), F.col("p_brand").alias("material"))
+    supplier = table(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("device"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("code"), "s_nationkey")
+    items = table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag").groupBy("l_partkey", "l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
+    by = items.join(part, F.col("l_partkey") == F.col("p_partkey")).select("product", "l_suppkey", "l_returnflag").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    steps = cut(by.select("product", F.concat_ws("/", "product", "l_returnflag").alias("step"), "device").distinct())
+    placed = supplier.join(F.broadcast(table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    prices = cubes.market_price(cubes.lines(s, d, (BASE_YEAR, BASE_YEAR))).filter("month_no <= 6").select("material", "month", F.round("price", 2).alias("price"), F.concat_ws(":", F.lit("price"), "material", "month").alias("node"))
+    ev, user = table(s, d, "events"), F.col("user_id")
+    devices = F.broadcast(supplier.agg(F.max("s_suppkey").alias("m")))
+    failed = ev.filter("event_type = 'error'").crossJoin(devices).join(supplier, F.col("s_suppkey") == user % F.col("m") + 1)
+    day = F.date_format("ts", "yyyy-MM-dd")
+    repairs = failed.select(F.concat_ws(":", F.lit("repair"), day, F.col("event_id").cast("string")).alias("node"), "code", F.create_map(*[x for k, v in {"date": day, "name": F.col("device"), "note": user.cast("string"), "cost": F.format_string("%.2f", "value"), "hours": (user % 24).cast("string")}.items() for x in (F.lit(k), v)]).alias("about"))
+    kinds = F.array(*[F.lit(x) for x in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")])
+    signed_up = ev.filter("event_type = 'signup'").select("event_id", F.get(kinds, (user % 6).cast("int")).alias("product"), F.when(user % 3 == 0, F.concat(F.lit("Brand#"), (user % 25 + 1).cast("string"))).alias("material"), F.when(F.col("value") > 50, "true").otherwise("open").alias("verdict"))
+    scenes = signed_up.withColumn("node", F.concat(F.lit("scenario:"), F.col("event_id").cast("string")))
+    none = F.create_map().cast("map<string,string>")
+    plain = lambda rows, node, kind: rows.select(F.col(node).alias("node")).distinct().select("node", F.lit(kind).alias("kind"), none.alias("about"))
+    of = lambda rows, kind, about: rows.select("node", F.lit(kind).alias("kind"), about.alias("about"))
+    told = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
+    nodes = graph.nodes_of([
+        plain(part, "product", "product"), plain(part, "material", "material"), plain(steps, "step", "step"), plain(supplier, "device", "device"), plain(supplier, "code", "device"), plain(placed, "n_name", "workshop"),
+        of(prices, "price", told(material=F.col("material"), month=F.col("month"), price=F.format_string("%.2f", "price"), trend=F.when(F.col("price") > 1000, "high").otherwise("low"))),
+        of(repairs, "repair", F.col("about")), of(scenes, "scenario", told(event=F.col("event_id").cast("string"), verdict=F.col("verdict"))),
+    ])
+    one = scenes.join(part.select("product").distinct(), "product", "left_semi")
+    edges = graph.edges_of([
+        (part, "product", "material", "contains"), (steps, "product", "step", "goes through"), (steps, "step", "device", "uses"), (placed, "n_name", "code", "workshop of"), (supplier, "device", "code", "code"),
+        (repairs, "code", "node", "repair"), (one, "product", "node", "scenario"), (scenes, "material", "node", "scenario"), (prices, "material", "node", "price"),
+    ])
+    return cut(nodes), cut(edges)
+
+
+def _graph_asked(s, d):
+    """Every document, passage and turn as a query, and some questions of our own."""
+    own = s.createDataFrame(GRAPH_ASKED, "query_id long, text string")
+    docs = table(s, d, "documents").select((F.lit(1_000_000) + F.col("doc_id")).alias("query_id"), "text")
+    talk = table(s, d, "conversations").select((F.lit(1_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return own.unionByName(docs).unionByName(talk)
+
+
+_ANCHORED = f"""q AS (SELECT CAST(query_id AS BIGINT) AS query_id, text FROM (VALUES {_values(GRAPH_ASKED)}) v(query_id, text) UNION ALL SELECT 1000000 + doc_id, text FROM documents UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, text FROM conversations),
+t AS (SELECT query_id, lower(text) AS text, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM q WHERE trim(text) <> ''),
+tk AS (SELECT DISTINCT query_id, unnest(t) AS token FROM t), dk AS (SELECT DISTINCT token FROM tk),
+an AS (SELECT node FROM nd WHERE kind IN ('product', 'material', 'device')),
+hit AS (SELECT token, node FROM dk JOIN an ON lower(node) = token OR length(token) >= 4 AND contains(lower(node), token)),
+anchored AS (SELECT query_id, node FROM tk JOIN hit USING (token) UNION SELECT query_id, node FROM t JOIN an ON length(node) >= 4 AND contains(text, lower(node)))
+"""
+
+
+@query("typed_nodes", "WITH " + _NODES + "SELECT node, kind, shown FROM nd")
+def typed_nodes(s, d):
+    nodes, _ = _typed_graph(s, d)
+    return nodes.select("node", "kind", graph.node_text(F.col("kind"), F.col("node"), F.col("about")).alias("shown"))
+
+
+@query("typed_edges", "WITH " + _NODES + "SELECT * FROM ed")
+def typed_edges(s, d):
+    return _typed_graph(s, d)[1]
+
+
+@query("anchor_entities", "WITH " + _NODES + ", " + _ANCHORED + "SELECT * FROM anchored")
+def anchor_entities(s, d):
+    nodes, _ = _typed_graph(s, d)
+    return graph.anchors(_graph_asked(s, d), nodes.filter(F.col("kind").isin(*graph.ANCHOR_KINDS)))
+
+
 @query(
-    "anchor_entities",
-    f"""WITH q(query_id, text) AS (VALUES {_values(GRAPH_ASKED)}), t AS (SELECT query_id, lower(text) AS text, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM q WHERE trim(text) <> ''),
-n AS (SELECT DISTINCT p_type AS node FROM part UNION SELECT p_brand FROM part)
-SELECT query_id, node FROM t, n WHERE list_contains(t, lower(node)) OR length(node) >= 4 AND contains(text, lower(node)) OR len(list_filter(t, lambda x: length(x) >= 4 AND contains(lower(node), x))) > 0""",
+    "evidence_paths",
+    "WITH " + _NODES + ", " + _ANCHORED + """, a AS (SELECT DISTINCT node FROM anchored),
+p AS (SELECT ed.src AS start, 1 AS hops, s.shown || ' -> ' || x.shown || ' (' || rel || ')' AS path_text FROM ed JOIN a ON ed.src = a.node JOIN nd s ON s.node = ed.src JOIN nd x ON x.node = ed.dst
+  UNION SELECT e.src, 2, s.shown || ' -> ' || x.shown || ' -> ' || y.shown || ' (' || e.rel || ', ' || f.rel || ')' FROM ed e JOIN a ON e.src = a.node JOIN ed f ON f.src = e.dst AND f.dst <> e.src AND f.dst <> e.dst JOIN nd s ON s.node = e.src JOIN nd x ON x.node = e.dst JOIN nd y ON y.node = f.dst),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops, path_text) <= 20),
+u AS (SELECT query_id, path_text, min((node, hops)) AS x FROM anchored JOIN f ON start = node GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS place, path_text FROM u WINDOW w AS (PARTITION BY query_id ORDER BY x, path_text) QUALIFY row_number() OVER w <= 20""",
 )
-def anchor_entities(s, d):
-    part = table(s, d, "part")
-    nodes = part.select(F.col("p_type").alias("node")).unionAll(part.select("p_brand")).distinct()
-    return graph.anchors(s.createDataFrame(GRAPH_ASKED, "query_id int, text string"), nodes)
+def evidence_paths(s, d):
+    nodes, edges = _typed_graph(s, d)
+    return graph.query_paths(_graph_asked(s, d), nodes, edges)
+
+
+@query(
+    "graph_closure",
+    "WITH RECURSIVE " + _NODES + """, r(start, target, hops) AS (SELECT node, node, 0 FROM nd WHERE kind IN ('product', 'material', 'device', 'workshop') UNION SELECT start, dst, hops + 1 FROM r JOIN ed ON ed.src = r.target)
+SELECT start, target, CAST(min(hops) AS INT) AS hops FROM r GROUP BY start, target HAVING min(hops) > 0""",
+)
+def graph_closure(s, d):
+    """All that a node reaches at any depth; the graph has no cycles here, so SQL's recursion ends."""
+    nodes, edges = _typed_graph(s, d)
+    return graph.reach(edges, nodes.filter("kind IN ('product', 'material', 'device', 'workshop')").select("node"), None)
+
+
+@query(
+    "graph_distances",
+    "WITH RECURSIVE " + _NODES + """, pr AS (SELECT p.node AS src, t.node AS dst FROM nd p, nd t WHERE p.kind IN ('product', 'workshop') AND t.kind IN ('repair', 'price')),
+r(start, target, hops) AS (SELECT DISTINCT src, src, 0 FROM pr UNION SELECT start, dst, hops + 1 FROM r JOIN ed ON ed.src = r.target)
+SELECT src, dst, CAST(min(hops) AS INT) AS hops FROM pr JOIN r ON start = src AND target = dst GROUP BY ALL""",
+)
+def graph_distances(s, d):
+    """How far repairs and prices are from products and workshops, walked from both ends."""
+    nodes, edges = _typed_graph(s, d)
+    src, dst = nodes.filter("kind IN ('product', 'workshop')").select(F.col("node").alias("src")), nodes.filter("kind IN ('repair', 'price')").select(F.col("node").alias("dst"))
+    return graph.distances(edges, src.crossJoin(F.broadcast(dst)))
 
 
 @query(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from costloom.functions import text as fn
-from costloom.operators import retrieval as r
+from costloom.operators import ivf, retrieval as r, segment
 from costloom.plans.cost_queries import rounded
-from costloom.sources.store import cut
+from costloom.sources.store import content_signature, cut, work_dir, written
 from costloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -186,6 +186,76 @@ def cosine_topk(s, d):
     return rounded(r.dense_cosine(e, q, 5), 6, "score")
 
 
+def _vector_index(s, d) -> ivf.Index:
+    """The inverted lists of the embeddings, kept by content: built when vectors change, else opened."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    folder = f"{work_dir(s)}/ivf-{content_signature(e, 'id', 'v')}"
+    return ivf.Index(s, folder) if written(s, f"{folder}/lists") else ivf.Index.build(e, folder, max(1, round(e.count() ** 0.5)))
+
+
+def _vector_queries(s, d):
+    return table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))  # the stated query set of a search
+
+
+@query("ivf_exact_topk", ORACLES["cosine_topk"])
+def ivf_exact_topk(s, d):
+    """The index with all lists: the exact search of cosine_topk."""
+    return rounded(_vector_index(s, d).search(_vector_queries(s, d), 5), 6, "score")
+
+
+@query("ivf_recall", None)
+def ivf_recall(s, d):
+    """query_id, n, hits, recall of a search that looks at a quarter of the lists."""
+    index, asked = _vector_index(s, d), _vector_queries(s, d)
+    probes = max(1, -(-len(index.centres()) // 4))
+    return ivf.recall(index.search(asked, 5, probes), cut(index.search(asked, 5)))
+
+
+# --- words of scripts without spaces
+
+
+def _unspaced(s, d):
+    """Clauses of the documents with all but letters taken out, as texts of scripts without spaces come: doc_id, run."""
+    clause = F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[.,;:!?\n]+"))
+    return _docs(s, d).select("doc_id", clause.alias("clause")).select("doc_id", F.regexp_replace("clause", r"[^\p{L}]", "").alias("run")).filter("run <> ''")
+
+
+_LEARNED = rf"""WITH u AS (SELECT doc_id, regexp_replace(clause, '[^\p{{L}}]', '', 'g') AS run FROM (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[.,;:!?\n]+')) AS clause FROM documents)),
+r AS (SELECT row_number() OVER () AS rid, doc_id, run FROM u WHERE run <> ''),
+g AS (SELECT substr(run, i, k) AS s, count(*) AS n FROM (SELECT run, k, unnest(range(1, length(run) - k + 2)) AS i FROM r, (SELECT unnest(range(1, {segment.MOST + 2})) AS k)) GROUP BY s),
+t AS (SELECT sum(n) AS total FROM g WHERE length(s) = 1), w AS (SELECT s, n FROM g WHERE length(s) BETWEEN 2 AND {segment.MOST} AND n >= {segment.LEAST}),
+c AS (SELECT w.s, any_value(w.n) AS n, min(ln(w.n) - (ln(a.n) + ln(b.n) - ln(total))) AS cohesion FROM (SELECT s, n, unnest(range(1, length(s))) AS k FROM w) w JOIN g a ON a.s = substr(w.s, 1, k) JOIN g b ON b.s = substr(w.s, k + 1), t GROUP BY w.s),
+rt AS (SELECT substr(s, 1, length(s) - 1) AS s, sum(n * ln(n)) AS x FROM g WHERE length(s) >= 3 GROUP BY ALL), lt AS (SELECT substr(s, 2) AS s, sum(n * ln(n)) AS x FROM g WHERE length(s) >= 3 GROUP BY ALL),
+cand AS (SELECT c.s AS word, c.n, cohesion, least(ln(c.n) - coalesce(lt.x, 0) / c.n, ln(c.n) - coalesce(rt.x, 0) / c.n) AS branching FROM c LEFT JOIN lt USING (s) LEFT JOIN rt USING (s)),
+k AS (SELECT s AS word, n FROM g WHERE length(s) = 1 UNION ALL SELECT word, n FROM cand WHERE cohesion >= {segment.COHESION} AND branching >= {segment.BRANCHING}),
+v AS (SELECT word, ln(n) - ln((SELECT CAST(sum(n) AS DOUBLE) FROM k)) AS weight FROM k)
+"""
+
+
+@query("word_candidates", "SELECT word, CAST(n AS BIGINT) AS n, round(cohesion, 6) AS cohesion, round(branching, 6) AS branching FROM cand", _LEARNED)
+def word_candidates(s, d):
+    return rounded(segment.candidates(_unspaced(s, d).select("run")), 6, "cohesion", "branching")
+
+
+_NONE = "-1e18"
+_STEP = ", ".join(f"w{k} := coalesce(w{k}, {_NONE})" for k in range(1, segment.MOST + 1))
+
+
+@query(
+    "segmentation",
+    f""", e AS (SELECT rid, j, {", ".join(f"max(weight) FILTER (k = {k}) AS w{k}" for k in range(1, segment.MOST + 1))} FROM (SELECT rid, run, k, unnest(range(k, length(run) + 1)) AS j FROM r, (SELECT unnest(range(1, {segment.MOST + 1})) AS k)) JOIN v ON word = substr(run, j - k + 1, k) GROUP BY rid, j),
+p AS (SELECT rid, list(struct_pack({_STEP}) ORDER BY j) AS steps FROM e GROUP BY rid),
+b AS (SELECT rid, list_reduce(list_concat([struct_pack(w1 := 0.0::DOUBLE, {", ".join(f"w{k} := {_NONE}::DOUBLE" for k in range(2, segment.MOST + 1))})], steps), lambda a, x: struct_pack(w1 := greatest({", ".join(f"a.w{k} + x.w{k}" for k in range(1, segment.MOST + 1))}), {", ".join(f"w{k} := a.w{k - 1}" for k in range(2, segment.MOST + 1))})).w1 AS weight FROM p)
+SELECT doc_id, count(*) AS runs, CAST(sum(length(run)) AS BIGINT) AS chars, round(sum(weight), 4) AS weight FROM r JOIN b USING (rid) GROUP BY doc_id""",
+    _LEARNED,
+)
+def segmentation(s, d):
+    """Every clause cut along its likeliest path; the sum of the paths' weights is compared, as equal paths may tie."""
+    rows = cut(_unspaced(s, d))
+    cuts = segment.segmented(rows, segment.vocabulary(rows, ()))
+    return cuts.groupBy("doc_id").agg(F.count("*").alias("runs"), F.sum(F.length(F.array_join("words", ""))).alias("chars"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
 def _any_sql(col: str, words) -> str:
     return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 

@@ -17,8 +17,8 @@ _made: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or what the context was given.
 
-    Where neither is set (tests, local mode) a temporary folder is made on this machine; a session on
-    a cluster without the setting falls back to the warehouse, which is shared as well.
+    Where neither is set in local mode a temporary folder is made on this machine; on a cluster that is an error, as no
+    folder is known that all executors see.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -26,10 +26,10 @@ def work_dir(spark: SparkSession) -> str:
         root = _made.get(sc.applicationId)
     if not root:
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        root = tempfile.mkdtemp(prefix="costloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        if local:
-            atexit.register(shutil.rmtree, root, ignore_errors=True)
-        _made[sc.applicationId] = root
+        if not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _made[sc.applicationId] = tempfile.mkdtemp(prefix="costloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/costloom-{sc.applicationId}"
 
 
@@ -62,12 +62,16 @@ def content_signature(rows: DataFrame, *cols: str) -> str:
     return one.first()[0][:16]
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a complete table is at path."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def load_or_build(spark: SparkSession, folder: str, name: str, signature: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
     """(table, whether it was there): Parquet under folder/name-signature, complete tables only."""
     path = f"{folder.rstrip('/')}/{name}-{signature}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    there = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+    there = written(spark, path)
     if not there:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), there
