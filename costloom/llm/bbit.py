@@ -41,6 +41,11 @@ _CHUNK = 1 << 16
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), *[(p, pa.int64()) for p in PLANES], ("bands", pa.list_(pa.int64()))])
 _SPARK = "doc_id long, n_shingles long, set_hash binary, " + ", ".join(f"{p} long" for p in PLANES) + ", bands array<long>"
 
+def _small(table: DataFrame, width: int) -> DataFrame:
+    """A broadcast of a written table of at most 8 MB by rows x width; there are many of them at once here."""
+    return checked_broadcast(table, width, 8 << 20)
+
+
 _keys = mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES, _PLUS = _keys[:HASHES].astype(np.uint32) | np.uint32(1), _keys[HASHES:].astype(np.uint32)
 
@@ -156,7 +161,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([owners[i]]), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.view(np.int64)))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.join(checked_broadcast(ids, 16), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
+    return rows.join(_small(ids, 16), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,9 +186,9 @@ def stars(sets: DataFrame) -> DataFrame:
     """
     keys = cut(sets.select("doc_id", F.explode("bands").alias("key")))
     counts = cut(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-    shared = keys.join(checked_broadcast(counts, 16), "key")
+    shared = keys.join(_small(counts, 16), "key")
     rank = cut(shared.groupBy("doc_id").agg(F.sum("c").alias("rank")))
-    ranked = shared.select("key", "doc_id").join(checked_broadcast(rank, 16), "doc_id")
+    ranked = shared.select("key", "doc_id").join(_small(rank, 16), "doc_id")
     centres = ranked.groupBy("key").agg(F.min("doc_id").alias("first"), F.max(F.struct("rank", (-F.col("doc_id")).alias("id"))).alias("top"))
     centres = centres.select("key", F.array_distinct(F.array("first", -F.col("top.id"))).alias("b"))
     return shared.select("key", F.col("doc_id").alias("a")).join(centres, "key").select("a", F.explode("b").alias("b")).filter("a <> b").distinct()
@@ -194,7 +199,7 @@ def contested(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = sets.select("doc_id", "label", F.explode("bands").alias("key"))
     by = keys.groupBy("key", "label").agg(F.count("*").alias("c"))
     several = cut(by.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("top")).filter("labels > 1").select("key", "top"))
-    return several, cut(keys.join(checked_broadcast(several, 24), "key").select("doc_id").distinct())
+    return several, cut(keys.join(_small(several, 24), "key").select("doc_id").distinct())
 
 
 def shared_counts(full: DataFrame, labels: DataFrame) -> DataFrame:
@@ -203,9 +208,9 @@ def shared_counts(full: DataFrame, labels: DataFrame) -> DataFrame:
     A link to another component rests on these alone. A shingle is reduced to its least and greatest component
     before rows move, so one that half of all texts hold is no burden.
     """
-    rows = full.join(checked_broadcast(labels, 24), "doc_id").select("doc_id", "label", F.explode("shingles").alias("shingle"))
+    rows = full.join(_small(labels, 24), "doc_id").select("doc_id", "label", F.explode("shingles").alias("shingle"))
     shared = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("shingle")
-    return rows.join(checked_broadcast(cut(shared), 12), "shingle", "left_semi").groupBy("doc_id").agg(F.count("*").alias("s"))
+    return rows.join(_small(cut(shared), 12), "shingle", "left_semi").groupBy("doc_id").agg(F.count("*").alias("s"))
 
 
 def held_by_top(sets: DataFrame, several: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame:
@@ -213,10 +218,10 @@ def held_by_top(sets: DataFrame, several: DataFrame, full: DataFrame, labels: Da
 
     For each set outside that component; no link into it can rest on more. sets has label.
     """
-    outside = sets.select("doc_id", "label", F.explode("bands").alias("key")).join(checked_broadcast(several, 24), "key").filter("label <> top").select("doc_id", "top").distinct()
+    outside = sets.select("doc_id", "label", F.explode("bands").alias("key")).join(_small(several, 24), "key").filter("label <> top").select("doc_id", "top").distinct()
     asked = full.join(cut(outside), "doc_id").select("doc_id", "top", F.explode("shingles").alias("shingle"))
-    tops = checked_broadcast(cut(several.select("top").distinct()), 12)
-    together = full.join(checked_broadcast(labels, 24), "doc_id").join(tops, F.col("label") == F.col("top")).select("top", F.explode("shingles").alias("shingle")).distinct()
+    tops = _small(cut(several.select("top").distinct()), 12)
+    together = full.join(_small(labels, 24), "doc_id").join(tops, F.col("label") == F.col("top")).select("top", F.explode("shingles").alias("shingle")).distinct()
     return asked.join(together, ["top", "shingle"]).groupBy("doc_id", "top").agg(F.count("*").alias("t"))
 
 
@@ -231,15 +236,17 @@ def between(sets: DataFrame, several: DataFrame, shared: DataFrame, held: DataFr
     few, sum_ = PERCENT, 100 + PERCENT
     able = sets.join(shared, "doc_id").filter(100 * F.col("s") >= PERCENT * F.col("n"))
     band = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
-    names = ("doc_id", "label", "n", "s", *PLANES)
+    names = ("doc_id", "label", "n", "s", "bands", *PLANES)
     keys = able.select(*names, band.alias("band"), F.explode("bands").alias("key"))
-    rows = keys.join(checked_broadcast(several, 24), "key")
-    left = rows.filter("label <> top").join(checked_broadcast(held, 32), ["doc_id", "top"], "left").select("key", "band", F.coalesce("t", F.lit(0)).alias("t"), *[F.col(c).alias(f"a_{c}") for c in names])
+    rows = keys.join(_small(several, 24), "key")
+    left = rows.filter("label <> top").join(_small(held, 32), ["doc_id", "top"], "left").select("key", "band", F.coalesce("t", F.lit(0)).alias("t"), *[F.col(c).alias(f"a_{c}") for c in names])
     right = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).select("key", "band", (F.col("label") == F.col("top")).alias("of_top"), *[F.col(c).alias(f"b_{c}") for c in names])
     agree = agreeing("a_", "b_")
     enough = lambda x: sum_ * x >= few * (F.col("a_n") + F.col("b_n"))
     one_way = F.when(F.col("of_top"), enough(F.col("t"))).otherwise(F.col("a_doc_id") < F.col("b_doc_id"))
     ok = (F.col("a_label") != F.col("b_label")) & one_way & _sized(F.col("a_n"), F.col("b_n")) & enough(F.least("a_s", "b_s")) & (agree >= least_agreeing())
+    # A pair that shares several buckets is formed in the first of them only.
+    ok = ok & (F.array_min(F.array_intersect("a_bands", "b_bands")) == left["key"])
     met = left.join(right, (left["key"] == right["key"]) & (left["band"] == right["band"]) & ok)
     turned = F.col("a_doc_id") > F.col("b_doc_id")
     side = lambda c, x, y: F.when(turned, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}"))
@@ -250,7 +257,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """doc_id, label: labels after links between documents are added."""
     met = links.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("y")), "b")
     found = cut(components(met.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    return labels.join(checked_broadcast(found, 24).select(F.col("id").alias("label"), F.col("label").alias("least")), "label", "left").select("doc_id", F.coalesce("least", "label").alias("label"))
+    return labels.join(_small(found, 24).select(F.col("id").alias("label"), F.col("label").alias("least")), "label", "left").select("doc_id", F.coalesce("least", "label").alias("label"))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -280,14 +287,14 @@ def near_components(docs: DataFrame) -> DataFrame:
         found = cut(confirmed(cut(best), full))
         told = across.join(found, ["a", "b"], "left_semi").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
         joined = cut(components(told))  # components that the most alike pair links
-        x, y = [checked_broadcast(joined, 24).select(F.col("id").alias(f"label_{c}"), F.col("label").alias(f"to_{c}")) for c in ("a", "b")]
+        x, y = [_small(joined, 24).select(F.col("id").alias(f"label_{c}"), F.col("label").alias(f"to_{c}")) for c in ("a", "b")]
         now = lambda c: F.coalesce(f"to_{c}", f"label_{c}")
         apart = across.join(x, "label_a", "left").join(y, "label_b", "left").filter(now("a") != now("b")).select("a", "b")
         labels = cut(merged(labels, found.unionByName(confirmed(cut(apart), full))))
     # Only classes with copies or a smaller component need a look-up; all others are their own.
     named = classes.join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
     named = cut(named.filter("copies > 1 OR component_id <> doc_id").select("n_shingles", "set_hash", "component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_hash").join(checked_broadcast(named, 64), ["n_shingles", "set_hash"], "left")
+    out = rows.select("doc_id", "n_shingles", "set_hash").join(_small(named, 64), ["n_shingles", "set_hash"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
