@@ -67,11 +67,12 @@ def clean_lines(lines: Column) -> Column:
     return collapsed(F.array_join(kept, " "))
 
 
-def split_sections(text: Column, head: str = SECTION_HEAD) -> Column:
-    """array<struct<section_no, title, text>>: from each heading line to the next.
+def split_sections(text: Column, head: str = SECTION_HEAD, places: bool = False) -> Column:
+    """array<struct<section_no, title, text>>: from each heading line to the next; with places also start and end.
 
     What stands before the first heading belongs to the first section; cleaned sections under 30 characters
-    are left out; without any section the whole text is one, without title.
+    are left out; without any section the whole text is one, without title. start and end (from 0, exclusive) are where a
+    section's lines are in the text: places of the cut itself, so headings may repeat.
     """
     lines = F.split(text, "\n")
     n = F.size(lines)
@@ -82,13 +83,28 @@ def split_sections(text: Column, head: str = SECTION_HEAD) -> Column:
 
     heads = F.filter(F.sequence(F.lit(1), n), is_head)
 
-    def section(p: Column, k: Column) -> Column:
+    def own_lines(p: Column, k: Column) -> Column:
         start = F.when(k == 0, F.lit(1)).otherwise(p)
         end = F.when(k + 1 < F.size(heads), F.element_at(heads, F.least(k + 2, F.size(heads)))).otherwise(n + 1)
-        return F.struct(k.alias("section_no"), stripped(F.element_at(lines, p)).alias("title"), clean_lines(F.slice(lines, start, end - start)).alias("text"))
+        return F.slice(lines, start, end - start)
 
-    found = F.filter(F.transform(heads, section), lambda s: F.length(s["text"]) >= SECTION_LEAST)
-    whole = F.array(F.struct(F.lit(0).alias("section_no"), F.lit("").alias("title"), clean_lines(lines).alias("text")))
+    def section(p: Column, k: Column) -> Column:
+        own = own_lines(p, k)
+        length = [F.length(F.array_join(own, "\n")).alias("length")] * places
+        return F.struct(k.alias("section_no"), stripped(F.element_at(lines, p)).alias("title"), clean_lines(own).alias("text"), *length)
+
+    all_ = F.transform(heads, section)
+    if places:
+        # Sections follow each other, a line end between them: a section starts where the lengths before it add up to.
+        def placed(xs: Column) -> Column:
+            start = lambda i: F.aggregate(F.slice(xs, 1, i), F.lit(0), lambda a, x: a + x["length"] + 1)
+            one = lambda x, i: F.struct(x["section_no"].alias("section_no"), x["title"].alias("title"), x["text"].alias("text"), start(i).alias("start"), (start(i) + x["length"]).alias("end"))
+            return F.transform(xs, one)
+
+        all_ = F.element_at(F.transform(F.array(all_), placed), 1)
+    found = F.filter(all_, lambda s: F.length(s["text"]) >= SECTION_LEAST)
+    ends = [F.lit(0).alias("start"), F.length(text).alias("end")] * places
+    whole = F.array(F.struct(F.lit(0).alias("section_no"), F.lit("").alias("title"), clean_lines(lines).alias("text"), *ends))
     return F.when(F.size(found) > 0, found).otherwise(whole)
 
 

@@ -36,20 +36,14 @@ def document_chunks(pages: DataFrame, kinds: DataFrame, version: str = "v1", mar
     """chunk_id, source, page, end_page, doc_version, type, title, text, context, forbid_current_numbers.
 
     Each document is cut at its headings, long sections into windows that end at a mark. kinds gives a
-    source's kind, by which titles get their types. page and end_page are where the section begins and ends; without a
-    heading, the whole document's. Documents without text have no chunks.
+    source's kind, by which titles get their types. page and end_page are where the section's first and last line are, by
+    the places of the cut, so headings may repeat; without a heading, the whole document's. Documents without text have no chunks.
     """
     docs = whole_documents(pages).join(F.broadcast(kinds.select("source", "kind")), "source", "left")
-    docs = docs.withColumn("sections", fn.split_sections(F.col("text")))
-    rows = docs.select("source", "kind", "starts", F.col("text").alias("whole"), "sections", F.posexplode("sections").alias("n", "s"))
-    # A title stands at the start of a line; a section ends where the next one that is kept begins.
-    at = lambda title: F.greatest(F.instr(F.concat(F.lit("\n"), "whole"), F.concat(F.lit("\n"), title)), F.lit(1))
-    place = F.when((F.col("s.title") == "") | (F.col("n") == 0), F.lit(1)).otherwise(at(F.col("s.title")))
-    following = F.get("sections", F.col("n") + 1)["title"]
-    end = F.greatest(F.when(following.isNull(), F.length("whole")).otherwise(at(following) - 1), place)
+    rows = docs.select("source", "kind", "starts", F.posexplode(fn.split_sections(F.col("text"), places=True)).alias("n", "s"))
     kind = F.coalesce("kind", F.lit(""))
     type_, forbid = chunk_type(F.col("s.title"), kind)
-    cut = rows.select("source", "n", F.col("s.title").alias("title"), F.col("s.text").alias("section"), page_at(F.col("starts"), place - 1).alias("page"), page_at(F.col("starts"), end - 1).alias("end_page"), type_.alias("type"), forbid.alias("forbid_current_numbers"), F.posexplode(fn.windows(F.col("s.text"), mark)).alias("k", "w"))
+    cut = rows.select("source", "n", F.col("s.title").alias("title"), F.col("s.text").alias("section"), page_at(F.col("starts"), F.col("s.start")).alias("page"), page_at(F.col("starts"), F.greatest(F.col("s.end") - 1, F.col("s.start"))).alias("end_page"), type_.alias("type"), forbid.alias("forbid_current_numbers"), F.posexplode(fn.windows(F.col("s.text"), mark)).alias("k", "w"))
     text = F.substring("section", F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))
     out = cut.select(F.concat_ws("-", "source", F.col("n"), F.col("k")).alias("chunk_id"), "source", "page", "end_page", F.lit(version).alias("doc_version"), "type", "title", text.alias("text"), F.concat_ws(" ", "source", "title").alias("context"), "forbid_current_numbers")
     return out.filter(F.length(F.trim("text")) > 0)

@@ -523,10 +523,17 @@ def cf_chains(s, d):
     return cf.join(chains.alias("ch"), on).select("chain_id", "ch.kind", "ch.product", "ch.material", "actual", "counterfactual", "delta", causal.support(F.col("e"), F.col("a"), F.col("v")).alias("support"))
 
 
-@query("support_score", "SELECT e = 1 AS evidence, a = 1 AS direction, v = 1 AS magnitude, round(0.4::DOUBLE + 0.2::DOUBLE * (e + a + v), 2) AS support FROM range(2) x(e), range(2) y(a), range(2) z(v)")
+@query(
+    "support_score",
+    """, f AS (SELECT factory, product, month, coalesce(max(mom_pct) FILTER (element = 'material') > 0, false) AS e, coalesce(max(mom_pct) FILTER (element = 'labor') > 0, false) AS a, coalesce(abs(max(mom_pct) FILTER (element = 'unit_cost')) > 1, false) AS v FROM moved GROUP BY ALL)
+SELECT factory, product, month, e AS evidence, a AS direction, v AS magnitude, round(0.4::DOUBLE + 0.2::DOUBLE * (CAST(e AS INT) + CAST(a AS INT) + CAST(v AS INT)), 2) AS support FROM f""",
+)
 def support_score(s, d):
-    bits = [(bool(i & 1), bool(i & 2), bool(i & 4)) for i in range(8)]
-    return s.createDataFrame(bits, "evidence boolean, direction boolean, magnitude boolean").withColumn("support", causal.support(F.col("evidence"), F.col("direction"), F.col("magnitude")))
+    """How well a month's movement is supported: material rose, labor rose with it, the unit cost moved visibly."""
+    of = lambda e: F.max(F.when(F.col("element") == e, F.col("mom_pct")))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    rows = variance.mom(_long(s, d)).groupBy("factory", "product", "month").agg(flag(of("material") > 0).alias("evidence"), flag(of("labor") > 0).alias("direction"), flag(F.abs(of("unit_cost")) > 1).alias("magnitude"))
+    return rows.withColumn("support", causal.support(F.col("evidence"), F.col("direction"), F.col("magnitude")))
 
 
 @query(

@@ -383,19 +383,52 @@ def graph_reach(s, d):
 # --- guards and routing
 
 
-@query("draft_guard", None)
+_PRICE, _MORE = "printf('%.2f', p_retailprice)", "printf('%.2f', p_retailprice + 1)"
+
+
+@query(
+    "draft_guard",
+    f"""WITH v AS (SELECT p_partkey AS draft_id, CASE p_partkey % 6 WHEN 1 THEN 'number isn''t a fact: ' || {_MORE} WHEN 2 THEN 'number without citation: ' || {_PRICE} WHEN 3 THEN 'placeholder left' WHEN 4 THEN 'causal citation without evidence'
+  WHEN 5 THEN 'number isn''t a fact: ' || p_size ELSE '' END AS violations FROM part
+ UNION ALL SELECT * FROM (VALUES (-1, ''), (-2, 'placeholder left'), (-3, 'number without citation: 3.25'), (-4, 'number isn''t a fact: 9.99'), (-5, 'causal citation without evidence'), (-6, 'number isn''t a fact: 5')))
+SELECT CAST(draft_id AS BIGINT) AS draft_id, violations = '' AS passed, violations FROM v""",
+)
 def draft_guard(s, d):
-    rows = s.createDataFrame(DRAFTS, "draft_id int, text string, facts string, causal boolean")
+    """Drafts about every part, each with the fault of its number's remainder, and drafts of our own; SQL says what must be found."""
+    own = s.createDataFrame([(-i, *rest) for i, *rest in DRAFTS], "draft_id long, text string, facts string, causal boolean")
+    key, price, cited = F.col("p_partkey"), F.format_string("%.2f", "p_retailprice"), F.lit(" [S1]。")
+    form = {0: F.concat(F.lit("单价 "), price, cited), 1: F.concat(F.lit("单价 "), F.format_string("%.2f", F.col("p_retailprice") + 1), cited), 2: F.concat(F.lit("单价 "), price), 3: F.concat(F.lit("{{金额}}，单价 "), price, cited), 4: F.concat(F.lit("传导 "), price, F.lit(" [C1]"))}
+    text = F.concat(F.lit("共 "), F.col("p_size").cast("string"), F.lit(" 项 [S1]"))
+    for i, x in form.items():
+        text = F.when(key % 6 == i, x).otherwise(text)
+    parts = table(s, d, "part").select(key.alias("draft_id"), text.alias("text"), F.concat(F.lit('{"price": '), price, F.lit(', "size": '), F.col("p_size").cast("string"), F.lit("}")).alias("facts"), (key % 6 != 4).alias("causal"))
     v = guard.draft_violations(F.col("text"), F.col("facts"), F.col("causal"))
-    return rows.select("draft_id", (F.size(v) == 0).alias("passed"), F.array_join(v, "; ").alias("violations"))
+    return own.unionByName(parts).select("draft_id", (F.size(v) == 0).alias("passed"), F.array_join(v, "; ").alias("violations"))
 
 
 _TASK = "task_id, task_title, name, department, analysis_type, analysis_month, product, finding, priority, deadline, suggestion, notify_method, created_at"
 
 
+#: Orders as tasks: numbers, titles, names, dates and ways of telling are wrong or missing by the remainders of their key.
+_ORDER_TASKS = """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'TASK-' || o_orderkey ELSE 'TASK-' || strftime(o_orderdate, '%Y%m') || '-' || printf('%04d', o_orderkey % 10000) END, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'C' || o_custkey END, 'D', 'monthly',
+ strftime(o_orderdate, '%Y-%m'), o_orderpriority, o_orderstatus, CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' ELSE 'unset' END, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END,
+ CASE WHEN o_orderkey % 13 <> 0 THEN 'x' ELSE '' END, CASE WHEN o_orderkey % 4 = 0 THEN 'fax' ELSE 'wechat' END, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') FROM orders"""
+
+
+def _order_tasks(s, d):
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    urgency = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "high").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").when(F.col("o_orderpriority") == "5-LOW", "low").otherwise("unset")
+    number = F.when(key % 5 == 0, key.cast("string")).otherwise(F.concat(F.date_format(day, "yyyyMM"), F.lit("-"), F.lpad((key % 10000).cast("string"), 4, "0")))
+    fields = [
+        F.concat(F.lit("TASK-"), number), F.when(key % 11 != 0, F.col("o_orderpriority")), F.when(key % 7 == 0, "").otherwise(F.concat(F.lit("C"), F.col("o_custkey").cast("string"))), F.lit("D"), F.lit("monthly"), F.date_format(day, "yyyy-MM"), F.col("o_orderpriority"), F.col("o_orderstatus"), urgency,
+        F.when(key % 3 == 0, F.date_format(day, "yyyy/MM/dd")).otherwise(F.date_format(day, "yyyy-MM-dd")), F.when(key % 13 != 0, "x").otherwise(""), F.when(key % 4 == 0, "fax").otherwise("wechat"), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"),
+    ]
+    return table(s, d, "orders").select(*[f.alias(n) for f, n in zip(fields, _TASK.split(", "), strict=True)])
+
+
 @query(
     "rpa_schema_check",
-    f"""WITH t({_TASK}) AS (VALUES {_values(TASKS)}), x AS (SELECT task_id,
+    f"""WITH t({_TASK}) AS (SELECT * FROM (VALUES {_values(TASKS)}) UNION ALL {_ORDER_TASKS}), x AS (SELECT task_id,
  list_filter([CASE WHEN created_at IS NULL THEN 'created_at' END, CASE WHEN deadline IS NULL THEN 'deadline' END, CASE WHEN priority IS NULL THEN 'priority' END, CASE WHEN task_title IS NULL THEN 'task_title' END], lambda m: m IS NOT NULL) AS missing,
  list_filter([CASE WHEN NOT regexp_full_match(task_id, 'TASK-\\d{{6}}-\\d{{4}}') THEN 'invalid: task_id' END, CASE WHEN priority NOT IN ('high', 'medium', 'low') THEN 'invalid: priority' END, CASE WHEN NOT regexp_full_match(deadline, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'invalid: deadline' END,
   CASE WHEN NOT regexp_full_match(created_at, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}') THEN 'invalid: created_at' END, CASE WHEN coalesce(name, '') = '' OR coalesce(department, '') = '' THEN 'invalid: assignee' END,
@@ -403,17 +436,20 @@ _TASK = "task_id, task_title, name, department, analysis_type, analysis_month, p
 SELECT task_id, CASE WHEN len(missing) > 0 THEN 'missing: ' || array_to_string(missing, ', ') ELSE array_to_string(wrong, '; ') END AS violations FROM x""",
 )
 def rpa_schema_check(s, d):
-    flat = s.createDataFrame(TASKS, ", ".join(f"{n} string" for n in _TASK.split(", ")))
+    flat = s.createDataFrame(TASKS, ", ".join(f"{n} string" for n in _TASK.split(", "))).unionByName(_order_tasks(s, d))
     rows = flat.withColumns({"assignee": F.struct("name", "department"), "source": F.struct("analysis_type", "analysis_month", "product", "finding")})
     return rows.select("task_id", F.array_join(guard.task_violations(rows), "; ").alias("violations"))
 
 
 @query(
     "placeholder_registry",
-    f"WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\{{\\{{(.*?)\\}}\\}}', 1)) AS name FROM (VALUES {_values(TEMPLATE)}) t(text)) SELECT name, CASE WHEN {_any('name', guard.TABLE_WORDS)} THEN 'table' WHEN {_any('name', guard.TEXT_WORDS)} THEN 'text' ELSE 'number' END AS kind FROM n",
+    f"WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\{{\\{{(.*?)\\}}\\}}', 1)) AS name FROM (SELECT text FROM (VALUES {_values(TEMPLATE)}) t(text) UNION ALL SELECT '{{{{' || p_name || ['清单', '说明', ''][CAST(p_size % 3 AS INT) + 1] || '}}}}' FROM part)) SELECT name, CASE WHEN {_any('name', guard.TABLE_WORDS)} THEN 'table' WHEN {_any('name', guard.TEXT_WORDS)} THEN 'text' ELSE 'number' END AS kind FROM n",
 )
 def placeholder_registry(s, d):
-    return guard.placeholders(s.createDataFrame(TEMPLATE, "text string"))
+    """Names in a template of our own, and in one with a list, an explanation or a number for each part."""
+    ending = F.get(F.array(F.lit("清单"), F.lit("说明"), F.lit("")), (F.col("p_size") % 3).cast("int"))
+    parts = table(s, d, "part").select(F.concat(F.lit("{{"), "p_name", ending, F.lit("}}")).alias("text"))
+    return guard.placeholders(s.createDataFrame(TEMPLATE, "text string").unionByName(parts))
 
 
 _ROUTE = f"""SELECT query_id, intent, coalesce(intent, 'clarify') AS status, CASE {" ".join(f"WHEN contains(text, '{p}') THEN '{p}'" for p in guard.PRODUCTS)} ELSE '{guard.DEFAULT_PRODUCT}' END AS product,
@@ -430,9 +466,11 @@ def _rule(i: int) -> str:
     return "CASE " + " ".join(f"WHEN {_any('suggestion', w)} THEN '{v[i]}'" for w, *v in guard.PLAN_RULES) + f" ELSE '{guard.PLAN_DEFAULT[i]}' END"
 
 
-@query("rpa_plan", f"SELECT seq, suggestion, {_rule(0)} AS department, {_rule(1)} AS role, {_rule(2)} AS priority FROM (VALUES {_values(SUGGESTIONS)}) t(seq, suggestion)")
+@query("rpa_plan", f"SELECT seq, suggestion, {_rule(0)} AS department, {_rule(1)} AS role, {_rule(2)} AS priority FROM (SELECT CAST(seq AS BIGINT) AS seq, suggestion FROM (VALUES {_values(SUGGESTIONS)}) t(seq, suggestion) UNION ALL SELECT 1000 + p_partkey, ['供应商', '收率', '折旧', ''][CAST(p_size % 4 AS INT) + 1] || p_name FROM part)")
 def rpa_plan(s, d):
-    return guard.rpa_plan(s.createDataFrame(SUGGESTIONS, "seq int, suggestion string"))
+    about = F.get(F.array(*[F.lit(x) for x in ("供应商", "收率", "折旧", "")]), (F.col("p_size") % 4).cast("int"))
+    parts = table(s, d, "part").select((F.lit(1000) + F.col("p_partkey")).alias("seq"), F.concat(about, "p_name").alias("suggestion"))
+    return guard.rpa_plan(s.createDataFrame(SUGGESTIONS, "seq long, suggestion string").unionByName(parts))
 
 
 # --- ledgers: orders stand for requests, their status and priority for product and cause

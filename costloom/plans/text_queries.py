@@ -21,6 +21,15 @@ TYPES = ["GMP要求", "处方参考价", "处方量", "工艺参数", "工艺路
 CHUNKS = [("C1", "处方参考价", True), ("C2", "行情价", False), ("C3", "工艺参数", False)]
 
 
+#: What the tables' texts are said to be about here, by the remainder of their number: their language has none of the words that rules look for.
+TOPICS = ["", "价格", "gmp", "设备维修", "工艺参数", "处方", "公用工程"]
+_TOPIC_SQL = "(" + str(TOPICS) + ")[CAST({id} % 7 AS INT) + 1]"
+
+
+def _topic(number):
+    return F.get(F.array(*[F.lit(t) for t in TOPICS]), (number % 7).cast("int"))
+
+
 def query(name: str, sql: str | None, shared: str = ""):
     def add(f):
         QUERIES[name] = f
@@ -85,6 +94,22 @@ def split_sections(s, d):
     return rows.select("doc_id", "x.section_no", "x.title", F.length("x.text").alias("n"), F.md5(F.col("x.text").cast("binary")).alias("section_md5"))
 
 
+@query(
+    "section_places",
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+t AS (SELECT doc_id, pos, sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(raw) - 1 AS place, length(raw) AS n, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM l),
+h AS (SELECT *, CAST(regexp_matches(line, '^[^.]{{1,40}}$') AND length(line) <= 40 AS INT) AS head FROM t),
+k AS (SELECT *, greatest(sum(head) OVER (PARTITION BY doc_id ORDER BY pos), 1) AS sec, sum(head) OVER (PARTITION BY doc_id) AS heads FROM h),
+s AS (SELECT doc_id, sec, any_value(heads) AS heads, {_CLEAN} AS x, min(place) AS a, max(place + n) AS b FROM k GROUP BY ALL),
+kept AS (SELECT doc_id, CAST(sec - 1 AS INT) AS section_no, CAST(a AS INT) AS start_at, CAST(b AS INT) AS end_at FROM s WHERE heads > 0 AND length(x) >= 30)
+SELECT * FROM kept UNION ALL SELECT doc_id, CAST(0 AS INT), CAST(0 AS INT), CAST(length(text) AS INT) FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM kept)""",
+)
+def section_places(s, d):
+    """Where each section's lines are in its document; pages of chunks follow from these places."""
+    rows = _docs(s, d).select("doc_id", F.explode(fn.split_sections(F.col("text"), HEAD, places=True)).alias("x"))
+    return rows.select("doc_id", "x.section_no", F.col("x.start").alias("start_at"), F.col("x.end").alias("end_at"))
+
+
 def _window_end(s: str) -> str:
     e0 = f"least({s} + 700, n)"
     p = f"strpos(substr(text, CAST({e0} AS BIGINT) + 1), '.')"
@@ -108,11 +133,19 @@ _RULES_SQL = " ".join(f"WHEN regexp_matches(title, '{p}') THEN '{{}}'".format(t)
 _FORBID_SQL = " ".join(f"WHEN regexp_matches(title, '{p}') THEN {str(no).lower()}" for p, _, no in r.TYPE_RULES)
 
 
-@query("chunk_type", f"SELECT section_id, CASE WHEN kind = 'GMP' THEN 'GMP要求' {_RULES_SQL} ELSE '其他' END AS type, CASE WHEN kind = 'GMP' THEN false {_FORBID_SQL} ELSE false END AS forbid FROM (VALUES {_values(TITLES)}) t(section_id, title, kind)")
+@query(
+    "chunk_type",
+    f"""SELECT section_id, CASE WHEN kind = 'GMP' THEN 'GMP要求' {_RULES_SQL} ELSE '其他' END AS type, CASE WHEN kind = 'GMP' THEN false {_FORBID_SQL} ELSE false END AS forbid FROM (
+ SELECT CAST(-section_id AS BIGINT) AS section_id, title, kind FROM (VALUES {_values(TITLES)}) t(section_id, title, kind)
+ UNION ALL SELECT doc_id, {_TOPIC_SQL.format(id='doc_id')} || ' ' || split_part(text, chr(10), 1), CASE WHEN source = 'src0' THEN 'GMP' ELSE 'PF' END FROM documents)""",
+)
 def chunk_type(s, d):
-    rows = s.createDataFrame(TITLES, "section_id int, title string, kind string")
+    """Types of the documents by their first line, and of section titles of our own."""
+    own = s.createDataFrame([(-i, t, k) for i, t, k in TITLES], "section_id long, title string, kind string")
+    title = F.concat_ws(" ", _topic(F.col("doc_id")), F.split_part("text", F.lit("\n"), F.lit(1)))
+    docs = _docs(s, d).select(F.col("doc_id").alias("section_id"), F.when(F.col("text").isNotNull(), title).alias("title"), F.when(F.col("source") == "src0", "GMP").otherwise("PF").alias("kind"))
     kind, forbid = r.chunk_type(F.col("title"), F.col("kind"))
-    return rows.select("section_id", kind.alias("type"), forbid.alias("forbid"))
+    return own.unionByName(docs).select("section_id", kind.alias("type"), forbid.alias("forbid"))
 
 
 _TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -130,7 +163,7 @@ q0 AS (SELECT query_id, bucket, sum(qn * sg * coalesce(idf, 1)) AS v FROM q LEFT
 hc AS (SELECT query_id, id, sum(qv.w * v.w) AS score FROM qv JOIN v USING (bucket) GROUP BY ALL), hcr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM hc),
 ty AS (SELECT doc_id AS id, CASE WHEN source = 'src0' THEN 'GMP要求' ELSE '其他' END AS type, coalesce(source, '') = 'src2' AS forbid FROM documents),
 rr AS (SELECT query_id, id, sum(s) * any_value(CASE WHEN type = 'GMP要求' THEN 0.0 ELSE 1.0 END) AS score, CASE WHEN count(*) = 2 THEN 'bm25+vec' ELSE any_value(c) END AS channel, min(o) AS o FROM (
-  SELECT query_id, id, 0.3 / (60 + place) AS s, 'bm25' AS c, place AS o FROM bmr WHERE place <= 15 AND round(score, 9) > 0 UNION ALL SELECT query_id, id, 0.7 / (60 + place), '+vec', place + 1000000 FROM hcr WHERE place <= 15) JOIN ty USING (id) GROUP BY query_id, id),
+  SELECT query_id, id, 0.3 / (60 + place) AS s, 'bm25' AS c, place AS o FROM bmr WHERE place <= 30 AND round(score, 9) > 0 UNION ALL SELECT query_id, id, 0.7 / (60 + place), '+vec', place + 1000000 FROM hcr WHERE place <= 30) JOIN ty USING (id) GROUP BY query_id, id),
 rrr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, o) AS place FROM rr)
 """
 
@@ -151,6 +184,12 @@ def bm25_topk(s, d):
     return rounded(r.bm25(_asked(s, d), _postings(s, d), 10), 6, "score")
 
 
+@query("bm25_work", None)
+def bm25_work(s, d):
+    """query_id, postings, scored, skipped_share: what the bounds of parts spare bm25_topk."""
+    return r.bm25_work(_asked(s, d), _postings(s, d), 10)
+
+
 def _vectors(s, d):
     p = _postings(s, d)
     w = cut(r.idf(p, r.collection_size(p).select("n")))
@@ -170,8 +209,8 @@ def hash_collision(s, d):
 
 @query("hash_cosine_topk", "SELECT query_id, id, round(score, 6) AS score, CAST(place AS INT) AS place FROM hcr WHERE place <= 10", POST)
 def hash_cosine_topk(s, d):
-    _, w, v = _vectors(s, d)
-    return rounded(r.hash_cosine(_asked(s, d), v, w, 10), 6, "score")
+    p, w, v = _vectors(s, d)
+    return rounded(r.hash_cosine(_asked(s, d), v, w, 10, size=p.count()), 6, "score")
 
 
 @query(
@@ -263,9 +302,19 @@ def _any_sql(col: str, words) -> str:
 _WEIGHT_SQL = "CASE WHEN type = 'GMP要求' AND NOT " + _any_sql("query", r.GMP_WORDS) + " THEN 0.0 " + " ".join(f"WHEN type = '{t}' AND {_any_sql('query', words)} THEN {w}" for words, boost in r.BOOSTS for t, w in boost.items()) + " ELSE 1.0 END"
 
 
-@query("type_weights", f"SELECT query_id, type, CAST({_WEIGHT_SQL} AS DOUBLE) AS weight FROM (VALUES {_values(ASKED)}) q(query_id, query), (SELECT unnest({TYPES}) AS type)")
+_TURNS_SQL = f"(SELECT CAST(query_id AS BIGINT) AS query_id, query FROM (VALUES {_values(ASKED)}) v(query_id, query) UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text || {_TOPIC_SQL.format(id='(conv_id + turn)')} FROM conversations) q"
+
+
+def _turns(s, d):
+    """Turns of the conversations as queries about a topic each, and questions of our own: query_id, query."""
+    own = s.createDataFrame(ASKED, "query_id long, query string")
+    talk = table(s, d, "conversations")
+    return own.unionByName(talk.select((F.lit(1_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat("text", _topic(F.col("conv_id") + F.col("turn"))).alias("query")))
+
+
+@query("type_weights", f"SELECT query_id, type, CAST({_WEIGHT_SQL} AS DOUBLE) AS weight FROM {_TURNS_SQL}, (SELECT unnest({TYPES}) AS type)")
 def type_weights(s, d):
-    q = s.createDataFrame(ASKED, "query_id int, query string").crossJoin(s.createDataFrame([(t,) for t in TYPES], "type string"))
+    q = _turns(s, d).crossJoin(F.broadcast(s.createDataFrame([(t,) for t in TYPES], "type string")))  # nine types
     return q.select("query_id", "type", r.type_weight(F.col("query"), F.col("type")).alias("weight"))
 
 
@@ -273,7 +322,8 @@ def _fused(s, d, k: int):
     p, w, v = _vectors(s, d)
     asked = _asked(s, d)
     docs = _docs(s, d).select(F.col("doc_id").alias("id"), F.when(F.col("source") == "src0", r.GMP_TYPE).otherwise("其他").alias("type"))
-    lexical, vector = cut(r.bm25(asked, p, 15)), cut(r.hash_cosine(asked, v, w, 15))
+    fetch = r.channel_fetch(5)  # of the final five
+    lexical, vector = cut(r.bm25(asked, p, fetch)), cut(r.hash_cosine(asked, v, w, fetch, size=p.count()))
     found = lexical.select("query_id", "id").unionByName(vector.select("query_id", "id")).distinct()
     weights = found.join(docs, "id").join(asked, "query_id").select("query_id", "id", r.type_weight(F.col("text"), F.col("type")).alias("weight"))
     return r.fused(lexical, vector, weights, k)
@@ -287,10 +337,10 @@ def rrf_fusion(s, d):
 _NUMERIC_SQL = _any_sql("query", r.NUMERIC_WORDS)
 
 
-@query("forbidden_filter", f"SELECT query_id, id, type FROM (VALUES {_values(ASKED)}) q(query_id, query), (VALUES {_values(CHUNKS)}) c(id, type, forbid) WHERE NOT (forbid AND {_NUMERIC_SQL})")
+@query("forbidden_filter", f"SELECT query_id, id, type FROM {_TURNS_SQL}, (VALUES {_values(CHUNKS)}) c(id, type, forbid) WHERE NOT (forbid AND coalesce({_NUMERIC_SQL}, false))")
 def forbidden_filter(s, d):
-    q = s.createDataFrame(ASKED, "query_id int, text string")
-    c = q.select("query_id").crossJoin(s.createDataFrame(CHUNKS, "id string, type string, forbid_current_numbers boolean"))
+    q = _turns(s, d).select("query_id", F.coalesce("query", F.lit("")).alias("text"))
+    c = q.select("query_id").crossJoin(F.broadcast(s.createDataFrame(CHUNKS, "id string, type string, forbid_current_numbers boolean")))  # three chunks
     return r.forbidden_filter(c, q)[0].select("query_id", "id", "type")
 
 

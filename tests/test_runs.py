@@ -17,6 +17,15 @@ def test_formats(spark):
     assert tuple(r) == (None, "—")
 
 
+def test_pages_of_repeated_headings(spark):
+    """A heading that comes again, and one that begins like another, have the pages of their own lines."""
+    body = "设备利用率与折旧费用按月分摊核算。" * 4
+    texts = ["1.1 概述\n" + body + "\n1.1 概述及范围\n" + body, "1.2 短\nx\n1.1 概述\n" + body, "1.3 续\n" + body[:40], body]
+    pages = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts, 1)], "source string, page int, text string")
+    rows = knowledge.document_chunks(pages, spark.createDataFrame([("d", "MFG")], "source string, kind string")).orderBy("chunk_id").collect()
+    assert [(r["title"], r["page"], r["end_page"]) for r in rows] == [("1.1 概述", 1, 1), ("1.1 概述及范围", 1, 1), ("1.1 概述", 2, 2), ("1.3 续", 3, 4)]
+
+
 def test_document_chunks(spark):
     head = "一、工艺参数\n" + "提取收率影响单耗。" * 8
     long = "二、维修历史\n" + "胶囊填充机故障停工二十四小时。" * 120
