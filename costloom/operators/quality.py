@@ -162,6 +162,20 @@ def provenance(lines: DataFrame, cube: DataFrame) -> DataFrame:
     return rows.select("factory", "product", "month", F.explode(each).alias("x"), "k").select("factory", "product", "month", "x.*", F.col("k.l_orderkey").alias("source_order"), F.col("k.l_linenumber").alias("source_line"))
 
 
+def first_lines(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted (keys) with file and line: the first row of rows (keys, file, row) for each, from line 1; -1 and null where there is none.
+
+    file and row are what the scan says of a row (_metadata.file_name, _metadata.row_index), so no file is numbered anew.
+    Null keys equal each other.
+    """
+    first = rows.groupBy(*keys).agg(F.min(F.struct("file", "row")).alias("at_")).select(*[F.col(k).alias(f"of_{k}") for k in keys], "at_")
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        cond = c if cond is None else cond & c
+    return wanted.join(first, cond, "left").select(*wanted.columns, F.col("at_.file").alias("file"), F.coalesce(F.col("at_.row") + 1, F.lit(-1)).alias("line"))
+
+
 def report_mapping(cube: DataFrame, budget: DataFrame, year: int, factory: str = OWN) -> DataFrame:
     """product, month, placeholder, value (as shown): the named values of a monthly report.
 

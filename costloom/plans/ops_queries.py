@@ -196,6 +196,23 @@ def provenance(s, d):
     return rounded(quality.provenance(ls, cubes.cost_cube(ls)), 6, "value")
 
 
+@query(
+    "source_lines",
+    f"""WITH l AS (SELECT l_linestatus AS factory, l_partkey, strftime(l_shipdate, '%Y-%m') AS month, row_number() OVER () AS line FROM lineitem), b AS (SELECT factory, p_type AS product, month, min(line) AS line FROM l JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+w AS (SELECT f.factory, p.product, printf('%d-%02d', y.y, m.m) AS month FROM (SELECT DISTINCT l_linestatus AS factory FROM lineitem) f, (SELECT DISTINCT p_type AS product FROM part) p, (SELECT unnest(range({BASE_YEAR - 2}, {YEAR + 1})) AS y) y, (SELECT unnest(range(1, 13)) AS m) m)
+SELECT factory, product, month, coalesce(line, -1) AS line FROM w LEFT JOIN b USING (factory, product, month)""",
+)
+def source_lines(s, d):
+    """Where the numbers of each factory, product and month come from: the first line of the file, -1 where there is none."""
+    li = table(s, d, "lineitem").select("l_linestatus", "l_partkey", "l_shipdate", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    part = table(s, d, "part").select("p_partkey", F.col("p_type").alias("product"))
+    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_linestatus").alias("factory"), "product", F.date_format("l_shipdate", "yyyy-MM").alias("month"), "file", "row")
+    years, months = F.explode(F.sequence(F.lit(BASE_YEAR - 2), F.lit(YEAR))), F.explode(F.sequence(F.lit(1), F.lit(12)))
+    calendar = s.range(1).select(years.alias("y")).select("y", months.alias("m")).select(F.format_string("%d-%02d", "y", "m").alias("month"))
+    wanted = li.select(F.col("l_linestatus").alias("factory")).distinct().crossJoin(F.broadcast(part.select("product").distinct())).crossJoin(F.broadcast(calendar))  # a cell a factory, product and month
+    return quality.first_lines(rows, wanted, ["factory", "product", "month"]).drop("file")
+
+
 def _mapping_sql() -> str:
     show = lambda v, suffix="": f"coalesce(printf('%.2f', {v}) || '{suffix}', '—')"
     change = lambda a, b: f"({a} / nullif({b}, 0) - 1) * 100"
