@@ -4,7 +4,7 @@ Each block of a text is compressed with a dictionary trained on good text and wi
 text (pairs of several sizes: small ones hold what is typical, large ones what is frequent). Summed over the whole text, the normalised difference of the two sizes says which kind it
 resembles; a logistic curve, fitted on labelled rows the dictionaries haven't seen, turns it into a
 probability. Beside the difference the curve sees the size under the good dictionary and the length, without which
-empty repetition looks like prose (README: 0.977 against 0.994 held-out accuracy). Fitting uses a bounded sample on the driver; scoring is one pass without a shuffle.
+empty repetition looks like prose (that they decide too is an addition to the method). Fitting uses a bounded sample on the driver; scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
