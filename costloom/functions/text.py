@@ -153,7 +153,9 @@ def tokens(text: Column, words: tuple[str, ...] = DOMAIN_WORDS) -> Column:
         return F.when(whole, F.array(piece)).otherwise(pairs)
 
     plain = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.when(low.rlike(HAN), F.flatten(F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), cut))).otherwise(plain)
+    # Nearly all texts have none; a look for characters that far up is much quicker than one for a script.
+    han = (F.octet_length(low) > F.length(low)) & low.rlike(r"[\u2E80-\uFFFF\x{10000}-\x{10FFFF}]") & low.rlike(HAN)
+    return F.when(han, F.flatten(F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), cut))).otherwise(plain)
 
 
 def bucket(token: Column, dim: int = HASH_DIM) -> Column:

@@ -8,7 +8,7 @@ from costloom.functions import text as fn
 from costloom.operators import ivf, retrieval as r, segment
 from costloom.plans.cost_queries import rounded
 from costloom.sources.store import content_signature, cut, work_dir, written
-from costloom.sources.tables import table
+from costloom.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,7 +61,7 @@ def _docs(s, d):
 
 def _postings(s, d):
     """Postings, written once: every channel and weight reads them instead of splitting the texts again."""
-    return cut(r.postings(_docs(s, d)))
+    return cut(r.postings(spread(_docs(s, d))))
 
 
 def _asked(s, d):
@@ -170,7 +170,7 @@ rrr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 @query("token_counts", "SELECT token, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY token", POST)
 def token_counts(s, d):
-    return r.postings(_docs(s, d)).groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
+    return r.postings(spread(_docs(s, d))).groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
 
 
 @query("idf", "SELECT token, df, round(idf, 8) AS idf FROM idf", POST)
@@ -256,7 +256,7 @@ def ivf_recall(s, d):
 def _unspaced(s, d):
     """Clauses of the documents with all but letters taken out, as texts of scripts without spaces come: doc_id, run."""
     clause = F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[.,;:!?\n]+"))
-    return _docs(s, d).select("doc_id", clause.alias("clause")).select("doc_id", F.regexp_replace("clause", r"[^\p{L}]", "").alias("run")).filter("run <> ''")
+    return spread(_docs(s, d)).select("doc_id", clause.alias("clause")).select("doc_id", F.regexp_replace("clause", r"[^\p{L}]", "").alias("run")).filter("run <> ''")
 
 
 _LEARNED = rf"""WITH u AS (SELECT doc_id, regexp_replace(clause, '[^\p{{L}}]', '', 'g') AS run FROM (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[.,;:!?\n]+')) AS clause FROM documents)),

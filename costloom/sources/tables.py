@@ -20,6 +20,16 @@ SCHEMAS = {
 }
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a scan over all cores where it has fewer files than those; beyond that as they are.
+
+    A file may be one row group, which one task reads whatever its size; work on texts then runs on one core. A table of
+    many files, as large ones are, isn't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
