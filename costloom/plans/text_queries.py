@@ -349,3 +349,21 @@ def retrieve(s, d):
     docs = _docs(s, d).select(F.col("doc_id").alias("id"), (F.coalesce("source", F.lit("")) == "src2").alias("forbid_current_numbers"))
     rows = _fused(s, d, 10).join(docs, "id")
     return rounded(r.retrieve(rows, _asked(s, d), 5), 4, "score").drop("forbid_current_numbers")
+
+
+_INDEXED = POST.replace("coalesce(text, '')", "trim(coalesce(source, '') || ' ' || coalesce(text, ''))")
+
+
+@query(
+    "evidence",
+    "SELECT query_id, CAST(place AS INT) AS place, CAST(id AS VARCHAR) AS chunk_id, type, channel, round(score, 4) AS score, split_part(text, chr(10), 1) AS title, md5(text) AS text_md5 FROM rrr JOIN ty USING (id) JOIN documents ON doc_id = id WHERE place <= 5",
+    _INDEXED,
+)
+def evidence(s, d):
+    """The whole facade: documents as chunks found by their source and text, passages as queries; types, fusion, filter and cut."""
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    chunks = spread(_docs(s, d)).select(
+        F.col("doc_id").alias("chunk_id"), F.when(F.col("source") == "src0", r.GMP_TYPE).otherwise("其他").alias("type"), title.alias("title"), "text", F.col("source").alias("context"), (F.coalesce("source", F.lit("")) == "src2").alias("forbid_current_numbers")
+    )
+    found, _ = r.evidence(chunks, _asked(s, d), 5)
+    return rounded(found, 4, "score").select("query_id", "place", "chunk_id", "type", "channel", "score", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"))
