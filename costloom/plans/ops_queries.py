@@ -110,6 +110,7 @@ def audit_counts(s, d):
 
 #: Parts stand for labelled events: their brand, type and the words of their name are what an explanation has to hold; the
 #: explanation knows the name, and the brand of even sizes. A hedge makes a full hit a partial one.
+# Fixed value: the hedge.
 HEDGED = "次因"
 _HITS = f"""WITH l AS (SELECT CAST(p_partkey AS VARCHAR) AS id, [p_brand, string_split(p_name, ' ')[1], string_split(p_name, ' ')[-1]] AS k, p_type AS impact,
   p_name || CASE WHEN p_size % 2 = 0 THEN ' ' || p_brand ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ' {HEDGED}' ELSE '' END AS text FROM part),

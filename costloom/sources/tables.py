@@ -87,21 +87,22 @@ def pdf_pages(content: bytes) -> list[str]:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, page (from 1), text of .txt, .docx and .pdf files; one that can't be read is left out."""
+    """path, page (from 1), text, error of .txt, .docx and .pdf files; one that can't be read is a row of nulls with its error."""
     import pyarrow as pa
 
     def parse(batches):
-        schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string())])
+        schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string())])
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 kind = re.sub(r"^.*\.", "", r["path"]).lower()
                 try:
                     pages = pdf_pages(r["content"]) if kind == "pdf" else [docx_text(r["content"]) if kind == "docx" else decode_text(r["content"])]
-                except Exception:
+                except Exception as e:
+                    rows.append({"path": r["path"], "error": f"{type(e).__name__}: {e}"[:500]})
                     continue
                 rows += [{"path": r["path"], "page": i, "text": t} for i, t in enumerate(pages, 1)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.lower("path").rlike(r"\.(txt|docx|pdf)$")).select("path", "content").mapInArrow(parse, "path string, page int, text string")
+    return files.filter(F.lower("path").rlike(r"\.(txt|docx|pdf)$")).select("path", "content").mapInArrow(parse, "path string, page int, text string, error string")

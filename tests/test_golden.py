@@ -163,8 +163,9 @@ def test_documents_and_report(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("中文".encode("gbk"))
     (tmp_path / "b.docx").write_bytes(report.new_document(["第一段 {{x}} {{y}}"]))
     (tmp_path / "c.docx").write_bytes(b"broken")
-    got = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in tables.read_documents(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": "中文", "b.docx": "第一段 {{x}} {{y}}"}
+    rows = {r["path"].rsplit("/", 1)[-1]: r for r in tables.read_documents(spark, str(tmp_path)).collect()}
+    assert {k: r["text"] for k, r in rows.items() if r["error"] is None} == {"a.txt": "中文", "b.docx": "第一段 {{x}} {{y}}"}
+    assert rows["c.docx"]["error"].startswith("BadZipFile") and rows["c.docx"]["page"] is None
     made = report.render((tmp_path / "b.docx").read_bytes(), {"x": "1"}, {"数据来源": [["指标", "值"], ["a", "1"]]})
     assert tables.docx_text(made).split("\n") == ["第一段 1 {{y}}", "数据来源", "指标 值", "a 1"]
 
@@ -184,12 +185,12 @@ def test_agent_run(spark, tmp_path):
         return {"mom": {"material": 3.25}}
 
     store = agent.Artifacts(tmp_path)
-    one = agent.run(spark, "生成银黄口服液2026-05报告", "s", facts, lambda q: ["e"], store)
-    two = agent.run(spark, "生成银黄口服液2026-05报告", "s", facts, lambda q: ["e"], store)
+    one = agent.run(spark, "生成银黄口服液2026-05报告", "s", facts, lambda q: ["e"], store, signature="golden")
+    two = agent.run(spark, "生成银黄口服液2026-05报告", "s", facts, lambda q: ["e"], store, signature="golden")
     assert one.status == two.status == "done" and calls == ["银黄口服液"] and two.warnings == ["facts reused"]
     assert one.task["deadline"] == "2026-06-03"
-    assert agent.run(spark, "你好", "s", facts, lambda q: [], store).status == "clarify"
-    bad = agent.run(spark, "生成报告", "s", facts, lambda q: [], store, writer=lambda p: {"finding": "上涨 9.9", "chain": ""})
+    assert agent.run(spark, "你好", "s", facts, lambda q: [], store, signature="golden").status == "clarify"
+    bad = agent.run(spark, "生成报告", "s", facts, lambda q: [], store, writer=lambda p: {"finding": "上涨 9.9", "chain": ""}, signature="golden")
     assert bad.status == "draft rejected" and bad.retries == agent.MAX_RETRIES and bad.task is None
 
 
