@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costloom.functions.text import tokens
+from costloom.functions.text import HAN, tokens
 from costloom.operators.patterns import occurrences
 from costloom.sources.store import cut
 
@@ -56,6 +56,8 @@ def node_text(kind: Column, node: Column, about: Column) -> Column:
 ANCHOR_KINDS = ("product", "material", "device")
 #: Shortest name that counts when it is only a part of the query, and shortest token that counts as a part of a name.
 PART_LEAST = 4
+#: Tokens of names that queries hold go to every task up to this number.
+SENT_TOKENS = 200_000
 
 
 def nodes_of(parts: list[DataFrame]) -> DataFrame:
@@ -71,18 +73,24 @@ def anchors(queries: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A node is a token of the query, or at least 4 characters long and in it, or holds a token of at least 4.
     Blank queries name nothing. Case doesn't count. Names in queries are found by an automaton of all names; tokens
-    in names by an equi-join with the names' substrings, so any number of queries is one pass and no pair
-    of a query and a node is looked at without reason.
+    in names by an equi-join of the queries' distinct tokens with the names' substrings, so any number of queries is one
+    pass and no pair of a query and a node is looked at without reason.
     """
     asked = queries.filter(F.trim("text") != "").select("query_id", F.lower("text").alias("text"))
     named = cut(nodes.select("node", F.lower("node").alias("name")).filter("name <> ''").distinct())
     n = F.length("name")
     pieces = F.when(n >= PART_LEAST, F.flatten(F.transform(F.sequence(F.lit(1), n - PART_LEAST + 1), lambda i: F.transform(F.sequence(F.lit(PART_LEAST), n - i + 1), lambda k: F.substring(F.col("name"), i, k)))))
     keys = named.select("node", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce(pieces, F.array().cast("array<string>"))))).alias("token"))
-    tokened = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    by_token = tokened.join(keys, "token").select("query_id", "node")
+    # Only letters and digits are ever tokens.
+    keys = keys.filter(F.col("token").rlike(rf"^[\p{{L}}\p{{N}}{HAN}]+$"))
+    tokened = cut(asked.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("t"))).select("query_id", F.explode("t").alias("token"))
+    # A name has many substrings, which its file's size doesn't show: they are dealt out by token, never sent whole.
+    hit = cut(keys.hint("merge").join(tokened.select("token").distinct(), "token"))
+    asked_for = cut(hit.select("token").distinct())
+    some = tokened.join(F.broadcast(asked_for) if asked_for.count() <= SENT_TOKENS else asked_for.hint("merge"), "token", "left_semi")
+    by_token = some.join(hit.hint("merge"), "token").select("query_id", "node")
     held = occurrences(asked, named.filter(n >= PART_LEAST).select(F.col("name").alias("pattern"))).select("query_id", F.col("pattern").alias("name"))
-    return by_token.unionByName(held.join(named, "name").select("query_id", "node")).distinct()
+    return by_token.unionByName(held.join(named.hint("merge"), "name").select("query_id", "node")).distinct()
 
 
 def paths(edges: DataFrame, starts: DataFrame, hops: int = 2, most: int | None = MAX_PATHS, nodes: DataFrame | None = None) -> DataFrame:
@@ -93,8 +101,8 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int = 2, most: int | None =
     """
     if nodes is not None:
         told = nodes.select(F.col("node").alias("dst"), node_text(F.col("kind"), F.col("node"), F.col("about")).alias("shown"))
-        edges = edges.join(told, "dst", "left").select("src", "dst", "rel", F.coalesce("shown", "dst").alias("shown"))
-        first = starts.select("node").distinct().join(told.withColumnRenamed("dst", "node"), "node", "left").select("node", F.coalesce("shown", "node").alias("shown"))
+        edges = edges.join(told.hint("merge"), "dst", "left").select("src", "dst", "rel", F.coalesce("shown", "dst").alias("shown"))
+        first = starts.select("node").distinct().join(told.withColumnRenamed("dst", "node").hint("merge"), "node", "left").select("node", F.coalesce("shown", "node").alias("shown"))
     else:
         edges, first = edges.select("src", "dst", "rel", F.col("dst").alias("shown")), starts.select("node", F.col("node").alias("shown"))
     now = first.select(F.col("node").alias("start"), F.array("node").alias("nodes"), F.array("shown").alias("texts"), F.array().cast("array<string>").alias("rels"))
@@ -179,6 +187,20 @@ def distances(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> Da
     return found
 
 
+def distances_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
+    """src, dst, hops as distances has them, for every pair of a source (node) and a target (node) that a path joins.
+
+    Pairs aren't made: sources, the fewer side, grow along the edges, and what they reach is joined with the targets, so
+    the work is that of the nodes they reach.
+    """
+    starts, ends = (x.select("node").filter("node IS NOT NULL").distinct() for x in (sources, targets))
+    ends = cut(ends)
+    far = reach(edges, starts, most).filter("start <> target")
+    itself = starts.select(F.col("node").alias("start"), F.col("node").alias("target"), F.lit(0).alias("hops"))
+    found = far.unionByName(itself).join(ends.hint("merge"), F.col("target") == F.col("node"), "left_semi")
+    return found.select(F.col("start").alias("src"), F.col("target").alias("dst"), "hops")
+
+
 def reachable(edges: DataFrame, start: str, target: str, most: int | None = 3) -> bool:
     """Whether target is within most edges of start; without most, at any depth."""
     one = edges.sparkSession.createDataFrame([(start, target)], "src string, dst string")

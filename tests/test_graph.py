@@ -48,6 +48,19 @@ def test_anchors_equal_a_join_on_containment(spark):
     assert set(got) == want and len(got) == len(want) and len(want) > 100
 
 
+def test_substrings_of_names_are_never_sent_whole(spark):
+    """A small file of names has many substrings; a join that sends them to every task fills the driver."""
+    names = spark.range(300).select(F.format_string("Supplier#%09d", "id").alias("node"))
+    queries = spark.createDataFrame([(1, "supplier 0000"), (2, "Supplier#000000007 nor 0123"), (3, "none")], "query_id long, text string")
+    found = graph.anchors(queries, names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "substring(name" not in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], set()).add(r["node"])
+    assert len(got[1]) == 300 and len(got[2]) == 300 and 3 not in got
+
+
 def walked(edges, start):
     far, todo = {start: 0}, deque([start])
     while todo:
@@ -74,6 +87,10 @@ def test_reach_and_distances(spark, seed):
         pairs = [(a, b) for a in [*starts, "n5", "c3"] for b in ["n1", "n7", "c14", "hub", "n2", "alone", "gone"]] + [(None, "n1")]
         far = {(r["src"], r["dst"]): r["hops"] for r in graph.distances(frame, spark.createDataFrame(pairs, "src string, dst string"), most).collect()}
         assert far == {(a, b): walked(edges, a)[b] for a, b in pairs if a and b in walked(edges, a) and walked(edges, a)[b] <= (99 if most is None else most)}
+        ends = ["n1", "n7", "c14", "hub", "n2", "alone", "gone"]
+        between = graph.distances_between(frame, *(spark.createDataFrame([(x,) for x in [*xs, None]], "node string") for xs in (starts, ends)), most)
+        got = [tuple(r) for r in between.select("src", "dst", "hops").collect()]
+        assert len(got) == len(set(got)) and set(got) == {(a, b, walked(edges, a)[b]) for a in starts for b in ends if walked(edges, a).get(b, 100) <= (99 if most is None else most)}
     assert graph.reachable(frame, "c0", "c14", None) and not graph.reachable(frame, "c0", "c14", 3) and graph.reachable(frame, "x", "x")
 
 
