@@ -274,14 +274,14 @@ def _typed_graph(s, d):
     """(nodes, edges) of all kinds, written once: products, materials, steps, devices, workshops, repairs, scenarios, prices."""
     part = table(s, d, "part").select("p_partkey", F.col("p_type").alias("product"), F.col("p_brand").alias("material"))
     supplier = table(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("device"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("code"), "s_nationkey")
-    items = table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag").groupBy("l_partkey", "l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
-    by = items.join(part, F.col("l_partkey") == F.col("p_partkey")).select("product", "l_suppkey", "l_returnflag").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    items = table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
+    by = items.join(part.drop("material").hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select("product", "l_suppkey", "l_returnflag").distinct().join(supplier.hint("merge"), F.col("l_suppkey") == F.col("s_suppkey"))
     steps = cut(by.select("product", F.concat_ws("/", "product", "l_returnflag").alias("step"), "device").distinct())
     placed = supplier.join(F.broadcast(table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     prices = cubes.market_price(cubes.lines(s, d, (BASE_YEAR, BASE_YEAR))).filter("month_no <= 6").select("material", "month", F.round("price", 2).alias("price"), F.concat_ws(":", F.lit("price"), "material", "month").alias("node"))
     ev, user = table(s, d, "events"), F.col("user_id")
     devices = F.broadcast(supplier.agg(F.max("s_suppkey").alias("m")))
-    failed = ev.filter("event_type = 'error'").crossJoin(devices).join(supplier, F.col("s_suppkey") == user % F.col("m") + 1)
+    failed = ev.filter("event_type = 'error'").crossJoin(devices).join(supplier.hint("merge"), F.col("s_suppkey") == user % F.col("m") + 1)
     day = F.date_format("ts", "yyyy-MM-dd")
     repairs = failed.select(F.concat_ws(":", F.lit("repair"), day, F.col("event_id").cast("string")).alias("node"), "code", F.create_map(*[x for k, v in {"date": day, "name": F.col("device"), "note": user.cast("string"), "cost": F.format_string("%.2f", "value"), "hours": (user % 24).cast("string")}.items() for x in (F.lit(k), v)]).alias("about"))
     kinds = F.array(*[F.lit(x) for x in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")])
@@ -370,10 +370,9 @@ r(start, target, hops) AS (SELECT DISTINCT src, src, 0 FROM pr UNION SELECT star
 SELECT src, dst, CAST(min(hops) AS INT) AS hops FROM pr JOIN r ON start = src AND target = dst GROUP BY ALL""",
 )
 def graph_distances(s, d):
-    """How far repairs and prices are from products and workshops, walked from both ends."""
+    """How far repairs and prices are from products and workshops."""
     nodes, edges = _typed_graph(s, d)
-    src, dst = nodes.filter("kind IN ('product', 'workshop')").select(F.col("node").alias("src")), nodes.filter("kind IN ('repair', 'price')").select(F.col("node").alias("dst"))
-    return graph.distances(edges, src.crossJoin(F.broadcast(dst)))
+    return graph.distances_between(edges, nodes.filter("kind IN ('product', 'workshop')").select("node"), nodes.filter("kind IN ('repair', 'price')").select("node"))
 
 
 @query(
