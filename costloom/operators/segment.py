@@ -16,7 +16,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,18 +45,92 @@ def substrings(run: Column, longest: int) -> Column:
     return F.concat(*[F.when(n >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, longest + 1)])
 
 
+#: Characters that are looked at together in a task, about; a longer run is looked at alone.
+CHARS = 2_000_000
+
+
+def _pieces(batches, column: str):
+    """The batches' rows again, in batches of about CHARS bytes of a column of text."""
+    held, size = [], 0
+    for batch in batches:
+        each = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = each[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(each, before + CHARS - size, "right")))
+            held.append(batch.slice(at, end - at))
+            size, at = size + int(each[end - 1] - before), end
+            if size >= CHARS or at < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts end to end, how many each has); null texts have none."""
+    texts = pc.fill_null(texts, "")
+    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _strings(points: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Texts of so many code points each, which stand end to end."""
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    ends = np.append(0, np.cumsum(width))[np.append(0, np.cumsum(lengths))].astype(np.int64)
+    data = np.ascontiguousarray(points).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(ends.tobytes()), pa.py_buffer(data)).cast(pa.string())
+
+
+def _longest_counts(texts: pa.Array, longest: int) -> tuple[pa.Array, np.ndarray]:
+    """(distinct substrings of longest characters, or fewer where a text ends, one from each place; how often each comes up)."""
+    points, lengths = _points(texts)
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    alphabet = np.append(np.uint32(0), np.flatnonzero(seen).astype(np.uint32))  # 0 stands for a text's end
+    number = np.cumsum(seen)
+    ids, base = np.append(number[points], np.zeros(longest, np.int64)), len(alphabet)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))
+    at = lambda places, k: np.where(left[places] > k, ids[places + k], 0)
+    places, code, top, packed = np.arange(len(points)), np.zeros(len(points), np.int64), 1, True
+    for k in range(longest):
+        if top * base >= 1 << 62:  # too many to number by digits: by their ranks so far
+            ranks, code = np.unique(code, return_inverse=True)
+            top, packed = len(ranks), False
+        code, top = code * base + at(places, k), top * base
+    if packed:
+        code, n = np.unique(code, return_counts=True)
+        digits = np.stack([code // base ** (longest - 1 - k) % base for k in range(longest)], 1)
+    else:
+        _, first, n = np.unique(code, return_index=True, return_counts=True)
+        digits = np.stack([at(first, k) for k in range(longest)], 1)
+    return _strings(alphabet[digits[digits > 0]], (digits > 0).sum(1)), n
+
+
 def substring_counts(rows: DataFrame, longest: int) -> DataFrame:
-    """s, n: how often each substring comes up in the runs of rows (run); counted before rows move."""
-    return rows.filter("run <> ''").select(F.explode(substrings(F.col("run"), longest)).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    """s, n: how often each substring of 1 to longest characters comes up in the runs of rows (run).
+
+    From each place only the longest substring is counted, in blocks of text before rows move; the shorter ones are its
+    beginnings, so they are counted from the distinct longest ones.
+    """
+
+    def run(batches):
+        for piece in _pieces(batches, "run"):
+            s, n = _longest_counts(piece["run"].combine_chunks(), longest)
+            for i in range(0, len(s), 100_000):
+                yield pa.RecordBatch.from_arrays([s[i : i + 100_000], pa.array(n[i : i + 100_000], pa.int64())], ["s", "n"])
+
+    longest_ones = rows.select("run").filter("run <> ''").mapInArrow(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    begins = F.transform(F.sequence(F.lit(1), F.length("s")), lambda k: F.substring("s", F.lit(1), k))
+    return longest_ones.select(F.explode(begins).alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n"))
 
 
-def candidates(rows: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
+def candidates(rows: DataFrame, most: int = MOST, least: int = LEAST, counts: DataFrame | None = None) -> DataFrame:
     """word, n, cohesion, branching of every substring of 2 to most characters that comes up least times.
 
     A run that is a word whole has no neighbours on that side: ends count as neighbours that differ each time. rows
-    has run; null and empty runs are passed by.
+    has run; null and empty runs are passed by. counts is substring_counts(rows, most + 1), if that is there, as a written table.
     """
-    counts = cut(substring_counts(rows, most + 1))
+    counts = cut(substring_counts(rows, most + 1)) if counts is None else counts
     length = F.length("s")
     total = counts.filter(length == 1).agg(F.sum("n").alias("total"))
     words = counts.filter((length >= 2) & (length <= most) & (F.col("n") >= least))
@@ -76,8 +153,9 @@ def vocabulary(rows: DataFrame, words: tuple[str, ...] = DOMAIN_WORDS, most: int
     rows (run) are the texts' runs. A given word weighs at least as much as the best path through its parts, so it
     stays whole whatever its count. Without rows only the given words and their characters are known.
     """
-    counts = substring_counts(rows, 1).select(F.col("s").alias("word"), "n")
-    learned = candidates(rows, most, least).filter((F.col("cohesion") >= cohesion) & (F.col("branching") >= branching)).select("word", "n")
+    every = cut(substring_counts(rows, most + 1))
+    counts = every.filter(F.length("s") == 1).select(F.col("s").alias("word"), "n")
+    learned = candidates(rows, most, least, every).filter((F.col("cohesion") >= cohesion) & (F.col("branching") >= branching)).select("word", "n")
     given = rows.sparkSession.createDataFrame([(w,) for w in sorted({w.lower() for w in words if w})], "word string")
     singles = given.select(F.explode(F.filter(F.split("word", ""), lambda c: c != "")).alias("word")).distinct().select("word", F.lit(1).cast("long").alias("n"))
     known = counts.unionByName(singles).groupBy("word").agg(F.max("n").alias("n")).unionByName(learned).join(given, "word", "full_outer")
@@ -142,22 +220,100 @@ def _edges(distinct: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return held.join(vocab.select("word", "weight"), "word").groupBy(key).agg(F.collect_list(F.struct("word", "weight")).alias("edges"))
 
 
-def segmented(rows: DataFrame, vocab: DataFrame, sent: int = SENT_ROWS, shown=lambda words: words) -> DataFrame:
+def _trie(weights: dict[str, float]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(number of each code point, 0 for those of no word; by length: sorted keys, weights) of a vocabulary.
+
+    A key is the place of a beginning in the keys one shorter, times the numbers in use, plus the next character's number;
+    a beginning that is no word weighs -inf.
+    """
+    words = sorted(w for w in weights if w)
+    number = np.zeros(0x110000, np.int64)
+    letters = sorted({ord(c) for w in words for c in w})
+    number[letters] = np.arange(1, len(letters) + 1)
+    base, levels, places = len(letters) + 1, [], np.zeros(len(words), np.int64)
+    lengths = np.array([len(w) for w in words], np.int64)
+    value = np.array([weights[w] for w in words], np.float64)
+    for k in range(int(lengths.max(initial=0))):
+        keep = lengths > k
+        words, lengths, value, places = [w for w, y in zip(words, keep, strict=True) if y], lengths[keep], value[keep], places[keep]
+        keys, places = np.unique(places * base + number[[ord(w[k]) for w in words]], return_inverse=True)
+        weighs = np.full(len(keys), -np.inf)
+        weighs[places[lengths == k + 1]] = value[lengths == k + 1]
+        levels.append((keys, weighs))
+    return number, levels
+
+
+def best_paths(points: np.ndarray, lengths: np.ndarray, trie: tuple, floor: float = -30.0) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a word begins at each place, sum of weights of each run) of runs end to end: best_path for many runs at once."""
+    number, levels = trie
+    size, most, base = len(points), max(1, len(levels)), int(number.max()) + 1
+    ids, ends = number[points], np.cumsum(lengths)
+    left = np.repeat(ends, lengths) - np.arange(size)
+    weigh = np.full((most, size), -np.inf)
+    weigh[0] = floor
+    places, state = np.arange(size), np.zeros(size, np.int64)
+    for k, (keys, weighs) in enumerate(levels):
+        keep = left[places] > k
+        places, key = places[keep], state[keep] * base + ids[places[keep] + k]
+        state = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        held = keys[state] == key
+        places, state = places[held], state[held]
+        w = weighs[state]
+        weigh[k, places] = w if k else np.where(w == -np.inf, floor, w)
+    by = np.argsort(-lengths, kind="stable")
+    start, n = (ends - lengths)[by], lengths[by]
+    total, back = np.zeros(len(n)), np.zeros(size + 1, np.int64)
+    best = [np.zeros(len(n)) for _ in range(most + 1)]  # by place, of the last ones
+    alive = np.searchsorted(-n, -np.arange(1, int(n.max(initial=0)) + 2), "right")  # runs of that length at least
+    for j in range(1, len(alive)):
+        m = alive[j - 1]
+        top, at = np.full(m, -np.inf), np.ones(m, np.int64)
+        for k in range(1, min(most, j) + 1):
+            x = best[(j - k) % (most + 1)][:m] + weigh[k - 1, start[:m] + j - k]
+            better = x >= top - 1e-12
+            top, at = np.where(better, np.maximum(top, x), top), np.where(better, k, at)
+        best[j % (most + 1)] = top
+        back[start[:m] + j - 1] = at  # of the word whose last character this is
+        total[alive[j] : m] = top[alive[j] :]
+    begins, now = np.zeros(size, bool), (ends - 1)[lengths > 0]
+    first = (ends - lengths)[lengths > 0]
+    while len(now):
+        word = now - back[now] + 1
+        begins[word] = True
+        more = word > first
+        now, first = word[more] - 1, first[more]
+    weight = np.zeros(len(n))
+    weight[by] = total
+    return begins, weight
+
+
+def segmented(rows: DataFrame, vocab: DataFrame, sent: int = SENT_ROWS, shown=None) -> DataFrame:
     """rows (run and others) with words and weight, the likeliest cut of their run. vocab is a written table (word, weight).
 
     shown makes of the words what stands in the row. Empty runs have no words and weight 0; null runs have nulls.
     """
     kind = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("weight", T.DoubleType())])
     if vocab.count() <= sent:
-        own = {r["word"]: r["weight"] for r in vocab.collect()}
-        known, most = rows.sparkSession.sparkContext.broadcast(own), max(map(len, own), default=1)
-
-        @F.pandas_udf(kind)
-        def cut_up(run: pd.Series) -> pd.DataFrame:
-            found = ((None, None) if r is None else best_path(r, known.value, longest=most) for r in run)
-            return pd.DataFrame([(w and shown(w), x) if w != [] else ([], 0.0) for w, x in found], columns=["words", "weight"])
-
-        return rows.withColumn("cut_", cut_up("run")).select(*rows.columns, "cut_.words", "cut_.weight")
+        known = rows.sparkSession.sparkContext.broadcast({r["word"]: r["weight"] for r in vocab.collect()})
+
+        def cut_up(batches):
+            trie = _trie(known.value)
+            for piece in _pieces(batches, "run"):
+                run = piece["run"].combine_chunks()
+                points, lengths = _points(run)
+                begins, weight = best_paths(points, lengths, trie)
+                at, none = np.flatnonzero(begins), pc.is_null(run)
+                words = _strings(points, np.diff(np.append(at, len(points))))
+                offsets = np.searchsorted(at, np.append(0, np.cumsum(lengths))).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(offsets), words, mask=none)
+                if shown is not None:
+                    words = pa.array([w and shown(w) for w in words.to_pylist()], pa.list_(pa.string()))
+                weight = pa.array(weight, mask=none.to_numpy(zero_copy_only=False))
+                yield from piece.append_column("words", words).append_column("weight", weight).to_batches()
+
+        return rows.mapInArrow(cut_up, T.StructType([*rows.schema.fields, *kind.fields]))
+
+    shown = shown or (lambda words: words)
 
     @F.pandas_udf(kind)
     def cut_by(run: pd.Series, edges: pd.Series) -> pd.DataFrame:
