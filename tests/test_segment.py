@@ -41,6 +41,39 @@ def test_both_ways_of_segmenting(spark, sent):
     assert not got[""]["words"]
 
 
+def test_substrings_are_counted_from_the_longest(spark, monkeypatch):
+    """One row a place and block of text at most, small or large alphabets, characters of any width, ends of runs."""
+    rng = random.Random(8)
+    monkeypatch.setattr(segment, "CHARS", 150)
+    for letters in ("abé", "".join(map(chr, range(0x4E00, 0x8E00))) + "a\0\U0001f600"):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(60)] + ["", None, letters[-1] * 9]
+        want = Counter(t[i : i + k] for t in filter(None, texts) for k in range(1, 6) for i in range(len(t) - k + 1))
+        got = segment.substring_counts(spark.createDataFrame([(t,) for t in texts], "run string"), 5)
+        assert {r["s"]: r["n"] for r in got.collect()} == want
+        import numpy as np
+        import pyarrow as pa
+
+        all_ = "".join(rng.choices(letters, k=40_000))
+        s, n = segment._longest_counts(pa.array([all_]), 5)
+        assert dict(zip(s.to_pylist(), n.tolist(), strict=True)) == Counter(all_[i : i + 5] for i in range(len(all_)))
+
+
+def test_many_paths_are_the_paths_one_by_one():
+    rng = random.Random(9)
+    import numpy as np
+
+    for letters in ("甲乙丙", "ab"):
+        weights = {"".join(rng.choices(letters, k=rng.randint(1, 5))): -float(rng.randint(1, 9)) for _ in range(20)}
+        runs = ["".join(rng.choices(letters + "丁", k=rng.randint(0, 30))) for _ in range(300)]
+        points = np.array([ord(c) for r in runs for c in r], np.uint32)
+        begins, weight = segment.best_paths(points, np.array([len(r) for r in runs]), segment._trie(weights))
+        at = 0
+        for r, x in zip(runs, weight, strict=True):
+            words, want = segment.best_path(r, weights)
+            assert [i for i in range(len(r)) if begins[at + i]] == list(itertools.accumulate(map(len, words[:-1]), initial=0))[: len(words)] and x == want
+            at += len(r)
+
+
 def brute_candidates(runs, most, least):
     n = Counter(r[i : i + k] for r in runs for k in range(1, most + 2) for i in range(len(r) - k + 1))
     total = sum(c for s, c in n.items() if len(s) == 1)
