@@ -333,12 +333,16 @@ def word_postings(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", tex
     What no word takes of a run is cut into pairs still; other runs of letters and digits are tokens whole. Documents
     without tokens have no rows.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    pieces = F.regexp_extract_all(low, F.lit(rf"{HAN}+|[\p{{L}}\p{{N}}&&[^{HAN}]]+"), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("id"), pieces.alias("p")).filter("size(p) > 0").select("id", F.explode("p").alias("run"))
-    counts = cut(rows.groupBy("id", "run").agg(F.count("*").alias("c")))
+    from costloom.operators.retrieval import counted  # which cuts texts by this module
+
+    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("x_"), F.coalesce(F.col(text).rlike(HAN), F.lit(False)).alias("h_"))
+    cut_up = lambda rows: counted(rows.select("id", F.regexp_extract_all(F.lower(F.coalesce("x_", F.lit(""))), F.lit(rf"{HAN}+|[\p{{L}}\p{{N}}&&[^{HAN}]]+"), F.lit(0)).alias("t")))
+    # Texts without such runs are counted within their row; the others' words are counted again from their runs.
+    plain = cut_up(own.filter("NOT h_"))
+    counts = cut(cut_up(own.filter("h_")).select("id", F.col("token").alias("run"), F.col("tf").alias("c")))
     han = F.col("run").rlike(f"^{HAN}")
     words = segmented(counts.filter(han), vocab, shown=paired)
     each = counts.filter(~han).select("id", F.col("run").alias("token"), "c").unionByName(words.select("id", F.explode("words").alias("token"), "c"))
     post = each.groupBy("id", "token").agg(F.sum("c").alias("tf"))
-    return post.select("id", F.sum("tf").over(Window.partitionBy("id")).alias("dl"), "token", "tf")
+    post = post.select("id", F.sum("tf").over(Window.partitionBy("id")).alias("dl"), "token", "tf")
+    return plain.select("id", F.col("dl").cast("long").alias("dl"), "token", "tf").unionByName(post)
