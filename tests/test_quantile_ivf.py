@@ -89,3 +89,26 @@ def test_index_of_nothing_and_zero_vectors(spark, tmp_path):
     index = ivf.Index.build(frame(spark, [(1, [0.0, 0.0]), (2, [1.0, 0.0])]), str(tmp_path / "a"), 4)
     found = {r["id"]: r["score"] for r in index.search(frame(spark, [(7, [2.0, 0.0]), (8, None)], "query_id"), 5).collect()}
     assert found == {1: 0.0, 2: 1.0}
+
+
+def test_searches_leave_vectors_where_they_are(spark, monkeypatch, tmp_path):
+    """No pairs of blocks are dealt out; ties by id, blocks of queries and of scores change nothing."""
+    import numpy as np
+
+    from costloom.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(300)] + [(300, None)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = vectors.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    m = retrieval.unit(np.array([v for _, v in rows[:300]]))
+    score = np.round(m[::10] @ m.T, 9)
+    want = {(10 * q, p): i for q in range(30) for p, i in enumerate(sorted(range(300), key=lambda i: (-score[q, i], i))[:4], 1)}
+    index = ivf.Index.build(vectors, str(tmp_path / "index"), 6)
+    for size, scores in ((64 << 20, 2_000_000), (200, 500)):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(retrieval, "SCORES", scores)
+        for found in (retrieval.dense_cosine(vectors, queries, 4), index.search(queries, 4)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "Join" not in plan and "collect_list" not in plan
+            assert {(r["query_id"], r["place"]): r["id"] for r in found.collect()} == want
