@@ -333,11 +333,11 @@ def word_postings(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", tex
     What no word takes of a run is cut into pairs still; other runs of letters and digits are tokens whole. Documents
     without tokens have no rows.
     """
-    from costloom.operators.retrieval import counted  # which cuts texts by this module
+    from costloom.operators.retrieval import counted, unrepeated  # which cuts texts by this module
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("x_"), F.coalesce(F.col(text).rlike(HAN), F.lit(False)).alias("h_"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("x_"), F.lit(True).alias("h_") if not unrepeated(docs, id_col) else F.coalesce(F.col(text).rlike(HAN), F.lit(False)).alias("h_"))
     cut_up = lambda rows: counted(rows.select("id", F.regexp_extract_all(F.lower(F.coalesce("x_", F.lit(""))), F.lit(rf"{HAN}+|[\p{{L}}\p{{N}}&&[^{HAN}]]+"), F.lit(0)).alias("t")))
-    # Texts without such runs are counted within their row; the others' words are counted again from their runs.
+    # Texts without such runs are counted within their row, where ids are unique; the others' words are counted again from their runs.
     plain = cut_up(own.filter("NOT h_"))
     counts = cut(cut_up(own.filter("h_")).select("id", F.col("token").alias("run"), F.col("tf").alias("c")))
     han = F.col("run").rlike(f"^{HAN}")
