@@ -69,53 +69,182 @@ def _pieces(batches, column: str):
 
 def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(code points of all texts end to end, how many each has); null texts have none."""
-    texts = pc.fill_null(texts, "")
-    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    data = b""
+    if len(texts) and texts.buffers()[2] is not None:
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = memoryview(texts.buffers()[2])[ends[0] : ends[-1]]
+    return np.frombuffer(str(data, "utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _strings(points: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Texts of so many code points each, which stand end to end."""
-    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    ends = np.append(0, np.cumsum(width))[np.append(0, np.cumsum(lengths))].astype(np.int64)
-    data = np.ascontiguousarray(points).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    more, ends = np.zeros(len(points) + 1, np.uint8), np.append(0, np.cumsum(lengths)).astype(np.int64)  # bytes beyond the first
+    for least in (0x80, 0x800, 0x10000):
+        more[1:] += points >= least
+    ends += np.cumsum(more, dtype=np.int64)[ends]
+    data = str(memoryview(np.ascontiguousarray(points)).cast("B"), "utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
     return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(ends.tobytes()), pa.py_buffer(data)).cast(pa.string())
 
 
+def _kinds(breaks: str) -> np.ndarray:
+    """1 for each code point that is a letter, 2 for a break, else 0. Letters are those of Unicode 15.0, as the SQL has them."""
+    kinds = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+    kinds[0x2EBF0:0x2EE5E] = 0  # of 15.1
+    kinds[[ord(c) for c in breaks]] = 2
+    return kinds
+
+
+def letters_between(breaks: str):
+    """What makes runs of texts: the letters of each stretch between breaks, where there are any.
+
+    As all such, it takes an array of texts and gives (code points of all runs end to end, how many each has, the row of each).
+    """
+    known = []  # of a task
+
+    def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not known:
+            known.append(_kinds(breaks))
+        points, lengths = _points(texts)
+        kind = known[0][points]
+        letter = kind == 1
+        end, ends = np.zeros(len(points) + 1, bool), np.cumsum(lengths)
+        end[1:] = kind == 2
+        end[ends] = True
+        at = np.flatnonzero(end)
+        n = np.diff(np.append(0, np.cumsum(letter, dtype=np.int32))[at], prepend=0).astype(np.int64)
+        at, n = at[n > 0], n[n > 0]
+        return points[letter], n, np.searchsorted(ends, at)
+
+    return split
+
+
+def each_run(rows: DataFrame, by) -> DataFrame:
+    """rows with the runs that by makes of the text in run, a row each; null texts have none."""
+    names = rows.columns
+
+    def run(batches):
+        for piece in _pieces(batches, "run"):
+            points, lengths, row = by(piece["run"].combine_chunks())
+            strings = _strings(points, lengths)
+            yield from pa.table([strings if c == "run" else piece[c].take(pa.array(row)) for c in names], names=names).to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _numbered(points: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(letters and the new ones of points, number of each code point from 1); letters that were there keep their numbers."""
+    number = np.zeros(0x110000, np.int32)
+    number[points] = 1
+    number[letters] = 0
+    letters = np.append(letters, np.flatnonzero(number).astype(np.uint32))
+    number[letters] = np.arange(1, len(letters) + 1)
+    return letters, number
+
+
+def _bits(letters: np.ndarray, longest: int) -> int:
+    """Bits of a letter in a code of longest letters, 0 standing for none; 0 if they don't fit into 62."""
+    bits = len(letters).bit_length()
+    return bits if bits * longest <= 62 else 0
+
+
+def _codes(ids: np.ndarray, lengths: np.ndarray, longest: int, bits: int) -> np.ndarray:
+    """From each place of texts end to end, the numbers of the longest substring's letters as digits of bits; a text's end is 0."""
+    code = ids = ids.astype(np.int32 if bits * longest <= 31 else np.int64, copy=False)
+    for k in range(1, longest):
+        code = code << bits
+        code[:-k] |= ids[k:]
+    ends = np.cumsum(lengths)
+    for k in range(1, longest):
+        last = ends - k
+        code[last[last >= 0]] &= -1 << bits * (longest - k)  # k letters are left
+    return code
+
+
+def _runs_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, how often each comes up); sorts codes in place."""
+    codes.sort()
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.append(first, len(codes)))
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    if len(found) < 2:
+        return found
+    codes, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(codes, kind="stable")
+    codes, n = codes[by], n[by]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return [(codes[first], np.add.reduceat(n, first))]
+
+
+def _read_codes(codes: np.ndarray, letters: np.ndarray, longest: int, bits: int) -> pa.Array:
+    digits = np.stack([codes >> bits * (longest - 1 - k) & ((1 << bits) - 1) for k in range(longest)], 1)
+    return _strings(np.append(np.uint32(0), letters)[digits[digits > 0]], (digits > 0).sum(1))
+
+
 def _longest_counts(texts: pa.Array, longest: int) -> tuple[pa.Array, np.ndarray]:
     """(distinct substrings of longest characters, or fewer where a text ends, one from each place; how often each comes up)."""
-    points, lengths = _points(texts)
-    seen = np.zeros(0x110000, bool)
-    seen[points] = True
-    alphabet = np.append(np.uint32(0), np.flatnonzero(seen).astype(np.uint32))  # 0 stands for a text's end
-    number = np.cumsum(seen)
-    ids, base = np.append(number[points], np.zeros(longest, np.int64)), len(alphabet)
+    return _place_counts(*_points(texts), longest)
+
+
+def _place_counts(points: np.ndarray, lengths: np.ndarray, longest: int) -> tuple[pa.Array, np.ndarray]:
+    letters, number = _numbered(points, np.zeros(0, np.uint32))
+    if bits := _bits(letters, longest):
+        code, n = _runs_of(_codes(number[points], lengths, longest, bits))
+        return _read_codes(code, letters, longest, bits), n
+    # too many to number by digits: by their ranks so far
+    ids, base = np.append(number[points].astype(np.int64), np.zeros(longest, np.int64)), len(letters) + 1
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))
     at = lambda places, k: np.where(left[places] > k, ids[places + k], 0)
-    places, code, top, packed = np.arange(len(points)), np.zeros(len(points), np.int64), 1, True
+    places, code, top = np.arange(len(points)), np.zeros(len(points), np.int64), 1
     for k in range(longest):
-        if top * base >= 1 << 62:  # too many to number by digits: by their ranks so far
+        if top * base >= 1 << 62:
             ranks, code = np.unique(code, return_inverse=True)
-            top, packed = len(ranks), False
+            top = len(ranks)
         code, top = code * base + at(places, k), top * base
-    if packed:
-        code, n = np.unique(code, return_counts=True)
-        digits = np.stack([code // base ** (longest - 1 - k) % base for k in range(longest)], 1)
-    else:
-        _, first, n = np.unique(code, return_index=True, return_counts=True)
-        digits = np.stack([at(first, k) for k in range(longest)], 1)
-    return _strings(alphabet[digits[digits > 0]], (digits > 0).sum(1)), n
+    _, first, n = np.unique(code, return_index=True, return_counts=True)
+    digits = np.stack([at(first, k) for k in range(longest)], 1)
+    return _strings(np.append(np.uint32(0), letters)[digits[digits > 0]], (digits > 0).sum(1)), n
+
 
+#: Distinct substrings that a task holds before they leave it, about.
+HELD = 4_000_000
 
-def substring_counts(rows: DataFrame, longest: int) -> DataFrame:
-    """s, n: how often each substring of 1 to longest characters comes up in the runs of rows (run).
 
-    From each place only the longest substring is counted, in blocks of text before rows move; the shorter ones are its
+def _task_counts(pieces, longest: int):
+    """(substrings, counts) of a task's pieces (points, lengths) as _longest_counts has them, merged over the pieces while they are few."""
+    letters, bits, held = np.zeros(0, np.uint32), 1, []
+    for points, lengths in pieces:
+        more, number = _numbered(points, letters)
+        now = _bits(more, longest)
+        if not now:  # a large alphabet has few repeats over pieces
+            yield _place_counts(points, lengths, longest)
+            continue
+        if now != bits and held:
+            wide = [(np.stack([c.astype(np.int64) >> bits * k & ((1 << bits) - 1) for k in range(longest)]), n) for c, n in held]
+            held = [(sum(d[k] << now * k for k in range(longest)), n) for d, n in wide]
+        letters, bits = more, now
+        held.append(_runs_of(_codes(number[points], lengths, longest, bits)))
+        if sum(len(c) for c, _ in held) > HELD:
+            held = _merged(held)
+            if len(held[0][0]) > HELD // 2:
+                yield _read_codes(held[0][0], letters, longest, bits), held[0][1]
+                held = []
+    for code, n in _merged(held):
+        yield _read_codes(code, letters, longest, bits), n
+
+
+def substring_counts(rows: DataFrame, longest: int, by=None) -> DataFrame:
+    """s, n: how often each substring of 1 to longest characters comes up in the runs of rows (run), or those that by makes of run.
+
+    From each place only the longest substring is counted, within a task before rows move; the shorter ones are its
     beginnings, so they are counted from the distinct longest ones.
     """
 
     def run(batches):
-        for piece in _pieces(batches, "run"):
-            s, n = _longest_counts(piece["run"].combine_chunks(), longest)
+        texts = (piece["run"].combine_chunks() for piece in _pieces(batches, "run"))
+        for s, n in _task_counts(((by or _points)(t)[:2] for t in texts), longest):
             for i in range(0, len(s), 100_000):
                 yield pa.RecordBatch.from_arrays([s[i : i + 100_000], pa.array(n[i : i + 100_000], pa.int64())], ["s", "n"])
 
@@ -124,13 +253,14 @@ def substring_counts(rows: DataFrame, longest: int) -> DataFrame:
     return longest_ones.select(F.explode(begins).alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n"))
 
 
-def candidates(rows: DataFrame, most: int = MOST, least: int = LEAST, counts: DataFrame | None = None) -> DataFrame:
+def candidates(rows: DataFrame, most: int = MOST, least: int = LEAST, counts: DataFrame | None = None, by=None) -> DataFrame:
     """word, n, cohesion, branching of every substring of 2 to most characters that comes up least times.
 
     A run that is a word whole has no neighbours on that side: ends count as neighbours that differ each time. rows
-    has run; null and empty runs are passed by. counts is substring_counts(rows, most + 1), if that is there, as a written table.
+    has run, or what by makes runs of; null and empty runs are passed by. counts is substring_counts(rows, most + 1), if that is
+    there, as a written table.
     """
-    counts = cut(substring_counts(rows, most + 1)) if counts is None else counts
+    counts = cut(substring_counts(rows, most + 1, by)) if counts is None else counts
     length = F.length("s")
     total = counts.filter(length == 1).agg(F.sum("n").alias("total"))
     words = counts.filter((length >= 2) & (length <= most) & (F.col("n") >= least))
@@ -147,13 +277,13 @@ def candidates(rows: DataFrame, most: int = MOST, least: int = LEAST, counts: Da
     return found.select(F.col("s").alias("word"), "n", "cohesion", F.least(entropy("left"), entropy("right")).alias("branching"))
 
 
-def vocabulary(rows: DataFrame, words: tuple[str, ...] = DOMAIN_WORDS, most: int = MOST, least: int = LEAST, cohesion: float = COHESION, branching: float = BRANCHING) -> DataFrame:
+def vocabulary(rows: DataFrame, words: tuple[str, ...] = DOMAIN_WORDS, most: int = MOST, least: int = LEAST, cohesion: float = COHESION, branching: float = BRANCHING, by=None) -> DataFrame:
     """word, weight: natural logs of relative frequencies of learned words, of given words and of single characters.
 
-    rows (run) are the texts' runs. A given word weighs at least as much as the best path through its parts, so it
+    rows (run) are the texts' runs, or what by makes runs of. A given word weighs at least as much as the best path through its parts, so it
     stays whole whatever its count. Without rows only the given words and their characters are known.
     """
-    every = cut(substring_counts(rows, most + 1))
+    every = cut(substring_counts(rows, most + 1, by))
     counts = every.filter(F.length("s") == 1).select(F.col("s").alias("word"), "n")
     learned = candidates(rows, most, least, every).filter((F.col("cohesion") >= cohesion) & (F.col("branching") >= branching)).select("word", "n")
     given = rows.sparkSession.createDataFrame([(w,) for w in sorted({w.lower() for w in words if w})], "word string")
@@ -220,71 +350,112 @@ def _edges(distinct: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return held.join(vocab.select("word", "weight"), "word").groupBy(key).agg(F.collect_list(F.struct("word", "weight")).alias("edges"))
 
 
-def _trie(weights: dict[str, float]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(number of each code point, 0 for those of no word; by length: sorted keys, weights) of a vocabulary.
+#: Children of a level of a trie that are kept by place, 4 bytes each; more are looked up in sorted keys.
+CHILDREN = 1 << 24
+
+
+def _trie(weights: dict[str, float]) -> tuple[np.ndarray, list[tuple[np.ndarray | None, np.ndarray | None, np.ndarray]]]:
+    """(number of each code point, 0 for those of no word; by length: children, sorted keys, weights) of a vocabulary.
 
     A key is the place of a beginning in the keys one shorter, times the numbers in use, plus the next character's number;
-    a beginning that is no word weighs -inf.
+    children has the place of each key, where they are few enough. A beginning that is no word weighs -inf; the last
+    place, with no weight and no children, stands for what no word begins with.
     """
     words = sorted(w for w in weights if w)
-    number = np.zeros(0x110000, np.int64)
+    number = np.zeros(0x110000, np.int32)
     letters = sorted({ord(c) for w in words for c in w})
     number[letters] = np.arange(1, len(letters) + 1)
-    base, levels, places = len(letters) + 1, [], np.zeros(len(words), np.int64)
+    base, levels, places, before = len(letters) + 1, [], np.zeros(len(words), np.int64), 0
     lengths = np.array([len(w) for w in words], np.int64)
     value = np.array([weights[w] for w in words], np.float64)
     for k in range(int(lengths.max(initial=0))):
         keep = lengths > k
         words, lengths, value, places = [w for w, y in zip(words, keep, strict=True) if y], lengths[keep], value[keep], places[keep]
         keys, places = np.unique(places * base + number[[ord(w[k]) for w in words]], return_inverse=True)
-        weighs = np.full(len(keys), -np.inf)
+        weighs = np.full(len(keys) + 1, -np.inf)
         weighs[places[lengths == k + 1]] = value[lengths == k + 1]
-        levels.append((keys, weighs))
+        children = None
+        if (before + 1) * base <= CHILDREN:
+            children = np.full((before + 1) * base, len(keys), np.int32)
+            children[keys] = np.arange(len(keys))
+        levels.append((children, None if children is not None else keys, weighs))
+        before = len(keys)
     return number, levels
 
 
+def _weights(ids: np.ndarray, ends: np.ndarray, base: int, levels: list) -> list[np.ndarray]:
+    """By length: the weight of the word of that length from each place of runs end to end, -inf where none is."""
+    out, state = [], np.zeros(len(ids), np.int64)
+    for k, (children, keys, weighs) in enumerate(levels):
+        next_ = ids
+        if k:
+            next_ = np.append(ids[k:], np.zeros(min(k, len(ids)), ids.dtype))
+            last = ends - k
+            next_[last[last >= 0]] = 0  # no word goes over a run's end
+        key = state * base + next_
+        if children is not None:
+            state = children[key]
+        else:
+            state = np.full(len(ids), len(weighs) - 1, np.int64)
+            asked = np.flatnonzero(next_)
+            at = np.minimum(np.searchsorted(keys, key[asked]), len(keys) - 1)
+            held = keys[at] == key[asked]
+            state[asked[held]] = at[held]
+        out.append(weighs[state])
+    return out
+
+
 def best_paths(points: np.ndarray, lengths: np.ndarray, trie: tuple, floor: float = -30.0) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a word begins at each place, sum of weights of each run) of runs end to end: best_path for many runs at once."""
+    """(whether a word begins at each place, sum of weights of each run) of runs end to end: best_path for many runs at once.
+
+    Where no word of the vocabulary goes over a place every path is cut there, so the lattice falls into parts that are
+    short whatever the runs' lengths, and all parts are solved together.
+    """
     number, levels = trie
-    size, most, base = len(points), max(1, len(levels)), int(number.max()) + 1
-    ids, ends = number[points], np.cumsum(lengths)
-    left = np.repeat(ends, lengths) - np.arange(size)
-    weigh = np.full((most, size), -np.inf)
-    weigh[0] = floor
-    places, state = np.arange(size), np.zeros(size, np.int64)
-    for k, (keys, weighs) in enumerate(levels):
-        keep = left[places] > k
-        places, key = places[keep], state[keep] * base + ids[places[keep] + k]
-        state = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        held = keys[state] == key
-        places, state = places[held], state[held]
-        w = weighs[state]
-        weigh[k, places] = w if k else np.where(w == -np.inf, floor, w)
-    by = np.argsort(-lengths, kind="stable")
-    start, n = (ends - lengths)[by], lengths[by]
-    total, back = np.zeros(len(n)), np.zeros(size + 1, np.int64)
+    size, most, ends = len(points), max(1, len(levels)), np.cumsum(lengths)
+    weigh = _weights(number[points], ends, int(number.max()) + 1, levels) or [np.full(size, -np.inf)]
+    weigh[0] = np.where(weigh[0] == -np.inf, floor, weigh[0])
+    over = np.zeros(size, bool)  # places that a word goes over
+    for k in range(2, most + 1):
+        held = weigh[k - 1] > -np.inf
+        for j in range(1, k):
+            over[j:] |= held[:-j] if j < size else False
+    start = np.flatnonzero(~over)
+    n = np.diff(np.append(start, size))
+    sums, begins = weigh[0][start], ~over
+    long = np.flatnonzero(n > 1)
+    long = long[np.argsort(-np.minimum(n[long], 1 << 62), kind="stable")]
+    sums[long] = _solved(start[long], n[long], weigh, begins)
+    weight, some = np.zeros(len(lengths)), np.flatnonzero(lengths > 0)
+    if len(some):
+        weight[some] = np.add.reduceat(sums, np.searchsorted(start, (ends - lengths)[some]))
+    return begins, weight
+
+
+def _solved(start: np.ndarray, n: np.ndarray, weigh: list[np.ndarray], begins: np.ndarray) -> np.ndarray:
+    """Sums of weights of the best paths through parts of n places from start, longest first; words' beginnings are marked."""
+    most = len(weigh)
+    total, back = np.zeros(len(n)), np.zeros(len(begins), np.int8 if most < 128 else np.int64)
     best = [np.zeros(len(n)) for _ in range(most + 1)]  # by place, of the last ones
-    alive = np.searchsorted(-n, -np.arange(1, int(n.max(initial=0)) + 2), "right")  # runs of that length at least
+    alive = np.searchsorted(-n, -np.arange(1, int(n.max(initial=0)) + 2), "right")  # parts of that length at least
     for j in range(1, len(alive)):
         m = alive[j - 1]
-        top, at = np.full(m, -np.inf), np.ones(m, np.int64)
-        for k in range(1, min(most, j) + 1):
-            x = best[(j - k) % (most + 1)][:m] + weigh[k - 1, start[:m] + j - k]
-            better = x >= top - 1e-12
-            top, at = np.where(better, np.maximum(top, x), top), np.where(better, k, at)
+        at = start[:m] + (j - 1)
+        top, size = best[(j - 1) % (most + 1)][:m] + weigh[0][at], np.ones(m, back.dtype)
+        for k in range(2, min(most, j) + 1):
+            x = best[(j - k) % (most + 1)][:m] + weigh[k - 1][at - (k - 1)]
+            size[x >= top - 1e-12] = k
+            np.maximum(top, x, out=top)
         best[j % (most + 1)] = top
-        back[start[:m] + j - 1] = at  # of the word whose last character this is
+        back[at] = size  # of the word whose last character this is
         total[alive[j] : m] = top[alive[j] :]
-    begins, now = np.zeros(size, bool), (ends - 1)[lengths > 0]
-    first = (ends - lengths)[lengths > 0]
+    now, first = start + n - 1, start
     while len(now):
         word = now - back[now] + 1
         begins[word] = True
         more = word > first
         now, first = word[more] - 1, first[more]
-    weight = np.zeros(len(n))
-    weight[by] = total
-    return begins, weight
+    return total
 
 
 def segmented(rows: DataFrame, vocab: DataFrame, sent: int = SENT_ROWS, shown=None) -> DataFrame:
@@ -294,10 +465,10 @@ def segmented(rows: DataFrame, vocab: DataFrame, sent: int = SENT_ROWS, shown=No
     """
     kind = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("weight", T.DoubleType())])
     if vocab.count() <= sent:
-        known = rows.sparkSession.sparkContext.broadcast({r["word"]: r["weight"] for r in vocab.collect()})
+        known = _sent(vocab)
 
         def cut_up(batches):
-            trie = _trie(known.value)
+            trie = known.value
             for piece in _pieces(batches, "run"):
                 run = piece["run"].combine_chunks()
                 points, lengths = _points(run)
@@ -327,6 +498,38 @@ def segmented(rows: DataFrame, vocab: DataFrame, sent: int = SENT_ROWS, shown=No
     return rows.join(cuts, "run", "left").select(*rows.columns, "words", "weight")
 
 
+def _sent(vocab: DataFrame):
+    """A vocabulary's trie, made once, on all workers."""
+    return vocab.sparkSession.sparkContext.broadcast(_trie({r["word"]: r["weight"] for r in vocab.collect()}))
+
+
+def path_weights(rows: DataFrame, vocab: DataFrame, sent: int = SENT_ROWS, by=None) -> DataFrame:
+    """The columns of rows but run, and chars and weight of the likeliest cut of each run, or of each that by makes of run.
+
+    The cuts are those of segmented, but words aren't spelled: chars is how many characters they have together.
+    """
+    if vocab.count() > sent:
+        cuts = segmented(each_run(rows, by) if by else rows, vocab, sent)
+        return cuts.select(*(c for c in rows.columns if c != "run"), F.length(F.array_join("words", "")).cast("long").alias("chars"), "weight")
+    known, others = _sent(vocab), [f for f in rows.schema.fields if f.name != "run"]
+    schema = T.StructType([*others, T.StructField("chars", T.LongType()), T.StructField("weight", T.DoubleType())])
+
+    def cut_up(batches):
+        trie = known.value
+        for piece in _pieces(batches, "run"):
+            run = piece["run"].combine_chunks()
+            points, lengths, *row = (by or _points)(run)
+            begins, weight = best_paths(points, lengths, trie)
+            at = np.append(np.flatnonzero(begins), len(points))  # where words begin, and the last one ends
+            bounds = at[np.searchsorted(at, np.append(0, np.cumsum(lengths)))]
+            none = None if row else pc.is_null(run).to_numpy(zero_copy_only=False)
+            beside = piece.select([f.name for f in others])
+            beside = beside.take(pa.array(row[0])) if row else beside
+            yield from pa.table([*(beside[f.name] for f in others), pa.array(np.diff(bounds), mask=none), pa.array(weight, mask=none)], names=schema.names).to_batches()
+
+    return rows.mapInArrow(cut_up, schema)
+
+
 def word_postings(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, dl, token, tf as retrieval.postings has them, Chinese runs cut into words of vocab instead of character pairs.
 

@@ -131,3 +131,68 @@ def test_word_postings(spark):
     docs = spark.createDataFrame([(1, "金银花价格 GMP 2026，金银花"), (2, "的原因 x"), (3, ""), (4, None), (5, "的")], "doc_id long, text string")
     got = {(r["id"], r["dl"], r["token"], r["tf"]) for r in segment.word_postings(docs, vocab).collect()}
     assert got == {(1, 5, "金银花", 2), (1, 5, "价格", 1), (1, 5, "gmp", 1), (1, 5, "2026", 1), (2, 3, "的原", 1), (2, 3, "原因", 1), (2, 3, "x", 1), (5, 1, "的", 1)}
+
+
+def test_long_runs_fall_into_short_parts(monkeypatch):
+    """A lattice's steps grow with what words go over, not with the longest run."""
+    import numpy as np
+
+    steps, solved = [], segment._solved
+    monkeypatch.setattr(segment, "_solved", lambda start, n, *a: (steps.append(int(n.max(initial=0))), solved(start, n, *a))[1])
+    weights = {"甲乙": -1.0, "乙丙": -2.0, "丙": -3.0, "丙甲丙": -4.0}
+    for levels in (1 << 24, 0):
+        monkeypatch.setattr(segment, "CHILDREN", levels)
+        runs = ["甲乙丙丁" * 20_000, "", "甲乙丙甲丙丁", "乙"]
+        points = np.array([ord(c) for r in runs for c in r], np.uint32)
+        begins, weight = segment.best_paths(points, np.array([len(r) for r in runs]), segment._trie(weights))
+        want = [segment.best_path(r, weights) for r in runs]
+        assert weight.tolist() == [x for _, x in want]
+        assert np.flatnonzero(begins).tolist() == list(itertools.accumulate((len(w) for words, _ in want for w in words), initial=0))[:-1]
+        assert steps.pop() == 5
+
+
+def test_task_counts_are_merged_as_letters_come(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(4)
+    every = "".join(map(chr, range(0x4E00, 0x4E00 + 6000)))
+    for held in (4_000_000, 300):
+        monkeypatch.setattr(segment, "HELD", held)
+        texts = [["".join(rng.choices(every[:size], k=rng.randint(0, 30))) for _ in range(40)] for size in (1, 3, 50, 2, 500, 6000, 40, 6000)]
+        pieces = [(np.array([ord(c) for t in p for c in t], np.uint32), np.array([len(t) for t in p])) for p in texts]
+        got = Counter()
+        for s, n in segment._task_counts(pieces, 5):
+            got.update(dict(zip(s.to_pylist(), n.tolist(), strict=True)))
+        assert got == Counter(t[i : i + 5] for p in texts for t in p for i in range(len(t)))
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_runs_are_made_within_the_task(spark, sent):
+    """Letters between breaks as the SQL's expressions give them; weights as segmented has them."""
+    import duckdb
+    import pyarrow as pa
+
+    texts = ["", None, "Ab c, d\n\n.é1Ö;", "!?", "xyz", "甲 乙。丙:丁", "\U0002ebf0a. ́b", "a" * 50 + ".\0b"]
+    found = pa.table({"t": texts})  # noqa: F841
+    sql = r"SELECT i, regexp_replace(c, '[^\p{L}]', '', 'g') AS run FROM (SELECT i, unnest(string_split_regex(lower(coalesce(t, '')), '[.,;:!?\n]+')) AS c FROM (SELECT row_number() OVER () - 1 AS i, t FROM found))"
+    want = sorted((i, r) for i, r in duckdb.sql(sql).fetchall() if r)
+    by = segment.letters_between(".,;:!?\n")
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, run string").selectExpr("i", "lower(run) AS run").coalesce(1)
+    assert sorted((r["i"], r["run"]) for r in segment.each_run(rows, by).collect()) == want
+    counts = {r["s"]: r["n"] for r in segment.substring_counts(rows, 3, by).collect()}
+    assert counts == Counter(t[i : i + k] for _, t in want for k in range(1, 4) for i in range(len(t) - k + 1))
+    weights = {"ab": -1.0, "a": -2.0, "aaa": -3.0, "xyz": -1.5, "丙": -4.0}
+    vocab = spark.createDataFrame(list(weights.items()), "word string, weight double")
+    got = sorted((r["i"], r["chars"], round(r["weight"], 9)) for r in segment.path_weights(rows, vocab, sent, by).collect())
+    assert got == sorted((i, len(t), segment.best_path(t, weights)[1]) for i, t in want)
+
+
+def test_letters_are_those_of_the_sql():
+    import duckdb
+    import pyarrow as pa
+
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    found = pa.table({"i": points, "c": [chr(i) for i in points]})  # noqa: F841
+    letters = {i for (i,) in duckdb.sql(r"SELECT i FROM found WHERE regexp_matches(c, '\p{L}')").fetchall()}
+    kinds = segment._kinds("")
+    assert {i for i in points if kinds[i] == 1} == letters
