@@ -112,3 +112,22 @@ def test_searches_leave_vectors_where_they_are(spark, monkeypatch, tmp_path):
             plan = found._jdf.queryExecution().executedPlan().toString()
             assert "CartesianProduct" not in plan and "Join" not in plan and "collect_list" not in plan
             assert {(r["query_id"], r["place"]): r["id"] for r in found.collect()} == want
+
+
+def test_memory_of_a_search_is_bounded():
+    """Some MB of scores, as many vectors and queries as there are."""
+    import tracemalloc
+
+    from costloom.operators import retrieval
+
+    rng = np.random.default_rng(6)
+    m = retrieval.unit(rng.normal(size=(2048, 16)))
+    peaks = []
+    for many in (1000, 8000):
+        asked = retrieval.unit(rng.normal(size=(many, 16)))
+        tracemalloc.start()
+        rows = sum(batch.num_rows for batch in retrieval.best_of(np.arange(many), asked, np.arange(2048), m, 5))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == many * 5
+    assert max(peaks) < 12e6 and peaks[1] < 1.2 * peaks[0]
